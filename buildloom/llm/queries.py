@@ -7,9 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, mixing, sharding
+import public_tokenizers
+
+from . import ann, bpe, exact_dedup, mixing, sharding, token_files
 from .common import read
 
+END_ID = 2
 TREE = sharding.even_tree(4, 2, 2)
 
 
@@ -17,14 +20,26 @@ def op1_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.digest(read(spark, sf_dir, "documents"))
 
 
+def op3_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encode(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op4_hash_tree_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.digest(read(spark, sf_dir, "documents"), TREE)
 
 
+def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.read_back(token_files.write(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), END_ID))
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.groups(read(spark, sf_dir, "documents")).drop("__rid")
 
 
+def op10_ivf_pq(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(read(spark, sf_dir, "embeddings"))
+
+
 OP1_SQL = r"""
 WITH d AS (
   SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents),
@@ -54,7 +69,14 @@ FROM n
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_source_mix": op1_source_mix, "op4_hash_tree_shards": op4_hash_tree_shards, "op9_exact_dedup": op9_exact_dedup}
+    return {
+        "op1_source_mix": op1_source_mix,
+        "op3_bpe_codec": op3_bpe_codec,
+        "op4_hash_tree_shards": op4_hash_tree_shards,
+        "op6_token_files": op6_token_files,
+        "op9_exact_dedup": op9_exact_dedup,
+        "op10_ivf_pq": op10_ivf_pq,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
