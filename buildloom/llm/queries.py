@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from . import ann, bpe, exact_dedup, mixing, sharding, token_files
+from . import ann, bpe, exact_dedup, mixing, ngram_join, sharding, token_files
 from .common import read
 
 END_ID = 2
@@ -32,6 +32,10 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_back(token_files.write(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), END_ID))
 
 
+def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.groups(read(spark, sf_dir, "documents"), 4, 85, 100)
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.groups(read(spark, sf_dir, "documents")).drop("__rid")
 
@@ -74,6 +78,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_bpe_codec": op3_bpe_codec,
         "op4_hash_tree_shards": op4_hash_tree_shards,
         "op6_token_files": op6_token_files,
+        "op8_ngram_jaccard_join": op8_ngram_jaccard_join,
         "op9_exact_dedup": op9_exact_dedup,
         "op10_ivf_pq": op10_ivf_pq,
     }
