@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from . import ann, bpe, exact_dedup, mixing, ngram_join, sharding, token_files
+from . import ann, bpe, exact_dedup, langid, mixing, ngram_join, sharding, token_files
 from .common import read
 
 END_ID = 2
@@ -28,6 +28,10 @@ def op4_hash_tree_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.digest(read(spark, sf_dir, "documents"), TREE)
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.digest(read(spark, sf_dir, "documents"))
+
+
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_back(token_files.write(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), END_ID))
 
@@ -77,6 +81,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_source_mix": op1_source_mix,
         "op3_bpe_codec": op3_bpe_codec,
         "op4_hash_tree_shards": op4_hash_tree_shards,
+        "op5_language_id": op5_language_id,
         "op6_token_files": op6_token_files,
         "op8_ngram_jaccard_join": op8_ngram_jaccard_join,
         "op9_exact_dedup": op9_exact_dedup,
