@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from . import ann, bpe, exact_dedup, langid, mixing, ngram_join, sharding, token_files
+from . import ann, bpe, exact_dedup, langid, lm, mixing, ngram_join, sharding, token_files
 from .common import read
 
 END_ID = 2
@@ -36,6 +36,10 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_back(token_files.write(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), END_ID))
 
 
+def op7_backoff_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(read(spark, sf_dir, "documents"))
+
+
 def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.groups(read(spark, sf_dir, "documents"), 4, 85, 100)
 
@@ -83,6 +87,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_hash_tree_shards": op4_hash_tree_shards,
         "op5_language_id": op5_language_id,
         "op6_token_files": op6_token_files,
+        "op7_backoff_scores": op7_backoff_scores,
         "op8_ngram_jaccard_join": op8_ngram_jaccard_join,
         "op9_exact_dedup": op9_exact_dedup,
         "op10_ivf_pq": op10_ivf_pq,
