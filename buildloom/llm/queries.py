@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from . import ann, bpe, exact_dedup, langid, lm, mixing, ngram_join, sharding, token_files
+from . import ann, bpe, exact_dedup, langid, lm, mixing, ngram_join, sharding, suffix_dedup, token_files
 from .common import read
 
 END_ID = 2
@@ -20,6 +20,10 @@ def op1_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.digest(read(spark, sf_dir, "documents"))
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.matches(read(spark, sf_dir, "documents"))
+
+
 def op3_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -83,6 +87,7 @@ FROM n
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_source_mix": op1_source_mix,
+        "op2_suffix_dedup": op2_suffix_dedup,
         "op3_bpe_codec": op3_bpe_codec,
         "op4_hash_tree_shards": op4_hash_tree_shards,
         "op5_language_id": op5_language_id,
