@@ -20,7 +20,7 @@ WRITE_CREATE = 577  # O_CREAT | O_WRONLY | O_TRUNC, what creat stands for
 
 
 def reduce_log(log: DataFrame) -> Graph:
-    """The graph of each build in the log."""
+    """The graph of each build in the log. What several of its tables are made from is kept in memory or on disk."""
     # A process id belongs to another process once it has exited.
     log = log.withColumn("life", incarnation(F.col("op") == "exited", ("build_id", "pid")))
     done = log.where("op = 'exit' and rval >= 0")
@@ -41,6 +41,7 @@ def reduce_log(log: DataFrame) -> Graph:
     first = mention.groupBy("build_id", "pid", "life").agg(F.min("seq").alias("first"))
     number = F.row_number().over(Window.partitionBy("build_id").orderBy("first", "pid")) - 1
     node = first.select("build_id", "pid", "life", F.concat(F.lit(":p"), number.cast("string")).alias("pid_node"))
+    node = node.persist()
     by = ["build_id", "pid", "life"]
 
     # Openings for writing, each a version of its own; the close that ends it gives the hash and makes it known.
@@ -50,7 +51,7 @@ def reduce_log(log: DataFrame) -> Graph:
     sessions = fd_sessions(steps, (*by, "fd")).select("build_id", F.col("open_seq").alias("seq"), "close_seq")
     hashes = closes.select("build_id", F.col("seq").alias("close_seq"), F.col("hash").alias("close_hash"))
     made = write_opens.join(sessions, ["build_id", "seq"], "left").join(hashes, ["build_id", "close_seq"], "left")
-    made = made.select(*by, "seq", "edges", "path", "abspath", "close_seq", F.col("close_hash").alias("hash"))
+    made = made.select(*by, "seq", "edges", "path", "abspath", "close_seq", F.col("close_hash").alias("hash")).persist()
 
     # Uses of a version by its path and content: it is the newest one known by then, or a new one at its first use.
     moved = log.where(F.col("syscall").isin(*RENAMES))
@@ -67,7 +68,7 @@ def reduce_log(log: DataFrame) -> Graph:
     # Before any writer's version is known, the first use is the version.
     asks = asks.withColumn("newest", newest).withColumn("first_use", F.min(F.when(F.col("origin").isNull(), F.col("seq"))).over(upto))
     resolved = asks.where("origin is null").select("build_id", "seq", F.coalesce("newest", "first_use").alias("origin"))
-    uses = uses.join(resolved, ["build_id", "seq"])
+    uses = uses.join(resolved, ["build_id", "seq"]).persist()
 
     # A rename that succeeds makes a version of the new path with the old content, which is known from then on only by its edge.
     exits = moved.where("op = 'exit' and rval >= 0")
@@ -82,7 +83,7 @@ def reduce_log(log: DataFrame) -> Graph:
         .unionByName(renamed.select("build_id", F.col("seq").alias("origin"), F.col("new_path").alias("name"), F.col("new_abspath").alias("abspath"), F.col("from_hash").alias("hash")))
     )
     number = F.row_number().over(Window.partitionBy("build_id").orderBy("origin")) - 1
-    files = fresh.withColumn("file_node", F.concat(F.lit(":f"), number.cast("string")))
+    files = fresh.withColumn("file_node", F.concat(F.lit(":f"), number.cast("string"))).persist()
     file_of = files.select("build_id", "origin", "file_node")
 
     def edge(df: DataFrame) -> DataFrame:
