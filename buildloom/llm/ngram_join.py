@@ -22,12 +22,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, drop, ship, small
+from .common import cut, drop, parts, ship, small
 from .connected import components
 from .text import buffers, mix, pieces, shingle_sets, words
 
 #: Orders that pairs are checked under besides the first, which finds them.
 MORE_ORDERS = 1
+#: Rounds end after one that links less than 1 / FEW of what the best round linked: the last pass finds the rest.
+FEW = 20
 #: Counters of the frequency sketch (a power of 2): its size doesn't grow with the documents.
 SKETCH_BITS = 22
 SKETCH_BLOCKS = 64
@@ -139,36 +141,59 @@ def _similar(inter: Column, na: Column, nb: Column, num: int, den: int) -> Colum
     return inter * (num + den) >= (na + nb) * num
 
 
-def _not_ruled_out(a: str, b: str, na: str, nb: str, num: int, den: int) -> Column:
-    """What two prefixes share up to where both are known, and the smaller rest, bound the overlap."""
-    least = F.least(F.element_at(a, -1), F.element_at(b, -1))
-    known_a, known_b = (F.size(F.filter(F.col(x), lambda v: v <= least)) for x in (a, b))
-    common = F.size(F.array_intersect(a, b))
-    bound = common + F.least(F.col(na) - known_a, F.col(nb) - known_b)
-    return (common > 0) & _similar(bound, F.col(na), F.col(nb), num, den)
+def _not_ruled_out(x: dict, y: dict, num: int, den: int) -> bool:
+    """Under every further order: what two prefixes share up to where both are known, and the smaller rest, bound the overlap."""
+    na, nb = x["n"], y["n"]
+    for i in range(MORE_ORDERS):
+        p, q = x[f"p{i + 1}"], y[f"p{i + 1}"]
+        least = min(p[-1], q[-1])
+        common = len(np.intersect1d(p, q, assume_unique=True))
+        bound = common + min(na - np.searchsorted(p, least, "right"), nb - np.searchsorted(q, least, "right"))
+        if not common or bound * (num + den) < (na + nb) * num:
+            return False
+    return True
+
+
+def _side_by_side(pairs: DataFrame, n_pairs: int, cands: DataFrame, columns: list[str], test) -> DataFrame:
+    """The pairs (a, b) that pass test(rows of a, rows of b); of the candidates only those in pairs move, to meet there."""
+    sides = pairs.select("a", "b", F.posexplode(F.array("a", "b")).alias("side", "rid"))
+    met = cands.select("rid", *columns).join(small(sides, 2 * n_pairs), "rid").select("a", "b", "side", *columns)
+    met = met.repartition(parts(pairs.sparkSession), "a", "b").sortWithinPartitions("a", "b", "side")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for b in batches:
+            part = pa.Table.from_batches([b]) if held is None else pa.concat_tables([held, pa.Table.from_batches([b])])
+            whole = part.num_rows // 2 * 2
+            held = part.slice(whole) if whole < part.num_rows else None
+            for at in range(0, whole, 512):
+                some = part.slice(at, min(512, whole - at)).combine_chunks()
+                first, last = (some.take(pa.array(np.arange(i, some.num_rows, 2))) for i in (0, 1))
+                keep = pa.array(test(first, last), pa.bool_())
+                yield pa.RecordBatch.from_arrays([first.column(c).combine_chunks().filter(keep) for c in ("a", "b")], names=["a", "b"])
+
+    return met.mapInArrow(run, "a long, b long")
 
 
 def verify(pairs: DataFrame, cands: DataFrame, k: int, num: int, den: int) -> DataFrame:
     """The pairs (a, b) of row ids whose sets are similar: checked on prefixes under every further order, then on whole texts."""
     names = [f"p{i + 1}" for i in range(MORE_ORDERS)]
-    for side in "ab":
-        pairs = pairs.join(cands.select(F.col("rid").alias(side), F.col("n").alias(f"n{side}"), *(F.col(p).alias(f"{p}{side}") for p in names)), side)
-    for p in names:
-        pairs = pairs.where(_not_ruled_out(f"{p}a", f"{p}b", "na", "nb", num, den))
-    met = left = cut(pairs.select("a", "b"), "pairs")
-    for side in "ab":
-        met = met.join(cands.select(F.col("rid").alias(side), F.col("text").alias(f"t{side}")), side)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for at in range(0, b.num_rows, 256):
-                part = b.slice(at, 256)
-                x, y = ([v for i, j, row, s in _sets(part.column(t), k) for v in np.split(s, np.cumsum(np.bincount(row, minlength=j - i))[:-1])] for t in ("ta", "tb"))
-                keep = pa.array([len(np.intersect1d(u, v, assume_unique=True)) * (num + den) >= (len(u) + len(v)) * num for u, v in zip(x, y)], pa.bool_())
-                yield pa.RecordBatch.from_arrays([part.column("a").filter(keep), part.column("b").filter(keep)], names=["a", "b"])
-
-    out = cut(met.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long"), "links")
-    drop(left)
+    def by_prefixes(x: pa.Table, y: pa.Table) -> list[bool]:
+        sides = []
+        for t in (x, y):
+            lists = {p: [np.asarray(v.values) for v in t.column(p).combine_chunks()] for p in names}
+            sides.append([{"n": n} | {p: lists[p][i] for p in names} for i, n in enumerate(t.column("n").to_pylist())])
+        return [_not_ruled_out(u, v, num, den) for u, v in zip(*sides)]
+
+    def by_texts(x: pa.Table, y: pa.Table) -> list[bool]:
+        sides = ([v for i, j, row, s in _sets(t.column("text"), k) for v in np.split(s, np.cumsum(np.bincount(row, minlength=j - i))[:-1])] for t in (x, y))
+        return [len(np.intersect1d(u, v, assume_unique=True)) * (num + den) >= (len(u) + len(v)) * num for u, v in zip(*sides)]
+
+    asked = cut(pairs.select("a", "b"), "pairs")
+    left = cut(_side_by_side(asked, asked.count(), cands, ["n", *names], by_prefixes), "pairs")
+    out = cut(_side_by_side(left, left.count(), cands, ["text"], by_texts), "links")
+    drop(asked, left)
     return out
 
 
@@ -206,8 +231,8 @@ def class_links(classes: DataFrame, plain: DataFrame, k: int, num: int, den: int
     # Only shingles that the prefixes of two classes share, and the documents that have any.
     shared = cut(posted.join(classes.select("rid"), "rid", "left_semi").withColumn("often", often).where("often").drop("often"), "shared")
     need = cut(shared.select("rid").distinct(), "need")
-    cands = cut(candidates(plain.join(small(need, need.count()), "rid", "left_semi"), k, num, den, levels), "cands")
-    links = root = None
+    cands = cut(candidates(plain.join(need.hint("merge"), "rid", "left_semi"), k, num, den, levels), "cands")
+    root, most_new = None, 0
     least, most = F.least("n", "n2"), F.greatest("n", "n2")
     fits = (least * den >= most * num) & _similar(F.least(F.col("n") - F.col("i"), F.col("n2") - F.col("i2")), F.col("n"), F.col("n2"), num, den)
     for turn in range(rounds):
@@ -218,15 +243,26 @@ def class_links(classes: DataFrame, plain: DataFrame, k: int, num: int, den: int
         pairs = met.where((F.col("root") != F.col("root2")) & fits).groupBy("rid", "rid2").agg(F.count(F.lit(1)).alias("times"))
         best = pairs.groupBy("rid").agg(F.max_by("rid2", F.struct("times", -F.col("rid2"))).alias("rid2"))
         found = verify(best.select(F.greatest("rid", "rid2").alias("a"), F.least("rid", "rid2").alias("b")).distinct(), cands, k, num, den)
-        links = found if links is None else links.union(found)
+        links = found if root is None else root.select(F.col("node").alias("a"), F.col("root").alias("b")).union(found)
         root = cut(components(links), "roots")
+        new = found.count()
+        most_new = max(new, most_new)
+        if new * FEW < most_new:
+            break
     # What is left: all candidates between different components.
+    if root is None:
+        root = docs_alone(classes)
     here = _with_root(shared, root)
     mixed = here.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("key")
     here = cut(here.join(mixed, "key", "left_semi"), "mixed")
     other = here.select(F.col("key").alias("key2"), *(F.col(c).alias(f"{c}2") for c in ("rid", "n", "i", "root")))
     rest = here.join(other, (F.col("key") == F.col("key2")) & (F.col("rid") > F.col("rid2")) & (F.col("root") != F.col("root2")) & fits)
-    return links.union(verify(rest.select(F.col("rid").alias("a"), F.col("rid2").alias("b")).distinct(), cands, k, num, den))
+    return root.select(F.col("node").alias("a"), F.col("root").alias("b")).union(verify(rest.select(F.col("rid").alias("a"), F.col("rid2").alias("b")).distinct(), cands, k, num, den))
+
+
+def docs_alone(classes: DataFrame) -> DataFrame:
+    """node, root of no component at all."""
+    return classes.select(F.col("rid").alias("node"), F.col("rid").alias("root")).limit(0)
 
 
 def _with_root(shared: DataFrame, root: DataFrame) -> DataFrame:
