@@ -39,7 +39,7 @@ def targets(docs: DataFrame, size: Column, weights: tuple[float, ...] = WEIGHTS,
     # One row for each source goes through this window, not one for each document.
     rank = (F.row_number().over(Window.orderBy(F.col("__source").asc_nulls_last())) - 1) % len(weights)
     weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (rank + 1).cast("int"))
-    table = cut(sizes.coalesce(1).select("__source", "source_size", weight.alias("weight"), (F.lit(float(most)) * F.col("source_size")).alias("cap")), "sources")
+    table = cut(sizes.select("__source", "source_size", weight.alias("weight"), (F.lit(float(most)) * F.col("source_size")).alias("cap")), "sources")
     total = (table.agg(F.sum("source_size")).first()[0] or 0) * share
     level, capped = 0.0, -1
     while True:  # the level rises until no further source reaches its cap
