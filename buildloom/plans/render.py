@@ -8,11 +8,47 @@ from pathlib import Path
 from pyspark.sql import functions as F
 
 from . import reports
-from .lookups import EXT_LANG
 from .model import Graph
 
 RULE = "═" * 62
 
+# What the console report says.
+TITLES = {
+    "stats": "Обзор графа",
+    "timeline": "Временной диапазон сборки",
+    "languages": "Языки программирования",
+    "tools": "Инструменты и пакеты, задействованные в сборке",
+    "externals": "Готовые бинари: использованы, но не собраны в этом билде",
+    "sources": "Исходники проекта, прочитанные при сборке",
+    "artifacts": "Артефакты сборки (записанные файлы, не /tmp)",
+    "libs": "Библиотеки, собранные в ходе сборки (.so, .a)",
+    "tree": "Дерево процессов (2 уровня)",
+    "headers": "Наиболее читаемые системные заголовки",
+}
+METRICS = {
+    "processes": "Процессов",
+    "files": "Файлов",
+    "reads": "Чтений (reads)",
+    "writes": "Записей (writes)",
+    "renames": "Переименований",
+    "creates": "Создано подпроцессов",
+}
+BEGIN, FINISH, DURATION = "Начало", "Конец", "Длительность"
+COMPILERS, BY_EXTENSION = "\n  Компиляторы/интерпретаторы:", "\n  Исходные файлы по расширению:"
+BY_PACKAGE, IN_DETAIL = "\n  По пакетам:", "\n  Детально (утилита → пакет):"
+EXECUTED, NEEDED = "\n  Запущенные исполняемые файлы ({}):", "\n  Системные .so библиотеки ({}):"
+IN_ALL, AND_MORE = "\n  Всего: {} файлов", "       … и ещё {}"
+
+# What the Markdown report says.
+MD_HEAD = ("# Build Report: {}", "\nСгенерировано: {} UTC  ", "Источник: `{}`\n")
+MD_OVERVIEW = ("## Обзор\n", "| Метрика | Значение |", "|---------|---------|")
+MD_LANGUAGES = ("\n## Языки программирования\n", "| Расширение | Файлов | Язык |", "|-----------|--------|------|")
+MD_SOURCES = ("\n## Исходники проекта\n", "Всего: **{}** файлов\n")
+MD_TOOLS = ("\n## Инструменты сборки\n", "| Пакет | Инвокаций | Роль |", "|-------|----------|------|")
+MD_EXTERNAL = ("\n## Внешние бинарные зависимости\n", "Файлы, **использованные** в сборке, но **не созданные** в ней.\n", "### Исполняемые файлы ({})\n")
+MD_NEEDED = ("\n### Системные .so библиотеки ({})\n", "| Библиотека | SHA1 (git-compatible) |", "|-----------|----------------------|")
+MD_BUILT = ("\n## Собранные библиотеки\n", "| Библиотека | SHA1 |", "|-----------|------|")
+
 
 def section(title: str) -> str:
     return f"\n{RULE}\n  {title}\n{RULE}"
@@ -28,53 +64,52 @@ def _most_first(df, *names: str) -> list:
 
 def stats(g: Graph) -> list[str]:
     n = {r["metric"]: r["n"] for r in reports.overview(g).collect()}
-    labels = {"processes": "Процессов", "files": "Файлов", "reads": "Чтений (reads)", "writes": "Записей (writes)", "renames": "Переименований", "creates": "Создано подпроцессов"}
-    return [section("Обзор графа"), *(row(label, n[k]) for k, label in labels.items())]
+    return [section(TITLES["stats"]), *(row(label, n[k]) for k, label in METRICS.items())]
 
 
 def timeline(g: Graph) -> list[str]:
     t = reports.timeline(g).first()
-    out = [section("Временной диапазон сборки")]
+    out = [section(TITLES["timeline"])]
     if t["begin_ts"]:
-        out += [row("Начало", t["begin_ts"]), row("Конец", t["finish_ts"]), row("Длительность", f"{t['duration_mod_day']} секунд")]
+        out += [row(BEGIN, t["begin_ts"]), row(FINISH, t["finish_ts"]), row(DURATION, f"{t['duration_mod_day']} секунд")]
     return out
 
 
 def languages(g: Graph) -> list[str]:
-    out = [section("Языки программирования"), "\n  Компиляторы/интерпретаторы:"]
+    out = [section(TITLES["languages"]), COMPILERS]
     out += [f"  {r['n']:5d}×  {r['name']}" for r in _most_first(reports.exec_counts_by_name(g), "path")]
-    out.append("\n  Исходные файлы по расширению:")
+    out.append(BY_EXTENSION)
     return out + [f"  {'.' + r['ext']:<10} {r['n']:4d} файлов  → {r['lang']}" for r in _most_first(reports.source_reads_by_ext(g), "ext")]
 
 
 def tools(g: Graph) -> list[str]:
-    out = [section("Инструменты и пакеты, задействованные в сборке"), "\n  По пакетам:"]
+    out = [section(TITLES["tools"]), BY_PACKAGE]
     out += [f"  {r['n']:5d}×  {r['pkg']}" for r in _most_first(reports.tools_by_package(g), "pkg")]
-    out.append("\n  Детально (утилита → пакет):")
+    out.append(IN_DETAIL)
     return out + [f"  {r['n']:5d}×  {r['name']:<42} [{r['pkg']}]" for r in _most_first(reports.tools_detail(g), "name")]
 
 
 def externals(g: Graph) -> list[str]:
     exes = reports.external_executables(g).orderBy("path").collect()
     libs = reports.external_libs(g).orderBy("path", "hash").collect()
-    out = [section("Готовые бинари: использованы, но не собраны в этом билде"), f"\n  Запущенные исполняемые файлы ({len(exes)}):"]
+    out = [section(TITLES["externals"]), EXECUTED.format(len(exes))]
     out += [f"    {r['path']}" for r in exes]
-    return [*out, f"\n  Системные .so библиотеки ({len(libs)}):", *(f"    {r['name']:<50} {r['hash16'] or '—'}" for r in libs)]
+    return [*out, NEEDED.format(len(libs)), *(f"    {r['name']:<50} {r['hash16'] or '—'}" for r in libs)]
 
 
 def sources(g: Graph) -> list[str]:
     rows = reports.project_sources_relative(g).orderBy("path").collect()
-    return [section("Исходники проекта, прочитанные при сборке"), f"\n  Всего: {len(rows)} файлов", *(f"    {r['rel_path']}" for r in rows)]
+    return [section(TITLES["sources"]), IN_ALL.format(len(rows)), *(f"    {r['rel_path']}" for r in rows)]
 
 
 def artifacts(g: Graph) -> list[str]:
     rows = reports.artifacts_by_ext(g).orderBy("ext").collect()
-    return [section("Артефакты сборки (записанные файлы, не /tmp)"), *(row(f".{r['ext']} ({r['n']})", r["sample"], 20) for r in rows)]
+    return [section(TITLES["artifacts"]), *(row(f".{r['ext']} ({r['n']})", r["sample"], 20) for r in rows)]
 
 
 def libs(g: Graph) -> list[str]:
     rows = reports.built_libs(g).orderBy("path", "hash").collect()
-    return [section("Библиотеки, собранные в ходе сборки (.so, .a)"), *(row(r["path"].rsplit("/", 1)[-1], f"hash: {(r['hash'] or '—')[:16]}", 44) for r in rows)]
+    return [section(TITLES["libs"]), *(row(r["path"].rsplit("/", 1)[-1], f"hash: {(r['hash'] or '—')[:16]}", 44) for r in rows)]
 
 
 def tree(g: Graph) -> list[str]:
@@ -82,18 +117,18 @@ def tree(g: Graph) -> list[str]:
     below: dict[str, list] = {}
     for r in reports.tree_two_levels(g).orderBy("root", "rn").collect():
         below.setdefault(r["root"], []).append(r)
-    out = [section("Дерево процессов (2 уровня)")]
+    out = [section(TITLES["tree"])]
     for (root,) in reports.process_roots(g).collect():
         out.append(f"\n  {root.lstrip(':')}: {(cmds.get(root) or '?')[:70]}")
         rows = below.get(root, [])
         out += [f"    └─ {r['child'].lstrip(':')}: {r['cmd65']}" for r in rows]
         if rows and rows[0]["hidden"]:
-            out.append(f"       … и ещё {rows[0]['hidden']}")
+            out.append(AND_MORE.format(rows[0]["hidden"]))
     return out
 
 
 def headers(g: Graph) -> list[str]:
-    return [section("Наиболее читаемые системные заголовки"), *(row(str(r["n"]), r["short_path"], 5) for r in _most_first(reports.headers_top(g), "path"))]
+    return [section(TITLES["headers"]), *(row(str(r["n"]), r["short_path"], 5) for r in _most_first(reports.headers_top(g), "path"))]
 
 
 AVAILABLE = {"stats": stats, "timeline": timeline, "languages": languages, "tools": tools, "externals": externals, "sources": sources, "artifacts": artifacts, "libs": libs, "tree": tree, "headers": headers}
@@ -111,27 +146,21 @@ def markdown(g: Graph, source: str, now: datetime | None = None) -> str:
             t.unpersist()
 
 
-def _table(head: str, rule: str, rows: list[str]) -> list[str]:
-    return [head, rule, *rows]
-
-
 def _markdown(g: Graph, source: str, now: datetime) -> str:
     n = {r["metric"]: r["n"] for r in reports.overview(g).collect()}
     t = reports.timeline(g).first()
     span = f"{t['duration_mod_day']} сек ({t['begin_ts']} → {t['finish_ts']})" if t["begin_ts"] else "?"
-    base = lambda p: p.rsplit("/", 1)[-1]
-    out = [f"# Build Report: {Path(source).stem.replace('-build', '')}", f"\nСгенерировано: {now:%Y-%m-%d %H:%M} UTC  ", f"Источник: `{source}`\n", "## Обзор\n"]
-    counts = (("Процессов", "processes"), ("Файлов", "files"), ("Чтений (reads)", "reads"), ("Записей (writes)", "writes"), ("Создано подпроцессов", "creates"))
-    out += _table("| Метрика | Значение |", "|---------|---------|", [*(f"| {label} | {n[k]} |" for label, k in counts), f"| Длительность | {span} |"])
-    out += ["\n## Языки программирования\n", *_table("| Расширение | Файлов | Язык |", "|-----------|--------|------|", [f"| `.{r['ext']}` | {r['n']} | {EXT_LANG.get(r['ext'], r['ext'])} |" for r in _most_first(reports.source_reads_by_ext(g), "ext")])]
+    out = [MD_HEAD[0].format(Path(source).stem.replace("-build", "")), MD_HEAD[1].format(f"{now:%Y-%m-%d %H:%M}"), MD_HEAD[2].format(source)]
+    out += [*MD_OVERVIEW, *(f"| {label} | {n[k]} |" for k, label in METRICS.items() if k != "renames"), f"| {DURATION} | {span} |"]
+    out += [*MD_LANGUAGES, *(f"| `.{r['ext']}` | {r['n']} | {r['lang']} |" for r in _most_first(reports.source_reads_by_ext(g), "ext"))]
     made = reports.relative(reports.project_sources_report(g), checkout=False).orderBy("path").collect()
-    out += ["\n## Исходники проекта\n", f"Всего: **{len(made)}** файлов\n", *(f"- `{r['rel_path']}`" for r in made)]
-    out += ["\n## Инструменты сборки\n", *_table("| Пакет | Инвокаций | Роль |", "|-------|----------|------|", [f"| `{r['pkg']}` | {r['n']} | {r['role']} |" for r in _most_first(reports.tools_by_package(g), "pkg")])]
+    out += [MD_SOURCES[0], MD_SOURCES[1].format(len(made)), *(f"- `{r['rel_path']}`" for r in made)]
+    out += [*MD_TOOLS, *(f"| `{r['pkg']}` | {r['n']} | {r['role']} |" for r in _most_first(reports.tools_by_package(g), "pkg"))]
     exes = reports.external_executables(g).orderBy("path").collect()
-    out += ["\n## Внешние бинарные зависимости\n", "Файлы, **использованные** в сборке, но **не созданные** в ней.\n", f"### Исполняемые файлы ({len(exes)})\n", *(f"- `{r['path']}`" for r in exes)]
+    out += [*MD_EXTERNAL[:2], MD_EXTERNAL[2].format(len(exes)), *(f"- `{r['path']}`" for r in exes)]
     needed = reports.external_libs(g).orderBy("path", "hash").collect()
-    out += [f"\n### Системные .so библиотеки ({len(needed)})\n", *_table("| Библиотека | SHA1 (git-compatible) |", "|-----------|----------------------|", [f"| `{r['name']}` | `{r['hash'] or '—'}` |" for r in needed])]
+    out += [MD_NEEDED[0].format(len(needed)), *MD_NEEDED[1:], *(f"| `{r['name']}` | `{r['hash'] or '—'}` |" for r in needed)]
     built = reports.built_libs(g).orderBy("path", "hash").collect()
     if built:
-        out += ["\n## Собранные библиотеки\n", *_table("| Библиотека | SHA1 |", "|-----------|------|", [f"| `{base(r['path'])}` | `{r['hash'] or '—'}` |" for r in built])]
+        out += [*MD_BUILT, *(f"| `{r['path'].rsplit('/', 1)[-1]}` | `{r['hash'] or '—'}` |" for r in built)]
     return "\n".join([*out, "\n---\n", "*Отчёт сгенерирован на основе записанного графа сборки*"])
