@@ -92,8 +92,14 @@ def _sparql(text: str) -> Query:
 
 
 def triple_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Triples written as statements and parsed again."""
-    return turtle.parse_lines(turtle.statements(projection.graph(spark, sf_dir).triples().withColumns({c: F.when(F.startswith(c, F.lit("_:")) | (F.col("p") == "a") & (F.lit(c) == "o") | (F.col("o_kind") == "literal") & (F.lit(c) == "o"), F.col(c)).otherwise(F.concat(F.lit(":"), c)) for c in ("s", "o")}))).select(*(F.regexp_replace(c, "^:", "").alias(c) for c in ("s", "p", "o")))
+    """Triples written as statements, their nodes as :name, and parsed again."""
+    triples = projection.graph(spark, sf_dir).triples()
+    node = lambda c: F.when(F.startswith(c, F.lit("_:")), F.col(c)).otherwise(F.concat(F.lit(":"), c))
+    is_node = (F.col("o_kind") != "literal") & (F.col("p") != "a")
+    named = triples.withColumns({"s": node("s"), "o": F.when(is_node, node("o")).otherwise(F.col("o"))})
+    back = turtle.parse_lines(turtle.statements(named))
+    bare = lambda c: F.regexp_replace(c, "^:", "").alias(c)
+    return back.select(bare("s"), "p", bare("o"))
 
 
 def access_mode_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
