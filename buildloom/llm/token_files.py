@@ -16,14 +16,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .bpe import byte_alphabet
 from .common import cut, fresh, parts, ship
 
 CACHE_WORDS = 400_000
 CACHE_CHARS = 64
 NO_ID = -(2**63)
+#: How the tokenizer splits lower-cased text; and characters whose normal form and lower case are plain.
+_PARTS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
+_PLAIN = regex.compile(r"[\x21-\x7E\u00A1-\u024F]*")
 _LOADED: dict[str, tuple] = {}
 
 
@@ -35,23 +40,49 @@ def _encoder(path: str):
         t = Tokenizer.from_file(path)
         t.no_truncation()
         t.no_padding()
-        _LOADED[path] = (t, {}, "uint16" if t.get_vocab_size() <= 1 << 16 else "uint32")
+        _LOADED[path] = (t, {}, {}, "uint16" if t.get_vocab_size() <= 1 << 16 else "uint32")
     return _LOADED[path]
 
 
+def _alphabet() -> list[str]:
+    """The character that the model's vocabulary has for each byte."""
+    return [c for c, _ in sorted(byte_alphabet().items(), key=lambda x: x[1])]
+
+
+def _encode_new(tok, known: dict[str, bytes], kind: str, pieces: list[str]) -> list[bytes]:
+    """Packed ids of new pieces. In a piece of characters that are their own normal form (below U+0250, without white space
+    or marks of special tokens), lower-casing and splitting are done here and the library's model encodes each distinct
+    part; all other pieces go through the library's whole chain."""
+    model, split, byte = tok.model.tokenize, _PARTS.findall, _alphabet()
+    out: list[bytes | None] = []
+    for w in pieces:
+        if _PLAIN.fullmatch(w) and "<|" not in w:
+            parts = split(w.lower())
+            for p in parts:
+                if p not in known:
+                    seen = p if p.isascii() else "".join([byte[b] for b in p.encode()])
+                    known[p] = np.array([t.id for t in model(seen)], kind).tobytes()
+            out.append(b"".join([known[p] for p in parts]))
+        else:
+            out.append(None)
+    rest = [i for i, x in enumerate(out) if x is None]
+    for i, e in zip(rest, tok.encode_batch_fast([pieces[i] for i in rest], add_special_tokens=False)):
+        out[i] = np.array(e.ids, kind).tobytes()
+    return out
+
+
 def encode_texts(path: str, texts: list[str]) -> list[bytes]:
     """Packed ids of each text. The tokenizer never joins what a white space parts, so each space-delimited piece is
     encoded once by the library and remembered."""
-    tok, cache, kind = _encoder(path)
-    if len(cache) > CACHE_WORDS:
-        cache.clear()
+    tok, cache, known, kind = _encoder(path)
+    for held in (cache, known):
+        if len(held) > CACHE_WORDS:
+            held.clear()
     split = [t.replace("\n", " ").split(" ") for t in texts]
     new = list({w for ws in split for w in ws} - cache.keys())
-    held: dict[str, bytes] = {}
-    for i in range(0, len(new), 20_000):
-        some = new[i : i + 20_000]
-        for w, e in zip(some, tok.encode_batch_fast(some, add_special_tokens=False)):
-            (cache if len(w) <= CACHE_CHARS else held)[w] = np.array(e.ids, kind).tobytes()
+    held = {}
+    for w, ids in zip(new, _encode_new(tok, known, kind, new)):
+        (cache if len(w) <= CACHE_CHARS else held)[w] = ids
     if held:
         return [b"".join([x if (x := cache.get(w)) is not None else held[w] for w in ws]) for ws in split]
     get = cache.__getitem__
@@ -75,7 +106,7 @@ def write(docs: DataFrame, path: str, end_id: int, out: str | None = None, id_co
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        _, _, kind = _encoder(path)
+        *_, kind = _encoder(path)
         part = TaskContext.get().partitionId()
         files, root = _open(out)
         files.create_dir(root, recursive=True)
