@@ -1,10 +1,10 @@
 """Stupid-backoff scores of documents from n-gram counts over the whole corpus, each document left out of its own counts.
 
-Words of the closed vocabulary (all that occur often enough, at most MOST_WORDS) are numbered, others are one unknown
-word. Documents are exploded to n-grams in blocks of bounded size; a block's distinct n-grams are dealt to hash partitions,
-whose tables add up the counts of all blocks and answer each block with the totals of what it asked for: a join of count
-tables with exploded n-grams in which a frequent n-gram costs one entry for each block, not one for each occurrence.
-Scores are then summed by document.
+The vocabulary is open: words and n-grams are known by 64-bit hashes, so every word counts as itself and no table of words
+is needed. Documents are exploded to n-grams in blocks of bounded size; a block's distinct n-grams, single words too, are
+dealt to ranges of hashes, whose tables add up the counts of all blocks and answer each block with the totals of what it
+asked for: a join of count tables with exploded n-grams in which a frequent n-gram costs one entry for each block, not one
+for each occurrence. Scores are then summed by document.
 """
 
 from __future__ import annotations
@@ -18,16 +18,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, ship
-from .text import buffers, mix, pieces, words
+from .text import _MIX, buffers, mix, pieces, words
 
 ORDER = 3
 BACKOFF = 0.4
-#: Bounds: words of the vocabulary (its table is sent to all executors), words of a block, n-grams of a hash partition.
-MOST_WORDS = 65_000
+#: Bounds: words of a block, n-grams of a hash partition.
 BLOCK_WORDS = 2_000_000
 PARTITION_GRAMS = 3_000_000
+#: The hash of all words outside a closed vocabulary.
 UNKNOWN = 0
-FIRST = 1
 NO_ID = -(2**63)
 U = np.uint64
 
@@ -69,108 +68,115 @@ def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return docs.select(F.col(text_col).alias("text")).mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
 
 
-def vocabulary(docs: DataFrame, text_col: str = "text", most: int = MOST_WORDS) -> tuple[np.ndarray, np.ndarray, int]:
-    """Sorted hashes of the words that occur at least so often that no more than `most` do, their counts, and all words' number."""
+def vocabulary(docs: DataFrame, most: int, text_col: str = "text") -> np.ndarray:
+    """Sorted hashes of the words that occur at least so often that no more than `most` do."""
     counts = cut(word_counts(docs, text_col), "words")
     bucket = F.floor(F.log2("n") * 16).cast("int")
-    by = sorted(((r["b"], r["k"], r["s"]) for r in counts.groupBy(bucket.alias("b")).agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("s")).collect()), reverse=True)  # 16 rows an octave
-    total, kept, least = sum(s for _, _, s in by), 0, None
-    for b, k, _ in by:
+    by = sorted(((r["b"], r["k"]) for r in counts.groupBy(bucket.alias("b")).agg(F.count(F.lit(1)).alias("k")).collect()), reverse=True)  # 16 rows an octave
+    kept, least = 0, None
+    for b, k in by:
         if kept + k > most:
             break
         kept, least = kept + k, b
     if least is None:
-        return np.zeros(0, U), np.zeros(0, np.int64), total
-    got = counts.where(bucket >= least).toArrow()  # at most `most` rows
-    h, n = got.column("h").to_numpy().view(U), got.column("n").to_numpy()
-    order = np.argsort(h)
-    return h[order], n[order], total
+        return np.zeros(0, U)
+    return np.sort(counts.where(bucket >= least).select("h").toArrow().column("h").to_numpy().view(U))  # at most `most` rows
 
 
 def _pack(x: np.ndarray) -> bytes:
-    return zlib.compress(x.tobytes(), 1)
+    """All first bytes, then all second ones, ...: high bytes, mostly 0, stand together."""
+    return zlib.compress(np.ascontiguousarray(x).view(np.uint8).reshape(len(x), x.itemsize).T.tobytes(), 1)
 
 
 def _unpack(b: bytes, kind: str) -> np.ndarray:
-    return np.frombuffer(zlib.decompress(b), kind)
+    x = np.frombuffer(zlib.decompress(b), np.uint8).reshape(np.dtype(kind).itemsize, -1)
+    return np.ascontiguousarray(x.T).view(kind).reshape(-1)
 
 
-def blocks(docs: DataFrame, known: np.ndarray, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """block, docs (ids), sizes (words of each), ids (word numbers), packed; documents in the order of their task."""
-    sent = docs.sparkSession.sparkContext.broadcast(known)
+def blocks(docs: DataFrame, known: np.ndarray | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """block, n (words), docs (ids), sizes (words of each), vocab (hashes of the block's distinct words, frequent ones first),
+    ids (places of the words in it), packed; documents in the order of their task."""
+    sent = None if known is None else docs.sparkSession.sparkContext.broadcast(known)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        known, block = sent.value, TaskContext.get().partitionId() << 32
-        who, sizes, ids, size = [], [], [], 0
+        known, block = None if sent is None else sent.value, TaskContext.get().partitionId() << 32
+        who, sizes, held, size = [], [], [], 0
 
         def row() -> pa.RecordBatch:
-            cols = [pa.array([block]), *(pa.array([_pack(np.concatenate(x))], pa.binary()) for x in (who, sizes, ids))]
-            return pa.RecordBatch.from_arrays(cols, names=["block", "docs", "sizes", "ids"])
+            vocab, ids, count = np.unique(np.concatenate(held), return_inverse=True, return_counts=True)
+            order = np.argsort(-count, kind="stable")
+            place = np.empty(len(order), "<u4")
+            place[order] = np.arange(len(order))
+            packed = [_pack(x) for x in (np.concatenate(who), np.concatenate(sizes), vocab[order], place[ids])]
+            cols = [pa.array([block]), pa.array([len(ids)]), *(pa.array([x], pa.binary()) for x in packed)]
+            return pa.RecordBatch.from_arrays(cols, names=["block", "n", "docs", "sizes", "vocab", "ids"])
 
         for b in batches:
             doc = b.column(0).fill_null(NO_ID).to_numpy(zero_copy_only=False)
             for i, j, r, h in _word_hashes(b.column(1)):
-                at = np.minimum(np.searchsorted(known, h), max(len(known) - 1, 0))
-                found = known[at] == h if len(known) else np.zeros(len(h), bool)
+                if known is not None:
+                    at = np.minimum(np.searchsorted(known, h), max(len(known) - 1, 0))
+                    h = np.where(known[at] == h, h, U(UNKNOWN)) if len(known) else np.full(len(h), UNKNOWN, U)
                 who.append(doc[i:j].astype("<i8"))
                 sizes.append(np.bincount(r, minlength=j - i).astype("<i4"))
-                ids.append(np.where(found, at + FIRST, UNKNOWN).astype("<u2"))
+                held.append(h)
                 size += len(h)
                 if size >= BLOCK_WORDS:
                     yield row()
-                    who, sizes, ids, size, block = [], [], [], 0, block + 1
+                    who, sizes, held, size, block = [], [], [], 0, block + 1
         if who:
             yield row()
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "block long, docs binary, sizes binary, ids binary")
+    plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    return plain.mapInArrow(run, "block long, n long, docs binary, sizes binary, vocab binary, ids binary")
 
 
-def _grams(ids: np.ndarray, doc: np.ndarray, m: int) -> tuple[np.ndarray, np.ndarray]:
-    """Positions at which m words of one document end, and those words in one integer."""
+def _grams(vocab: np.ndarray, ids: np.ndarray, doc: np.ndarray, m: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Positions at which m words of one document end; the hashes of these n-grams, distinct and ascending, and how often
+    each occurs; and for each position its n-gram's place among these."""
+    if m == 1:
+        order = np.argsort(vocab)
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        return np.arange(len(ids)), vocab[order], np.bincount(ids, minlength=len(vocab))[order], place[ids]
     at = np.arange(m - 1, len(ids))
     at = at[doc[at] == doc[at - (m - 1)]]
     key = np.zeros(len(at), U)
-    for j in range(m - 1, -1, -1):
-        key = (key << U(16)) | ids[at - j].astype(U)
-    return at, key
-
+    with np.errstate(over="ignore"):
+        for j in range(m):
+            key += (vocab * _MIX[j])[ids[at - j]]
+    k, place, count = np.unique(mix(key), return_inverse=True, return_counts=True)
+    return at, k, count, place
 
-def _dealt(key: np.ndarray, n_parts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct keys by partition (then ascending), their partitions and counts, and for each key its place among these."""
-    k, inv, count = np.unique(key, return_inverse=True, return_counts=True)
-    part = (mix(k) % U(n_parts)).astype(np.int64)
-    order = np.argsort(part, kind="stable")
-    place = np.empty(len(order), np.int64)
-    place[order] = np.arange(len(order))
-    return k[order], part[order], count[order], place[inv]
 
-
-def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most_words: int = MOST_WORDS, partition_grams: int = PARTITION_GRAMS) -> DataFrame:
+def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most_words: int | None = None, partition_grams: int = PARTITION_GRAMS) -> DataFrame:
     """doc_id, n_words, log_score (sum of the words' natural logarithms), mean_log_score (null without words) for each row.
 
     A word's score is its ORDER-gram's count over its context's, or BACKOFF times the score with a context shorter by a word
     if the count is 0; the last is the word's share of all words, with a count of BACKOFF for one seen nowhere else. The
     first words of a document have shorter contexts. Counts are those of all other documents. Null texts have no words;
     repeated rows count as documents each; an empty table gives an empty result; other columns are ignored.
+
+    With most_words, the vocabulary is closed: only as many of the most frequent words are told apart, others are one word.
     """
     spark = docs.sparkSession
     ship(spark)
-    known, counts, total = vocabulary(docs, text_col, most_words)
-    unigrams = np.concatenate([[total - counts.sum()], counts]).astype(np.int64)
+    known = None if most_words is None else vocabulary(docs, most_words, text_col)
     table = cut(blocks(docs, known, id_col, text_col), "blocks")
+    total = table.agg(F.sum("n")).first()[0] or 0
     n_parts = int(min(1 << 15, max(8, 2 * total // partition_grams)))
-    shared = spark.sparkContext.broadcast(unigrams)
+    bounds = np.array([(p << 64) // n_parts for p in range(n_parts)], U)
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for row in b.to_pylist():
-                ids, sizes = _unpack(row["ids"], "<u2"), _unpack(row["sizes"], "<i4")
+                vocab, ids, sizes = _unpack(row["vocab"], "<u8"), _unpack(row["ids"], "<u4"), _unpack(row["sizes"], "<i4")
                 doc = np.repeat(np.arange(len(sizes)), sizes)
-                for m in range(2, ORDER + 1):
-                    key, part, count, _ = _dealt(_grams(ids, doc, m)[1], n_parts)
-                    ends = np.searchsorted(part, np.arange(n_parts + 1))
+                for m in range(1, ORDER + 1):
+                    _, key, count, _ = _grams(vocab, ids, doc, m)
+                    ends = np.append(np.searchsorted(key, bounds), len(key))
                     for p in range(n_parts):
                         k, n = key[ends[p] : ends[p + 1]], count[ends[p] : ends[p + 1]]
                         if len(k):
@@ -179,7 +185,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most_
 
     def answer(asked: pa.Table) -> pa.Table:
         out = []
-        for m in range(2, ORDER + 1):
+        for m in range(1, ORDER + 1):
             rows = asked.filter(pa.compute.equal(asked.column("m"), m)).select(["part", "block", "keys", "counts"]).to_pylist()
             keys = [np.cumsum(_unpack(r["keys"], "<u8"), dtype=U) for r in rows]
             if keys:
@@ -194,32 +200,23 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most_
         return pa.Table.from_pylist(out, pa.schema([("block", pa.int64()), ("m", pa.int32()), ("part", pa.int32()), ("wide", pa.bool_()), ("totals", pa.binary())]))
 
     def tell(block: pa.Table, answers: pa.Table) -> pa.Table:
-        unigrams = shared.value
-        everything = unigrams.sum()
         out = []
+        got: list[list[dict]] = [[] for _ in range(ORDER + 1)]
+        for r in sorted(answers.to_pylist(), key=lambda r: r["part"]):
+            got[r["m"]].append(r)
         for row in block.to_pylist():
-            ids, sizes, who = _unpack(row["ids"], "<u2"), _unpack(row["sizes"], "<i4"), _unpack(row["docs"], "<i8")
+            vocab, ids, sizes, who = _unpack(row["vocab"], "<u8"), _unpack(row["ids"], "<u4"), _unpack(row["sizes"], "<i4"), _unpack(row["docs"], "<i8")
             doc = np.repeat(np.arange(len(sizes)), sizes)
             # For each order and position: the count of the n-gram that ends there in other documents; -1: none ends there.
             others = np.full((ORDER + 1, len(ids)), -1, np.int64)
             for m in range(1, ORDER + 1):
-                at, key = _grams(ids, doc, m)
+                at, _, _, place = _grams(vocab, ids, doc, m)
                 if not len(at):
                     continue
-                if m == 1:
-                    whole = unigrams[ids]
-                else:
-                    got = sorted((r for r in answers.to_pylist() if r["m"] == m), key=lambda r: r["part"])
-                    totals = np.concatenate([_unpack(r["totals"], "<i8" if r["wide"] else "<u4").astype(np.int64) for r in got])
-                    whole = totals[_dealt(key, n_parts)[3]]
-                order = np.lexsort((key, doc[at]))
-                first = np.ones(len(order), bool)
-                first[1:] = (key[order][1:] != key[order][:-1]) | (doc[at][order][1:] != doc[at][order][:-1])
-                run = np.cumsum(first) - 1
-                own = np.empty(len(order), np.int64)
-                own[order] = np.bincount(run)[run]
-                others[m, at] = whole - own
-            rest = np.maximum(everything - sizes, 1)[doc]
+                totals = np.concatenate([_unpack(r["totals"], "<i8" if r["wide"] else "<u4").astype(np.int64) for r in got[m]])
+                _, run, own = np.unique(doc[at] << 32 | place, return_inverse=True, return_counts=True)
+                others[m, at] = totals[place] - own[run]
+            rest = np.maximum(total - sizes, 1)[doc]
             s = np.where(others[1] > 0, others[1], BACKOFF) / rest
             for m in range(2, ORDER + 1):
                 n, before = others[m], np.concatenate([[0], others[m - 1][:-1]])

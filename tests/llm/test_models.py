@@ -101,6 +101,14 @@ def test_backoff_scores(make, most):
         assert (got[i]["mean_log_score"] is None) == (n == 0)
 
 
+def test_backoff_tells_all_words_apart(make):
+    """More distinct words than 16 bits can number, all rare: none is merged with another."""
+    docs = [(i, " ".join(f"r{i // 2}_{j}" for j in range(900)) + f" only{i} the the") for i in range(160)]
+    got = {x["doc_id"]: x["log_score"] for x in lm.score(make(docs)).collect()}
+    for i, (_, s) in lm_brute(docs, 10**9).items():
+        assert got[i] == pytest.approx(s, abs=1e-6)
+
+
 def test_backoff_odd(make, odd):
     got = lm.score(make(odd)).collect()
     assert len(got) == len(odd) and all(math.isfinite(r["log_score"]) for r in got)
