@@ -33,6 +33,8 @@ FEW = 20
 #: Counters of the frequency sketch (a power of 2): its size doesn't grow with the documents.
 SKETCH_BITS = 22
 SKETCH_BLOCKS = 64
+#: Null ids come after all others.
+LAST = 9223372036854775807
 _SEEDS = np.array([0x1F3D5B79A2C4E681, 0x6A09E667F3BCC909, 0xBB67AE8584CAA73B, 0x3C6EF372FE94F82B], np.uint64)
 
 
@@ -212,16 +214,21 @@ def groups(docs: DataFrame, k: int, num: int, den: int, id_col: str = "doc_id",
     shingle. Rows of equal sets are linked, repeated rows too. Null doc_ids don't name a group unless all of it are null.
     An empty table gives an empty result; other columns are ignored.
     """
-    ship(docs.sparkSession)
-    plain = keyed(docs, id_col, text_col)
+    found = _grouped(keyed(docs, id_col, text_col), k, num, den, rounds)
+    return found.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+
+
+def _grouped(plain: DataFrame, k: int, num: int, den: int, rounds: int = 3) -> DataFrame:
+    """rid, doc_id, n, component_id and keep (the rid of a row of the group with that id; null, like component_id, if n is 0)."""
+    ship(plain.sparkSession)
     signed, levels = survey(plain, k)
-    classes = cut(signed.where("n > 0").groupBy("d1", "d2", "n").agg(F.min("rid").alias("rid"), F.min("doc_id").alias("first")), "classes")
+    first = F.min_by("rid", F.coalesce(F.col("doc_id"), F.lit(LAST)))
+    classes = cut(signed.where("n > 0").groupBy("d1", "d2", "n").agg(F.min("rid").alias("rid"), F.min("doc_id").alias("first"), first.alias("keep")), "classes")
     links = class_links(classes, plain, k, num, den, levels, rounds)
     rooted = classes.join(components(links).withColumnRenamed("node", "rid"), "rid", "left").withColumn("root", F.coalesce("root", "rid"))
-    named = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    known = rooted.join(named, "root").select("d1", "d2", "n", "component_id")
-    out = signed.select("doc_id", "n", "d1", "d2").join(known, ["d1", "d2", "n"], "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    named = rooted.groupBy("root").agg(F.min("first").alias("component_id"), F.min_by("keep", F.coalesce(F.col("first"), F.lit(LAST))).alias("keep"))
+    known = rooted.drop("keep").join(named, "root").select("d1", "d2", "n", "component_id", "keep")
+    return signed.select("rid", "doc_id", "n", "d1", "d2").join(known, ["d1", "d2", "n"], "left").select("rid", "doc_id", "n", "component_id", "keep")
 
 
 def class_links(classes: DataFrame, plain: DataFrame, k: int, num: int, den: int, levels: np.ndarray, rounds: int) -> DataFrame:
@@ -270,10 +277,13 @@ def _with_root(shared: DataFrame, root: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs, with all their columns, without those that another row of their group stands for: the row with the
-    smallest id of each group stays. Rows that repeat the id that stays are one group's, and one of them stays."""
-    found = groups(docs, k, num, den, id_col, text_col)
-    gone = cut(found.where("not (doc_id <=> component_id)").select(F.col("doc_id").alias("__gone")).distinct(), "gone")
-    twice = not docs.groupBy(id_col).count().where("count > 1").isEmpty()
-    out = docs.join(small(gone, gone.count()), F.col(id_col).eqNullSafe(F.col("__gone")), "left_anti")
-    return out.dropDuplicates([id_col]) if twice else out
+    """The rows of docs, with all their columns, without those that another row of their group stands for: of each group the
+    row with the smallest id stays (one of them, if several have it; one of all, if none has an id). Rows are told apart by
+    themselves, not by their ids: rows that share an id, or have none, go only with their own group. Rows without words are in
+    no group and stay."""
+    held, rid = docs, F.col(id_col).cast("long")
+    if not docs.groupBy(id_col).count().where(F.col("count") > 1).isEmpty() or not docs.where(F.col(id_col).isNull()).isEmpty():
+        held, rid = cut(docs.withColumn("__rid", F.monotonically_increasing_id()), "numbered"), F.col("__rid")
+    plain = held.select(rid.alias("rid"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    gone = cut(_grouped(plain, k, num, den).where("rid <> keep").select(F.col("rid").alias("__gone")), "gone")
+    return held.join(small(gone, gone.count()), rid == F.col("__gone"), "left_anti").select(*docs.columns)

@@ -71,6 +71,17 @@ def test_keep_one(make):
     assert kept.columns == make(docs).columns
 
 
+def test_keep_one_odd(make, odd):
+    """Rows that share an id or have none go only if their own text is a copy; a group's one row stays, whatever its id."""
+    kept = sorted(((r["doc_id"], r["text"]) for r in ngram_join.keep_one(make(odd)).collect()), key=str)
+    gone = [2, 7, 7, 8, 12]
+    want = [(i, t) for i, t in odd if i not in gone and (i, t) not in [(None, odd[0][1]), (14, "A B C")]]
+    assert kept == sorted(want, key=str) and (None, "alone text here") in kept and (14, "another text of the same id") in kept
+    rows = [(None, "p q r s t u"), (None, "P Q R S T U"), (None, "quite another text"), (5, "five words are in here"), (5, "five words are in here"), (5, "no copy of any row")]
+    kept = [r["text"].lower() for r in ngram_join.keep_one(make(rows)).collect()]
+    assert sorted(kept) == sorted({t.lower() for _, t in rows})
+
+
 def test_components(spark):
     r = random.Random(9)
     edges = [(r.randint(0, 400), r.randint(0, 400)) for _ in range(260)] + [(i, i + 1) for i in range(1000, 1080)]
