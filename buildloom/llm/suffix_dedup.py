@@ -3,10 +3,14 @@
 Of the suffixes of all documents (sequences of words), those are retained that begin at positions which their content
 selects: the minimum of a hash of the next GRAM words in any window of WINDOW positions. A passage of MATCH words or more
 holds such a position near its beginning, the same in each document, with REACH of its words from there on. The retained
-suffixes are sorted by a hash of their first REACH words, then by more context to the right, and once more by context to
-the left; neighbours of different documents whose first REACH words agree are compared word for word and the match is
-extended to both sides. The sort is by ranges of (hash, document), so copies in very many documents spread over tasks, and
-a suffix is compared with neighbours, never with all of its group.
+suffixes are sorted by a hash of their first REACH words, then by a hash of their context, all words that a range of MATCH
+words around the position can hold. Neighbours of different documents whose context agrees are linked, and these share
+every such range. Of each context only two documents (or all suffixes, if only one has it) go on to meet the other contexts
+of their key: directly if they are few, otherwise by hashes of every range of MATCH words that the position was selected
+for, of which neighbours are linked again. So documents that share MATCH words always meet, however many others share a
+part of them. Linked documents are compared word for word and the match is extended to both sides. Sorts are by ranges of
+(hash, document), so copies in very many documents spread over tasks; a key that is cut between tasks or pieces goes on
+from each of its parts, as if their contexts differed.
 """
 
 from __future__ import annotations
@@ -26,6 +30,9 @@ MATCH = 50
 REACH = 28
 GRAM = 6
 WINDOW = MATCH - REACH + 1
+#: So many suffixes of a key with different contexts are compared each with each; a piece of a key has at most HELD rows.
+FEW = 4
+HELD = 500_000
 U = np.uint64
 
 
@@ -56,8 +63,15 @@ def _hash_range(sums: np.ndarray, down: np.ndarray, a: np.ndarray, b: np.ndarray
     return mix((sums[b] - sums[a]) * down[a] ^ ((b - a).astype(U) * U(_M)))
 
 
+def _sums(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    up, down = _powers(len(h) + 1)
+    sums = np.zeros(len(h) + 1, U)
+    np.cumsum(h * up[: len(h)], out=sums[1:])
+    return sums, down
+
+
 def suffixes(docs: DataFrame) -> DataFrame:
-    """key (first REACH words), right (first MATCH words or what there are), left (the words before, up to WINDOW), rid, pos."""
+    """key (first REACH words), context (the first MATCH words and WINDOW - 1 before, or what there are), rid, pos."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -71,14 +85,42 @@ def suffixes(docs: DataFrame) -> DataFrame:
                 fits = at + REACH <= end
                 at, end = at[fits], end[fits]
                 begin = end - n[row[at]]
-                up, down = _powers(len(h) + 1)
-                sums = np.zeros(len(h) + 1, U)
-                np.cumsum(h * up[: len(h)], out=sums[1:])
-                cols = [_hash_range(sums, down, at, at + REACH), _hash_range(sums, down, at, np.minimum(at + MATCH, end)), _hash_range(sums, down, np.maximum(at - WINDOW + 1, begin), at)]
-                cols = [c.view(np.int64) for c in cols] + [rid[i:j][row[at]], (at - begin).astype(np.int32)]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["key", "right", "left", "rid", "pos"])
+                sums, down = _sums(h)
+                left = np.maximum(at - WINDOW + 1, begin)
+                context = mix(_hash_range(sums, down, left, np.minimum(at + MATCH, end)) + (at - left).astype(U) * U(_M))
+                cols = [_hash_range(sums, down, at, at + REACH).view(np.int64), context.view(np.int64), rid[i:j][row[at]], (at - begin).astype(np.int32)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["key", "context", "rid", "pos"])
+
+    return docs.select("rid", "text").mapInArrow(run, "key long, context long, rid long, pos int")
 
-    return docs.select("rid", "text").mapInArrow(run, "key long, right long, left long, rid long, pos int")
+
+def ranges(docs: DataFrame) -> DataFrame:
+    """key, rid, pos: hash, document and first word of each MATCH words that one of the positions `at` was selected for."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rid = b.column("rid").to_numpy()
+            lists, data, offs = b.column("at"), *buffers(b.column("text"))
+            for i, j in pieces(offs):
+                row, h, _, _ = words(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i], lower=False)
+                n = np.bincount(row, minlength=j - i)
+                end = np.cumsum(n)
+                mine = lists.slice(i, j - i)
+                of = np.repeat(np.arange(j - i), mine.value_lengths().to_numpy())
+                at = (end - n)[of] + mine.flatten().to_numpy()
+                g = shingles(row, h, GRAM)[1]
+                least = _slide(g, WINDOW, np.minimum)
+                for k in range(0, len(at), 50_000):
+                    p, o = at[k : k + 50_000, None], of[k : k + 50_000, None]
+                    start = p - np.arange(WINDOW)
+                    fits = (start >= (end - n)[o]) & (start + MATCH <= end[o])
+                    fits &= least[np.where(fits, start, 0)] == g[p]
+                    start = np.unique(start[fits])
+                    sums, down = _sums(h)
+                    cols = [_hash_range(sums, down, start, start + MATCH).view(np.int64), rid[i:j][row[start]], (start - (end - n)[row[start]]).astype(np.int32)]
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["key", "rid", "pos"])
+
+    return docs.select("rid", "text", "at").mapInArrow(run, "key long, rid long, pos int")
 
 
 def _neighbours(key: np.ndarray, doc: np.ndarray, order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -99,70 +141,104 @@ def _neighbours(key: np.ndarray, doc: np.ndarray, order: np.ndarray) -> tuple[np
     return order[mine], order[other]
 
 
-def neighbours(suffixes: DataFrame) -> DataFrame:
-    """a, b, shift: documents of neighbouring suffixes, a < b, and how many words further on the match is in a."""
-
-    def pairs(rid: np.ndarray, pos: np.ndarray, x: np.ndarray, y: np.ndarray) -> pa.RecordBatch:
-        swap = rid[x] > rid[y]
-        x, y = np.where(swap, y, x), np.where(swap, x, y)
-        all_of = np.stack([rid[x], rid[y], pos[x].astype(np.int64) - pos[y]], 1)
-        all_of = np.unique(all_of, axis=0) if len(all_of) else all_of
-        cols = [pa.array(all_of[:, 0]), pa.array(all_of[:, 1]), pa.array(all_of[:, 2].astype(np.int32))]
-        return pa.RecordBatch.from_arrays([*cols, pa.nulls(len(all_of), pa.int64()), pa.nulls(len(all_of), pa.int32())], names=["a", "b", "shift", "key", "pos"])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] | None = None
-        first = True
-
-        def settle(cols: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-            key, right, left, rid, pos = cols
-            for more in (right, left):
-                yield pairs(rid, pos, *_neighbours(key, rid, np.lexsort((pos, rid, more, key))))
-
-        def edge(cols: list[np.ndarray], at: int) -> pa.RecordBatch:
-            key, _, _, rid, pos = cols
-            return pa.RecordBatch.from_arrays([pa.array([int(rid[at])]), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int32()), pa.array([int(key[at])]), pa.array([int(pos[at])], pa.int32())], names=["a", "b", "shift", "key", "pos"])
-
-        for b in batches:
-            cols = [b.column(n).to_numpy() for n in ("key", "right", "left", "rid", "pos")]
-            if not len(cols[0]):
-                continue
-            if first:
-                yield edge(cols, 0)
-                first = False
-            if held is not None:
-                cols = [np.concatenate([u, v]) for u, v in zip(held, cols)]
-            # A key's rows are settled together, up to a bound that a very frequent key may pass.
-            cutoff = int(np.searchsorted(cols[0], cols[0][-1]))
-            if cutoff == 0 and len(cols[0]) > 500_000:
-                cutoff = len(cols[0]) - 1
-            yield from settle([c[:cutoff] for c in cols])
-            held = [c[cutoff:] for c in cols]
+def _pairs(rid: np.ndarray, pos: np.ndarray, x: np.ndarray, y: np.ndarray) -> pa.RecordBatch:
+    swap = rid[x] > rid[y]
+    x, y = np.where(swap, y, x), np.where(swap, x, y)
+    all_of = np.stack([rid[x], rid[y], pos[x].astype(np.int64) - pos[y]], 1)
+    all_of = np.unique(all_of, axis=0) if len(all_of) else all_of
+    cols = [pa.array(all_of[:, 0]), pa.array(all_of[:, 1]), pa.array(all_of[:, 2].astype(np.int32))]
+    return pa.RecordBatch.from_arrays([*cols, pa.nulls(len(all_of), pa.int64()), pa.nulls(len(all_of), pa.int32())], names=["a", "b", "shift", "key", "pos"])
+
+
+def _settle(cols: list[np.ndarray], first_open: bool, last_open: bool) -> Iterator[pa.RecordBatch]:
+    """Of sorted rows the pairs, and the rows that must meet others of their key elsewhere; the first and last key may go on there."""
+    key, context, rid, pos = cols
+    n = len(key)
+    if not n:
+        return
+    new_key = np.ones(n, bool)
+    new_key[1:] = key[1:] != key[:-1]
+    new = new_key.copy()
+    new[1:] |= context[1:] != context[:-1]
+    k, c = np.cumsum(new_key) - 1, np.cumsum(new) - 1
+    x, y = _neighbours(c, rid, np.arange(n))
+    starts = np.flatnonzero(new)
+    ends = np.append(starts[1:], n) - 1
+    # Two documents stand for a context, or all its rows if they are of one document.
+    stands = (rid[starts] == rid[ends])[c]
+    stands[starts] = stands[ends] = True
+    begins = np.flatnonzero(new_key)
+    more = (np.bincount(k[starts]) > 1) & (np.minimum.reduceat(rid, begins) != np.maximum.reduceat(rid, begins))
+    few = np.bincount(k, stands) <= FEW
+    goes_on = np.zeros(len(begins), bool)
+    goes_on[0] |= first_open
+    goes_on[-1] |= last_open
+    at = np.flatnonzero(stands & (more & few & ~goes_on)[k])
+    xs, ys = [x], [y]
+    for j in range(1, FEW):
+        u, v = at[:-j], at[j:]
+        met = (k[u] == k[v]) & (rid[u] != rid[v])
+        xs.append(u[met])
+        ys.append(v[met])
+    yield _pairs(rid, pos, np.concatenate(xs), np.concatenate(ys))
+    at = np.flatnonzero(stands & (goes_on | more & ~few)[k])
+    yield pa.RecordBatch.from_arrays([pa.array(rid[at]), pa.nulls(len(at), pa.int64()), pa.nulls(len(at), pa.int32()), pa.array(key[at]), pa.array(pos[at])], names=["a", "b", "shift", "key", "pos"])
+
+
+def _linked(batches: Iterator[pa.RecordBatch], most: int = HELD) -> Iterator[pa.RecordBatch]:
+    """A partition's sorted rows, key by key; a key of more than `most` rows in pieces."""
+    held: list[np.ndarray] | None = None
+    first_open = True
+    for b in batches:
+        cols = [b.column(n).to_numpy() for n in ("key", "context", "rid", "pos")]
+        if not len(cols[0]):
+            continue
         if held is not None:
-            yield from settle(held)
-            yield edge(held, -1)
-
-    order = ["key", "rid", "pos"]
-    sorted_ = suffixes.repartitionByRange(parts(suffixes.sparkSession), *order).sortWithinPartitions(*order)
-    found = cut(sorted_.mapInArrow(run, "a long, b long, shift int, key long, pos int"), "neighbours")
-    # Keys that go on in the next partition: two rows for each partition.
-    ends = found.where("b is null").select("key", F.col("a").alias("rid"), "pos")
-    other = ends.select(F.col("key").alias("key2"), F.col("rid").alias("rid2"), F.col("pos").alias("pos2"))
-    across = ends.join(other, (F.col("key") == F.col("key2")) & (F.col("rid") < F.col("rid2"))).select(F.col("rid").alias("a"), F.col("rid2").alias("b"), (F.col("pos") - F.col("pos2")).alias("shift"))
-    return found.where("b is not null").select("a", "b", "shift").union(across)
+            cols = [np.concatenate([u, v]) for u, v in zip(held, cols)]
+        cutoff = int(np.searchsorted(cols[0], cols[0][-1]))
+        if cutoff == 0 and len(cols[0]) > most:
+            yield from _settle(cols, True, True)
+            held, first_open = None, True
+            continue
+        if cutoff:
+            yield from _settle([c[:cutoff] for c in cols], first_open, False)
+            first_open = False
+        held = [c[cutoff:] for c in cols]
+    if held is not None:
+        yield from _settle(held, first_open, True)
+
+
+def neighbours(docs: DataFrame) -> DataFrame:
+    """a, b, shift: linked documents, a < b, and how many words further on the match is in a."""
+    n_parts, schema = parts(docs.sparkSession), "a long, b long, shift int, key long, pos int"
+
+    def linked(rows: DataFrame, label: str) -> DataFrame:
+        order = ["key", "context", "rid", "pos"]
+        return cut(rows.repartitionByRange(n_parts, *order).sortWithinPartitions(*order).mapInArrow(lambda batches: _linked(batches), schema), label)
+
+    def last(rows: pa.Table) -> pa.Table:
+        key, rid, pos = (rows.column(n).to_numpy() for n in ("key", "a", "pos"))
+        return pa.Table.from_batches([_pairs(rid, pos, *_neighbours(key, rid, np.lexsort((pos, rid))))])
+
+    found = linked(suffixes(docs), "neighbours")
+    asked = found.where("b is null").groupBy(F.col("a").alias("rid")).agg(F.collect_set("pos").alias("at"))
+    again = linked(ranges(docs.join(asked.hint("merge"), "rid")).withColumn("context", F.lit(0).cast("long")), "ranges")
+    # Ranges that are cut between tasks or pieces: a few rows for each cut.
+    across = again.where("b is null").groupBy("key").applyInArrow(last, schema)
+    return found.where("b is not null").union(again.where("b is not null")).union(across).select("a", "b", "shift")
 
 
 def matches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, start_word, n_words, other_doc_id, other_start_word: passages of MATCH words or more that two documents share,
-    as far as they go, found between neighbours in the sparse suffix array; each is listed from both sides.
+    as far as they go, found in the sparse suffix array; each is listed from both sides.
 
     Words are compared exactly, white space isn't. Null, empty and shorter texts share nothing. Rows that repeat an id are
     documents of their own; a passage that only repeats within one row isn't listed. Of documents that share a passage
-    every one is listed with some other that shares it, not with all. An empty table gives an empty result.
+    every one is listed with some other that shares it, not with all; no word of it is left out. An empty table gives an empty result.
     """
     ship(docs.sparkSession)
     plain = keyed(docs, id_col, text_col)
-    shifts = cut(neighbours(suffixes(plain)).groupBy("a", "b").agg(F.collect_set("shift").alias("shifts")), "shifts")
+    shifts = cut(neighbours(plain).groupBy("a", "b").agg(F.collect_set("shift").alias("shifts")), "shifts")
     need = cut(shifts.select(F.col("a").alias("rid")).union(shifts.select(F.col("b").alias("rid"))).distinct(), "need")
     texts = cut(plain.join(need.hint("merge"), "rid", "left_semi").select("rid", "doc_id", "text"), "texts")
     met = shifts

@@ -1,9 +1,11 @@
 import random
 
 import brute
+import numpy as np
+import pyarrow as pa
 import pytest
 
-from buildloom.llm import connected, ngram_join, suffix_dedup
+from buildloom.llm import connected, ngram_join, suffix_dedup, text
 
 
 def corpus(seed=1, n=260):
@@ -114,6 +116,13 @@ def test_passages(make):
     check_repeats(docs, suffix_dedup.matches(make(docs)).collect())
 
 
+def test_passages_whole(make):
+    """No word of what documents share is left out, where one shares different stretches with different others."""
+    for seed in (6, 7):
+        docs = corpus(seed, 400)
+        assert not missed(docs, suffix_dedup.matches(make(docs)).collect())
+
+
 def test_passages_of_every_length(make):
     """A passage of 49 words isn't listed, one of 50 is, wherever it stands."""
     r = random.Random(2)
@@ -128,6 +137,28 @@ def test_passages_of_every_length(make):
     check_repeats(docs, got)
 
 
+def missed(docs, got):
+    want, covered = brute.repeats(dict(docs), suffix_dedup.MATCH), {}
+    for m in got:
+        covered.setdefault(m["doc_id"], set()).update(range(m["start_word"], m["start_word"] + m["n_words"]))
+    return {i: x - covered.get(i, set()) for i, x in want.items() if x - covered.get(i, set())}
+
+
+def test_passages_around_frequent_lines(make):
+    """Two documents share a passage that holds a line which many other documents hold alone."""
+    r = random.Random(8)
+    w = lambda m: [f"u{r.randint(0, 10**9)}" for _ in range(m)]
+    docs = []
+    for n in range(8):
+        line, head, tail = w(48), w(2), w(1 + n % 2)
+        docs += [" ".join(w(40) + x + w(60)) for x in [head + line + tail] * 2 + [line] * 120]
+    r.shuffle(docs)
+    docs = list(enumerate(docs))
+    got = suffix_dedup.matches(make(docs)).collect()
+    check_repeats(docs, got)
+    assert not missed(docs, got)
+
+
 def test_passages_odd(make, odd):
     got = {(m["doc_id"], m["other_doc_id"]) for m in suffix_dedup.matches(make(odd)).collect()}
     ids = {a for a, _ in got}
