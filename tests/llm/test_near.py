@@ -159,6 +159,34 @@ def test_passages_around_frequent_lines(make):
     assert not missed(docs, got)
 
 
+def test_passages_of_a_hot_key(make):
+    """Documents far apart share what follows a line that nearly all documents hold, so its key is cut between tasks and pieces."""
+    r = random.Random(9)
+    w = lambda m: [f"u{r.randint(0, 10**9)}" for _ in range(m)]
+    hashes = lambda line: text.words(*text.buffers(pa.array([" ".join(line)])), lower=False)[1]
+    line: list[str] = []
+    while not line or np.argmin(text.shingles(np.zeros(28, int), hashes(line)[:28], suffix_dedup.GRAM)[1]):
+        line = w(49)  # one whose first position is selected
+    shared = w(12)
+    docs = [(i, " ".join(line + ([shared[i % 300]] if i % 300 < 12 else w(1)) + w(1))) for i in range(600)]
+    got = suffix_dedup.matches(make(docs)).collect()
+    check_repeats(docs, got)
+    assert not missed(docs, got)
+
+
+@pytest.mark.parametrize("most", [3, 1000])
+def test_cut_keys_go_on(most):
+    """Wherever a key is cut, each of its contexts is handed on from each part."""
+    n = 40
+    rows = {"key": [7] * n, "context": [i // 10 for i in range(n)], "rid": list(range(n)), "pos": [5] * n}
+    batches = [b.cast(pa.schema([("key", pa.int64()), ("context", pa.int64()), ("rid", pa.int64()), ("pos", pa.int32())])) for b in pa.Table.from_pydict(rows).to_batches(2)]
+    out = pa.Table.from_batches(suffix_dedup._linked(iter(batches), most)).to_pylist()
+    gone_on = {x["a"] for x in out if x["b"] is None}
+    assert {i // 10 for i in gone_on} == {0, 1, 2, 3} and {x["key"] for x in out if x["b"] is None} == {7}
+    linked = {i for x in out if x["b"] is not None for i in (x["a"], x["b"])}
+    assert linked | gone_on == set(range(n))
+
+
 def test_passages_odd(make, odd):
     got = {(m["doc_id"], m["other_doc_id"]) for m in suffix_dedup.matches(make(odd)).collect()}
     ids = {a for a, _ in got}
