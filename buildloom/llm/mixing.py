@@ -65,8 +65,9 @@ def plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: str = SEED, **how) -> DataFrame:
     """The mixed documents, each repeated as planned, with the columns of docs."""
-    planned = plan(docs, id_col, text_col, source_col, seed, **how).where("__copies > 0")
-    return planned.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies")))).select(*docs.columns)
+    whole = docs.select(F.struct("*").alias("__row"))  # so that no column of docs shares a name with the plan's
+    planned = plan(whole, f"__row.{id_col}", f"__row.{text_col}", f"__row.{source_col}", seed, **how).where("__copies > 0")
+    return planned.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies")))).select("__row.*")
 
 
 def digest(docs: DataFrame) -> DataFrame:

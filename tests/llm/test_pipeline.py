@@ -4,6 +4,7 @@ import brute
 import corpus_pipeline
 import numpy as np
 import public_tokenizers
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from buildloom.llm import langid, mixing
@@ -46,6 +47,15 @@ def test_stages_do_their_part(spark, sf_dir):
         assert r["decoded_sha256"] == hashlib.sha256(text.encode()).hexdigest()
 
 
+def test_mix_keeps_the_columns_of_documents(make):
+    """Columns named like the plan's keep their types and values."""
+    docs = make([(i, "some words", "en", f"s{i % 3}") for i in range(30)]).withColumn("source_size", F.concat(F.lit("own"), "doc_id")).withColumn("__copies", F.lit("y"))
+    mixed = mixing.mix(docs)
+    assert [(f.name, f.dataType) for f in mixed.schema] == [(f.name, f.dataType) for f in docs.schema]
+    rows = mixed.collect()
+    assert rows and all(r["target"] == "x" and r["source_size"] == f"own{r['doc_id']}" and r["__copies"] == "y" for r in rows)
+
+
 def test_run(spark, sf_dir):
     df = corpus_pipeline.run(spark, sf_dir)
     assert df.count() > 0 and df.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids"]
