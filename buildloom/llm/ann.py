@@ -140,20 +140,22 @@ def nearest_exact(entries: DataFrame, asked: np.ndarray, x: np.ndarray, k: int)
 def search(table: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", every: int = 20, k: int = 20, target: float = TARGET) -> DataFrame:
     """For each row whose id is divisible by `every`: query_id, rank (from 1), vec_id, score of its k nearest among all others.
 
-    Ids null, and vectors null, zero, of another length than most, or with null or non-finite components take no part.
+    Ids null, and vectors null, zero, of another length than most valid ones, or with null or non-finite components take no part.
     Rows that repeat an id count once (the larger product, if their vectors differ) and never answer a query of that id.
     Equal products go to the smaller id. With no valid vector or query the result is empty. Other columns are ignored.
     """
     spark = table.sparkSession
     ship(spark)
     rows = table.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).alias("vec"))
-    shape = rows.where("vec is not null").groupBy(F.size("vec").alias("dim")).count().orderBy(F.desc("count"), "dim").first()
+    finite = F.forall("vec", lambda v: v.isNotNull() & (F.abs(v.cast("double")) < float("inf")))  # NaN is above all numbers
+    valid = rows.where(F.col("vec").isNotNull()).where(finite & F.exists("vec", lambda v: v != 0))
+    shape = valid.groupBy(F.size("vec").alias("dim")).count().orderBy(F.desc("count"), "dim").first()
     schema = "query_id long, rank int, vec_id long, score double"
-    if shape is None or not shape["dim"]:
+    if shape is None:
         return spark.createDataFrame([], schema)
     dim, total = shape["dim"], shape["count"]
     keep = min(1.0, 2.0 * SAMPLE / total)
-    drawn = rows.where(F.pmod(F.xxhash64("vec_id"), F.lit(1 << 20)) < int(keep * (1 << 20))).limit(SAMPLE).toArrow()
+    drawn = valid.where(F.size("vec") == dim).where(F.pmod(F.xxhash64("vec_id"), F.lit(1 << 20)) < int(keep * (1 << 20))).limit(SAMPLE).toArrow()
     _, x = vectors(drawn.column("vec").combine_chunks(), dim)
     if not len(x):
         return spark.createDataFrame([], schema)

@@ -162,3 +162,13 @@ def test_nearest_odd(spark):
     few = spark.createDataFrame(rows[:5] + [(60, [1.0] * 6, "x")], "vec_id long, embedding array<double>, cell string")
     assert [x["rank"] for x in ann.search(few).orderBy("rank").collect()] == [1, 2, 3, 4, 5]
     assert ann.search(table.limit(0)).count() == 0
+
+
+def test_nearest_among_mostly_invalid(spark):
+    """Neither the sample nor the length is taken from vectors that take no part."""
+    r = np.random.default_rng(5)
+    rows = [(i, r.normal(size=6).tolist()) for i in range(100_000, 100_100)]
+    bad = spark.range(0, 40_000, 1, 2).selectExpr("id AS vec_id", "CASE WHEN id % 3 = 0 THEN array() WHEN id % 3 = 1 THEN null ELSE array(0D, 0D, 0D) END AS embedding")
+    table = bad.withColumn("embedding", bad["embedding"].cast("array<double>")).union(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    got = ann.search(table).groupBy("query_id").count().collect()
+    assert {x["query_id"]: x["count"] for x in got} == {i: 20 for i, _ in rows if i % 20 == 0}
