@@ -19,18 +19,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, ship
+from .common import cut, ship, small
 
-#: Documented bounds: vectors that centroids and codebooks are fitted on, cells, vectors and queries of a block, queries
-#: that the number of visited cells is calibrated on.
-SAMPLE = 16_384
-MOST_CELLS = 1024
+#: Documented bounds: vectors that centroids and codebooks are fitted on (each cell's centroid on CELL_SAMPLE at least, so
+#: there are 2 sqrt(N) cells as long as the sample allows), vectors and queries of a block, queries that the number of visited
+#: cells is calibrated on.
+SAMPLE = 32_768
+CELL_SAMPLE = 16
 BLOCK = 4096
 QUERY_BLOCK = 1024
 CALIBRATE = 256
 #: Vectors of a unit that are scored exactly for each query.
-RERANK = 256
-TARGET = 0.97
+RERANK = 128
+#: The share of true neighbours whose cells are visited.
+TARGET = 0.95
+#: Vectors and queries that are scored at once, so that what is summed stays in a processor's cache.
+TILE, TILE_QUERIES = 512, 128
 SUBSPACES = 16
 CODES = 256
 
@@ -54,9 +58,21 @@ class Index:
         return np.stack([nearest(res[:, i * w : (i + 1) * w], self.books[i]) for i in range(m)], 1).astype(np.uint8)
 
     def tables(self, q: np.ndarray) -> np.ndarray:
-        """queries x subspaces x codes: products with the codebooks."""
+        """subspaces x codes x queries: products with the codebooks."""
         m, _, w = self.books.shape
-        return np.einsum("qmw,mcw->qmc", pad(q, self.padded).reshape(len(q), m, w), self.books, optimize=True).astype(np.float32)
+        return np.matmul(self.books, pad(q, self.padded).reshape(len(q), m, w).transpose(1, 2, 0)).astype(np.float32)
+
+    def asymmetric(self, q: np.ndarray, cell: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """queries x vectors: the products of queries with cells' centroids, and with that what the tables add for the codes."""
+        table, centre = self.tables(q), (self.centroids @ q.T).astype(np.float32)
+        coarse, near = (np.empty((len(q), len(cell)), np.float32) for _ in range(2))
+        for i in range(0, len(cell), TILE):
+            sums = centre[cell[i : i + TILE]]
+            coarse[:, i : i + TILE] = sums.T
+            for m in range(codes.shape[1]):
+                sums += table[m][codes[i : i + TILE, m]]
+            near[:, i : i + TILE] = sums.T
+        return coarse, near
 
 
 def pad(x: np.ndarray, width: int) -> np.ndarray:
@@ -85,6 +101,7 @@ def fit(x: np.ndarray, cells: int, seed: int = 7) -> Index:
     centroids = k_means(x, cells, 8, rng)
     m = min(SUBSPACES, x.shape[1])
     w = -(-x.shape[1] // m)
+    x = x[rng.permutation(len(x))[: 32 * CODES]]
     res = pad(x - centroids[nearest(x, centroids)], m * w)
     books = []
     for i in range(m):
@@ -109,8 +126,11 @@ def best(scores: np.ndarray, n: int) -> np.ndarray:
     if scores.shape[1] <= n:
         return np.broadcast_to(np.arange(scores.shape[1]), scores.shape)
     least = np.partition(scores, scores.shape[1] - n, 1)[:, -n][:, None]
-    over, level = scores > least, scores == least
-    pick = over | (level & (np.cumsum(level, 1) <= n - over.sum(1)[:, None]))
+    pick = scores >= least
+    tied = np.flatnonzero(np.count_nonzero(pick, 1) > n)
+    if len(tied):
+        over, level = scores[tied] > least[tied], scores[tied] == least[tied]
+        pick[tied] = over | (level & (np.cumsum(level, 1) <= n - over.sum(1)[:, None]))
     return np.nonzero(pick)[1].reshape(len(scores), n)
 
 
@@ -159,7 +179,7 @@ def search(table: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding",
     _, x = vectors(drawn.column("vec").combine_chunks(), dim)
     if not len(x):
         return spark.createDataFrame([], schema)
-    index = fit(x, int(min(MOST_CELLS, max(1, 2 * np.sqrt(total)))))
+    index = fit(x, int(max(1, min(2 * np.sqrt(total), len(x) / CELL_SAMPLE))))
 
     def enter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -171,7 +191,7 @@ def search(table: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding",
 
     entries = cut(rows.mapInArrow(enter, "vec_id long, cell int, code binary, raw binary"), "ivf")
     counts = np.zeros(len(index.centroids), np.int64)
-    for r in entries.groupBy("cell").count().collect():  # one row for each cell, of which there are MOST_CELLS at most
+    for r in entries.groupBy("cell").count().collect():  # one row for each cell, of which there are SAMPLE / CELL_SAMPLE at most
         counts[r["cell"]] = r["count"]
     asked = entries.where(F.pmod("vec_id", F.lit(every)) == 0).select("vec_id", F.col("raw").alias("q_raw")).dropDuplicates(["vec_id"])
     trial = asked.orderBy(F.xxhash64("vec_id")).limit(CALIBRATE).toArrow()
@@ -218,21 +238,15 @@ def search(table: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding",
             with np.errstate(over="ignore"):
                 dealt = (ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64)
             unit = first[cell] + dealt % spread[cell]
-            times = loads[unit]
-            row = np.repeat(np.arange(len(ids)), times)
-            qb = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
-            part = b.take(pa.array(row))
-            yield pa.RecordBatch.from_arrays([part.column(n) for n in ("vec_id", "cell", "code", "raw")] + [pa.array(unit[row], pa.int32()), pa.array(qb, pa.int32())], names=["vec_id", "cell", "code", "raw", "v_unit", "v_block"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(unit, pa.int32())], names=["vec_id", "cell", "code", "raw", "unit"])
 
     visits = cut(asked.mapInArrow(visit, "query_id long, q_raw binary, least double, unit int"), "visits")
-    loads = np.ones(n_units, np.int64)
-    for r in visits.groupBy("unit").count().collect():  # one row for each unit of BLOCK vectors
-        loads[r["unit"]] = -(-r["count"] // QUERY_BLOCK)
-    per = F.element_at(F.array(*[F.lit(int(v)) for v in loads]), F.col("unit") + 1) if n_units <= 256 else F.lit(int(loads.max()))
-    if n_units > 256:
-        loads[:] = loads.max()
-    left = visits.withColumn("q_block", F.pmod(F.xxhash64("query_id"), per).cast("int"))
-    right = entries.mapInArrow(place_in, "vec_id long, cell int, code binary, raw binary, v_unit int, v_block int")
+    # How many blocks a unit's queries make: a row for each unit of BLOCK vectors, joined to both sides.
+    loads = visits.groupBy("unit").agg(F.ceil(F.count(F.lit(1)) / QUERY_BLOCK).cast("int").alias("blocks"))
+    loads = small(loads, n_units)
+    left = visits.join(loads, "unit").withColumn("q_block", F.pmod(F.xxhash64("query_id"), F.col("blocks")).cast("int")).drop("blocks")
+    placed = entries.mapInArrow(place_in, "vec_id long, cell int, code binary, raw binary, unit int").join(loads, "unit")
+    right = placed.withColumn("v_block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumnRenamed("unit", "v_unit").drop("blocks")
 
     def score(q: pa.Table, v: pa.Table) -> pa.Table:
         out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
@@ -244,14 +258,10 @@ def search(table: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding",
             codes = np.frombuffer(b"".join(v.column("code").to_pylist()), np.uint8).reshape(len(ids), -1)
             raw = matrix(v.column("raw"), dim)
             asked, least, x = q.column("query_id").to_numpy(), q.column("least").to_numpy(), matrix(q.column("q_raw"), dim)
-            for i in range(0, len(asked), 128):
-                who, y = asked[i : i + 128], x[i : i + 128]
-                coarse = (y @ index.centroids.T)[:, cell]
-                table = index.tables(y)
-                near = coarse.astype(np.float32)
-                for m in range(codes.shape[1]):
-                    near += table[:, m][:, codes[:, m]]
-                near[(coarse < least[i : i + 128, None] - 1e-9) | (ids[None, :] == who[:, None])] = -np.inf
+            for i in range(0, len(asked), TILE_QUERIES):
+                who, y = asked[i : i + TILE_QUERIES], x[i : i + TILE_QUERIES]
+                coarse, near = index.asymmetric(y, cell, codes)
+                near[(coarse < (least[i : i + TILE_QUERIES, None] - 1e-6)) | (ids[None, :] == who[:, None])] = -np.inf
                 pick = best(near, RERANK)
                 exact = np.einsum("qrd,qd->qr", raw[pick], y)
                 exact[np.isneginf(np.take_along_axis(near, pick, 1))] = -np.inf
