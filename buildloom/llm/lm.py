@@ -1,10 +1,10 @@
 """Stupid-backoff scores of documents from n-gram counts over the whole corpus, each document left out of its own counts.
 
-The vocabulary is open: words and n-grams are known by 64-bit hashes, so every word counts as itself and no table of words
-is needed. Documents are exploded to n-grams in blocks of bounded size; a block's distinct n-grams, single words too, are
+The vocabulary is open: words and n-grams are known by hashes, so every word counts as itself and no table of words is needed. Documents are exploded to n-grams in blocks of bounded size; a block's distinct n-grams, single words too, are
 dealt to ranges of hashes, whose tables add up the counts of all blocks and answer each block with the totals of what it
 asked for: a join of count tables with exploded n-grams in which a frequent n-gram costs one entry for each block, not one
-for each occurrence. Scores are then summed by document.
+for each occurrence. There are as many ranges as keep each within bounds, and a block and a range exchange a row only if they
+share an n-gram, so rows never outnumber the blocks' distinct n-grams. Scores are then summed by document.
 """
 
 from __future__ import annotations
@@ -25,6 +25,8 @@ BACKOFF = 0.4
 #: Bounds: words of a block, n-grams of a hash partition.
 BLOCK_WORDS = 2_000_000
 PARTITION_GRAMS = 3_000_000
+#: Bits of an n-gram's hash: of 10^12 different ones, one in 70,000 would share its hash and count with another.
+HASH_BITS = 56
 #: The hash of all words outside a closed vocabulary.
 UNKNOWN = 0
 NO_ID = -(2**63)
@@ -136,18 +138,17 @@ def blocks(docs: DataFrame, known: np.ndarray | None = None, id_col: str = "doc_
 def _grams(vocab: np.ndarray, ids: np.ndarray, doc: np.ndarray, m: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Positions at which m words of one document end; the hashes of these n-grams, distinct and ascending, and how often
     each occurs; and for each position its n-gram's place among these."""
+    short = U(64 - HASH_BITS)
     if m == 1:
-        order = np.argsort(vocab)
-        place = np.empty(len(order), np.int64)
-        place[order] = np.arange(len(order))
-        return np.arange(len(ids)), vocab[order], np.bincount(ids, minlength=len(vocab))[order], place[ids]
+        k, place = np.unique(vocab >> short, return_inverse=True)
+        return np.arange(len(ids)), k, np.bincount(place[ids], minlength=len(k)), place[ids]
     at = np.arange(m - 1, len(ids))
     at = at[doc[at] == doc[at - (m - 1)]]
     key = np.zeros(len(at), U)
     with np.errstate(over="ignore"):
         for j in range(m):
             key += (vocab * _MIX[j])[ids[at - j]]
-    k, place, count = np.unique(mix(key), return_inverse=True, return_counts=True)
+    k, place, count = np.unique(mix(key) >> short, return_inverse=True, return_counts=True)
     return at, k, count, place
 
 
@@ -166,8 +167,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most_
     known = None if most_words is None else vocabulary(docs, most_words, text_col)
     table = cut(blocks(docs, known, id_col, text_col), "blocks")
     total = table.agg(F.sum("n")).first()[0] or 0
-    n_parts = int(min(1 << 15, max(8, 2 * total // partition_grams)))
-    bounds = np.array([(p << 64) // n_parts for p in range(n_parts)], U)
+    part_bits = int(np.ceil(np.log2(max(8, 2 * total // partition_grams))))
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -176,12 +176,11 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most_
                 doc = np.repeat(np.arange(len(sizes)), sizes)
                 for m in range(1, ORDER + 1):
                     _, key, count, _ = _grams(vocab, ids, doc, m)
-                    ends = np.append(np.searchsorted(key, bounds), len(key))
-                    for p in range(n_parts):
-                        k, n = key[ends[p] : ends[p + 1]], count[ends[p] : ends[p + 1]]
-                        if len(k):
-                            cols = [[p], [row["block"]], [m], [_pack(np.diff(k, prepend=U(0)))], [_pack(n.astype("<u4"))]]
-                            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary()))], names=["part", "block", "m", "keys", "counts"])
+                    part = key >> U(HASH_BITS - part_bits)
+                    ends = np.flatnonzero(np.append(True, part[1:] != part[:-1])) if len(key) else part
+                    for i, j in zip(ends.tolist(), [*ends[1:].tolist(), len(key)]):
+                        cols = [[int(part[i])], [row["block"]], [m], [_pack(np.diff(key[i:j], prepend=U(0)))], [_pack(count[i:j].astype("<u4"))]]
+                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary()))], names=["part", "block", "m", "keys", "counts"])
 
     def answer(asked: pa.Table) -> pa.Table:
         out = []
@@ -197,7 +196,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most_
                     at += len(x)
                     wide = got.max() >= 1 << 32
                     out.append({"block": r["block"], "m": m, "part": r["part"], "wide": bool(wide), "totals": _pack(got if wide else got.astype("<u4"))})
-        return pa.Table.from_pylist(out, pa.schema([("block", pa.int64()), ("m", pa.int32()), ("part", pa.int32()), ("wide", pa.bool_()), ("totals", pa.binary())]))
+        return pa.Table.from_pylist(out, pa.schema([("block", pa.int64()), ("m", pa.int32()), ("part", pa.int64()), ("wide", pa.bool_()), ("totals", pa.binary())]))
 
     def tell(block: pa.Table, answers: pa.Table) -> pa.Table:
         out = []
@@ -227,7 +226,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most_
             out.append(pa.table({"doc_id": pa.array(who, mask=who == NO_ID), "n_words": pa.array(sizes.astype(np.int64)), "log_score": pa.array(sums), "mean_log_score": mean}))
         return pa.concat_tables(out) if out else pa.table({n: pa.array([], t) for n, t in (("doc_id", pa.int64()), ("n_words", pa.int64()), ("log_score", pa.float64()), ("mean_log_score", pa.float64()))})
 
-    asked = table.mapInArrow(ask, "part int, block long, m int, keys binary, counts binary")
-    told = asked.groupBy("part").applyInArrow(answer, "block long, m int, part int, wide boolean, totals binary")
+    asked = table.mapInArrow(ask, "part long, block long, m int, keys binary, counts binary")
+    told = asked.groupBy("part").applyInArrow(answer, "block long, m int, part long, wide boolean, totals binary")
     blocks_by = table.withColumnRenamed("block", "of").groupBy("of")
     return blocks_by.cogroup(told.groupBy("block")).applyInArrow(tell, "doc_id long, n_words long, log_score double, mean_log_score double")
