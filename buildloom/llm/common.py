@@ -19,6 +19,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 BROADCAST_ROWS = 100_000
 
 _SHIPPED: set[str] = set()
+#: Tables that cut() wrote and nothing deleted so far, in the order of writing.
+_WRITTEN: list[DataFrame] = []
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -26,11 +28,14 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (spark.checkpoint.dir); a temporary one only where it is unset."""
+    """The folder that driver and executors share (spark.checkpoint.dir). Where it is unset, a temporary one in local mode,
+    where driver and executors are one process; a cluster must name one, as no machine's own folder is seen by others."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
         at = spark.sparkContext.getCheckpointDir()
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         at = "file://" + tempfile.mkdtemp(prefix="corpus-")
         spark.sparkContext.setCheckpointDir(at)
     return at.rstrip("/")
@@ -47,6 +52,7 @@ def cut(df: DataFrame, label: str) -> DataFrame:
     df.write.option("compression", "zstd").parquet(at)
     out = spark.read.schema(df.schema).parquet(at)
     out._corpus_path = at
+    _WRITTEN.append(out)
     return out
 
 
@@ -58,6 +64,18 @@ def drop(*tables: DataFrame) -> None:
             jvm = df.sparkSession._jvm
             path = jvm.org.apache.hadoop.fs.Path(at)
             path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+            _WRITTEN[:] = [x for x in _WRITTEN if x is not df]
+
+
+def written() -> int:
+    """A mark for release: the number of tables that stand now."""
+    return len(_WRITTEN)
+
+
+def release(since: int, *keep: DataFrame) -> None:
+    """Delete the tables written since the mark, but for those to keep: when all that was made from them is written itself.
+    A caller who has stored an operator's result may release(0)."""
+    drop(*[x for x in _WRITTEN[since:] if all(x is not k for k in keep)])
 
 
 def ship(spark: SparkSession) -> None:
@@ -79,5 +97,13 @@ def small(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """A column name that df doesn't have, whatever the case of its letters."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from .common import SPACE, cut
+from .common import SPACE, cut, release, unused, written
 
 #: A chunk is 512 to 2048 characters and ends after a space that follows a vowel or non-ASCII letter and one of d n r s t.
 CHUNK = r"(?s).{512,2048}?(?<=[aeiou\x{80}-\x{10FFFF}][dnrst][ ])|.{1,2048}"
@@ -88,11 +88,14 @@ def _told_apart(recipes: DataFrame, docs: DataFrame, id_col: str, text_col: str,
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs that stay, with all their columns; the texts move once, to meet the decision on their row."""
+    since = written()
     found = cut(groups(docs, id_col, text_col), "groups")
-    stay = found.where("kept").select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__stay_sha"))
-    out = docs.withColumn("__sha", F.sha2(normalised(F.col(text_col)).cast("binary"), 256))
-    out = out.join(stay, F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__sha") == F.col("__stay_sha")), "left_semi")
+    release(since, found)
+    own, who, stays = unused(docs, "sha"), unused(docs, "stay_id"), unused(docs, "stay_sha")
+    stay = found.where("kept").select(F.col("doc_id").alias(who), F.col("text_sha256").alias(stays))
+    out = docs.withColumn(own, F.sha2(normalised(F.col(text_col)).cast("binary"), 256))
+    out = out.join(stay, F.col(id_col).eqNullSafe(F.col(who)) & (F.col(own) == F.col(stays)), "left_semi")
     twice = found.groupBy("doc_id", "text_sha256").count().where("count > 1")
     if not twice.isEmpty():
-        out = out.dropDuplicates([id_col, "__sha"])
-    return out.drop("__sha")
+        out = out.dropDuplicates([id_col, own])
+    return out.drop(own)

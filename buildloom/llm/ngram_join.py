@@ -5,11 +5,12 @@ stands for it. For sets of a Jaccard similarity of num / den or more and any tot
 n - ceil(n * num / den) + 1 shingles (the prefix) of the two share one. Each order here puts shingles of few documents
 first, by a count sketch over all documents, and shuffles those of a like frequency by a hash of its own. Under the first
 order, documents that share a prefix shingle become candidates; under every order, what the two prefixes share bounds the
-overlap from above, and only pairs that no order rules out are verified on their texts.
+overlap from above, and only pairs that no order rules out are verified on their texts. Shingles are known by 64-bit hashes.
 
 The groups need no list of all pairs. Rounds of single comparisons (a document against the first one, or a neighbour, that
 shares a prefix shingle) link most of a group at once. The last pass then compares all candidates whose documents are not
-yet in one component, so no link between components is lost.
+yet in one component, so no link between components is lost. A shingle that is in many prefixes is split: in the rounds its
+documents are dealt anew to parts of bounded size in each, in the last pass they form blocks, and blocks meet two by two.
 """
 
 from __future__ import annotations
@@ -22,12 +23,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, drop, parts, ship, small
+from .common import cut, drop, parts, release, ship, small, unused, written
 from .connected import components
 from .text import buffers, mix, pieces, shingle_sets, words
 
 #: Orders that pairs are checked under besides the first, which finds them.
-MORE_ORDERS = 1
+MORE_ORDERS = 2
+#: A shingle's documents are split into parts once they may be more than 2^PART_BITS and a 2^PART_BITS-th of all documents.
+PART_BITS = 10
+#: Documents of a block in the last pass.
+BLOCK = 512
 #: Rounds end after one that links less than 1 / FEW of what the best round linked: the last pass finds the rest.
 FEW = 20
 #: Counters of the frequency sketch (a power of 2): its size doesn't grow with the documents.
@@ -105,9 +110,12 @@ def _prefixes(row: np.ndarray, s: np.ndarray, m: int, levels: np.ndarray, order:
     return n, most, key[place < np.repeat(most, n)]
 
 
-def postings(docs: DataFrame, k: int, num: int, den: int, levels: np.ndarray) -> DataFrame:
-    """key, rid, n, i: each prefix shingle under the first order, with its place in the prefix."""
+def postings(docs: DataFrame, k: int, num: int, den: int, levels: np.ndarray, n_docs: int) -> DataFrame:
+    """key, rid, n, i, split: each prefix shingle under the first order, with its place in the prefix, and into how many
+    parts its documents are split: 1 unless its counter shows that they may be too many. A counter shows no fewer documents
+    than there are, and a shingle that many documents hold stands out from the counters' mean load at any size."""
     spread = docs.sparkSession.sparkContext.broadcast(levels)
+    base = max(PART_BITS, int(np.ceil(np.log2(n_docs + 1))) - PART_BITS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -115,10 +123,11 @@ def postings(docs: DataFrame, k: int, num: int, den: int, levels: np.ndarray) ->
             for i, j, row, s in _sets(b.column("text"), k):
                 n, most, key = _prefixes(row, s, j - i, spread.value, 0, num, den)
                 place = np.arange(len(key)) - np.repeat(np.cumsum(most) - most, most)
-                cols = [key, np.repeat(rid[i:j], most), np.repeat(n, most).astype(np.int32), place.astype(np.int32)]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["key", "rid", "n", "i"])
+                split = 1 << np.maximum((key >> 57) - base, 0)  # a key begins with its counter's level
+                cols = [key, np.repeat(rid[i:j], most), np.repeat(n, most).astype(np.int32), place.astype(np.int32), split.astype(np.int32)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["key", "rid", "n", "i", "split"])
 
-    return docs.select("rid", "text").mapInArrow(run, "key long, rid long, n int, i int")
+    return docs.select("rid", "text").mapInArrow(run, "key long, rid long, n int, i int, split int")
 
 
 def candidates(docs: DataFrame, k: int, num: int, den: int, levels: np.ndarray) -> DataFrame:
@@ -143,17 +152,29 @@ def _similar(inter: Column, na: Column, nb: Column, num: int, den: int) -> Colum
     return inter * (num + den) >= (na + nb) * num
 
 
-def _not_ruled_out(x: dict, y: dict, num: int, den: int) -> bool:
+def _flat(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """All lists' values, and the row that each belongs to."""
+    lists = column.combine_chunks()
+    sizes = pa.compute.list_value_length(lists).to_numpy()
+    return lists.flatten().to_numpy(), np.repeat(np.arange(len(sizes)), sizes)
+
+
+def _not_ruled_out(x: pa.Table, y: pa.Table, num: int, den: int) -> np.ndarray:
     """Under every further order: what two prefixes share up to where both are known, and the smaller rest, bound the overlap."""
-    na, nb = x["n"], y["n"]
+    na, nb = x.column("n").to_numpy().astype(np.int64), y.column("n").to_numpy().astype(np.int64)
+    good = np.ones(len(na), bool)
     for i in range(MORE_ORDERS):
-        p, q = x[f"p{i + 1}"], y[f"p{i + 1}"]
-        least = min(p[-1], q[-1])
-        common = len(np.intersect1d(p, q, assume_unique=True))
-        bound = common + min(na - np.searchsorted(p, least, "right"), nb - np.searchsorted(q, least, "right"))
-        if not common or bound * (num + den) < (na + nb) * num:
-            return False
-    return True
+        (p, of_p), (q, of_q) = _flat(x.column(f"p{i + 1}")), _flat(y.column(f"p{i + 1}"))
+        ends = [v[np.cumsum(np.bincount(of, minlength=len(na))) - 1] for v, of in ((p, of_p), (q, of_q))]  # prefixes ascend and aren't empty
+        least = np.minimum(*ends)
+        known = [np.bincount(of[v <= least[of]], minlength=len(na)) for v, of in ((p, of_p), (q, of_q))]
+        both, of = np.concatenate([p, q]), np.concatenate([of_p, of_q])
+        order = np.lexsort((both, of))
+        both, of = both[order], of[order]
+        common = np.bincount(of[1:][(both[1:] == both[:-1]) & (of[1:] == of[:-1])], minlength=len(na))
+        bound = common + np.minimum(na - known[0], nb - known[1])
+        good &= (common > 0) & (bound * (num + den) >= (na + nb) * num)
+    return good
 
 
 def _side_by_side(pairs: DataFrame, n_pairs: int, cands: DataFrame, columns: list[str], test) -> DataFrame:
@@ -181,12 +202,8 @@ def verify(pairs: DataFrame, cands: DataFrame, k: int, num: int, den: int) -> Da
     """The pairs (a, b) of row ids whose sets are similar: checked on prefixes under every further order, then on whole texts."""
     names = [f"p{i + 1}" for i in range(MORE_ORDERS)]
 
-    def by_prefixes(x: pa.Table, y: pa.Table) -> list[bool]:
-        sides = []
-        for t in (x, y):
-            lists = {p: [np.asarray(v.values) for v in t.column(p).combine_chunks()] for p in names}
-            sides.append([{"n": n} | {p: lists[p][i] for p in names} for i, n in enumerate(t.column("n").to_pylist())])
-        return [_not_ruled_out(u, v, num, den) for u, v in zip(*sides)]
+    def by_prefixes(x: pa.Table, y: pa.Table) -> np.ndarray:
+        return _not_ruled_out(x, y, num, den)
 
     def by_texts(x: pa.Table, y: pa.Table) -> list[bool]:
         sides = ([v for i, j, row, s in _sets(t.column("text"), k) for v in np.split(s, np.cumsum(np.bincount(row, minlength=j - i))[:-1])] for t in (x, y))
@@ -233,26 +250,35 @@ def _grouped(plain: DataFrame, k: int, num: int, den: int, rounds: int = 3) -> D
 
 def class_links(classes: DataFrame, plain: DataFrame, k: int, num: int, den: int, levels: np.ndarray, rounds: int) -> DataFrame:
     """Links (a, b) between classes, by the rids of their representatives, that connect all that links connect."""
-    often = F.count(F.lit(1)).over(Window.partitionBy("key")) > 1
-    posted = postings(plain, k, num, den, levels).withColumn("often", often).where("often").drop("often")
+    parts_of = lambda turn: F.when(F.col("split") > 1, F.pmod(F.xxhash64("rid", F.lit(turn)), F.col("split"))).otherwise(F.lit(0)).cast("int")
+
+    def met_often(rows: DataFrame, turn: int) -> DataFrame:
+        """Of postings those whose key is in two or more; a key that is split may stay without need."""
+        often = (F.count(F.lit(1)).over(Window.partitionBy("key", "part")) > 1) | (F.col("split") > 1)
+        return rows.withColumn("part", parts_of(turn)).withColumn("often", often).where("often").drop("often", "part")
+
+    posted = met_often(postings(plain, k, num, den, levels, classes.count()), -1)
     # Only shingles that the prefixes of two classes share, and the documents that have any.
-    shared = cut(posted.join(classes.select("rid"), "rid", "left_semi").withColumn("often", often).where("often").drop("often"), "shared")
+    shared = cut(met_often(posted.join(classes.select("rid"), "rid", "left_semi"), -2), "shared")
     need = cut(shared.select("rid").distinct(), "need")
     cands = cut(candidates(plain.join(need.hint("merge"), "rid", "left_semi"), k, num, den, levels), "cands")
     root, most_new = None, 0
     least, most = F.least("n", "n2"), F.greatest("n", "n2")
     fits = (least * den >= most * num) & _similar(F.least(F.col("n") - F.col("i"), F.col("n2") - F.col("i2")), F.col("n"), F.col("n2"), num, den)
     for turn in range(rounds):
-        here = shared.withColumn("root", F.col("rid")) if root is None else _with_root(shared, root)
-        order = Window.partitionBy("key").orderBy("rid" if turn == 0 else F.xxhash64("rid", F.lit(turn)))
+        here = (shared.withColumn("root", F.col("rid")) if root is None else _with_root(shared, root)).withColumn("part", parts_of(turn))
+        order = Window.partitionBy("key", "part").orderBy("rid" if turn == 0 else F.xxhash64("rid", F.lit(turn)))
         pick = F.first if turn == 0 else F.lag
         met = here.select("rid", "n", "i", "root", *(pick(c).over(order).alias(f"{c}2") for c in ("rid", "n", "i", "root")))
         pairs = met.where((F.col("root") != F.col("root2")) & fits).groupBy("rid", "rid2").agg(F.count(F.lit(1)).alias("times"))
         best = pairs.groupBy("rid").agg(F.max_by("rid2", F.struct("times", -F.col("rid2"))).alias("rid2"))
         found = verify(best.select(F.greatest("rid", "rid2").alias("a"), F.least("rid", "rid2").alias("b")).distinct(), cands, k, num, den)
-        links = found if root is None else root.select(F.col("node").alias("a"), F.col("root").alias("b")).union(found)
+        links, before = found if root is None else root.select(F.col("node").alias("a"), F.col("root").alias("b")).union(found), root
+        since = written()
         root = cut(components(links), "roots")
+        release(since, root)
         new = found.count()
+        drop(found, *([] if before is None else [before]))
         most_new = max(new, most_new)
         if new * FEW < most_new:
             break
@@ -260,11 +286,21 @@ def class_links(classes: DataFrame, plain: DataFrame, k: int, num: int, den: int
     if root is None:
         root = docs_alone(classes)
     here = _with_root(shared, root)
-    mixed = here.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("key")
-    here = cut(here.join(mixed, "key", "left_semi"), "mixed")
-    other = here.select(F.col("key").alias("key2"), *(F.col(c).alias(f"{c}2") for c in ("rid", "n", "i", "root")))
-    rest = here.join(other, (F.col("key") == F.col("key2")) & (F.col("rid") > F.col("rid2")) & (F.col("root") != F.col("root2")) & fits)
-    return root.select(F.col("node").alias("a"), F.col("root").alias("b")).union(verify(rest.select(F.col("rid").alias("a"), F.col("rid2").alias("b")).distinct(), cands, k, num, den))
+    mixed = here.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count(F.lit(1)).alias("docs")).where("r0 <> r1").select("key", "docs")
+    return root.select(F.col("node").alias("a"), F.col("root").alias("b")).union(verify(_blocks_met(here.join(mixed, "key"), fits), cands, k, num, den))
+
+
+def _blocks_met(here: DataFrame, fits: Column) -> DataFrame:
+    """Pairs (a, b) of rows of one key (of `docs` rows each) that fit and aren't in one component. A key's rows are dealt to
+    blocks of about BLOCK; each two blocks of it meet in a group of their own, so no group grows with its key."""
+    blocks = F.ceil(F.col("docs") / BLOCK).cast("int")
+    dealt = here.withColumn("blocks", blocks).withColumn("mine", F.pmod(F.xxhash64(F.col("rid"), F.lit("block")), F.col("blocks")).cast("int"))
+    dealt = dealt.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = cut(dealt.select("key", F.least("mine", "with").alias("lo"), F.greatest("mine", "with").alias("hi"), "mine", "rid", "n", "i", "root"), "blocks")
+    other = dealt.select("key", "lo", "hi", *(F.col(c).alias(f"{c}2") for c in ("mine", "rid", "n", "i", "root")))
+    once = (F.col("lo") == F.col("hi")) | (F.col("mine") != F.col("mine2"))  # rows of one block meet where it meets itself
+    met = dealt.join(other, ["key", "lo", "hi"]).where((F.col("rid") > F.col("rid2")) & (F.col("root") != F.col("root2")) & once & fits)
+    return met.select(F.col("rid").alias("a"), F.col("rid2").alias("b")).distinct()
 
 
 def docs_alone(classes: DataFrame) -> DataFrame:
@@ -281,9 +317,12 @@ def keep_one(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, id_col:
     row with the smallest id stays (one of them, if several have it; one of all, if none has an id). Rows are told apart by
     themselves, not by their ids: rows that share an id, or have none, go only with their own group. Rows without words are in
     no group and stay."""
+    mine, lost = unused(docs, "rid"), unused(docs, "gone")
     held, rid = docs, F.col(id_col).cast("long")
     if not docs.groupBy(id_col).count().where(F.col("count") > 1).isEmpty() or not docs.where(F.col(id_col).isNull()).isEmpty():
-        held, rid = cut(docs.withColumn("__rid", F.monotonically_increasing_id()), "numbered"), F.col("__rid")
+        held, rid = cut(docs.withColumn(mine, F.monotonically_increasing_id()), "numbered"), F.col(mine)
     plain = held.select(rid.alias("rid"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    gone = cut(_grouped(plain, k, num, den).where("rid <> keep").select(F.col("rid").alias("__gone")), "gone")
-    return held.join(small(gone, gone.count()), rid == F.col("__gone"), "left_anti").select(*docs.columns)
+    since = written()
+    gone = cut(_grouped(plain, k, num, den).where("rid <> keep").select(F.col("rid").alias(lost)), "gone")
+    release(since, gone)
+    return held.join(small(gone, gone.count()), rid == F.col(lost), "left_anti").select(*docs.columns)
