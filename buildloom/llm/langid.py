@@ -142,12 +142,16 @@ def merge(models: list[tuple[str, tuple, tuple[float, float, float]]]) -> Models
 
 
 def train(lang: str, texts: list[str]) -> tuple[str, tuple, tuple[float, float, float]] | None:
-    """A model of four fifths of the texts, and how it fits the last fifth."""
+    """A model of four fifths of the texts, and how it fits the last fifth. Fewer than five texts are cut in five each, so
+    that the fit is always measured on what the model hasn't seen; only a text of a few letters serves for both."""
     texts = [t for t in texts if t and _LETTERS.search(t)]
     if not texts:
         return None
-    held = texts[::5] if len(texts) >= 5 else texts
-    used = [t for i, t in enumerate(texts) if i % 5] if len(texts) >= 5 else texts
+    if len(texts) < 5:
+        cut = [t[len(t) * i // 5 : len(t) * (i + 1) // 5] for t in texts for i in range(5)]
+        texts = [t for t in cut if _LETTERS.search(t)] or texts
+    held = texts[::5]
+    used = [t for i, t in enumerate(texts) if i % 5] or texts
     model = fit(used)
     lp, row = merge([(lang, model, (0.0, 0.0, 0.0))]).log_probs(held)
     n = np.bincount(row, minlength=len(held))
@@ -165,21 +169,28 @@ def labelled_sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str)
     return drawn.where(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < F.lit(float(SAMPLE_DOCS << 20)) / F.col("count")).select("id", "text", "lang")
 
 
+def bounded(texts: list[str], most: int = SAMPLE_CHARS, pieces: int = 8) -> list[str]:
+    """Texts of `most` characters together: longer ones are cut to one common length, taken from places all over them, so a
+    few very long texts don't make up a sample."""
+    sizes = np.sort(np.array([len(t) for t in texts], np.int64))
+    if sizes.sum() <= most:
+        return texts
+    left = most - np.concatenate([[0], np.cumsum(sizes)[:-1]])  # what is there for each text and all longer ones
+    share = left / (len(sizes) - np.arange(len(sizes)))
+    each = max(pieces, int(share[np.argmax(share < sizes)]))
+    part = each // pieces
+    return [t if len(t) <= each else " ".join(t[(len(t) - part) * i // (pieces - 1) :][:part] for i in range(pieces)) for t in texts]
+
+
 def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Models | None:
     """Models of all languages of the labelled documents; None if there are none with a letter."""
     ship(docs.sparkSession)
 
     def run(table: pa.Table) -> pa.Table:
-        # The draw's expected size is bounded; the characters that a model takes are bounded here.
+        # The draw's expected size is bounded; the characters that a model takes are bounded here, alike for all its texts.
         order = np.argsort(np.array(table.column("id").to_pylist(), object), kind="stable")
-        texts, n = [], 0
-        for i in order.tolist():
-            t = unicodedata.normalize("NFC", table.column("text")[i].as_py())
-            texts.append(t[: max(0, SAMPLE_CHARS - n)])
-            n += len(t)
-            if n >= SAMPLE_CHARS:
-                break
-        got = train(table.column("lang")[0].as_py(), texts)
+        texts = bounded([table.column("text")[i].as_py() for i in order.tolist()])
+        got = train(table.column("lang")[0].as_py(), [unicodedata.normalize("NFC", t) for t in texts])
         rows = [] if got is None else [{"lang": got[0], **{f"m{i}": x.tobytes() for i, x in enumerate(got[1])}, "fit": list(got[2])}]
         return pa.Table.from_pylist(rows, pa.schema([("lang", pa.string()), *((f"m{i}", pa.binary()) for i in range(4)), ("fit", pa.list_(pa.float64()))]))
 
@@ -270,11 +281,14 @@ def digest(docs: DataFrame) -> DataFrame:
 
 
 def keep_known(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """The rows of docs, with all their columns, whose texts aren't rejected; texts stay in their partitions."""
+    """The rows of docs, with all their columns, whose texts aren't rejected; texts stay in their partitions.
+
+    Null texts and texts without a letter go. Where no labelled document has a letter, no language is learned and nothing can
+    be said against a text with letters: all these stay. Rows are judged one by one, repeated ones alike; ids may be null."""
     spark = docs.sparkSession
     models = learn(docs, id_col, text_col, lang_col)
     if models is None:
-        return docs.limit(0)
+        return docs.where(F.col(text_col).rlike(r"\p{L}"))
     sent = spark.sparkContext.broadcast(models)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
