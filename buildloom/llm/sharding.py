@@ -37,35 +37,44 @@ def grown(tree: list[Shard], weight: float = 1.0) -> list[Shard]:
     return [*tree, Shard(f"g+{n}", "r0", n, weight)]
 
 
-def _draw(key: Column, name: str, weight: float) -> Column:
-    bits = F.shiftrightunsigned(F.xxhash64(F.concat(F.lit(f"{name}|"), key)), 12)
-    return -F.ln((bits.cast("double") + 0.5) / float(1 << 52)) / weight
-
-
-def _descend(key: Column, tree: list[Shard], path: str, level: int) -> Column:
-    """The shard number that key falls to below path; ties (of equal draws) go to the child named first."""
-    if level == 2:
-        children = {str(s.number): (s.weight, F.lit(s.number)) for s in tree}
-    else:
-        names = dict.fromkeys((s.region, s.rack)[level] for s in tree)
-        below = {n: [s for s in tree if (s.region, s.rack)[level] == n] for n in names}
-        children = {n: (sum(s.weight for s in b), _descend(key, b, f"{path}/{n}", level + 1)) for n, b in below.items()}
-    children = {n: x for n, x in children.items() if x[0] > 0}
-    if len(children) == 1:
-        return next(iter(children.values()))[1]
-    draws = [F.struct(_draw(key, f"{path}/{n}", w).alias("d"), F.lit(i).alias("i")) for i, (n, (w, _)) in enumerate(children.items())]
-    won = F.array_min(F.array(*draws))["i"]
-    out = None
-    for i, (_, below) in enumerate(children.values()):
-        out = F.when(won == i, below) if out is None else out.when(won == i, below)
+def first_bits(x: Column, digits: int) -> Column:
+    """The number that the first hexadecimal digits of an MD5 make."""
+    return F.conv(F.substring(F.md5(x), 1, digits), 16, 10).cast("long")
+
+
+def _children(tree: list[Shard]) -> dict[str, dict[str, float]]:
+    """Names and weights (above 0) of the children of each inner node, by its path."""
+    out: dict[str, dict[str, float]] = {}
+    for s in tree:
+        if s.weight > 0:
+            at = ""
+            for name in (s.region, s.rack, str(s.number)):
+                kids = out.setdefault(at, {})
+                kids[name] = kids.get(name, 0.0) + s.weight
+                at += f"/{name}"
     return out
 
 
 def shard_of(key: Column, tree: list[Shard]) -> Column:
-    """The shard of a key; a null key counts as a key of its own."""
-    if not any(s.weight > 0 for s in tree):
+    """The shard of a key; a null key counts as a key of its own. Equal draws go to the child named first."""
+    nodes = _children(tree)
+    if not nodes:
         raise ValueError("a tree needs a shard of positive weight")
-    return _descend(F.coalesce(key.cast("string"), F.lit("\x00null")), tree, "", 0).cast("int")
+    child = lambda i, n, w: F.struct(F.lit(i).alias("i"), F.lit(n).alias("name"), F.lit(w).alias("weight"))
+    of = F.create_map(*[x for path, kids in nodes.items() for x in (F.lit(path), F.array(*[child(i, n, w) for i, (n, w) in enumerate(kids.items())]))])
+    named = F.coalesce(key.cast("string"), F.lit("null"))
+
+    def down(path: Column) -> Column:
+        """The path of the child of the least draw. The path is an element of an array, so it is worked out once."""
+
+        def draw(p: Column, c: Column) -> Column:
+            u = (first_bits(F.concat(p, F.lit("/"), c["name"], F.lit("|"), named), 13).cast("double") + 0.5) / float(1 << 52)
+            return F.struct((-F.ln(u) / c["weight"]).alias("d"), c["i"].alias("i"), c["name"].alias("name"))
+
+        won = lambda p: F.array_min(F.transform(F.element_at(of, p), lambda c: draw(p, c)))["name"]
+        return F.transform(F.array(path), lambda p: F.concat(p, F.lit("/"), won(p)))[0]
+
+    return F.substring_index(down(down(down(F.lit("")))), "/", -1).cast("int")
 
 
 def assign(docs: DataFrame, tree: list[Shard], key_col: str = "doc_id", shard_col: str = "shard") -> DataFrame:
@@ -75,14 +84,16 @@ def assign(docs: DataFrame, tree: list[Shard], key_col: str = "doc_id", shard_co
 
 def with_slots(rows: DataFrame, n_shards: int, shard_col: str = "shard", key_col: str = "doc_id", tie_col: str = "text_crc32", slot_col: str = "slot") -> DataFrame:
     """Gapless places 0, 1, ... in each shard. A shard is numbered in hash buckets of about SLOT_ROWS rows, each from the
-    sum of the counts of those before it, so no task holds a whole shard. Repeated rows get places next to each other."""
+    sum of the counts of those before it, so no task holds a whole shard. The bucket goes by key and tie_col, so rows of one
+    key (or none) with different texts spread over buckets. Rows that repeat both get places next to each other."""
     total = rows.count()
     buckets = max(8, total // (n_shards * SLOT_ROWS) + 1)
-    rows = rows.withColumn("__bucket", F.pmod(F.xxhash64(F.lit("slot"), F.coalesce(F.col(key_col).cast("string"), F.lit("\x00null"))), F.lit(buckets)).cast("int"))
+    mark = F.concat(F.lit("slot|"), F.coalesce(F.col(key_col).cast("string"), F.lit("null")), F.lit("|"), F.col(tie_col).cast("string"))
+    rows = rows.withColumn("__bucket", F.pmod(first_bits(mark, 8), F.lit(buckets)).cast("int"))
     counts = rows.groupBy(shard_col, "__bucket").agg(F.count(F.lit(1)).alias("__n"))
     before = Window.partitionBy(shard_col).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
     bases = counts.select(shard_col, "__bucket", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__base"))
-    place = F.row_number().over(Window.partitionBy(shard_col, "__bucket").orderBy(F.col(key_col), F.col(tie_col)))
+    place = F.row_number().over(Window.partitionBy(shard_col, "__bucket").orderBy(F.col(key_col).asc_nulls_first(), F.col(tie_col)))
     out = rows.withColumn("__place", place).join(bases, [shard_col, "__bucket"])
     return out.withColumn(slot_col, (F.col("__base") + F.col("__place") - 1).cast("long")).drop("__base", "__place", "__bucket")
 
@@ -93,7 +104,10 @@ def write_shards(docs: DataFrame, path: str, tree: list[Shard], key_col: str = "
 
 
 def digest(docs: DataFrame, tree: list[Shard]) -> DataFrame:
-    """One row for each document: doc_id, size (UTF-8 bytes and 1; null text: 1), text_crc32, law, shard, slot, grown_shard."""
+    """One row for each document: doc_id, size (UTF-8 bytes and 1; null text: 1), text_crc32, law, shard, slot, grown_shard.
+
+    Rows that repeat an id go to its shard, each with a slot of its own; null ids count as one key. An empty table gives an
+    empty result; other columns are ignored."""
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
     rows = assign(rows, tree).withColumn("grown_shard", shard_of(F.col("doc_id"), grown(tree)))
