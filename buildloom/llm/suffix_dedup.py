@@ -19,7 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut, parts, ship
@@ -270,6 +270,17 @@ def matches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return met.select("ida", "idb", "shifts", "ta", "tb").mapInArrow(run, "doc_id long, start_word long, n_words long, other_doc_id long, other_start_word long")
 
 
+def covered(found: DataFrame) -> DataFrame:
+    """doc_id, start_word, n_words: of matches, each document's longest stretches of words that others have too, in passages of
+    MATCH words or more. What stretches cover doesn't depend on which documents were compared. Rows of one id are listed as one."""
+    ends = found.groupBy("doc_id", "start_word").agg(F.max(F.col("start_word") + F.col("n_words")).alias("end"))
+    order = Window.partitionBy("doc_id").orderBy("start_word")
+    before = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    runs = ends.withColumn("new", F.coalesce(F.col("start_word") > before, F.lit(True)).cast("int")).withColumn("run", F.sum("new").over(order))
+    runs = runs.groupBy("doc_id", "run").agg(F.min("start_word").alias("start_word"), F.max("end").alias("end"))
+    return runs.select("doc_id", "start_word", (F.col("end") - F.col("start_word")).alias("n_words"))
+
+
 def _word_lists(column: pa.Array) -> list[np.ndarray]:
     out: list[np.ndarray] = []
     data, offs = buffers(column)
