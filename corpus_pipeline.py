@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from buildloom.llm import bpe, exact_dedup, langid, mixing, ngram_join
-from buildloom.llm.common import cut, read
+from buildloom.llm.common import cut, drop, read, release, written
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,5 +54,8 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = cut(stage(spark, docs, sf_dir), f"stage-{name}")
+        since, before = written(), docs
+        docs = cut(stage(spark, before, sf_dir), f"stage-{name}")
+        release(since, docs)
+        drop(before)
     return STAGES[-1][1](spark, docs, sf_dir)
