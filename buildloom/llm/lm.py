@@ -9,7 +9,6 @@ share an n-gram, so rows never outnumber the blocks' distinct n-grams. Scores ar
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -86,12 +85,14 @@ def vocabulary(docs: DataFrame, most: int, text_col: str = "text") -> np.ndarray
 
 
 def _pack(x: np.ndarray) -> bytes:
-    """All first bytes, then all second ones, ...: high bytes, mostly 0, stand together."""
-    return zlib.compress(np.ascontiguousarray(x).view(np.uint8).reshape(len(x), x.itemsize).T.tobytes(), 1)
+    """Size, then all first bytes, all second ones, ...: high bytes, mostly 0, stand together."""
+    planes = np.ascontiguousarray(x).view(np.uint8).reshape(len(x), x.itemsize).T.tobytes()
+    return len(planes).to_bytes(8, "little") + pa.Codec("zstd", compression_level=3).compress(planes, asbytes=True)
 
 
 def _unpack(b: bytes, kind: str) -> np.ndarray:
-    x = np.frombuffer(zlib.decompress(b), np.uint8).reshape(np.dtype(kind).itemsize, -1)
+    planes = pa.Codec("zstd").decompress(b[8:], int.from_bytes(b[:8], "little"), asbytes=True)
+    x = np.frombuffer(planes, np.uint8).reshape(np.dtype(kind).itemsize, -1)
     return np.ascontiguousarray(x.T).view(kind).reshape(-1)
 
 
