@@ -85,15 +85,22 @@ def vocabulary(docs: DataFrame, most: int, text_col: str = "text") -> np.ndarray
 
 
 def _pack(x: np.ndarray) -> bytes:
-    """Size, then all first bytes, all second ones, ...: high bytes, mostly 0, stand together."""
-    planes = np.ascontiguousarray(x).view(np.uint8).reshape(len(x), x.itemsize).T.tobytes()
-    return len(planes).to_bytes(8, "little") + pa.Codec("zstd", compression_level=3).compress(planes, asbytes=True)
+    """The number of values; then all first bytes, all second ones, ..., each packed by itself behind its size (0: all zero)."""
+    codec = pa.Codec("zstd", compression_level=3)
+    planes = np.ascontiguousarray(x).view(np.uint8).reshape(len(x), x.itemsize).T
+    packed = [codec.compress(p.tobytes(), asbytes=True) if p.any() else b"" for p in planes]
+    return b"".join([len(x).to_bytes(8, "little"), *(y for p in packed for y in (len(p).to_bytes(8, "little"), p))])
 
 
 def _unpack(b: bytes, kind: str) -> np.ndarray:
-    planes = pa.Codec("zstd").decompress(b[8:], int.from_bytes(b[:8], "little"), asbytes=True)
-    x = np.frombuffer(planes, np.uint8).reshape(np.dtype(kind).itemsize, -1)
-    return np.ascontiguousarray(x.T).view(kind).reshape(-1)
+    codec, n, at = pa.Codec("zstd"), int.from_bytes(b[:8], "little"), 8
+    out = np.zeros((n, np.dtype(kind).itemsize), np.uint8)
+    for i in range(out.shape[1]):
+        size = int.from_bytes(b[at : at + 8], "little")
+        if size:
+            out[:, i] = np.frombuffer(codec.decompress(b[at + 8 : at + 8 + size], n), np.uint8)
+        at += 8 + size
+    return out.view(kind).reshape(-1)
 
 
 def blocks(docs: DataFrame, known: np.ndarray | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
