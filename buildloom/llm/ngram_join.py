@@ -10,7 +10,8 @@ overlap from above, and only pairs that no order rules out are verified on their
 The groups need no list of all pairs. Rounds of single comparisons (a document against the first one, or a neighbour, that
 shares a prefix shingle) link most of a group at once. The last pass then compares all candidates whose documents are not
 yet in one component, so no link between components is lost. A shingle that is in many prefixes is split: in the rounds its
-documents are dealt anew to parts of bounded size in each, in the last pass they form blocks, and blocks meet two by two.
+documents meet their first one by a join and are otherwise dealt anew to parts of bounded size, in the last pass they form
+blocks, and blocks meet two by two.
 """
 
 from __future__ import annotations
@@ -267,9 +268,7 @@ def class_links(classes: DataFrame, plain: DataFrame, k: int, num: int, den: int
     fits = (least * den >= most * num) & _similar(F.least(F.col("n") - F.col("i"), F.col("n2") - F.col("i2")), F.col("n"), F.col("n2"), num, den)
     for turn in range(rounds):
         here = (shared.withColumn("root", F.col("rid")) if root is None else _with_root(shared, root)).withColumn("part", parts_of(turn))
-        order = Window.partitionBy("key", "part").orderBy("rid" if turn == 0 else F.xxhash64("rid", F.lit(turn)))
-        pick = F.first if turn == 0 else F.lag
-        met = here.select("rid", "n", "i", "root", *(pick(c).over(order).alias(f"{c}2") for c in ("rid", "n", "i", "root")))
+        met = _met_first(here) if turn == 0 else _met_neighbour(here, turn)
         pairs = met.where((F.col("root") != F.col("root2")) & fits).groupBy("rid", "rid2").agg(F.count(F.lit(1)).alias("times"))
         best = pairs.groupBy("rid").agg(F.max_by("rid2", F.struct("times", -F.col("rid2"))).alias("rid2"))
         found = verify(best.select(F.greatest("rid", "rid2").alias("a"), F.least("rid", "rid2").alias("b")).distinct(), cands, k, num, den)
@@ -290,6 +289,23 @@ def class_links(classes: DataFrame, plain: DataFrame, k: int, num: int, den: int
     return root.select(F.col("node").alias("a"), F.col("root").alias("b")).union(verify(_blocks_met(here.join(mixed, "key"), fits), cands, k, num, den))
 
 
+def _met_first(here: DataFrame) -> DataFrame:
+    """Each row beside the first one (by rid) of its key. Those of split keys, which are few, are joined to them, so that the
+    rows of such a key need not be in one task."""
+    of_split = here.where("split > 1").groupBy("key").agg(F.min(F.struct("rid", "n", "i", "root")).alias("f"))
+    of_split = of_split.select(F.col("key").alias("first_key"), *(F.col(f"f.{c}").alias(f"{c}2") for c in ("rid", "n", "i", "root")))
+    many = here.where("split > 1").join(small(of_split, of_split.count()), F.col("key") == F.col("first_key"))
+    order = Window.partitionBy("key").orderBy("rid")
+    few = here.where("split = 1").select("rid", "n", "i", "root", *(F.first(c).over(order).alias(f"{c}2") for c in ("rid", "n", "i", "root")))
+    return few.union(many.select(*few.columns))
+
+
+def _met_neighbour(here: DataFrame, turn: int) -> DataFrame:
+    """Each row beside the one before it in its part of a key, in an order that each turn shuffles anew."""
+    order = Window.partitionBy("key", "part").orderBy(F.xxhash64("rid", F.lit(turn)))
+    return here.select("rid", "n", "i", "root", *(F.lag(c).over(order).alias(f"{c}2") for c in ("rid", "n", "i", "root")))
+
+
 def _blocks_met(here: DataFrame, fits: Column) -> DataFrame:
     """Pairs (a, b) of rows of one key (of `docs` rows each) that fit and aren't in one component. A key's rows are dealt to
     blocks of about BLOCK; each two blocks of it meet in a group of their own, so no group grows with its key."""
