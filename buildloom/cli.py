@@ -1,4 +1,4 @@
-"""python -m buildloom.cli FILE [--query NAME] [--report [OUT.md]] [--sparql TEXT] [--quiet]: reports over a provenance file."""
+"""python -m buildloom.cli FILE [--query NAME] [--report [OUT.md]] [--sparql TEXT] [--whole] [--quiet]: reports over a provenance file."""
 
 from __future__ import annotations
 
@@ -14,6 +14,12 @@ from .plans.sparql import SparqlError, compile_query
 from .sources import turtle
 
 
+# What the command line says.
+NOT_FOUND = "ERROR: файл не найден: {}"
+LOADED = "Загрузка {} ... {} троек за {:.1f}с"
+SAVED = "\n✓ Отчёт сохранён: {}"
+
+
 def session() -> SparkSession:
     return SparkSession.builder.appName("buildloom").config("spark.sql.session.timeZone", "UTC").getOrCreate()
 
@@ -24,6 +30,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--query", "-q", default="all", choices=["all", *render.AVAILABLE, "report"])
     p.add_argument("--report", "-r", nargs="?", const=True, metavar="OUTPUT.md", help="write the Markdown report, beside the file unless a path is given")
     p.add_argument("--sparql", help="run a query text and print its rows, tab-separated")
+    p.add_argument("--whole", action="store_true", help="the file has statements over several lines")
     p.add_argument("--quiet", action="store_true", help="with --report: don't print it as well")
     return p
 
@@ -33,11 +40,11 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     args = parser().parse_args(argv)
     path = Path(args.file)
     if not path.exists():
-        print(f"ERROR: файл не найден: {path}", file=sys.stderr)
+        print(NOT_FOUND.format(path), file=sys.stderr)
         return 1
     spark = spark or session()
     began = time.time()
-    triples = turtle.read_turtle(spark, str(path)).cache()
+    triples = turtle.read_turtle(spark, str(path), whole=args.whole).cache()
     graph = model.from_triples(triples)
     if args.sparql:
         try:
@@ -49,14 +56,14 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         for r in rows.toLocalIterator():
             print("\t".join("" if v is None else str(v) for v in r))
         return 0
-    print(f"Загрузка {path.name} ... {triples.count() + len(turtle.schema_triples())} троек за {time.time() - began:.1f}с")
+    print(LOADED.format(path.name, triples.count() + len(turtle.schema_triples()), time.time() - began))
     if args.report is not None or args.query == "report":
         text = render.markdown(graph, str(path))
         out = Path(args.report) if isinstance(args.report, str) else path.with_suffix(".md")
         out.write_text(text, encoding="utf-8")
         if not (args.quiet and args.report is not None):
             print(text)
-        print(f"\n✓ Отчёт сохранён: {out}", file=sys.stderr)
+        print(SAVED.format(out), file=sys.stderr)
         return 0
     for name in render.AVAILABLE if args.query == "all" else [args.query]:
         print("\n".join(render.AVAILABLE[name](graph)))

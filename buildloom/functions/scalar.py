@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: Bytes of a process's argument list that are recorded.
+CMDLINE_BYTES = 1023
 TIMESTAMP = "yyyy-MM-dd'T'HH:mm:ss'Z'"
 
 
@@ -57,8 +59,30 @@ def blob_hash(content: Column | str) -> Column:
 
 
 def command_line(args: Column | str) -> Column:
-    """Arguments joined by spaces, those with a space in single quotes."""
-    return F.array_join(F.transform(_col(args), lambda a: F.when(F.contains(a, F.lit(" ")), F.concat(F.lit("'"), a, F.lit("'"))).otherwise(a)), " ")
+    """Arguments joined by spaces, those with a space in single quotes.
+
+    Only what ends within the first CMDLINE_BYTES bytes is there, each argument taking one more byte than its own: a longer
+    line ends with a space in place of what is left out, unless that begins just there. No argument: null."""
+    grown = lambda acc, a: acc["bytes"] + F.octet_length(a) + 1
+    whole = lambda acc, a: grown(acc, a) <= CMDLINE_BYTES
+    quoted = lambda a: F.when(F.contains(a, F.lit(" ")), F.concat(F.lit("'"), a, F.lit("'"))).otherwise(a)
+    start = F.struct(F.lit(0).alias("bytes"), F.lit(0).alias("held"), F.array().cast("array<string>").alias("args"))
+
+    def take(acc: Column, a: Column) -> Column:
+        held = F.when(whole(acc, a), grown(acc, a)).otherwise(acc["held"])
+        listed = F.when(whole(acc, a), F.concat(acc["args"], F.array(quoted(a)))).otherwise(acc["args"])
+        return F.struct(grown(acc, a).alias("bytes"), held.alias("held"), listed.alias("args"))
+
+    def put(acc: Column) -> Column:
+        more = (acc["bytes"] > CMDLINE_BYTES) & (acc["held"] > 0) & (acc["held"] < CMDLINE_BYTES)
+        return F.when(acc["bytes"] > 0, F.concat(F.array_join(acc["args"], " "), F.when(more, F.lit(" ")).otherwise(F.lit(""))))
+
+    return F.aggregate(_col(args), start, take, put)
+
+
+def file_hash(content: Column | str, regular: Column) -> Column:
+    """The hash of a regular file's (or link's) content; null for anything else, such as a device or a folder."""
+    return F.when(regular, blob_hash(content))
 
 
 def access_edges(flags: Column | str) -> Column:
@@ -111,6 +135,18 @@ def percent(base: Column, run: Column) -> Column:
     return F.when(a != 0, b / a * 100.0)
 
 
+def comparison(base: Column, run: Column) -> Column:
+    """percent as text, in six significant digits: whole numbers plain, `N/A` where base is 0."""
+    x = percent(base, run)
+    six = F.format_string("%.5e", x)
+    near = six.cast("double")
+    zeros = lambda text: F.regexp_replace(text, r"\.?0+$", "")
+    plain = zeros(near.cast("decimal(20,10)").cast("string"))
+    power = F.concat(zeros(F.substring_index(six, "e", 1)), F.lit("e"), F.substring_index(six, "e", -1))
+    number = F.when(x == F.floor(x), x.cast("long").cast("string")).when((near >= 1e-4) & (near < 1e6), plain).otherwise(power)
+    return F.when(x.isNull(), F.lit("N/A")).otherwise(F.concat(number, F.lit("%")))
+
+
 def node_number(node: Column | str) -> Column:
     """The counter in a node's name."""
     return F.regexp_extract(_col(node), r"(\d+)$", 1).cast("long")

@@ -32,13 +32,13 @@ def syscall_pairs(log: DataFrame, keys: tuple[str, ...] = ("pid",)) -> DataFrame
     return x.where("op = 'exit' and op0 = 'entry'").select(*keys, F.col("seq0").alias("entry_seq"), F.col("seq").alias("exit_seq"))
 
 
-def file_identity(log: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+def file_identity(log: DataFrame, keys: tuple[str, ...]) -> DataFrame:
     """Distinct (abspath, hash), null hashes alike, numbered from 0 in the order they are first seen (in each build)."""
     first = log.groupBy(*keys, "abspath", "hash").agg(F.min("seq").alias("first_seq"))
     return first.select(*keys, "abspath", "hash", (F.row_number().over(Window.partitionBy(*keys).orderBy("first_seq")) - 1).cast("long").alias("node_no"))
 
 
-def running_processes(log: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+def running_processes(log: DataFrame, keys: tuple[str, ...]) -> DataFrame:
     """seq and the number of live processes after it. log: the keys, seq, delta (1: began, -1: exited)."""
     by = Window.partitionBy(*keys).orderBy("seq").rowsBetween(*_ALL)
     return log.select(*keys, "seq", (F.lit(1) + F.sum("delta").over(by)).cast("long").alias("running"))

@@ -12,15 +12,22 @@ from pyspark.sql import functions as F
 
 from ..functions.scalar import access_edges, command_line, format_time
 from ..plans.model import Graph
-from .events import fd_sessions, incarnation
+from .events import fd_sessions, incarnation, latest
 
 LOG = "build_id string, seq long, ts timestamp, pid long, op string, syscall string, fd int, flags int, path string, abspath string, new_path string, new_abspath string, hash string, child_pid long, cmdline array<string>, env array<string>, rval long"
 OPENS, EXECS, RENAMES, FORKS = ("open", "openat", "creat"), ("execve", "execveat"), ("rename", "renameat", "renameat2"), ("fork", "vfork", "clone")
 WRITE_CREATE = 577  # O_CREAT | O_WRONLY | O_TRUNC, what creat stands for
 
 
-def reduce_log(log: DataFrame) -> Graph:
-    """The graph of each build in the log. What several of its tables are made from is kept in memory or on disk."""
+def reduce_log(log: DataFrame, held: list[DataFrame] | None = None) -> Graph:
+    """The graph of each build in the log. With a list to put them on, what several tables are made from is persisted, for the
+    caller to unpersist when the tables are written."""
+
+    def keep(df: DataFrame) -> DataFrame:
+        if held is not None:
+            held.append(df.persist())
+        return df
+
     # A process id belongs to another process once it has exited.
     log = log.withColumn("life", incarnation(F.col("op") == "exited", ("build_id", "pid")))
     done = log.where("op = 'exit' and rval >= 0")
@@ -33,15 +40,14 @@ def reduce_log(log: DataFrame) -> Graph:
     own = log.where("op <> 'exited'").groupBy("build_id", "pid", "life").agg(F.min("seq").alias("seq"))
     lives = own.select("build_id", "pid", "life", F.col("seq").alias("began"))
     # A child's life is the one that is on, or begins next, when its parent's call returns.
-    ended = log.where("op = 'exited'").select("build_id", F.col("pid").alias("child_pid"), F.col("life").alias("child_life"), F.col("seq").alias("gone"))
-    born = children.select("build_id", "pid", "life", "seq", "child_pid").join(ended, ["build_id", "child_pid"], "left")
-    before = F.count_if(F.col("gone") < F.col("seq"))
-    born = born.groupBy("build_id", "pid", "life", "seq", "child_pid").agg(before.alias("child_life"))
+    born = children.select("build_id", "pid", "life", "seq", "child_pid", F.lit(False).alias("gone"))
+    gone = log.where("op = 'exited'").select("build_id", "pid", "life", "seq", F.col("pid").alias("child_pid"), F.lit(True).alias("gone"))
+    born = born.unionByName(gone).withColumn("child_life", incarnation(F.col("gone"), ("build_id", "child_pid"))).where("not gone").drop("gone")
     mention = own.select("build_id", "pid", "life", "seq").unionByName(born.select("build_id", F.col("child_pid").alias("pid"), F.col("child_life").alias("life"), "seq"))
     first = mention.groupBy("build_id", "pid", "life").agg(F.min("seq").alias("first"))
     number = F.row_number().over(Window.partitionBy("build_id").orderBy("first", "pid")) - 1
     node = first.select("build_id", "pid", "life", F.concat(F.lit(":p"), number.cast("string")).alias("pid_node"))
-    node = node.persist()
+    node = keep(node)
     by = ["build_id", "pid", "life"]
 
     # Openings for writing, each a version of its own; the close that ends it gives the hash and makes it known.
@@ -51,7 +57,8 @@ def reduce_log(log: DataFrame) -> Graph:
     sessions = fd_sessions(steps, (*by, "fd")).select("build_id", F.col("open_seq").alias("seq"), "close_seq")
     hashes = closes.select("build_id", F.col("seq").alias("close_seq"), F.col("hash").alias("close_hash"))
     made = write_opens.join(sessions, ["build_id", "seq"], "left").join(hashes, ["build_id", "close_seq"], "left")
-    made = made.select(*by, "seq", "edges", "path", "abspath", "close_seq", F.col("close_hash").alias("hash")).persist()
+    made = made.select(*by, "seq", "edges", "path", "abspath", "close_seq", F.col("close_hash").alias("hash"))
+    made = keep(made)
 
     # Uses of a version by its path and content: it is the newest one known by then, or a new one at its first use.
     moved = log.where(F.col("syscall").isin(*RENAMES))
@@ -68,13 +75,14 @@ def reduce_log(log: DataFrame) -> Graph:
     # Before any writer's version is known, the first use is the version.
     asks = asks.withColumn("newest", newest).withColumn("first_use", F.min(F.when(F.col("origin").isNull(), F.col("seq"))).over(upto))
     resolved = asks.where("origin is null").select("build_id", "seq", F.coalesce("newest", "first_use").alias("origin"))
-    uses = uses.join(resolved, ["build_id", "seq"]).persist()
+    uses = keep(uses.join(resolved, ["build_id", "seq"]))
 
     # A rename that succeeds makes a version of the new path with the old content, which is known from then on only by its edge.
     exits = moved.where("op = 'exit' and rval >= 0")
-    last_from = uses.where("use = 'from'").select(*by, F.col("seq").alias("from_seq"), F.col("origin").alias("from_origin"), F.col("hash").alias("from_hash"))
-    at = exits.select(*by, "seq", "new_path", "new_abspath").join(last_from, by).where("from_seq < seq")
-    renamed = at.groupBy(*by, "seq", "new_path", "new_abspath").agg(F.max_by(F.struct("from_origin", "from_hash"), "from_seq").alias("f")).select(*by, "seq", "new_path", "new_abspath", "f.*")
+    sources = uses.where("use = 'from'").select(*by, "seq", F.struct(F.col("origin").alias("from_origin"), F.col("hash").alias("from_hash")).alias("f"))
+    both = exits.select(*by, "seq", "new_path", "new_abspath").unionByName(sources, allowMissingColumns=True)
+    done_by = F.col("f").isNull()  # the row is of a call that succeeded
+    renamed = both.withColumn("done", done_by).withColumn("f", latest(F.col("f"), tuple(by))).where("done and f is not null").select(*by, "seq", "new_path", "new_abspath", "f.*")
 
     # Files: numbered in the order in which they come up.
     fresh = (
@@ -83,7 +91,7 @@ def reduce_log(log: DataFrame) -> Graph:
         .unionByName(renamed.select("build_id", F.col("seq").alias("origin"), F.col("new_path").alias("name"), F.col("new_abspath").alias("abspath"), F.col("from_hash").alias("hash")))
     )
     number = F.row_number().over(Window.partitionBy("build_id").orderBy("origin")) - 1
-    files = fresh.withColumn("file_node", F.concat(F.lit(":f"), number.cast("string"))).persist()
+    files = keep(fresh.withColumn("file_node", F.concat(F.lit(":f"), number.cast("string"))))
     file_of = files.select("build_id", "origin", "file_node")
 
     def edge(df: DataFrame) -> DataFrame:

@@ -24,22 +24,51 @@ EXT_LANG = {
     "cmake": "CMake",
 }
 
-# The programs of each package.
-PACKAGE_PROGRAMS = {
-    "gcc": "cc1 cc1plus lto1 lto-wrapper collect2 gcc g++ x86_64-alt-linux-gcc-13 x86_64-alt-linux-g++-13 x86_64-alt-linux-gcc-ar-13 x86_64-alt-linux-gcc-ranlib-13",
-    "binutils": "as ld ld.bfd ar ranlib",
+# The package of each program.
+PROGRAM_PACKAGE = {
+    "cc1": "gcc",
+    "cc1plus": "gcc",
+    "lto1": "gcc",
+    "lto-wrapper": "gcc",
+    "collect2": "gcc",
+    "gcc": "gcc",
+    "g++": "gcc",
+    "x86_64-alt-linux-gcc-13": "gcc",
+    "x86_64-alt-linux-g++-13": "gcc",
+    "x86_64-alt-linux-gcc-ar-13": "gcc",
+    "x86_64-alt-linux-gcc-ranlib-13": "gcc",
+    "as": "binutils",
+    "ld": "binutils",
+    "ld.bfd": "binutils",
+    "ar": "binutils",
+    "ranlib": "binutils",
     "cmake": "cmake",
-    "make": "make gmake",
+    "make": "make",
+    "gmake": "make",
     "pkg-config": "pkg-config",
-    "bash": "sh sh5 bash",
-    "python3": "python3 python",
-    "python2": "python2.7",
-    "lua": "lua lua5.3 lua-5.3 lua5.4",
+    "sh": "bash",
+    "sh5": "bash",
+    "bash": "bash",
+    "python3": "python3",
+    "python": "python3",
+    "python2.7": "python2",
+    "lua": "lua",
+    "lua5.3": "lua",
+    "lua-5.3": "lua",
+    "lua5.4": "lua",
     "patch": "patch",
     "tar": "tar",
-    "coreutils": "mkdir mv rm cat chmod touch uname ln cp",
-    "gcc-common": "gcc_wrapper",
-    "rpm-build": "rpmb",
+    "mkdir": "coreutils",
+    "mv": "coreutils",
+    "rm": "coreutils",
+    "cat": "coreutils",
+    "chmod": "coreutils",
+    "touch": "coreutils",
+    "uname": "coreutils",
+    "ln": "coreutils",
+    "cp": "coreutils",
+    "gcc_wrapper": "gcc-common",
+    "rpmb": "rpm-build",
 }
 
 # What a package does in a build.
@@ -72,8 +101,6 @@ BUILD_SYSTEMS = (
     ("meson.build", "meson setup _build && ninja -C _build"),
 )
 
-PROGRAM_PACKAGE = {program: package for package, programs in PACKAGE_PROGRAMS.items() for program in programs.split()}
-
 
 def look_up(table: dict[str, str], key: Column, default: Column) -> Column:
     """A literal map: these tables are a few dozen entries, fixed in code."""

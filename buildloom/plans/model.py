@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, fields, replace
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -46,11 +47,16 @@ class Graph:
         return replace(self, **{f.name: getattr(self, f.name).where(F.col("build_id") == build_id) for f in fields(self)})
 
     def triples(self) -> DataFrame:
+        return reduce(DataFrame.unionByName, self.triples_by_table())
+
+    def triples_by_table(self) -> list[DataFrame]:
+        """The triples of each predicate and table by themselves."""
+
         def rows(df: DataFrame, s: Column | str, p: str, o: Column | str, kind: str) -> DataFrame:
             put = lambda x: F.col(x) if isinstance(x, str) else x
             return df.select("build_id", put(s).alias("s"), F.lit(p).alias("p"), put(o).alias("o"), F.lit(kind).alias("o_kind"))
 
-        parts = [
+        return [
             rows(self.process.where("typed"), "pid_node", "a", F.lit("b:process"), "iri"),
             rows(self.process.where("end_ts is not null"), "pid_node", "b:end", "end_ts", "literal"),
             rows(self.process_cmd, "pid_node", "b:cmd", "cmd", "literal"),
@@ -68,10 +74,6 @@ class Graph:
             rows(self.rename, "rename_node", "b:rename-from", "from_node", "iri"),
             rows(self.rename, "rename_node", "b:rename-to", "to_node", "iri"),
         ]
-        out = parts[0]
-        for x in parts[1:]:
-            out = out.unionByName(x)
-        return out
 
 
 def from_triples(triples: DataFrame) -> Graph:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from datetime import datetime, timezone
 from pathlib import Path
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import reports
@@ -164,3 +165,12 @@ def _markdown(g: Graph, source: str, now: datetime) -> str:
     if built:
         out += [*MD_BUILT, *(f"| `{r['path'].rsplit('/', 1)[-1]}` | `{r['hash'] or '—'}` |" for r in built)]
     return "\n".join([*out, "\n---\n", "*Отчёт сгенерирован на основе записанного графа сборки*"])
+
+
+# The head of the printed overhead comparison.
+COMPARISON_HEAD = ("Baseline run | Recorded run | Comparison %", "")
+
+
+def comparison(compared: DataFrame) -> list[str]:
+    """The printed table of compare_metrics: a few lines, one for each metric."""
+    return [*COMPARISON_HEAD, *(r["line"] for r in compared.select("line", "metric").orderBy("metric").collect())]

@@ -27,16 +27,19 @@ def _ends(path: str, *suffixes: str) -> Column:
     return _any(*(F.col(path).endswith(s) for s in suffixes))
 
 
-def _used(g: Graph, edge: DataFrame, typed: bool = True) -> DataFrame:
-    """Edges with the files they lead to; with typed, only of processes that executed something."""
-    if typed:
-        edge = edge.join(g.typed, PROC, "left_semi")
-    return edge.join(g.file.withColumnRenamed("abspath", "path"), FILE)
+def _used(g: Graph, edge: DataFrame) -> DataFrame:
+    """Edges of processes that executed something, with the files they lead to. Files come first: what a report asks of their
+    paths has cut the edges down before these meet the processes."""
+    return edge.join(_files(g), FILE).join(g.typed, PROC, "left_semi")
 
 
-def _never_written(g: Graph, edge: DataFrame) -> DataFrame:
-    """Edges to file versions that nothing in the build wrote."""
-    return edge.join(g.writes.select(FILE).distinct(), FILE, "left_anti")
+def _files(g: Graph) -> DataFrame:
+    return g.file.withColumnRenamed("abspath", "path")
+
+
+def _external(g: Graph, files: DataFrame, edge: DataFrame) -> DataFrame:
+    """Of file versions those that an edge leads to and that nothing in the build wrote: only nodes go through the joins."""
+    return files.join(edge.select(FILE), FILE, "left_semi").join(g.writes.select(FILE), FILE, "left_anti")
 
 
 # Overview
@@ -110,13 +113,13 @@ def tools_by_package(g: Graph) -> DataFrame:
 
 
 def external_executables(g: Graph) -> DataFrame:
-    return _used(g, _never_written(g, g.executable), typed=False).select("path").distinct()
+    return _external(g, _files(g), g.executable).select("path").distinct()
 
 
 def external_libs(g: Graph) -> DataFrame:
     """The version is what counts: a library read before the build rewrites it is external."""
-    hit = _used(g, _never_written(g, g.reads), typed=False).where(_any(F.col("path").startswith("/usr/lib"), F.col("path").startswith("/lib")) & F.col("path").contains(".so"))
-    return hit.select("path", "hash").distinct().select("path", fn.basename("path").alias("name"), "hash", fn.shorten("hash", 16).alias("hash16"))
+    libs = _files(g).where(_any(F.col("path").startswith("/usr/lib"), F.col("path").startswith("/lib")) & F.col("path").contains(".so"))
+    return _external(g, libs, g.reads).select("path", "hash").distinct().select("path", fn.basename("path").alias("name"), "hash", fn.shorten("hash", 16).alias("hash16"))
 
 
 def project_sources(g: Graph) -> DataFrame:
@@ -220,8 +223,8 @@ def renames_resolved(g: Graph) -> DataFrame:
 
 def renamed_external(g: Graph) -> DataFrame:
     """Paths that came about by renaming and are read later: they count as external, as nothing wrote that version."""
-    target = g.rename.select("build_id", F.col("to_node").alias("file_node")).distinct()
-    return _used(g, _never_written(g, g.reads.join(target, FILE, "left_semi")), typed=False).select("path").distinct()
+    moved = _files(g).join(g.rename.select("build_id", F.col("to_node").alias("file_node")), FILE, "left_semi")
+    return _external(g, moved, g.reads).select("path").distinct()
 
 
 def multi_exec_processes(g: Graph) -> DataFrame:
@@ -241,7 +244,9 @@ def unhashed_files(g: Graph) -> DataFrame:
 
 
 def triples_by_predicate(g: Graph) -> DataFrame:
-    return g.triples().groupBy("p").agg(F.count(F.lit(1)).alias("n"))
+    """Each table is counted by itself; a row for each goes on."""
+    counts = [t.groupBy("p").agg(F.count(F.lit(1)).alias("n")) for t in g.triples_by_table()]
+    return reduce(DataFrame.unionByName, counts).groupBy("p").agg(F.sum("n").alias("n"))
 
 
 REPORTS = {

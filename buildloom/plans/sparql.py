@@ -2,14 +2,14 @@
 
 SELECT [DISTINCT] variables and COUNT / MIN / MAX aggregates; groups of triple patterns with `;` and `,` lists, `a`,
 prefixed names, IRIs, blank nodes and string literals; FILTER with || && ! = != < > <= >=, STR, CONTAINS, STRSTARTS,
-STRENDS, BOUND; FILTER [NOT] EXISTS; OPTIONAL; UNION; GROUP BY, ORDER BY, LIMIT, OFFSET. Anything else is refused with a
-message. Results are bags of rows, one column for each variable, null where it isn't bound.
+STRENDS, BOUND; FILTER [NOT] EXISTS, whose filters may use variables of the group around it; OPTIONAL; UNION; GROUP BY,
+ORDER BY, LIMIT, OFFSET. Anything else is refused with a message. Results are bags of rows, one column for each variable, null where it isn't bound.
 """
 
 from __future__ import annotations
 
 import re
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -332,12 +332,18 @@ def _vars(df: DataFrame) -> list[str]:
     return [c for c in df.columns if c != "build_id"]
 
 
-def _expr(e: tuple, known: set[str]) -> Column:
+def _mentioned(e: tuple) -> set[str]:
+    """The variables of an expression."""
+    return {e[1]} if e[0] == "var" else set().union(*(_mentioned(x) for x in e[1:] if isinstance(x, tuple)))
+
+
+def _expr(e: tuple, known: dict[str, str]) -> Column:
+    """known: the column of each variable; one that has none is unbound."""
     op = e[0]
     if op == "var":
         if e[1] not in known:
             return F.lit(None).cast("string")
-        return F.col(e[1])
+        return F.col(known[e[1]])
     if op in ("text", "number"):
         return F.lit(e[1])
     if op == "STR":
@@ -353,8 +359,9 @@ def _expr(e: tuple, known: set[str]) -> Column:
     }[op]()
 
 
-def _group(g: Graph, group: Group) -> tuple[DataFrame, set[str]]:
-    """The group's rows, and the variables that may be unbound in them."""
+def _group(g: Graph, group: Group, around: frozenset[str] = frozenset()) -> tuple[DataFrame, set[str]]:
+    """The group's rows, and the variables that may be unbound in them. around: variables of the groups around that only an
+    EXISTS lets a filter see; elsewhere such a filter is refused."""
     rows, loose = None, set()
 
     def join(left: DataFrame | None, right: DataFrame) -> DataFrame:
@@ -369,7 +376,7 @@ def _group(g: Graph, group: Group) -> tuple[DataFrame, set[str]]:
 
     waiting = [_relation(g, p) for p in group.patterns]
     for choices in group.unions:
-        parts = [_group(g, c) for c in choices]
+        parts = [_group(g, c, around) for c in choices]
         names = list(dict.fromkeys(v for r, _ in parts for v in _vars(r)))
         for r, l in parts:
             loose |= l | (set(names) - set(_vars(r)))
@@ -384,23 +391,46 @@ def _group(g: Graph, group: Group) -> tuple[DataFrame, set[str]]:
     if rows is None:
         raise SparqlError("a group needs a triple pattern")
     for optional in group.optionals:
-        right, also = _group(g, optional)
+        right, also = _group(g, optional, around | set(_vars(rows)))
         shared = [v for v in _vars(right) if v in rows.columns]
         if not shared or set(shared) & loose:
             raise SparqlError("OPTIONAL needs a shared variable that is always bound")
         loose |= also | (set(_vars(right)) - set(rows.columns))
         rows = rows.join(right, ["build_id", *shared], "left")
     for there, inner in group.exists:
-        right, _ = _group(g, inner)
-        shared = [v for v in _vars(right) if v in rows.columns]
-        if not shared or set(shared) & loose:
-            raise SparqlError("EXISTS needs a shared variable that is always bound")
-        rows = rows.join(right.select("build_id", *shared).distinct(), ["build_id", *shared], "left_semi" if there else "left_anti")
+        rows = _exists(g, rows, inner, there, loose, around)
+    own = {v: v for v in _vars(rows)}
     for f in group.filters:
-        rows = rows.where(_expr(f, set(_vars(rows))))
+        if _mentioned(f) & around - set(own):
+            raise SparqlError("a filter uses a variable of a group around its own, which is supported directly in EXISTS only")
+        rows = rows.where(_expr(f, own))
     return rows, loose
 
 
+def _exists(g: Graph, rows: DataFrame, inner: Group, there: bool, loose: set[str], around: frozenset[str]) -> DataFrame:
+    """rows that have (or haven't) a match in inner. Its filters that use variables of rows become part of the join."""
+    outside = frozenset(around | set(_vars(rows)))
+    right, _ = _group(g, replace(inner, filters=[]), outside)
+    shared = [v for v in _vars(right) if v in rows.columns]
+    if not shared or set(shared) & loose:
+        raise SparqlError("EXISTS needs a shared variable that is always bound")
+    named = {v: f"inner {v}" for v in _vars(right)}
+    right = right.select(F.col("build_id").alias("inner build_id"), *(F.col(v).alias(n) for v, n in named.items()))
+    match = F.col("build_id") == F.col("inner build_id")
+    for v in shared:
+        match &= F.col(v) == F.col(named[v])
+    needed, own = ["inner build_id", *(named[v] for v in shared)], {v: v for v in _vars(rows)}
+    for f in inner.filters:
+        if _mentioned(f) & around - set(own) - set(named):
+            raise SparqlError("a filter in EXISTS uses a variable from further out than the group around it")
+        if _mentioned(f) & set(own) - set(named):
+            match &= _expr(f, own | named)
+            needed += [named[v] for v in _mentioned(f) & set(named) if named[v] not in needed]
+        else:
+            right = right.where(_expr(f, named))
+    return rows.join(right.select(*needed).distinct(), match, "left_semi" if there else "left_anti")
+
+
 def compile_query(g: Graph, text: str) -> DataFrame:
     q = Parser(text).query()
     rows, _ = _group(g, q.where)

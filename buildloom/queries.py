@@ -7,10 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import log_queries
 from .functions import scalar as fn
 from .operators import auxiliary, events
 from .plans import reports
 from .plans.lookups import BUILD_SYSTEMS, EXT_LANG, PACKAGE_ROLE, PROGRAM_PACKAGE
+from .plans.model import from_triples
 from .plans.sparql import compile_query
 from .sources import projection, turtle
 
@@ -93,15 +95,36 @@ def _sparql(text: str) -> Query:
 
 def triple_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Triples written as statements, their nodes as :name, and parsed again."""
-    triples = projection.graph(spark, sf_dir).triples()
-    node = lambda c: F.when(F.startswith(c, F.lit("_:")), F.col(c)).otherwise(F.concat(F.lit(":"), c))
-    is_node = (F.col("o_kind") != "literal") & (F.col("p") != "a")
-    named = triples.withColumns({"s": node("s"), "o": F.when(is_node, node("o")).otherwise(F.col("o"))})
+    named = _named(projection.graph(spark, sf_dir).triples())
     back = turtle.parse_lines(turtle.statements(named))
     bare = lambda c: F.regexp_replace(c, "^:", "").alias(c)
     return back.select(bare("s"), "p", bare("o"))
 
 
+def _named(triples: DataFrame) -> DataFrame:
+    """Triples with their nodes as :name."""
+    node = lambda c: F.when(F.startswith(c, F.lit("_:")), F.col(c)).otherwise(F.concat(F.lit(":"), c))
+    is_node = (F.col("o_kind") != "literal") & (F.col("p") != "a")
+    return triples.withColumns({"s": node("s"), "o": F.when(is_node, node("o")).otherwise(F.col("o"))})
+
+
+def bound_subject(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compile_query(from_triples(_named(projection.graph(spark, sf_dir).triples())), "SELECT ?p ?o WHERE { :p1 ?p ?o }")
+
+
+def turtle_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statements with `;` and `,` lists, one for each process that has commands."""
+    quoted = F.array_join(F.sort_array(F.collect_set(F.concat(F.lit('"'), fn.escape("cmd"), F.lit('"')))), " , ")
+    said = projection.graph(spark, sf_dir).process_cmd.groupBy("build_id", "pid_node").agg(quoted.alias("cmds"))
+    return turtle.parse_lines(said.select("build_id", F.concat(F.lit(":"), "pid_node", F.lit(" a b:process ; b:cmd "), "cmds", F.lit(" .")).alias("value"))).select("s", "p", "o")
+
+
+def graph_with_schema(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A file's graph is its schema header and its data: statements by predicate."""
+    schema = spark.createDataFrame(turtle.schema_triples(), "s string, p string, o string, o_kind string").select("p")
+    return projection.graph(spark, sf_dir).triples().select("p").union(schema).groupBy("p").agg(F.count(F.lit(1)).alias("n"))
+
+
 def access_mode_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     opened = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(F.concat(F.lit("p"), F.col("l_orderkey").cast("string")).alias("pid_node"), F.concat(F.lit("f"), F.col("l_partkey").cast("string")).alias("file_node"), (F.col("l_linenumber") % 4).alias("flags"))
     return opened.select("pid_node", "file_node", F.explode(fn.access_edges("flags")).alias("edge")).distinct()
@@ -132,22 +155,10 @@ def git_blob_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_partkey").alias("key"), fn.blob_hash("p_name").alias("hash"))
 
 
-def rendered_cmdline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_partkey").alias("key"), fn.command_line(F.array("p_brand", "p_type", "p_name")).alias("cmd"))
-
-
 def line_pattern_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return auxiliary.line_counts(turtle.statements(projection.graph(spark, sf_dir).triples()))
 
 
-def bench_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Nations as metrics: customers of the base run against suppliers of the other; some have none."""
-    read = lambda t: spark.read.parquet(f"{sf_dir}/{t}.parquet")
-    nation = read("nation").select("n_nationkey", F.col("n_name").alias("metric"))
-    many = lambda t, k: nation.join(read(t), F.col("n_nationkey") == F.col(k), "left").groupBy("metric").agg(F.concat(F.count(F.when(F.col(k) % 7 != 3, F.col(k))).cast("string"), F.lit("%")).alias("value"))
-    return auxiliary.compare_metrics(many("customer", "c_nationkey"), many("supplier", "s_nationkey").where("metric not like 'A%'"))
-
-
 def section_strip(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = F.col("event_id") % 11
     line = F.when(e == 0, "%check").when(e == 3, "%install").when(e == 7, "%if 1").when(e == 9, "%{macro}").otherwise(F.concat(F.lit("make "), F.col("event_type")))
@@ -161,7 +172,7 @@ def build_system_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
     return auxiliary.choose_build_system(part)
 
 
-# The same questions as SPARQL texts; names stand as the projection has them.
+# The reports' questions as SPARQL texts, which users may ask as well; names stand as the projection has them.
 SPARQL = {
     "sparql_exec_counts": "SELECT ?path (COUNT(?proc) AS ?n) WHERE { ?proc a b:process ; b:executable ?exe . ?exe b:abspath ?path . } GROUP BY ?path ORDER BY DESC(?n)",
     "sparql_external_libs": """SELECT DISTINCT ?path ?hash WHERE { ?proc b:reads ?file . ?file b:abspath ?path . OPTIONAL { ?file b:hash ?hash } FILTER NOT EXISTS { ?any b:writes ?file }
@@ -169,6 +180,7 @@ SPARQL = {
     "sparql_timeline": "SELECT (MIN(?s) AS ?begin_ts) (MAX(?e) AS ?finish_ts) WHERE { ?p a b:process ; b:start ?s ; b:end ?e . }",
     "sparql_headers_top15": """SELECT ?path (COUNT(?proc) AS ?n) WHERE { ?proc a b:process ; b:reads ?file . ?file b:abspath ?path . FILTER(STRENDS(STR(?path),".h")) FILTER(STRSTARTS(STR(?path),"/usr/")) }
         GROUP BY ?path ORDER BY DESC(?n) ?path LIMIT 15""",
+    "sparql_correlated": "SELECT ?p ?f WHERE { ?p b:writes ?f . FILTER NOT EXISTS { ?q b:writes ?f . FILTER(?q != ?p) } }",
     "sparql_children": "SELECT ?child ?cmd WHERE { ?root b:creates ?child . OPTIONAL { ?child b:cmd ?cmd } FILTER(STR(?root) = \"p1\") }",
 }
 
@@ -209,11 +221,11 @@ GRAPH_QUERIES: dict[str, Callable[..., DataFrame]] = {
     "triples_by_predicate": reports.triples_by_predicate,
 }
 
-TABLE_QUERIES: dict[str, Query] = {f.__name__: f for f in (triple_roundtrip, access_mode_edges, fd_sessions, syscall_pairs, file_identity, live_processes, git_blob_hash, rendered_cmdline, line_pattern_counts, bench_compare, section_strip, build_system_choice)}
+TABLE_QUERIES: dict[str, Query] = {f.__name__: f for f in (triple_roundtrip, access_mode_edges, fd_sessions, syscall_pairs, file_identity, live_processes, git_blob_hash, line_pattern_counts, section_strip, build_system_choice, bound_subject, turtle_lists, graph_with_schema)}
 
 
 def queries() -> dict[str, Query]:
-    return {n: _graph(r) for n, r in GRAPH_QUERIES.items()} | TABLE_QUERIES | {n: _sparql(t) for n, t in SPARQL.items()}
+    return {n: _graph(r) for n, r in GRAPH_QUERIES.items()} | TABLE_QUERIES | log_queries.QUERIES | {n: _sparql(t) for n, t in SPARQL.items()}
 
 
 _TYPED = "pid IN (SELECT pid FROM typed)"
@@ -264,15 +276,17 @@ _BODIES = {
     "file_identity": "SELECT build_id, abspath, hash, row_number() OVER (PARTITION BY build_id ORDER BY s) - 1 AS node_no FROM (SELECT 'b' || (pid % 8) AS build_id, '/src/f' || (seq % 17) AS abspath, CASE WHEN seq % 5 <> 0 THEN 'h' || (seq % 7) END AS hash, min(seq) AS s FROM calls WHERE kind = 'open' GROUP BY ALL)",
     "live_processes": "SELECT pid % 8 AS build, seq, CAST(1 + sum(CASE event_type WHEN 'signup' THEN 1 ELSE -1 END) OVER (PARTITION BY pid % 8 ORDER BY seq) AS BIGINT) AS running FROM calls WHERE event_type IN ('signup', 'error')",
     "git_blob_hash": "SELECT p_partkey AS key, sha1('blob '::BLOB || CAST(strlen(p_name) AS VARCHAR)::BLOB || '\\x00'::BLOB || encode(p_name)) AS hash FROM part",
-    "rendered_cmdline": "SELECT p_partkey AS key, " + " || ' ' || ".join(f"CASE WHEN contains({c}, ' ') THEN '''' || {c} || '''' ELSE {c} END" for c in ("p_brand", "p_type", "p_name")) + " AS cmd FROM part",
     "line_pattern_counts": "SELECT pattern, count(*) FILTER (WHERE regexp_matches(value, pattern)) AS n FROM lines, (VALUES ('\\.'), ('a.*b:process'), ('a.*b:file')) t(pattern) GROUP BY pattern",
-    "bench_compare": "SELECT b.metric, b.n || '%' AS base, r.n || '%' AS run, CASE WHEN b.n <> 0 THEN coalesce(r.n, 0)::DOUBLE / b.n * 100.0::DOUBLE END AS pct FROM (SELECT n_name AS metric, count(CASE WHEN c_nationkey % 7 <> 3 THEN 1 END) AS n FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey GROUP BY 1) b LEFT JOIN (SELECT n_name AS metric, count(CASE WHEN s_nationkey % 7 <> 3 THEN 1 END) AS n FROM nation LEFT JOIN supplier ON s_nationkey = n_nationkey WHERE n_name NOT LIKE 'A%' GROUP BY 1) r USING (metric)",
     "section_strip": "SELECT n, unnest(CASE WHEN starts_with(line, '%check') THEN ['%check', 'exit 0'] ELSE [line] END) AS line FROM (SELECT *, coalesce(last_value(CASE WHEN regexp_matches(line, '^%[a-zA-Z_]') THEN starts_with(line, '%check') END IGNORE NULLS) OVER (PARTITION BY spec ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), false) AS inside FROM (SELECT user_id % 64 AS spec, event_id AS n, CASE event_id % 11 WHEN 0 THEN '%check' WHEN 3 THEN '%install' WHEN 7 THEN '%if 1' WHEN 9 THEN '%{macro}' ELSE 'make ' || event_type END AS line FROM events)) WHERE starts_with(line, '%check') OR NOT inside",
     "build_system_choice": f"SELECT 'r' || (p_partkey // 3) AS repo, (array_agg(cmd ORDER BY rank) FILTER (WHERE cmd IS NOT NULL))[1] AS cmd FROM part LEFT JOIN (VALUES {_values([(i, i, c) for i, (_, c) in enumerate(BUILD_SYSTEMS)])}) t(place, rank, cmd) ON place = p_partkey % 11 GROUP BY 1",
     "sparql_exec_counts": "SELECT path, n FROM exec_counts",
     "sparql_external_libs": _EXTERNAL,
     "sparql_timeline": _SPAN,
     "sparql_headers_top15": f"SELECT path, n FROM ({_HEADERS})",
+    "sparql_correlated": "SELECT min(pid) AS p, fid AS f FROM writes GROUP BY fid HAVING count(*) = 1",
+    "bound_subject": "SELECT p, CASE WHEN k <> 'literal' AND p <> 'a' AND NOT starts_with(o, '_:') THEN ':' || o ELSE o END AS o FROM triples WHERE s = 'p1'",
+    "turtle_lists": "SELECT ':' || pid AS s, 'b:cmd' AS p, cmd AS o FROM cmd UNION ALL SELECT DISTINCT ':' || pid, 'a', 'b:process' FROM cmd",
+    "graph_with_schema": "SELECT p, CAST(sum(n) AS BIGINT) AS n FROM (SELECT p, count(*) AS n FROM triples GROUP BY p UNION ALL SELECT * FROM (VALUES ('a', 15), ('rdfs:label', 15), ('rdfs:comment', 15), ('rdfs:domain', 13), ('rdfs:range', 13)) t(p, n)) GROUP BY p",
     "sparql_children": "SELECT cid AS child, cmd.cmd FROM creates LEFT JOIN cmd ON cmd.pid = cid WHERE creates.pid = 'p1'",
 }
 
@@ -288,4 +302,4 @@ SELECT pid, fd, seq AS open_seq, CASE WHEN nd = -1 THEN nseq END AS close_seq FR
 
 
 def oracle_sql() -> dict[str, str]:
-    return {n: _sql(b) for n, b in _BODIES.items()} | {"fd_sessions": _FD_SESSIONS}
+    return {n: _sql(b) for n, b in _BODIES.items()} | {"fd_sessions": _FD_SESSIONS} | log_queries.SQL

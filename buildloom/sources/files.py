@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+from urllib.parse import unquote
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -12,11 +16,26 @@ from ..operators.reducer import LOG
 EMPTY_HASH = "e69de29bb2d1d6434b8b29ae775ad8c2e48c5391"
 
 
+def scratch(spark: SparkSession, label: str) -> str:
+    """A new folder's name below the one that driver and executors share (spark.checkpoint.dir); in local mode a temporary one
+    will do where that is unset."""
+    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        at = "file://" + tempfile.mkdtemp(prefix="build-")
+    return f"{at.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+
+
 def hash_files(spark: SparkSession, path: str) -> DataFrame:
-    """abspath, size, hash of every regular file below path that isn't empty: Spark's reader passes over empty ones, whose
-    hash is EMPTY_HASH."""
+    """abspath, size, hash of every regular file below path. Spark's reader passes over empty files; those that its listing,
+    which is the driver's already, has and its rows have not are added with EMPTY_HASH."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    return files.select(F.regexp_replace("path", "^file:/*", "/").alias("abspath"), F.col("length").alias("size"), blob_hash("content").alias("hash"))
+    plain = lambda c: F.regexp_replace(c, "^file:/*", "/").alias("abspath")
+    read = files.select(plain("path"), F.col("length").alias("size"), blob_hash("content").alias("hash"))
+    listed = spark.createDataFrame([(unquote(f),) for f in files.inputFiles()], "path string").select(plain("path"))
+    empty = listed.join(files.select(plain("path")), "abspath", "left_anti")
+    return read.unionByName(empty.select("abspath", F.lit(0).cast("long").alias("size"), F.lit(EMPTY_HASH).alias("hash")))
 
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:

@@ -55,6 +55,26 @@ def graph(spark: SparkSession, sf_dir: str) -> Graph:
     return Graph(process, cmd, start, env, sources.unionByName(programs), reads, writes, executable, creates, rename)
 
 
+def event_log(e: DataFrame) -> DataFrame:
+    """The events table, or a stream of it, as system-call logs of 16 builds, in the reducer's columns. A rename is two rows, its
+    entry and exit."""
+    n, kind = F.col("event_id"), F.col("event_type")
+    text = lambda head, x: F.concat(F.lit(head), x.cast("string"))
+    syscall = F.when(kind == "view", "open").when(kind == "click", F.when(n % 3 == 0, "rename").otherwise("close")).when(kind == "purchase", F.when(n % 2 == 0, "creat").otherwise("execve")).when(kind == "signup", "fork").otherwise("open")
+    gone = (kind == "error") & (n % 3 == 0)
+    hash_ = F.when(n % 5 != 0, text("h", n % 4))
+    cols = e.select(
+        text("b", F.col("user_id") % 16).alias("build_id"), n, F.col("ts"), F.expr("user_id div 16 % 6").alias("pid"), gone.alias("gone"), F.when(~gone, syscall).alias("syscall"),
+        (F.lit(3) + n % 3).cast("int").alias("fd"), (n % 4).cast("int").alias("flags"), text("/s/f", n % 11).alias("abspath"), text("/s/g", n % 7).alias("new_abspath"),
+        hash_.alias("hash"), (n % 6).alias("child_pid"), F.when(kind == "error", -1).otherwise(0).cast("long").alias("rval"),
+    ).withColumn("step", F.explode(F.when(F.col("syscall") == "rename", F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(1)))))
+    op = F.when(F.col("gone"), "exited").when(F.col("step") == 0, "entry").otherwise("exit")
+    return cols.select(
+        "build_id", (n * 2 + F.col("step")).alias("seq"), F.col("ts").cast("timestamp").alias("ts"), "pid", op.alias("op"), "syscall", "fd", "flags", F.col("abspath").alias("path"), "abspath",
+        F.col("new_abspath").alias("new_path"), "new_abspath", "hash", "child_pid", F.array(F.lit("run"), text("f ", n)).alias("cmdline"), F.lit(None).cast("array<string>").alias("env"), "rval",
+    )
+
+
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """seq, pid, fd, kind, event_type of the events table; failed calls (errors) are there, and to be dropped."""
     e = spark.read.parquet(f"{sf_dir}/events.parquet")

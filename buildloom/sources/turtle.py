@@ -1,18 +1,25 @@
-"""Provenance files in Turtle: a schema header, then one statement on each line.
+"""Provenance files in Turtle: a schema header, then one statement on each line; and general Turtle.
 
-The writer escapes line ends in literals, so a data line is a whole statement and files can be split anywhere. Names are
-kept as :local and b:local, whatever namespaces a file binds to these prefixes; full IRIs are brought to that form.
+The recorder's writer escapes line ends in literals, so a data line is a whole statement and files can be split anywhere. A
+line may hold `;` and `,` lists. Files with statements over several lines are read whole, a file at a time. What isn't a
+statement is counted, not dropped unseen. Names are kept as :local and b:local: full IRIs and names of any prefix that a
+file binds are brought to that form by their namespaces.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalar import escape, unescape
 from ..plans.model import TRIPLES
 
-LINE = r"^\s*(\S+)\s+(\S+)\s+(.*?)\s*\.\s*$"
+#: A literal, an IRI, a sign of lists and ends, or a name.
+_LITERAL = r'"(?:[^"\\\n]|\\.)*+"(?:\^\^[^\s;,]+|@[\w-]+)?'
+TOKEN = rf'{_LITERAL}|<[^<>\s]*>|[;,]|\.(?=\s|$)|[^\s;,<>"]*[^\s;,<>".]'
+#: A whole statement on one line, or the part of a text up to the full stop that ends a statement.
+WHOLE = rf'^\s*(?:(?:{TOKEN})\s*)++$'
+STATEMENT = rf'(?:{_LITERAL}|<[^<>\s]*>|#[^\n]*+|[^"<#.]|\.(?!\s|$))++\.(?=\s|$)'
 RDF = "http://www.w3.org/1999/02/22-rdf-syntax-ns#"
 DATA = "urn:build-provenance:data#"
 VOCABULARY = "urn:build-provenance:rdf#"
@@ -64,33 +71,88 @@ def header(data: str = DATA, vocabulary: str = VOCABULARY) -> str:
     return "\n".join([*lines[:-1], lines[-1] + " .", ""])
 
 
-def _local(term, data: str, vocabulary: str):
-    """<iri> as a prefixed name, if it is in one of the two namespaces."""
-    inner = F.regexp_extract(term, r"^<(.*)>$", 1)
-    named = F.when(F.startswith(inner, F.lit(vocabulary)), F.concat(F.lit("b:"), F.substr(inner, F.lit(len(vocabulary) + 1)))).when(F.startswith(inner, F.lit(data)), F.concat(F.lit(":"), F.substr(inner, F.lit(len(data) + 1))))
-    named = named.when(inner == RDF + "type", F.lit("a")).otherwise(term)
-    return F.when(term == "rdf:type", F.lit("a")).otherwise(named)
+def _name(term: Column, prefixes: Column | None) -> Column:
+    """A term as :local, b:local, a or _:label; names of namespaces that are neither vocabulary nor data stay whole IRIs.
+    Without prefixes, : and b: stand for data and vocabulary."""
+    iri = F.regexp_extract(term, r"^<(.*)>$", 1)
+    if prefixes is not None:
+        space = F.try_element_at(prefixes, F.substring_index(term, ":", 1))
+        iri = F.when(F.startswith(term, F.lit("_:")), F.lit("")).otherwise(F.coalesce(F.concat(space, F.regexp_replace(term, "^[^:]*:", "")), iri))
+    local = lambda kind: F.regexp_extract(iri, rf"\b{kind}#([^#]*)$", 1)
+    out = F.when((iri == RDF + "type") | (term == "rdf:type"), F.lit("a"))
+    out = out.when(iri.rlike(r"\brdf#[^#]*$"), F.concat(F.lit("b:"), local("rdf"))).when(iri.rlike(r"\bdata#[^#]*$"), F.concat(F.lit(":"), local("data")))
+    return out.when(iri != "", F.concat(F.lit("<"), iri, F.lit(">"))).otherwise(term)
 
 
-def parse_lines(lines: DataFrame, data: str = DATA, vocabulary: str = VOCABULARY) -> DataFrame:
-    """Triples (a set) of the data lines in (build_id, value): those whose subject is a data node."""
-    x = lines.where(F.col("value").rlike(r"^\s*(:|_:|<)")).where(F.col("value").rlike(LINE))
-    got = x.select("build_id", *(F.regexp_extract("value", LINE, i).alias(n) for i, n in ((1, "s0"), (2, "p0"), (3, "o0"))))
-    is_text = F.startswith("o0", F.lit('"'))
-    text = unescape(F.regexp_extract("o0", r'(?s)^"(.*)"(?:\^\^\S+|@\S+)?$', 1))
-    name = _local(F.col("o0"), data, vocabulary)
-    kind = F.when(is_text, "literal").when(F.startswith("o0", F.lit("_:")), "bnode").otherwise("iri")
-    out = got.select("build_id", _local(F.col("s0"), data, vocabulary).alias("s"), _local(F.col("p0"), data, vocabulary).alias("p"), F.when(is_text, text).otherwise(name).alias("o"), kind.alias("o_kind"))
-    return out.where(F.startswith("s", F.lit(":")) | F.startswith("s", F.lit("_:"))).distinct()
+def _spelled_out(statement: Column) -> Column:
+    """The s, p, o terms of a statement's triples: its tokens are taken in turn, `;` keeps the subject and `,` the predicate."""
+    tokens = F.regexp_extract_all(statement, F.lit(TOKEN), F.lit(0))
+    triples = "array<struct<s:string,p:string,o:string>>"
+    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("s"), F.lit("").alias("p"), F.array().cast(triples).alias("out"))
 
+    def step(x: Column, t: Column) -> Column:
+        sign = F.when(t == ";", 1).when(t == ",", 2).when(t == ".", 0)
+        said = sign.isNull() & (x["at"] == 2)
+        made = F.array(F.struct(x["s"].alias("s"), x["p"].alias("p"), t.alias("o")))
+        return F.struct(
+            F.coalesce(sign, x["at"] + 1).alias("at"),
+            F.when(sign.isNull() & (x["at"] == 0), t).otherwise(x["s"]).alias("s"),
+            F.when(sign.isNull() & (x["at"] == 1), t).otherwise(x["p"]).alias("p"),
+            F.when(said, F.concat(x["out"], made)).otherwise(x["out"]).alias("out"),
+        )
 
-def read_turtle(spark: SparkSession, path: str, with_schema: bool = False, data: str = DATA, vocabulary: str = VOCABULARY) -> DataFrame:
+    return F.aggregate(tokens, start, step, lambda x: x["out"])
+
+
+def _is_data(value: Column) -> Column:
+    """Neither blank nor a comment, a prefix, or part of the vocabulary's own description."""
+    return ~value.rlike(r"^\s*(#|@prefix|@base|b:|$)") & ~value.rlike(r"^\s+(a|rdfs:\w+)\s")
+
+
+def parse_lines(lines: DataFrame, prefixes: str | None = None) -> DataFrame:
+    """Triples (a set) of the statements in (build_id, value), each of which is whole; others are left out (see unread).
+    prefixes: the column of a map from a prefix to its namespace."""
+    x = lines.where(_is_data(F.col("value")) & F.col("value").rlike(WHOLE))
+    named = [F.col(prefixes).alias("prefixes")] if prefixes else []
+    got = x.select("build_id", *named, F.explode(_spelled_out(F.col("value"))).alias("t")).select("build_id", *(["prefixes"] if prefixes else []), "t.*")
+    spaces = F.col("prefixes") if prefixes else None
+    is_text = F.startswith("o", F.lit('"'))
+    text = unescape(F.regexp_extract("o", r'(?s)^"(.*)"(?:\^\^\S+|@\S+)?$', 1))
+    kind = F.when(is_text, "literal").when(F.startswith("o", F.lit("_:")), "bnode").otherwise("iri")
+    out = got.select("build_id", _name(F.col("s"), spaces).alias("s"), _name(F.col("p"), spaces).alias("p"), F.when(is_text, text).otherwise(_name(F.col("o"), spaces)).alias("o"), kind.alias("o_kind"))
+    return out.where(~F.startswith("s", F.lit("b:"))).distinct()
+
+
+def unread(lines: DataFrame) -> DataFrame:
+    """The data lines that parse_lines can't read: neither a whole statement nor anything else that may stand in a file."""
+    return lines.where(_is_data(F.col("value")) & ~(F.col("value").rlike(WHOLE) & F.col("value").rlike(r"\.\s*$")))
+
+
+def _prefixes(lines: DataFrame) -> DataFrame:
+    """build_id, prefixes: what each file binds; a row for each file."""
+    line = r"^\s*@prefix\s+([^\s:]*):\s*<([^>]*)>"
+    bound = lines.where(F.col("value").rlike(line)).groupBy("build_id", F.regexp_extract("value", line, 1).alias("prefix")).agg(F.min(F.regexp_extract("value", line, 2)).alias("space"))
+    return bound.groupBy("build_id").agg(F.map_from_entries(F.collect_list(F.struct("prefix", "space"))).alias("prefixes"))
+
+
+#: A file's prefixes are broadcast to its lines up to this many files.
+MOST_FILES = 100_000
+
+
+def read_turtle(spark: SparkSession, path: str, with_schema: bool = False, whole: bool = False) -> DataFrame:
     """The triples of one file, or of all files that path names; build_id is the file's stem without `-build`.
 
-    The files' schema headers are served from the fixed vocabulary, if asked for."""
+    Files are read line by line, each line a statement; with whole, each is read by one task and cut into statements, however
+    these are laid out. The files' schema headers are served from the fixed vocabulary, if asked for."""
     stem = F.regexp_replace(F.regexp_extract(F.col("_metadata.file_name"), r"^(.*?)(\.[^.]*)?$", 1), "-build", "")
-    lines = spark.read.text(path).select(stem.alias("build_id"), "value")
-    out = parse_lines(lines, data, vocabulary)
+    lines = spark.read.option("wholetext", whole).text(path).select(stem.alias("build_id"), "value")
+    if whole:
+        cut = F.regexp_extract_all("value", F.lit(STATEMENT), F.lit(0))
+        lines = lines.select("build_id", F.explode(cut).alias("value")).withColumn("value", F.trim(F.regexp_replace("value", r"(?m)^\s*#[^\n]*$", ""), F.lit(" \n\r\t")))
+    bound = _prefixes(lines)
+    few = bound.limit(MOST_FILES + 1).count() <= MOST_FILES
+    known = lines.join(F.broadcast(bound) if few else bound, "build_id", "left").withColumn("prefixes", F.coalesce("prefixes", F.create_map(F.lit(""), F.lit(DATA), F.lit("b"), F.lit(VOCABULARY))))
+    out = parse_lines(known, "prefixes")
     if with_schema:
         builds = lines.select("build_id").distinct()
         fixed = spark.createDataFrame(schema_triples(), "s string, p string, o string, o_kind string")

@@ -1,24 +1,35 @@
 """The online reducer: a stream of system-call events to triples, with state for each build.
 
 A build's processes share one file cache, so its events are one key's; builds spread over the cluster. Within a
-micro-batch events come in the order of seq. What a build's log yields doesn't depend on how it is cut into batches.
+micro-batch events come in the order of seq. What a build's log yields doesn't depend on how it is cut into batches. A build
+ends with its last live process; its state goes then.
 """
 
 from __future__ import annotations
 
 import json
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..functions.scalar import CMDLINE_BYTES
 from ..operators.reducer import EXECS, FORKS, OPENS, RENAMES, WRITE_CREATE
 from ..plans.model import TRIPLES
 
 TIME = "%Y-%m-%dT%H:%M:%SZ"
 
 
+def rendered(args: list[str]) -> str | None:
+    """As functions.scalar.command_line has it."""
+    ends = list(accumulate(len(a.encode()) + 1 for a in args))
+    whole = [e for e in ends if e <= CMDLINE_BYTES]
+    more = whole and len(whole) < len(args) and whole[-1] < CMDLINE_BYTES
+    return " ".join(f"'{a}'" if " " in a else a for a in args[: len(whole)]) + (" " if more else "") if args else None
+
+
 class Build:
     """What a build's reducer remembers: live processes by pid, their open files, the newest version of (path, content)."""
 
@@ -58,6 +69,8 @@ class Build:
 
     def step(self, e) -> list[tuple]:
         """Triples (s, p, o, kind) that an event gives."""
+        if e.op == "exited" and str(e.pid) not in self.nodes:
+            return []
         if e.op == "exited":
             node = self.process(e.pid)
             for state in (self.nodes, self.moving):
@@ -93,7 +106,8 @@ class Build:
             file, made = self.version(e)
             out += [(node, "a", "b:process", "iri"), (node, "b:start", e.ts.strftime(TIME), "literal")]
             if e.cmdline is not None:
-                out.append((node, "b:cmd", " ".join(f"'{a}'" if " " in a else a for a in e.cmdline), "literal"))
+                cmd = rendered(list(e.cmdline))
+                out += [(node, "b:cmd", cmd, "literal")] if cmd is not None else []
             return out + made + [(node, "b:executable", file, "iri")]
         elif e.syscall in RENAMES and str(e.pid) in self.moving:
             source, digest = self.moving.pop(str(e.pid))
@@ -111,7 +125,10 @@ def _run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iter
     out = []
     for e in events.astype(object).where(events.notna(), None).itertuples(index=False):
         out += [(key[0], *t) for t in build.step(e)]
-    state.update((build.save(),))
+    if build.nodes:
+        state.update((build.save(),))
+    elif state.exists:
+        state.remove()  # no process lives: the build is over
     yield pd.DataFrame(out, columns=["build_id", "s", "p", "o", "o_kind"])
 
 

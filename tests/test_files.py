@@ -4,10 +4,11 @@ from buildloom.sources import files
 
 def test_files(spark, tmp_path):
     (tmp_path / "d").mkdir()
-    (tmp_path / "d" / "empty").write_bytes(b"")
+    for name in ("empty", "also empty"):
+        (tmp_path / "d" / name).write_bytes(b"")
     (tmp_path / "d" / "hello").write_bytes(b"hello\n")
     got = {r["abspath"].rsplit("/", 1)[-1]: (r["size"], r["hash"]) for r in files.hash_files(spark, str(tmp_path / "d")).collect()}
-    assert got == {"hello": (6, "ce013625030ba8dba906f756967f9e9ca394464a")}
+    assert got == {"hello": (6, "ce013625030ba8dba906f756967f9e9ca394464a"), "empty": (0, files.EMPTY_HASH), "also empty": (0, files.EMPTY_HASH)}
     spec = tmp_path / "p.spec"
     spec.write_text("%build\nmake\n%check\nmake check\n%install\n")
     stripped = auxiliary.strip_section(files.numbered_lines(spark, str(spec)), ("file",)).orderBy("n")

@@ -78,7 +78,7 @@ def test_fd_sessions_are_stacks(spark):
 def test_section_strip(spark):
     lines = ["%build", "x", "%check", "t", "%if 1", "u", "%install"]
     df = spark.createDataFrame(list(enumerate(lines)), "n int, line string")
-    got = [r["line"] for r in auxiliary.strip_section(df).orderBy("n").collect()]
+    got = [r["line"] for r in auxiliary.strip_section(df, ()).orderBy("n").collect()]
     assert got == ["%build", "x", "%check", "exit 0", "%if 1", "u", "%install"]
 
 
@@ -86,7 +86,7 @@ def test_metrics(spark, tmp_path):
     (tmp_path / "a").write_text("CPU utilization: 50%\nReal: 0\nFaults: 8\nOnly: 2\n")
     (tmp_path / "b").write_text("CPU utilization: 75%\nReal: 3\nFaults: 4:9\n")
     got = auxiliary.compare_metrics(auxiliary.read_metrics(spark, str(tmp_path / "a")), auxiliary.read_metrics(spark, str(tmp_path / "b")))
-    assert {r["metric"]: r["pct"] for r in got.collect()} == {"CPU utilization": 150.0, "Real": None, "Faults": 50.0, "Only": 0.0}
+    assert {r["metric"]: r["pct"] for r in got.collect()} == {"CPU utilization": "150%", "Real": "N/A", "Faults": "50%", "Only": "0%"}
 
 
 def test_build_system(spark):
@@ -98,3 +98,20 @@ def test_build_system(spark):
 def test_line_counts(spark):
     df = spark.createDataFrame([(":p0 a b:process .",), (":f0 a b:file .",), ("x",)], "value string")
     assert {r["pattern"]: r["n"] for r in auxiliary.line_counts(df).collect()} == {r"\.": 2, "a.*b:process": 1, "a.*b:file": 1}
+
+
+def test_command_line_is_cut(spark):
+    """As recorded: the first 1023 bytes; an argument that doesn't end there is left out."""
+    cmd = lambda args: value(spark, args, "x array<string>")(fn.command_line("x"))
+    assert cmd(["a" * 1022]) == "a" * 1022 and cmd(["a" * 1023]) == "" and cmd(["sh", "a" * 1023, "b"]) == "sh "
+    assert cmd(["a" * 510, "b" * 511, "c"]) == "a" * 510 + " " + "b" * 511  # both end at byte 1023
+    assert cmd(["é" * 510, "bc"]) == "é" * 510 + " " and cmd(["é" * 511, "b"]) == "é" * 511 and cmd([]) is None
+    from buildloom.streaming.reducer import rendered
+    for args in (["a" * 1022], ["a" * 1023], ["sh", "a b" * 400, "b"], ["a" * 510, "b" * 511, "c"], ["é" * 510, "bc"], [], ["x y", "z"]):
+        assert rendered(args) == cmd(args)
+
+
+def test_comparison(spark):
+    for base, run, want in (("3", "1", "33.3333%"), ("8", "2", "25%"), ("0", "2", "N/A"), ("3", "20000000", "6.66667e+08%"), ("1", None, "0%"), ("70000", "0.00001", "1.42857e-08%")):
+        df = spark.createDataFrame([(base, run)], "a string, b string")
+        assert df.select(fn.comparison(F.col("a"), F.col("b"))).first()[0] == want

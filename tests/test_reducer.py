@@ -170,3 +170,19 @@ def test_cli(spark, tmp_path, capsys, name):
         assert text.startswith("# Build Report: pkg\n") and "| `libx.so.1` | `0004` |" in text and "### Исполняемые файлы (4)" in text
         assert cli.main([str(p), "--sparql", "SELECT ?p WHERE { ?p b:creates ?c }"], spark) == 0
         assert cli.main([str(tmp_path / "missing")], spark) == 1
+
+
+def test_record(spark, tmp_path, sf_dir, capsys):
+    """A log in, a Turtle file out; several builds make a folder."""
+    from buildloom import record
+    from buildloom.sources import projection, turtle
+
+    log = projection.event_log(spark.read.parquet(f"{sf_dir}/events.parquet"))
+    log.where("build_id = 'b1'").write.json(str(tmp_path / "one"))
+    log.where("build_id in ('b1', 'b2')").write.json(str(tmp_path / "two"))
+    assert record.main([], spark) == record.USAGE and "missing log" in capsys.readouterr().err
+    assert record.main(["-o", str(tmp_path / "x-build.out"), str(tmp_path / "one")], spark) == 0
+    assert record.main(["-o", str(tmp_path / "out"), str(tmp_path / "two")], spark) == 0
+    want = reduce_log(log.where("build_id = 'b1'")).triples().distinct().count()
+    assert turtle.read_turtle(spark, str(tmp_path / "x-build.out")).count() == want
+    assert (tmp_path / "out" / "build_id=b1").is_dir() and (tmp_path / "out" / "build_id=b2").is_dir()
