@@ -40,7 +40,7 @@ def hash_files(spark: SparkSession, path: str) -> DataFrame:
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     """file, n (from 1), line of text files, each read whole: for specifications, not for data."""
-    whole = spark.read.option("wholetext", "true").text(path).select(F.col("_metadata.file_name").alias("file"), "value")
+    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("file"), "value")
     lines = whole.select("file", F.posexplode(F.split(F.regexp_replace("value", r"\n$", ""), "\n")).alias("n", "line"))
     return lines.select("file", (F.col("n") + 1).alias("n"), "line")
 

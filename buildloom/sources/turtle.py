@@ -145,7 +145,7 @@ def read_turtle(spark: SparkSession, path: str, with_schema: bool = False, whole
     Files are read line by line, each line a statement; with whole, each is read by one task and cut into statements, however
     these are laid out. The files' schema headers are served from the fixed vocabulary, if asked for."""
     stem = F.regexp_replace(F.regexp_extract(F.col("_metadata.file_name"), r"^(.*?)(\.[^.]*)?$", 1), "-build", "")
-    lines = spark.read.option("wholetext", whole).text(path).select(stem.alias("build_id"), "value")
+    lines = spark.read.text(path, wholetext=whole).select(stem.alias("build_id"), "value")
     if whole:
         cut = F.regexp_extract_all("value", F.lit(STATEMENT), F.lit(0))
         lines = lines.select("build_id", F.explode(cut).alias("value")).withColumn("value", F.trim(F.regexp_replace("value", r"(?m)^\s*#[^\n]*$", ""), F.lit(" \n\r\t")))
