@@ -37,10 +37,23 @@ def byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+def refuse_others(spec: dict) -> None:
+    """Raise unless a tokenizer file is what is worked out here: byte-level BPE with its own pattern, and nothing before it."""
+    model, cutter, added = spec["model"], spec.get("pre_tokenizer") or {}, spec["added_tokens"]
+    options = ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "fuse_unk", "byte_fallback", "ignore_merges")
+    if model["type"] != "BPE" or any(model.get(o) for o in options):
+        raise ValueError("only a plain BPE model is supported")
+    if spec.get("normalizer") or cutter.get("type") != "ByteLevel" or cutter.get("add_prefix_space") or not cutter.get("use_regex", True) or spec["decoder"]["type"] != "ByteLevel":
+        raise ValueError("only byte-level texts cut by the usual pattern are supported")
+    if any(t.get(k) for t in added for k in ("single_word", "lstrip", "rstrip", "normalized")):
+        raise ValueError("only added tokens that stand as they are are supported")
+
+
 class Bpe:
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        refuse_others(spec)
         alphabet = byte_alphabet()
         vocab = spec["model"]["vocab"]
         added = {t["content"]: t["id"] for t in spec["added_tokens"]}
@@ -76,6 +89,7 @@ class Bpe:
         self.longest = {self.token_bytes[i]: i for i in usable}
         self.reach = max(map(len, self.longest))
         self.special = regex.compile("(" + "|".join(regex.escape(t) for t in sorted(added, key=len, reverse=True)) + ")") if added else None
+        self.marks = {t[0] for t in added}
         self.added = {t: i.to_bytes(4, "little") for t, i in added.items()}
         self.words = regex.compile(PATTERN).findall
         self.cache: dict[str, bytes] = {}
@@ -166,7 +180,7 @@ class Bpe:
         cut: list[list[str]] = []
         marks = self.special
         for t in texts:
-            if marks is not None and "<" in t and marks.search(t):
+            if marks is not None and any(c in t for c in self.marks) and marks.search(t):
                 cut.append([w for p in marks.split(t) if p for w in ([p] if p in self.added else split(p))])
             else:
                 cut.append(split(t))

@@ -9,6 +9,7 @@ first id in the whole.
 
 from __future__ import annotations
 
+import json
 import os
 import uuid
 import zlib
@@ -30,6 +31,19 @@ NO_ID = -(2**63)
 _PARTS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
 _PLAIN = regex.compile(r"[\x21-\x7E\u00A1-\u024F]*")
 _LOADED: dict[str, tuple] = {}
+#: The chain of a tokenizer whose texts may be cut at spaces and whose parts _PARTS gives.
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+SPLIT = {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True}
+BYTES = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
+
+
+def may_be_cut(path: str) -> bool:
+    """Whether a tokenizer file has that chain, and added tokens that only pieces with <| can hold. Texts of any other go
+    through the library whole."""
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    marks = all("<|" in t["content"] and " " not in t["content"] and not any(t[k] for k in ("single_word", "lstrip", "rstrip", "normalized")) for t in spec["added_tokens"])
+    return marks and spec["normalizer"] == NORMALIZER and spec["pre_tokenizer"] == {"type": "Sequence", "pretokenizers": [SPLIT, BYTES]}
 
 
 def _encoder(path: str):
@@ -40,7 +54,7 @@ def _encoder(path: str):
         t = Tokenizer.from_file(path)
         t.no_truncation()
         t.no_padding()
-        _LOADED[path] = (t, {}, {}, "uint16" if t.get_vocab_size() <= 1 << 16 else "uint32")
+        _LOADED[path] = (t, {} if may_be_cut(path) else None, {}, "uint16" if t.get_vocab_size() <= 1 << 16 else "uint32")
     return _LOADED[path]
 
 
@@ -75,6 +89,8 @@ def encode_texts(path: str, texts: list[str]) -> list[bytes]:
     """Packed ids of each text. The tokenizer never joins what a white space parts, so each space-delimited piece is
     encoded once by the library and remembered."""
     tok, cache, known, kind = _encoder(path)
+    if cache is None:
+        return [np.array(e.ids, kind).tobytes() for e in tok.encode_batch_fast(texts, add_special_tokens=False)]
     for held in (cache, known):
         if len(held) > CACHE_WORDS:
             held.clear()

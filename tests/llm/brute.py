@@ -84,3 +84,31 @@ def repeats(texts: dict[int, str | None], n: int) -> dict[int, set[int]]:
             if len(seen[tuple(w[j : j + n])]) > 1:
                 out[i].update(range(j, j + n))
     return out
+
+
+def kneser_ney(texts: list[str], order: int, symbols: int):
+    """Interpolated Kneser-Ney over runs of letters, by its definition: p(symbol, the order - 1 symbols before it)."""
+    runs = [["\x01"] * (order - 1) + list(r) + ["\x02"] for t in texts for r in re.findall(r"[^\W\d_]+", t.lower())]
+    grams = [tuple(r[i - order + 1 : i + 1]) for r in runs for i in range(order - 1, len(r))]
+    counts = {order: Counter(grams)}
+    for m in range(order - 1, 0, -1):
+        counts[m] = Counter(g[1:] for g in {x[-(m + 1) :] for x in grams})
+    discount, total, left = {}, {}, {}
+    for m, c in counts.items():
+        n1, n2 = (sum(v == n for v in c.values()) for n in (1, 2))
+        discount[m] = n1 / (n1 + 2 * n2) if n1 and n2 else 0.5
+        total[m], left[m] = Counter(), Counter()
+        for g, v in c.items():
+            total[m][g[:-1]] += v
+            left[m][g[:-1]] += min(v, discount[m])
+
+    def p(symbol, before, m=order):
+        if m == 0:
+            return 1 / symbols
+        context = tuple(before[len(before) - (m - 1) :])
+        shorter = p(symbol, before, m - 1)
+        if not total[m][context]:
+            return shorter
+        return max(counts[m][(*context, symbol)] - discount[m], 0) / total[m][context] + left[m][context] / total[m][context] * shorter
+
+    return p

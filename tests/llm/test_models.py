@@ -54,6 +54,33 @@ def test_models_sum_to_one():
     assert 0.9 < total <= 1.0001
 
 
+def test_models_equal_plain_kneser_ney():
+    """Every symbol's probability under each of two languages is that of the definition."""
+    r = random.Random(8)
+    say = lambda letters, n: " ".join("".join(r.choice(letters) for _ in range(r.randint(1, 7))) for _ in range(n))
+    texts = {"x": [say("aabcde", 30) for _ in range(12)], "y": [say("defgöß", 30) for _ in range(12)]}
+    models = langid.merge([(lang, langid.fit(t), (0.0, 0.0, 0.0)) for lang, t in texts.items()])
+    asked = [say("abcdefgöz", 6) for _ in range(10)] + ["", "12 - 3", "A"]
+    lp, row = models.log_probs(asked)
+    for i, lang in enumerate(models.langs):
+        p = brute.kneser_ney(texts[lang], langid.ORDER, langid.SYMBOLS)
+        want = [[-math.log(p(s, (["\x01"] * 3 + list(w))[: n + 3])) for w in brute.re.findall(r"[^\W\d_]+", t.lower()) for n, s in enumerate([*w, "\x02"])] for t in asked]
+        assert np.allclose(lp[:, i], [x for t in want for x in t], rtol=1e-4)
+    assert np.bincount(row, minlength=len(asked)).tolist() == [len(t) for t in want]
+
+
+def test_sample_is_spread():
+    """Long texts don't make up a sample, and all of its characters are used."""
+    texts = ["a" * 100_000, "b" * 50, *["c" * 400] * 10]
+    got = langid.bounded(texts, 5000)
+    assert got[1:] == texts[1:] and 900 <= len(got[0]) <= 1000 and langid.bounded(texts[1:], 5000) == texts[1:]
+
+
+def test_without_labels(make):
+    kept = langid.keep_known(make([(1, "some text", None), (2, None, None), (3, "12 !", None), (None, "other", None)]))
+    assert sorted(r["text"] for r in kept.collect()) == ["other", "some text"]
+
+
 def lm_brute(docs, most):
     held = {i: brute.words(t) for i, t in docs}
     c = Counter(w for x in held.values() for w in x)

@@ -6,7 +6,7 @@ from collections import Counter, defaultdict
 import brute
 from pyspark.sql import functions as F
 
-from buildloom.llm import exact_dedup, mixing, sharding
+from buildloom.llm import exact_dedup, langid, mixing, ngram_join, sharding
 
 
 def test_exact_dedup_odd(make, odd):
@@ -125,3 +125,23 @@ def test_mixing(spark, make, odd):
     assert again == Counter(r["doc_id"] for r in mixed.collect())
     assert mixing.digest(make(rows).limit(0)).count() == 0 and mixing.mix(make(rows).limit(0)).count() == 0
     assert mixing.mix(make([(1, None), (2, "")])).count() == 0
+
+
+def test_a_source_takes_what_its_target_is(make):
+    rows = [(i, f"w{i} " * (1 + i % 9), "en", ("a", "b", None, "d")[i * i % 7 % 4]) for i in range(3000)]
+    taken, target = Counter(), {}
+    of = {r[0]: r[3] for r in rows}
+    for r in mixing.digest(make(rows)).collect():
+        taken[of[r["doc_id"]]] += r["taken"]
+        target[of[r["doc_id"]]] = r["target"]
+    assert all(abs(taken[s] - t) < 0.08 * t for s, t in target.items())
+
+
+def test_own_columns_keep_their_values(make, odd):
+    """Columns of documents named like anything that operators make come out as they went in."""
+    names = ["__size", "__copies", "__copy", "__source", "__rate", "source_size", "__row", "__sha", "__id", "__stay_sha", "sha", "stay_id", "stay_sha", "__rid", "gone", "__gone", "component_id", "norm", "RID_"]
+    docs = make(odd).withColumns({n: F.concat(F.lit(f"{n} of "), F.coalesce(F.col("doc_id").cast("string"), F.lit("none"))) for n in names})
+    for made in (mixing.mix(docs), exact_dedup.deduplicate(docs), ngram_join.keep_one(docs), langid.keep_known(docs)):
+        rows = made.collect()
+        assert made.columns == docs.columns and rows
+        assert all(r[n] == f"{n} of {'none' if r['doc_id'] is None else r['doc_id']}" and r["target"] == "x" for r in rows for n in names)
