@@ -113,6 +113,23 @@ SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, least(d.doc_id, m.least) AS com
 FROM d LEFT JOIN n USING (doc_id) LEFT JOIN m ON m.a = d.doc_id
 """
 
+FILL_IN_MIDDLE = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, sha256('42:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+u AS (
+  SELECT *, regexp_extract_all(t, '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS w, ('0x' || substr(h, 1, 8))::BIGINT AS h1, ('0x' || substr(h, 9, 8))::BIGINT AS h2,
+         ('0x' || substr(h, 17, 8))::BIGINT AS h3, ('0x' || substr(h, 25, 8))::BIGINT AS h4 FROM d),
+c AS (
+  SELECT *, CAST(len(w) AS BIGINT) AS n, least(h1 % (len(w) + 1), h2 % (len(w) + 1)) AS a, greatest(h1 % (len(w) + 1), h2 % (len(w) + 1)) AS b,
+         CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 50 THEN 'plain' WHEN h4 % 100 < 80 THEN 'spm' ELSE 'psm' END AS form FROM u),
+s AS (
+  SELECT doc_id, t, n, form, array_to_string(list_slice(w, 1, a), '') AS prefix, array_to_string(list_slice(w, a + 1, b), '') AS middle,
+         array_to_string(list_slice(w, b + 1, n), '') AS suffix FROM c)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN CAST(length(prefix) AS BIGINT) END AS prefix_chars, CASE WHEN form <> 'plain' THEN CAST(length(middle) AS BIGINT) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+       sha256(t) AS restored_sha256
+FROM s
+"""
+
 SQL = {
     "op1_source_mix": SOURCE_MIX,
     "op2_suffix_dedup": SUFFIX_DEDUP,
@@ -120,4 +137,5 @@ SQL = {
     "op7_backoff_scores": BACKOFF_SCORES,
     "op8_ngram_jaccard_join": NGRAM_JACCARD_JOIN,
     "op9_exact_dedup": EXACT_DEDUP,
+    "op13_fill_in_middle": FILL_IN_MIDDLE,
 }

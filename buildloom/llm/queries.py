@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from . import ann, bpe, exact_dedup, langid, lm, mixing, ngram_join, oracles, sharding, suffix_dedup, token_files
+from . import ann, bpe, exact_dedup, fim, langid, lm, mixing, ngram_join, oracles, sharding, suffix_dedup, token_files
 from .common import read
 
 END_ID = 2
@@ -58,6 +58,10 @@ def op10_ivf_pq(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(read(spark, sf_dir, "embeddings"))
 
 
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fim.digest(read(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_source_mix": op1_source_mix,
@@ -70,6 +74,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_ngram_jaccard_join": op8_ngram_jaccard_join,
         "op9_exact_dedup": op9_exact_dedup,
         "op10_ivf_pq": op10_ivf_pq,
+        "op13_fill_in_middle": op13_fill_in_middle,
     }
 
 
