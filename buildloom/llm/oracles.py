@@ -113,6 +113,24 @@ SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, least(d.doc_id, m.least) AS com
 FROM d LEFT JOIN n USING (doc_id) LEFT JOIN m ON m.a = d.doc_id
 """
 
+COLLOCATIONS = rf"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array({_LOW}, '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM p),
+g AS (SELECT lang, w[i : i + m - 1] AS g, count(*) AS a FROM (SELECT lang, w, m, unnest(range(1, len(w) - m + 2)) AS i FROM w, range(1, 5) AS o(m)) GROUP BY ALL),
+n AS (SELECT lang, CAST(sum(a) AS BIGINT) AS n FROM g WHERE len(g) = 1 GROUP BY lang),
+f AS (SELECT * FROM g WHERE a >= 30),
+c AS (SELECT lang, g, a, unnest(range(1, len(g))) AS k FROM f WHERE len(g) > 1),
+s AS (
+  SELECT c.lang, c.g, c.a, c.k, x.a AS l, y.a AS r, CAST(2000000::HUGEINT * c.a // (x.a + y.a) AS BIGINT) AS score
+  FROM c JOIN f x ON x.lang = c.lang AND x.g = c.g[1 : k] JOIN f y ON y.lang = c.lang AND y.g = c.g[k + 1 : len(c.g)]),
+b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, k) = 1),
+i AS (SELECT lang, a, len(g) AS size, g, m, unnest(range(1, len(g) - m + 2)) AS i FROM b, range(2, 4) AS o(m) WHERE len(g) > m),
+v AS (SELECT lang, g[i : i + m - 1] AS g, max(a) AS longer FROM i GROUP BY ALL),
+k AS (SELECT b.*, array_to_string(b.g, ' ') AS phrase FROM b LEFT JOIN v ON v.lang = b.lang AND v.g = b.g WHERE v.longer IS NULL OR 100 * v.longer < 80 * b.a),
+z AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank FROM k)
+SELECT lang, rank, phrase, a, l, r, n, score FROM z JOIN n USING (lang) WHERE rank <= 2000
+"""
+
 FILL_IN_MIDDLE = r"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t, sha256('42:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
 u AS (
@@ -137,5 +155,6 @@ SQL = {
     "op7_backoff_scores": BACKOFF_SCORES,
     "op8_ngram_jaccard_join": NGRAM_JACCARD_JOIN,
     "op9_exact_dedup": EXACT_DEDUP,
+    "op11_collocations": COLLOCATIONS,
     "op13_fill_in_middle": FILL_IN_MIDDLE,
 }

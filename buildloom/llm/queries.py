@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from . import ann, bpe, exact_dedup, fim, langid, lm, mixing, ngram_join, oracles, packing, sharding, suffix_dedup, token_files
+from . import ann, bpe, collocations, exact_dedup, fim, langid, lm, mixing, ngram_join, oracles, packing, sharding, suffix_dedup, token_files
 from .common import read
 
 END_ID = 2
@@ -58,6 +58,10 @@ def op10_ivf_pq(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(read(spark, sf_dir, "embeddings"))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(read(spark, sf_dir, "documents"))
+
+
 def op12_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -78,6 +82,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_ngram_jaccard_join": op8_ngram_jaccard_join,
         "op9_exact_dedup": op9_exact_dedup,
         "op10_ivf_pq": op10_ivf_pq,
+        "op11_collocations": op11_collocations,
         "op12_harmonic_packing": op12_harmonic_packing,
         "op13_fill_in_middle": op13_fill_in_middle,
     }

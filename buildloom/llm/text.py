@@ -73,13 +73,13 @@ def pieces(offs: np.ndarray, most: int = PIECE) -> Iterator[tuple[int, int]]:
         i = j
 
 
-def words(data: np.ndarray, offs: np.ndarray, lower: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of the rows that offs delimits: each word's row, hash, first byte and end, in order."""
+def words(data: np.ndarray, offs: np.ndarray, lower: bool = True, space: np.ndarray = _IS_SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of the rows that offs delimits: each word's row, hash, first byte and end, in order. space: which bytes part words."""
     n = len(data)
     if not n:
         e = np.zeros(0, np.int64)
         return e, np.zeros(0, np.uint64), e, e
-    solid = ~_IS_SPACE[data]
+    solid = ~space[data]
     edge = np.zeros(n + 1, bool)
     edge[offs[:-1]] = True  # a row's first byte starts a word, whatever ends the row before
     before = np.empty(n, bool)
