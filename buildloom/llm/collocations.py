@@ -33,9 +33,9 @@ SKETCH_BITS = 22
 SKETCH_BLOCKS = 64
 #: Steps of the sketch in each doubling of a frequency.
 STEPS = 4
-#: A pivot's fragments are split once they may be more than this many, and more than a 2^SHARE_BITS-th of all words.
+#: A pivot's fragments are split once they may be more than this many, and more than this part of a task's share of all.
 SPLIT = 1 << 15
-SHARE_BITS = 16
+SHARE = 8
 #: Fragments of a bundle, of a task's sort, and that are counted at once.
 BUNDLE = 2048
 HELD = 1_000_000
@@ -127,7 +127,7 @@ def fragments(docs: DataFrame, levels: np.ndarray, n_words: int) -> DataFrame:
     """pivot, part, split, shapes, around: bundles of one pivot's fragments. A shape is 4 times the words before the pivot
     plus those after it; around holds these words' keys. split is into how many parts a pivot goes."""
     spread = docs.sparkSession.sparkContext.broadcast(levels)
-    most = max(SPLIT, n_words >> SHARE_BITS)
+    most = max(SPLIT, n_words // (SHARE * parts(docs.sparkSession)))
     names = ["pivot", "part", "split", "shapes", "around"]
 
     def cut_out(key: np.ndarray, piece: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
