@@ -157,6 +157,13 @@ def nearest_exact(entries: DataFrame, asked: np.ndarray, x: np.ndarray, k: int)
     return found.withColumn("place", place).where(F.col("place") <= k).drop("place")
 
 
+def sample(valid: DataFrame, total: int) -> DataFrame:
+    """SAMPLE of the rows (or all), those of the least hashes of vec_id: no part of the table is left out."""
+    keep = min(1.0, 2.0 * SAMPLE / max(total, 1))  # expected to hold twice as many, so that what is ordered is small
+    drawn = valid.where(F.pmod(F.xxhash64("vec_id"), F.lit(1 << 20)) < int(np.ceil(keep * (1 << 20))))
+    return drawn.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE)
+
+
 def search(table: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", every: int = 20, k: int = 20, target: float = TARGET) -> DataFrame:
     """For each row whose id is divisible by `every`: query_id, rank (from 1), vec_id, score of its k nearest among all others.
 
@@ -174,8 +181,7 @@ def search(table: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding",
     if shape is None:
         return spark.createDataFrame([], schema)
     dim, total = shape["dim"], shape["count"]
-    keep = min(1.0, 2.0 * SAMPLE / total)
-    drawn = valid.where(F.size("vec") == dim).where(F.pmod(F.xxhash64("vec_id"), F.lit(1 << 20)) < int(keep * (1 << 20))).limit(SAMPLE).toArrow()
+    drawn = sample(valid.where(F.size("vec") == dim), total).toArrow()
     _, x = vectors(drawn.column("vec").combine_chunks(), dim)
     if not len(x):
         return spark.createDataFrame([], schema)

@@ -37,10 +37,10 @@ WITH d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(coales
 p AS (SELECT rid, doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM d),
 g AS (SELECT rid, doc_id, i, md5(array_to_string(w[i : i + 49], ' ')) AS h FROM p),
 s AS (SELECT h FROM g GROUP BY h HAVING count(DISTINCT rid) > 1),
-c AS (SELECT DISTINCT doc_id, i - 1 AS a, i + 49 AS b FROM g WHERE h IN (SELECT h FROM s)),
-f AS (SELECT *, coalesce(a > max(b) OVER (PARTITION BY doc_id ORDER BY a ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), true) AS fresh FROM c),
-r AS (SELECT *, count_if(fresh) OVER (PARTITION BY doc_id ORDER BY a ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS run FROM f)
-SELECT doc_id, CAST(min(a) AS BIGINT) AS start_word, CAST(max(b) - min(a) AS BIGINT) AS n_words FROM r GROUP BY doc_id, run
+c AS (SELECT DISTINCT rid, doc_id, i - 1 AS a, i + 49 AS b FROM g WHERE h IN (SELECT h FROM s)),
+f AS (SELECT *, coalesce(a > max(b) OVER (PARTITION BY rid ORDER BY a ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), true) AS fresh FROM c),
+r AS (SELECT *, count_if(fresh) OVER (PARTITION BY rid ORDER BY a ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS run FROM f)
+SELECT doc_id, CAST(min(a) AS BIGINT) AS start_word, CAST(max(b) - min(a) AS BIGINT) AS n_words FROM r GROUP BY rid, doc_id, run
 """
 
 #: The CRC-32 remainders of four bits.

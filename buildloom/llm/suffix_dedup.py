@@ -33,6 +33,8 @@ WINDOW = MATCH - REACH + 1
 #: So many suffixes of a key with different contexts are compared each with each; a piece of a key has at most HELD rows.
 FEW = 4
 HELD = 500_000
+#: Documents that meet at more distances than this are compared by the passages that they have, not at each distance.
+SHIFTS = 32
 U = np.uint64
 
 
@@ -228,13 +230,71 @@ def neighbours(docs: DataFrame) -> DataFrame:
     return found.where("b is not null").union(again.where("b is not null")).union(across).select("a", "b", "shift")
 
 
-def matches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, start_word, n_words, other_doc_id, other_start_word: passages of MATCH words or more that two documents share,
-    as far as they go, found in the sparse suffix array; each is listed from both sides.
+def _aligned(u: np.ndarray, v: np.ndarray, shift: int) -> list[tuple[int, int, int]]:
+    """start in u, words, start in v of the maximal matches of MATCH words or more where u is `shift` words behind v."""
+    lo, hi = max(0, shift), min(len(u), len(v) + shift)
+    if hi - lo < MATCH:
+        return []
+    same = np.zeros(hi - lo + 2, np.int8)
+    same[1:-1] = u[lo:hi] == v[lo - shift : hi - shift]
+    turn = np.diff(same)
+    begin, end = np.flatnonzero(turn == 1), np.flatnonzero(turn == -1)
+    long = end - begin >= MATCH
+    return [(lo + p, q - p, lo + p - shift) for p, q in zip(begin[long].tolist(), end[long].tolist())]
+
+
+def _extent(u: np.ndarray, v: np.ndarray) -> int:
+    """How many words u and v have in common from their beginning."""
+    at, step, most = 0, MATCH, min(len(u), len(v))
+    while at < most:
+        other = np.flatnonzero(u[at : at + step][: most - at] != v[at : at + step][: most - at])
+        if len(other):
+            return at + int(other[0])
+        at, step = at + step, 2 * step
+    return most
+
+
+def _covering(u: np.ndarray, v: np.ndarray) -> list[tuple[int, int, int]]:
+    """start in u, words, start in v of matches that cover every word of u that is in a passage of MATCH words which v has
+    too, from left to right: each as far as it goes, the next from the last shared passage that begins no later than its end."""
+    if min(len(u), len(v)) < MATCH:
+        return []
+    grams = []
+    for h in (u, v):
+        sums, down = _sums(h)
+        start = np.arange(len(h) - MATCH + 1)
+        grams.append(_hash_range(sums, down, start, start + MATCH))
+    theirs, first = np.unique(grams[1], return_index=True)
+    at = np.minimum(np.searchsorted(theirs, grams[0]), len(theirs) - 1)
+    shared = np.flatnonzero(theirs[at] == grams[0])
+    out, i = [], 0
+    while i < len(shared):
+        p = int(shared[i])
+        q = int(first[at[p]])
+        n = _extent(u[p:], v[q:])
+        if n >= MATCH:
+            out.append((p, n, q))
+        i = max(i + 1, int(np.searchsorted(shared, p + n, "right")) - 1)
+    return out
+
+
+def compared(u: np.ndarray, v: np.ndarray, shifts: list[int]) -> list[tuple[int, int, int]]:
+    """start in u, words, start in v of matches of two documents' words. Documents that meet at more than SHIFTS distances
+    repeat themselves, and share a passage in as many ways as they have words: of these, what covers each side."""
+    if len(shifts) <= SHIFTS:
+        return [m for s in shifts for m in _aligned(u, v, s)]
+    return list(dict.fromkeys(_covering(u, v) + [(p, n, q) for q, n, p in _covering(v, u)]))
 
-    Words are compared exactly, white space isn't. Null, empty and shorter texts share nothing. Rows that repeat an id are
-    documents of their own; a passage that only repeats within one row isn't listed. Of documents that share a passage
-    every one is listed with some other that shares it, not with all; no word of it is left out. An empty table gives an empty result.
+
+def matches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, start_word, n_words, other_doc_id, other_start_word, row, other_row: passages of MATCH words or more that two
+    documents share, found in the sparse suffix array; each is listed from both sides. row tells rows of one id apart.
+
+    Words are compared exactly, white space isn't. Null, empty and shorter texts share nothing. Rows that repeat an id, or
+    have none, are documents of their own; a passage that only repeats within one row isn't listed. Of documents that share
+    a passage every one is listed with some other that shares it, not with all; no word of it is left out. Passages are
+    listed as far as they go, but of documents that repeat one passage many times only what covers each side. An empty
+    table gives an empty result.
     """
     ship(docs.sparkSession)
     plain = keyed(docs, id_col, text_col)
@@ -244,40 +304,32 @@ def matches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     met = shifts
     for side in "ab":
         met = met.join(texts.select(F.col("rid").alias(side), F.col("doc_id").alias(f"id{side}"), F.col("text").alias(f"t{side}")), side)
+    names = ["doc_id", "start_word", "n_words", "other_doc_id", "other_start_word", "row", "other_row"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for at in range(0, b.num_rows, 128):
                 part = b.slice(at, 128)
                 x, y = (_word_lists(part.column(t)) for t in ("ta", "tb"))
-                out: list[list[int | None]] = []
-                for u, v, ia, ib, ss in zip(x, y, part.column("ida").to_pylist(), part.column("idb").to_pylist(), part.column("shifts").to_pylist()):
-                    for s in ss:
-                        lo, hi = max(0, s), min(len(u), len(v) + s)
-                        if hi - lo < MATCH:
-                            continue
-                        same = np.zeros(hi - lo + 2, np.int8)
-                        same[1:-1] = u[lo:hi] == v[lo - s : hi - s]
-                        turn = np.diff(same)
-                        begin, end = np.flatnonzero(turn == 1), np.flatnonzero(turn == -1)
-                        for p, q in zip(begin.tolist(), end.tolist()):
-                            if q - p >= MATCH:
-                                out.append([ia, lo + p, q - p, ib, lo + p - s])
-                                out.append([ib, lo + p - s, q - p, ia, lo + p])
-                cols = list(zip(*out)) if out else [[]] * 5
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["doc_id", "start_word", "n_words", "other_doc_id", "other_start_word"])
-
-    return met.select("ida", "idb", "shifts", "ta", "tb").mapInArrow(run, "doc_id long, start_word long, n_words long, other_doc_id long, other_start_word long")
+                out: list[tuple[int | None, ...]] = []
+                for u, v, ra, rb, ia, ib, ss in zip(x, y, *(part.column(c).to_pylist() for c in ("a", "b", "ida", "idb", "shifts"))):
+                    for p, n, q in compared(u, v, ss):
+                        out += [(ia, p, n, ib, q, ra, rb), (ib, q, n, ia, p, rb, ra)]
+                cols = list(zip(*out)) if out else [[]] * len(names)
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=names)
+
+    return met.select("a", "b", "ida", "idb", "shifts", "ta", "tb").mapInArrow(run, ", ".join(f"{n} long" for n in names))
 
 
 def covered(found: DataFrame) -> DataFrame:
-    """doc_id, start_word, n_words: of matches, each document's longest stretches of words that others have too, in passages of
-    MATCH words or more. What stretches cover doesn't depend on which documents were compared. Rows of one id are listed as one."""
-    ends = found.groupBy("doc_id", "start_word").agg(F.max(F.col("start_word") + F.col("n_words")).alias("end"))
-    order = Window.partitionBy("doc_id").orderBy("start_word")
+    """doc_id, start_word, n_words: of matches, each row's longest stretches of words that others have too, in passages of
+    MATCH words or more. What stretches cover doesn't depend on which documents were compared. Rows that repeat an id, or
+    have none, each have stretches of their own."""
+    ends = found.groupBy("row", "doc_id", "start_word").agg(F.max(F.col("start_word") + F.col("n_words")).alias("end"))
+    order = Window.partitionBy("row").orderBy("start_word")
     before = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
     runs = ends.withColumn("new", F.coalesce(F.col("start_word") > before, F.lit(True)).cast("int")).withColumn("run", F.sum("new").over(order))
-    runs = runs.groupBy("doc_id", "run").agg(F.min("start_word").alias("start_word"), F.max("end").alias("end"))
+    runs = runs.groupBy("row", "doc_id", "run").agg(F.min("start_word").alias("start_word"), F.max("end").alias("end"))
     return runs.select("doc_id", "start_word", (F.col("end") - F.col("start_word")).alias("n_words"))
 
 

@@ -4,6 +4,7 @@ from collections import Counter
 
 import brute
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from buildloom.llm import ann, langid, lm
@@ -183,9 +184,9 @@ def test_nearest_odd(spark):
         got.setdefault(x["query_id"], []).append((x["rank"], x["vec_id"], x["score"]))
     assert {20, 100, 120} <= got.keys() and not got.keys() & {80, 500, 520, 540, None}
     copies = [v for _, v, _ in sorted(got[120])]
-    larger = [i for i, e, _ in rows if e and i and i < 60 and i not in (20,) and sum(e) * 0.5 > 1.5]
     assert copies[len(set(copies) & set(range(1, 60))) :] == [100 + i for i in range(300) if i != 20][: 20 - len(set(copies) & set(range(1, 60)))]
-    assert len(larger) >= 0
+    above = sorted(i for i, e, _ in rows[:59] if i != 20 and sum(e) * 0.5 > 1.5)
+    assert set(copies) & set(range(1, 60)) == set(above) and len(above) < 20
     few = spark.createDataFrame(rows[:5] + [(60, [1.0] * 6, "x")], "vec_id long, embedding array<double>, cell string")
     assert [x["rank"] for x in ann.search(few).orderBy("rank").collect()] == [1, 2, 3, 4, 5]
     assert ann.search(table.limit(0)).count() == 0
@@ -199,3 +200,26 @@ def test_nearest_among_mostly_invalid(spark):
     table = bad.withColumn("embedding", bad["embedding"].cast("array<double>")).union(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
     got = ann.search(table).groupBy("query_id").count().collect()
     assert {x["query_id"]: x["count"] for x in got} == {i: 20 for i, _ in rows if i % 20 == 0}
+
+
+def test_the_sample_is_of_the_whole_table(spark):
+    table = spark.range(0, 200_000, 1, 8).selectExpr("id AS vec_id", "array(1D, id) AS vec")
+    ids = [r["vec_id"] for r in ann.sample(table, 200_000).select("vec_id").collect()]
+    assert len(set(ids)) == ann.SAMPLE
+    share = np.bincount(np.array(ids) // 25_000, minlength=8) / len(ids)
+    assert (abs(share - 1 / 8) < 0.01).all()
+
+
+def test_recall_on_many_clustered_vectors(spark):
+    """100,000 vectors in clusters, of which later rows have their own: all are learned from and found."""
+    r = np.random.default_rng(8)
+    centres = r.normal(size=(400, 16)) * 2
+    x = np.concatenate([centres[i // 250] + r.normal(size=16) * 0.4 for i in range(100_000)]).reshape(-1, 16)
+    flat = pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, 16), pa.int32()), pa.array(x.ravel()))
+    table = spark.createDataFrame(pa.table({"vec_id": np.arange(100_000), "embedding": flat})).repartition(8)
+    got = {}
+    for row in ann.search(table, every=500).collect():
+        got.setdefault(row["query_id"], set()).add(row["vec_id"])
+    want = exact_nearest(np.arange(100_000), x, 500, 20)
+    hits = sum(len(got[i] & {v for v, _ in want[i]}) for i in want)
+    assert got.keys() == want.keys() and hits >= 0.9 * 20 * len(want)

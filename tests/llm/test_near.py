@@ -1,4 +1,5 @@
 import random
+import time
 
 import brute
 import numpy as np
@@ -214,3 +215,42 @@ def test_hot_shingles_are_split(make, monkeypatch):
     docs = corpus(9, 160)
     got = ngram_join.groups(make(docs), 4, 85, 100).collect()
     assert {r["doc_id"]: r["component_id"] for r in got} == brute.near_groups(dict(docs), 4, 85, 100)
+
+
+def test_stretches_by_row(make):
+    """Rows without an id, or of one id, have stretches of their own."""
+    base = [f"w{i}" for i in range(120)]
+    rows = [(None, " ".join(base[:60] + ["x"] * 5)), (None, " ".join(base[10:120])), (1, " ".join(base[:70])), (1, " ".join(["y"] * 3 + base[60:120])), (1, " ".join(base[:70])), (2, "z " * 40)]
+    want = brute.repeats(dict(enumerate(t for _, t in rows)), suffix_dedup.MATCH)
+    runs = []
+    for i, (doc_id, _) in enumerate(rows):
+        at = sorted(want.get(i, ()))
+        starts = [w for w in at if w - 1 not in at]
+        runs += [(doc_id, w, next(e for e in range(w, 200) if e not in at) - w) for w in starts]
+    got = suffix_dedup.covered(suffix_dedup.matches(make(rows))).collect()
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, runs)) and len(runs) > 4
+
+
+def test_repeating_texts_take_linear_time(make):
+    """Texts that repeat a word, a phrase or a paragraph meet at very many distances: their stretches are found all the same."""
+    r = random.Random(9)
+    phrase, paragraph = " ".join(f"p{i}" for i in range(7)), " ".join(f"q{r.randint(0, 400)}" for _ in range(90))
+    rows = [(1, "x " * 160_000), (2, "x " * 320_000), (3, "y " + "x " * 55 + "z"), (4, (phrase + " ") * 9000), (5, "a " + (phrase + " ") * 30 + "b"), (6, (paragraph + " ") * 300), (7, paragraph + " end"), (8, "c " + (paragraph + " c ") * 40)]
+    began = time.time()
+    got = suffix_dedup.matches(make(rows)).collect()
+    assert time.time() - began < 60 and len(got) < 20_000
+    want = [(1, 0, 160_000), (2, 0, 320_000), (3, 1, 55), (4, 0, 63_000), (5, 1, 210), (6, 0, 27_000), (7, 0, 90), *[(8, 1 + 91 * i, 90) for i in range(40)]]
+    assert sorted(map(tuple, suffix_dedup.covered(suffix_dedup.matches(make(rows))).collect())) == want
+
+
+def test_covering_equals_each_distance():
+    """What is listed of repeating texts covers the words that comparing at each distance covers."""
+    r = np.random.default_rng(2)
+    for k in range(60):
+        u, v = (np.concatenate([np.tile(r.integers(0, 3, r.integers(1, 60)), r.integers(1, 5)) for _ in range(4)]).astype(np.uint64) for _ in range(2))
+        if k % 3 == 0:
+            v = np.concatenate([v, u[5:90], v[:20]])
+        every = {(p + i, q + i) for s in range(-len(v), len(u)) for p, n, q in suffix_dedup._aligned(u, v, s) for i in range(n)}
+        some = suffix_dedup.compared(u, v, list(range(-len(v), len(u))))
+        assert all(n >= suffix_dedup.MATCH and (u[p : p + n] == v[q : q + n]).all() for p, n, q in some)
+        assert {p for p, _ in every} == {p + i for p, n, _ in some for i in range(n)} and {q for _, q in every} == {q + i for _, n, q in some for i in range(n)}
