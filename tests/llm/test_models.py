@@ -220,6 +220,6 @@ def test_recall_on_many_clustered_vectors(spark):
     got = {}
     for row in ann.search(table, every=500).collect():
         got.setdefault(row["query_id"], set()).add(row["vec_id"])
-    want = exact_nearest(np.arange(100_000), x, 500, 20)
+    want = exact_nearest(np.arange(100_000), x, 20, 500)
     hits = sum(len(got[i] & {v for v, _ in want[i]}) for i in want)
     assert got.keys() == want.keys() and hits >= 0.9 * 20 * len(want)
