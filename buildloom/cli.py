@@ -19,6 +19,10 @@ NOT_FOUND = "ERROR: файл не найден: {}"
 LOADED = "Загрузка {} ... {} троек за {:.1f}с"
 SAVED = "\n✓ Отчёт сохранён: {}"
 
+#: What is returned when the file holds statements that aren't understood, and how many of these are shown.
+UNREAD = 3
+SHOWN = 10
+
 
 def session() -> SparkSession:
     return SparkSession.builder.appName("buildloom").config("spark.sql.session.timeZone", "UTC").getOrCreate()
@@ -30,7 +34,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--query", "-q", default="all", choices=["all", *render.AVAILABLE, "report"])
     p.add_argument("--report", "-r", nargs="?", const=True, metavar="OUTPUT.md", help="write the Markdown report, beside the file unless a path is given")
     p.add_argument("--sparql", help="run a query text and print its rows, tab-separated")
-    p.add_argument("--whole", action="store_true", help="the file has statements over several lines")
+    p.add_argument("--whole", action="store_true", help="read the file as one text; without it, files that aren't a statement on each line are found")
     p.add_argument("--quiet", action="store_true", help="with --report: don't print it as well")
     return p
 
@@ -44,8 +48,15 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         return 1
     spark = spark or session()
     began = time.time()
-    triples = turtle.read_turtle(spark, str(path), whole=args.whole).cache()
+    loaded = turtle.load(spark, str(path), whole=args.whole)
+    triples = loaded.triples.cache()
     graph = model.from_triples(triples)
+    missed = loaded.unread.orderBy("build_id", "line").limit(SHOWN + 1).collect()
+    for r in missed[:SHOWN]:
+        print(f"ERROR: line {r['line']} isn't read: {r['unread'][:200]}", file=sys.stderr)
+    if missed:
+        print(f"ERROR: statements that aren't read: {loaded.unread.count()}", file=sys.stderr)
+    done = UNREAD if missed else 0
     if args.sparql:
         try:
             rows = compile_query(graph, args.sparql)
@@ -55,7 +66,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         print("\t".join(rows.columns))
         for r in rows.toLocalIterator():
             print("\t".join("" if v is None else str(v) for v in r))
-        return 0
+        return done
     print(LOADED.format(path.name, triples.count() + len(turtle.schema_triples()), time.time() - began))
     if args.report is not None or args.query == "report":
         text = render.markdown(graph, str(path))
@@ -64,11 +75,11 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         if not (args.quiet and args.report is not None):
             print(text)
         print(SAVED.format(out), file=sys.stderr)
-        return 0
+        return done
     for name in render.AVAILABLE if args.query == "all" else [args.query]:
         print("\n".join(render.AVAILABLE[name](graph)))
     print()
-    return 0
+    return done
 
 
 if __name__ == "__main__":

@@ -1,26 +1,34 @@
 """Provenance files in Turtle: a schema header, then one statement on each line; and general Turtle.
 
 The recorder's writer escapes line ends in literals, so a data line is a whole statement and files can be split anywhere. A
-line may hold `;` and `,` lists. Files with statements over several lines are read whole, a file at a time. What isn't a
-statement is counted, not dropped unseen. Names are kept as :local and b:local: full IRIs and names of any prefix that a
-file binds are brought to that form by their namespaces.
+line may hold `;` and `,` lists of names, IRIs, labels and texts in double quotes. A line is read only if all of it is
+understood; of a file in which some line isn't, or that binds a prefix twice, each statement is read by its tokens, in
+whatever layout, a task for each such file (see turtle_text). What isn't understood there is listed, not dropped unseen.
+Names are kept as :local and b:local: full IRIs and names of any prefix that a file binds are brought to that form by their
+namespaces.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from dataclasses import dataclass
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalar import escape, unescape
 from ..plans.model import TRIPLES
-
-#: A literal, an IRI, a sign of lists and ends, or a name.
-_LITERAL = r'"(?:[^"\\\n]|\\.)*+"(?:\^\^[^\s;,]+|@[\w-]+)?'
-TOKEN = rf'{_LITERAL}|<[^<>\s]*>|[;,]|\.(?=\s|$)|[^\s;,<>"]*[^\s;,<>".]'
-#: A whole statement on one line, or the part of a text up to the full stop that ends a statement.
-WHOLE = rf'^\s*(?:(?:{TOKEN})\s*)++$'
-STATEMENT = rf'(?:{_LITERAL}|<[^<>\s]*>|#[^\n]*+|[^"<#.]|\.(?!\s|$))++\.(?=\s|$)'
-RDF = "http://www.w3.org/1999/02/22-rdf-syntax-ns#"
+from .files import ship
+from .turtle_text import RDF, Reader
+
+#: A literal, an IRI, a sign of lists and ends, or a name; and any other run of characters, which is none of these.
+_LITERAL = r'"(?:[^"\\\n]|\\[tbnrf"\'\\])*+"(?:\^\^(?:<[^<>\s]*>|[\w.-]*:[\w.-]*\w)|@[A-Za-z]+(?:-[A-Za-z0-9]+)*)?'
+_NAME = r"_:\w(?:[\w.-]*[\w-])?|(?:[A-Za-z](?:[\w.-]*[\w-])?)?:(?:[\w:](?:[\w:.-]*[\w:-])?)?"
+TOKEN = rf'{_LITERAL}(?=[\s;,]|\.?\s*$)|<[^<>"{{}}|^`\\\s]*>|{_NAME}|\ba\b|[;,]|\.(?=\s*$)|[^\s]+'
+#: A token of each kind that a line may hold, as a letter, and the order in which they may stand in it.
+KINDS = (("n", rf"^(?:<.*>|{_NAME})$"), ("l", f"^{_LITERAL}$"), ("a", "^a$"), (";", "^;$"), (",", "^,$"), (".", r"^\.$"))
+SHAPE = r"^n[na][nl](?:,[nl])*(?:;+[na][nl](?:,[nl])*)*;*\.$"
 DATA = "urn:build-provenance:data#"
 VOCABULARY = "urn:build-provenance:rdf#"
 
@@ -71,22 +79,35 @@ def header(data: str = DATA, vocabulary: str = VOCABULARY) -> str:
     return "\n".join([*lines[:-1], lines[-1] + " .", ""])
 
 
-def _name(term: Column, prefixes: Column | None) -> Column:
-    """A term as :local, b:local, a or _:label; names of namespaces that are neither vocabulary nor data stay whole IRIs.
-    Without prefixes, : and b: stand for data and vocabulary."""
-    iri = F.regexp_extract(term, r"^<(.*)>$", 1)
-    if prefixes is not None:
-        space = F.try_element_at(prefixes, F.substring_index(term, ":", 1))
-        iri = F.when(F.startswith(term, F.lit("_:")), F.lit("")).otherwise(F.coalesce(F.concat(space, F.regexp_replace(term, "^[^:]*:", "")), iri))
+#: What a file's prefixes stand for that it doesn't bind itself, if it binds none.
+USUAL = {"": DATA, "b": VOCABULARY, "xsd": "http://www.w3.org/2001/XMLSchema#", "rdf": RDF, "rdfs": "http://www.w3.org/2000/01/rdf-schema#"}
+
+
+def _usual() -> Column:
+    return F.create_map(*[F.lit(x) for pair in USUAL.items() for x in pair])
+
+
+def _prefix(term: Column) -> Column:
+    """The prefix of a name; null of anything else."""
+    return F.when(term.rlike(rf"^(?:{_NAME})$") & ~F.startswith(term, F.lit("_:")), F.substring_index(term, ":", 1))
+
+
+def _name(term: Column, prefixes: Column) -> Column:
+    """A term as :local, b:local, a or _:label; names of namespaces that are neither vocabulary nor data become whole IRIs."""
+    space = F.try_element_at(prefixes, _prefix(term))
+    iri = F.coalesce(F.concat(space, F.regexp_replace(term, "^[^:]*:", "")), F.regexp_extract(term, r"^<(.*)>$", 1))
     local = lambda kind: F.regexp_extract(iri, rf"\b{kind}#([^#]*)$", 1)
-    out = F.when((iri == RDF + "type") | (term == "rdf:type"), F.lit("a"))
+    out = F.when(iri == RDF + "type", F.lit("a"))
     out = out.when(iri.rlike(r"\brdf#[^#]*$"), F.concat(F.lit("b:"), local("rdf"))).when(iri.rlike(r"\bdata#[^#]*$"), F.concat(F.lit(":"), local("data")))
     return out.when(iri != "", F.concat(F.lit("<"), iri, F.lit(">"))).otherwise(term)
 
 
-def _spelled_out(statement: Column) -> Column:
+def _tokens(value: Column) -> Column:
+    return F.regexp_extract_all(value, F.lit(TOKEN), F.lit(0))
+
+
+def _spelled_out(value: Column) -> Column:
     """The s, p, o terms of a statement's triples: its tokens are taken in turn, `;` keeps the subject and `,` the predicate."""
-    tokens = F.regexp_extract_all(statement, F.lit(TOKEN), F.lit(0))
     triples = "array<struct<s:string,p:string,o:string>>"
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("s"), F.lit("").alias("p"), F.array().cast(triples).alias("out"))
 
@@ -101,63 +122,142 @@ def _spelled_out(statement: Column) -> Column:
             F.when(said, F.concat(x["out"], made)).otherwise(x["out"]).alias("out"),
         )
 
-    return F.aggregate(tokens, start, step, lambda x: x["out"])
+    return F.aggregate(_tokens(value), start, step, lambda x: x["out"])
 
 
 def _is_data(value: Column) -> Column:
     """Neither blank nor a comment, a prefix, or part of the vocabulary's own description."""
-    return ~value.rlike(r"^\s*(#|@prefix|@base|b:|$)") & ~value.rlike(r"^\s+(a|rdfs:\w+)\s")
+    return ~value.rlike(r"^\s*(#|b:|$)") & ~value.rlike(rf"^\s*{PREFIX}\s*$") & ~value.rlike(r"^\s+(a|rdfs:\w+)\s")
+
+
+PREFIX = r"@prefix\s+([^\s:]*):\s*<([^<>\s]*)>\s*\."
+
+
+def _understood(value: Column, prefixes: Column) -> Column:
+    """Whether a line is one whole statement: each token of a known kind, in an order that a statement may have, each prefix
+    bound."""
+
+    def kind(t: Column) -> Column:
+        out = None
+        for letter, pattern in KINDS:
+            out = F.when(t.rlike(pattern), letter) if out is None else out.when(t.rlike(pattern), letter)
+        return out.otherwise("x")
+
+    tokens = _tokens(value)
+    bound = F.forall(tokens, lambda t: F.coalesce(F.map_contains_key(prefixes, _prefix(t)), F.lit(True)))
+    return F.array_join(F.transform(tokens, kind), "").rlike(SHAPE) & bound
 
 
 def parse_lines(lines: DataFrame, prefixes: str | None = None) -> DataFrame:
     """Triples (a set) of the statements in (build_id, value), each of which is whole; others are left out (see unread).
     prefixes: the column of a map from a prefix to its namespace."""
-    x = lines.where(_is_data(F.col("value")) & F.col("value").rlike(WHOLE))
-    named = [F.col(prefixes).alias("prefixes")] if prefixes else []
-    got = x.select("build_id", *named, F.explode(_spelled_out(F.col("value"))).alias("t")).select("build_id", *(["prefixes"] if prefixes else []), "t.*")
-    spaces = F.col("prefixes") if prefixes else None
+    known = lines.withColumn("prefixes", F.col(prefixes) if prefixes else _usual())
+    x = known.where(_is_data(F.col("value")) & _understood(F.col("value"), F.col("prefixes")))
+    got = x.select("build_id", "prefixes", F.explode(_spelled_out(F.col("value"))).alias("t")).select("build_id", "prefixes", "t.*")
     is_text = F.startswith("o", F.lit('"'))
     text = unescape(F.regexp_extract("o", r'(?s)^"(.*)"(?:\^\^\S+|@\S+)?$', 1))
     kind = F.when(is_text, "literal").when(F.startswith("o", F.lit("_:")), "bnode").otherwise("iri")
+    spaces = F.col("prefixes")
     out = got.select("build_id", _name(F.col("s"), spaces).alias("s"), _name(F.col("p"), spaces).alias("p"), F.when(is_text, text).otherwise(_name(F.col("o"), spaces)).alias("o"), kind.alias("o_kind"))
     return out.where(~F.startswith("s", F.lit("b:"))).distinct()
 
 
-def unread(lines: DataFrame) -> DataFrame:
+def unread(lines: DataFrame, prefixes: str | None = None) -> DataFrame:
     """The data lines that parse_lines can't read: neither a whole statement nor anything else that may stand in a file."""
-    return lines.where(_is_data(F.col("value")) & ~(F.col("value").rlike(WHOLE) & F.col("value").rlike(r"\.\s*$")))
+    return lines.where(_is_data(F.col("value")) & ~_understood(F.col("value"), F.col(prefixes) if prefixes else _usual()))
+
+
+def parse_texts(texts: DataFrame) -> DataFrame:
+    """build_id, s, p, o, o_kind, unread, line of (build_id, value), each value a whole Turtle text in any layout: a row for
+    each triple, and one for each statement that isn't understood, with its text and first line (else null). Blank nodes
+    without a label get one that the text doesn't have."""
+    ship(texts.sparkSession)
+    names = ["build_id", "s", "p", "o", "o_kind", "unread", "line"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for build, text in zip(*(c.to_pylist() for c in batch.columns)):
+                rows, line, at = [], 1, 0
+                for triples, bad, start in Reader(text or "", {} if (text or "").find(":") < 0 else usual_of(text)).statements():
+                    if bad is None:
+                        rows += [(build, *t, None, None) for t in triples if not t[0].startswith("b:")]
+                    else:
+                        line, at = line + text.count("\n", at, start), start
+                        rows.append((build, None, None, None, None, bad, line))
+                    if len(rows) >= 10_000:
+                        yield packed(rows)
+                        rows = []
+                if rows:
+                    yield packed(rows)
+
+    def usual_of(text: str) -> dict[str, str]:
+        import re
+
+        return {} if re.search(r"(?im)^\s*@?prefix\b", text) else USUAL
+
+    def packed(rows: list[tuple]) -> pa.RecordBatch:
+        cols = list(zip(*rows))
+        return pa.RecordBatch.from_arrays([*(pa.array(c, pa.string()) for c in cols[:6]), pa.array(cols[6], pa.int32())], names=names)
+
+    return texts.select("build_id", "value").mapInArrow(run, f"{TRIPLES}, unread string, line int")
 
 
 def _prefixes(lines: DataFrame) -> DataFrame:
-    """build_id, prefixes: what each file binds; a row for each file."""
-    line = r"^\s*@prefix\s+([^\s:]*):\s*<([^>]*)>"
-    bound = lines.where(F.col("value").rlike(line)).groupBy("build_id", F.regexp_extract("value", line, 1).alias("prefix")).agg(F.min(F.regexp_extract("value", line, 2)).alias("space"))
-    return bound.groupBy("build_id").agg(F.map_from_entries(F.collect_list(F.struct("prefix", "space"))).alias("prefixes"))
+    """file, prefixes, twice: what each file binds, and whether it binds a prefix to two namespaces; a row for each file."""
+    line = rf"^\s*{PREFIX}"
+    bound = lines.where(F.col("value").rlike(line)).groupBy("file", F.regexp_extract("value", line, 1).alias("prefix"))
+    bound = bound.agg(F.min(F.regexp_extract("value", line, 2)).alias("space"), F.max(F.regexp_extract("value", line, 2)).alias("other"))
+    return bound.groupBy("file").agg(F.map_from_entries(F.collect_list(F.struct("prefix", "space"))).alias("prefixes"), F.max(F.col("space") != F.col("other")).alias("twice"))
 
 
-#: A file's prefixes are broadcast to its lines up to this many files.
+#: A file's prefixes are broadcast to its lines up to this many files; as many may need to be read whole.
 MOST_FILES = 100_000
 
 
-def read_turtle(spark: SparkSession, path: str, with_schema: bool = False, whole: bool = False) -> DataFrame:
-    """The triples of one file, or of all files that path names; build_id is the file's stem without `-build`.
-
-    Files are read line by line, each line a statement; with whole, each is read by one task and cut into statements, however
-    these are laid out. The files' schema headers are served from the fixed vocabulary, if asked for."""
-    stem = F.regexp_replace(F.regexp_extract(F.col("_metadata.file_name"), r"^(.*?)(\.[^.]*)?$", 1), "-build", "")
-    lines = spark.read.text(path, wholetext=whole).select(stem.alias("build_id"), "value")
-    if whole:
-        cut = F.regexp_extract_all("value", F.lit(STATEMENT), F.lit(0))
-        lines = lines.select("build_id", F.explode(cut).alias("value")).withColumn("value", F.trim(F.regexp_replace("value", r"(?m)^\s*#[^\n]*$", ""), F.lit(" \n\r\t")))
-    bound = _prefixes(lines)
-    few = bound.limit(MOST_FILES + 1).count() <= MOST_FILES
-    known = lines.join(F.broadcast(bound) if few else bound, "build_id", "left").withColumn("prefixes", F.coalesce("prefixes", F.create_map(F.lit(""), F.lit(DATA), F.lit("b"), F.lit(VOCABULARY))))
-    out = parse_lines(known, "prefixes")
+@dataclass(frozen=True)
+class Loaded:
+    """triples: of every statement that was understood. unread: build_id, unread, line of those that weren't."""
+
+    triples: DataFrame
+    unread: DataFrame
+
+
+def load(spark: SparkSession, path: str, with_schema: bool = False, whole: bool = False) -> Loaded:
+    """One file, or all files that path names; build_id is the file's stem without `-build`.
+
+    Files are read line by line, each line a statement. Those that aren't written so are found in a first pass and read
+    whole, one task each; with whole, all are. The schema header is served from the fixed vocabulary, if asked for."""
+    stem = F.regexp_replace(F.regexp_extract(F.col("_metadata.file_name"), r"^(.*?)(\.[^.]*)?$", 1), "-build", "").alias("build_id")
+    file = F.col("_metadata.file_path").alias("file")
+    lines = spark.read.text(path).select(file, stem, "value")
+    odd: list[str] = []
+    plain = None
+    if not whole:
+        bound = _prefixes(lines)
+        few = bound.limit(MOST_FILES + 1).count() <= MOST_FILES
+        known = lines.join(F.broadcast(bound) if few else bound, "file", "left").withColumn("prefixes", F.coalesce("prefixes", _usual()))
+        strange = unread(known, "prefixes").select("file").union(bound.where("twice").select("file")).distinct()
+        odd = [r["file"] for r in strange.limit(MOST_FILES + 1).collect()]
+        if len(odd) > MOST_FILES:
+            raise ValueError(f"more than {MOST_FILES} files aren't a statement on each line: read them in parts")
+        plain = parse_lines(known.where(~F.col("file").isin(odd)) if odd and len(odd) <= 100 else known.join(F.broadcast(strange), "file", "left_anti") if odd else known, "prefixes")
+    none = spark.createDataFrame([], "build_id string, unread string, line int")
+    triples, missed = plain, none
+    if whole or odd:
+        general = parse_texts(spark.read.text(path if whole else odd, wholetext=True).select(stem, "value"))
+        said = general.where("unread is null").select("build_id", "s", "p", "o", "o_kind").distinct()
+        triples = said if plain is None else plain.unionByName(said)
+        missed = general.where("unread is not null").select("build_id", "unread", "line")
     if with_schema:
         builds = lines.select("build_id").distinct()
         fixed = spark.createDataFrame(schema_triples(), "s string, p string, o string, o_kind string")
-        out = out.unionByName(builds.crossJoin(F.broadcast(fixed)).select(*out.columns))
-    return out
+        triples = triples.unionByName(builds.crossJoin(F.broadcast(fixed)).select(*triples.columns))
+    return Loaded(triples, missed)
+
+
+def read_turtle(spark: SparkSession, path: str, with_schema: bool = False, whole: bool = False) -> DataFrame:
+    """The triples that load finds."""
+    return load(spark, path, with_schema, whole).triples
 
 
 def statements(triples: DataFrame) -> DataFrame:
