@@ -110,6 +110,20 @@ def unescape(x: Column | str) -> Column:
     return F.array_join(F.transform(F.split(_col(x), r"\\\\"), plain), "\\")
 
 
+#: The namespaces of a graph's nodes and of its vocabulary, and of the property that `a` stands for.
+DATA = "urn:build-provenance:data#"
+VOCABULARY = "urn:build-provenance:rdf#"
+RDF = "http://www.w3.org/1999/02/22-rdf-syntax-ns#"
+
+
+def iri_of(node: Column | str) -> Column:
+    """The whole IRI of a node or name as graphs have it; null of a blank node."""
+    x = _col(node)
+    out = F.when(x == "a", RDF + "type").when(F.startswith(x, F.lit(":")), F.concat(F.lit(DATA), F.substring(x, 2, 1 << 30)))
+    out = out.when(F.startswith(x, F.lit("b:")), F.concat(F.lit(VOCABULARY), F.substring(x, 3, 1 << 30)))
+    return out.when(F.startswith(x, F.lit("<")), F.regexp_extract(x, "^<(.*)>$", 1))
+
+
 def env_split(entry: Column | str) -> tuple[Column, Column]:
     """Name and value of a NAME=value entry."""
     both = F.split(_col(entry), "=", 2)

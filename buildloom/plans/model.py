@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, fields, replace
+from dataclasses import dataclass, replace
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -38,15 +38,20 @@ class Graph:
     executable: DataFrame
     creates: DataFrame
     rename: DataFrame
+    #: All triples that the tables were made from, where they were: also those that no table has a place for.
+    said: DataFrame | None = None
 
     @property
     def typed(self) -> DataFrame:
         return self.process.where("typed").select("build_id", "pid_node")
 
     def only(self, build_id: str) -> Graph:
-        return replace(self, **{f.name: getattr(self, f.name).where(F.col("build_id") == build_id) for f in fields(self)})
+        of = {n: getattr(self, n) for n in (*SCHEMAS, "said")}
+        return replace(self, **{n: t.where(F.col("build_id") == build_id) for n, t in of.items() if t is not None})
 
     def triples(self) -> DataFrame:
+        if self.said is not None:
+            return self.said
         return reduce(DataFrame.unionByName, self.triples_by_table())
 
     def triples_by_table(self) -> list[DataFrame]:
@@ -77,8 +82,10 @@ class Graph:
 
 
 def from_triples(triples: DataFrame) -> Graph:
-    """Property tables of a set of triples. A second value of a single-valued property isn't expected; the least one counts."""
-    t = triples.select("build_id", "s", "p", "o").distinct()
+    """Property tables of a set of triples. A second value of a single-valued property isn't expected; the least one counts.
+    Texts where a node belongs, nodes where a text belongs, and properties that no table has are in `said` alone."""
+    texts = F.col("p").isin("b:cmd", "b:start", "b:end", "b:env", "b:name", "b:abspath", "b:hash")
+    t = triples.where(texts == (F.col("o_kind") == "literal")).select("build_id", "s", "p", "o").distinct()
 
     def edge(p: str, s: str, o: str) -> DataFrame:
         return t.where(F.col("p") == p).select("build_id", F.col("s").alias(s), F.col("o").alias(o))
@@ -96,6 +103,7 @@ def from_triples(triples: DataFrame) -> Graph:
     return Graph(
         process, edge("b:cmd", "pid_node", "cmd"), edge("b:start", "pid_node", "start_ts"), edge("b:env", "pid_node", "entry"), file,
         edge("b:reads", "pid_node", "file_node"), edge("b:writes", "pid_node", "file_node"), edge("b:executable", "pid_node", "file_node"), edge("b:creates", "pid_node", "child_node"), rename,
+        triples.select("build_id", "s", "p", "o", "o_kind").distinct(),
     )
 
 
@@ -105,8 +113,8 @@ def empty(spark: SparkSession) -> Graph:
 
 def save(graph: Graph, path: str) -> None:
     """Parquet, a folder for each table."""
-    for f in fields(graph):
-        getattr(graph, f.name).write.mode("overwrite").parquet(f"{path}/{f.name}")
+    for name in SCHEMAS:
+        getattr(graph, name).write.mode("overwrite").parquet(f"{path}/{name}")
 
 
 def load(spark: SparkSession, path: str) -> Graph:

@@ -12,7 +12,7 @@ from .functions import scalar as fn
 from .operators import auxiliary, events
 from .plans import reports
 from .plans.lookups import BUILD_SYSTEMS, EXT_LANG, PACKAGE_ROLE, PROGRAM_PACKAGE
-from .plans.model import from_triples
+from .plans.model import Graph, from_triples
 from .plans.sparql import compile_query
 from .sources import projection, turtle
 
@@ -119,6 +119,46 @@ def turtle_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     return turtle.parse_lines(said.select("build_id", F.concat(F.lit(":"), "pid_node", F.lit(" a b:process ; b:cmd "), "cmds", F.lit(" .")).alias("value"))).select("s", "p", "o")
 
 
+def turtle_general(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A text for each part, its statements over several lines: blank nodes, long and single-quoted texts, numbers, other
+    prefixes, and one statement that can't be read."""
+    key, name = F.col("p_partkey").cast("string"), F.col("p_name")
+    text = F.concat(
+        F.lit(f"PREFIX v: <{turtle.VOCABULARY}>\n@prefix d: <{turtle.DATA}> .\nd:f"), key, F.lit(" a v:file ;\n  v:name \'\'\'"), name, F.lit("\n. \"q\"\'\'\' ; # . ;\n  v:abspath \'/p/"), key,
+        F.lit("\', 7 .\nd:p"), key, F.lit(" v:reads [ a v:file ; v:abspath \"/anon/"), key, F.lit("\" ] ,\n d:f"), key, F.lit(" .\nd:p"), key, F.lit(" v:reads [ d:f"), key, F.lit(" ] .\n"),
+    )
+    read = turtle.parse_texts(spark.read.parquet(f"{sf_dir}/part.parquet").select(key.alias("build_id"), text.alias("value")))
+    return read.select("build_id", "s", "p", "o", "unread", "line")
+
+
+def _spelled(spark: SparkSession, sf_dir: str) -> Graph:
+    """The graph with texts that are spelled like nodes and names: each command's process has its parent's name as a text too."""
+    named = _named(projection.graph(spark, sf_dir).triples())
+    typed, n = named.where("p = 'a' and o = 'b:process'"), F.substring("s", 3, 20).cast("long")
+    texts = typed.select("build_id", "s", F.lit("b:cmd").alias("p"), F.concat(F.lit(":p"), F.expr("cast(substring(s, 3) as long) div 8")).alias("o"), F.lit("literal").alias("o_kind"))
+    names = typed.where(n % 7 == 0).select("build_id", "s", F.lit("b:env").alias("p"), F.lit("b:process").alias("o"), F.lit("literal").alias("o_kind"))
+    return from_triples(named.unionByName(texts).unionByName(names))
+
+
+def sparql_nodes_not_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compile_query(_spelled(spark, sf_dir), "SELECT ?s ?x WHERE { ?s ?p ?x . ?x a b:process }")
+
+
+def sparql_texts_not_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compile_query(_spelled(spark, sf_dir), 'SELECT ?s ?p WHERE { ?s ?p "b:process" }')
+
+
+def sparql_iris(spark: SparkSession, sf_dir: str) -> DataFrame:
+    named = from_triples(_named(projection.graph(spark, sf_dir).triples()))
+    return compile_query(named, 'SELECT ?s ?o WHERE { ?s b:creates ?o . FILTER(STRENDS(STR(?s), "data#p1") || REGEX(STR(?o), "#p1[0-9]$")) }')
+
+
+def sparql_lineage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a file was made from, and what that was made from, and so on."""
+    named = from_triples(_named(projection.graph(spark, sf_dir).triples()))
+    return compile_query(named, "SELECT DISTINCT ?source WHERE { :f2_0 (^b:writes/b:reads)+ ?source }")
+
+
 def graph_with_schema(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A file's graph is its schema header and its data: statements by predicate."""
     schema = spark.createDataFrame(turtle.schema_triples(), "s string, p string, o string, o_kind string").select("p")
@@ -174,6 +214,10 @@ def build_system_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # The reports' questions as SPARQL texts, which users may ask as well; names stand as the projection has them.
 SPARQL = {
+    "sparql_descendants": "SELECT ?ancestor ?process WHERE { ?ancestor b:creates+ ?process }",
+    "sparql_optional_join": "SELECT ?f ?h WHERE { ?f b:abspath ?path . OPTIONAL { ?f b:hash ?h } OPTIONAL { ?f b:name ?h } }",
+    "sparql_union_join": "SELECT ?p ?f WHERE { { ?p b:executable ?x } UNION { ?p b:reads ?f } ?p b:writes ?f }",
+    "sparql_minus_having": "SELECT ?p (COUNT(?f) AS ?n) WHERE { ?p b:reads ?f . MINUS { ?q b:writes ?f } } GROUP BY ?p HAVING (?n > 2)",
     "sparql_exec_counts": "SELECT ?path (COUNT(?proc) AS ?n) WHERE { ?proc a b:process ; b:executable ?exe . ?exe b:abspath ?path . } GROUP BY ?path ORDER BY DESC(?n)",
     "sparql_external_libs": """SELECT DISTINCT ?path ?hash WHERE { ?proc b:reads ?file . ?file b:abspath ?path . OPTIONAL { ?file b:hash ?hash } FILTER NOT EXISTS { ?any b:writes ?file }
         FILTER(STRSTARTS(STR(?path),"/usr/lib") || STRSTARTS(STR(?path),"/lib")) FILTER(CONTAINS(STR(?path),".so")) } ORDER BY ?path""",
@@ -221,7 +265,7 @@ GRAPH_QUERIES: dict[str, Callable[..., DataFrame]] = {
     "triples_by_predicate": reports.triples_by_predicate,
 }
 
-TABLE_QUERIES: dict[str, Query] = {f.__name__: f for f in (triple_roundtrip, access_mode_edges, fd_sessions, syscall_pairs, file_identity, live_processes, git_blob_hash, line_pattern_counts, section_strip, build_system_choice, bound_subject, turtle_lists, graph_with_schema)}
+TABLE_QUERIES: dict[str, Query] = {f.__name__: f for f in (triple_roundtrip, access_mode_edges, fd_sessions, syscall_pairs, file_identity, live_processes, git_blob_hash, line_pattern_counts, section_strip, build_system_choice, bound_subject, turtle_lists, graph_with_schema, turtle_general, sparql_nodes_not_texts, sparql_texts_not_names, sparql_iris, sparql_lineage)}
 
 
 def queries() -> dict[str, Query]:
@@ -236,6 +280,18 @@ _SPAN = f"SELECT min(start_ts) AS begin_ts, max(end_ts) AS finish_ts FROM proces
 _RELATIVE = """SELECT path, replace(path, coalesce((SELECT regexp_extract(path, '^(.*?(?:/BUILD/[^/]+/|/build/src/))', 1) FROM sources WHERE regexp_matches(path, '/BUILD/[^/]+/|/build/src/') ORDER BY path LIMIT 1), ''), '') AS rel_path FROM sources"""
 
 _BODIES = {
+    "sparql_descendants": "SELECT ancestor, process FROM descent",
+    "sparql_lineage": "SELECT ':' || fid AS source FROM lineage",
+    "sparql_optional_join": "SELECT fid AS f, coalesce(hash, name) AS h FROM file",
+    "sparql_union_join": "SELECT pid AS p, w.fid AS f FROM executable JOIN writes w USING (pid) UNION ALL SELECT pid, fid FROM reads JOIN writes USING (pid, fid)",
+    "sparql_minus_having": "SELECT pid AS p, count(*) AS n FROM reads WHERE fid NOT IN (SELECT fid FROM writes) GROUP BY pid HAVING count(*) > 2",
+    "sparql_nodes_not_texts": "SELECT ':' || pid AS s, ':' || cid AS x FROM creates WHERE cid IN (SELECT pid FROM typed)",
+    "sparql_texts_not_names": "SELECT ':' || pid AS s, 'b:env' AS p FROM typed WHERE CAST(substr(pid, 2) AS BIGINT) % 7 = 0",
+    "sparql_iris": "SELECT ':' || pid AS s, ':' || cid AS o FROM creates WHERE pid = 'p1' OR regexp_full_match(cid, 'p1[0-9]')",
+    "turtle_general": """
+SELECT CAST(p_partkey AS VARCHAR) AS build_id, replace(t.s, '#', p_partkey::VARCHAR) AS s, t.p, CASE WHEN t.o = 'NAME' THEN p_name || chr(10) || '. "q"' ELSE replace(t.o, '#', p_partkey::VARCHAR) END AS o, replace(t.unread, '#', p_partkey::VARCHAR) AS unread, t.line
+FROM part, (VALUES (':f#', 'a', 'b:file', NULL, NULL), (':f#', 'b:name', 'NAME', NULL, NULL), (':f#', 'b:abspath', '/p/#', NULL, NULL), (':f#', 'b:abspath', '7', NULL, NULL), (':p#', 'b:reads', '_:anon0', NULL, NULL),
+  ('_:anon0', 'a', 'b:file', NULL, NULL), ('_:anon0', 'b:abspath', '/anon/#', NULL, NULL), (':p#', 'b:reads', ':f#', NULL, NULL), (NULL, NULL, NULL, 'd:p# v:reads [ d:f# ] .', 9)) t(s, p, o, unread, line)""",
     "stats_processes": "SELECT count(*) AS n FROM typed",
     "stats_files": "SELECT count(*) AS n FROM file",
     "stats_reads": "SELECT count(*) AS n FROM reads",
@@ -301,5 +357,12 @@ SELECT pid, fd, seq AS open_seq, CASE WHEN nd = -1 THEN nseq END AS close_seq FR
 """
 
 
+#: What recursive queries are made from; their WITH is a WITH RECURSIVE.
+_RECURSIVE = {
+    "sparql_descendants": "descent AS (SELECT pid AS ancestor, cid AS process FROM creates UNION SELECT ancestor, cid FROM descent JOIN creates ON creates.pid = process)",
+    "sparql_lineage": "lineage AS (SELECT r.fid FROM writes w JOIN reads r USING (pid) WHERE w.fid = 'f2_0' UNION SELECT r.fid FROM lineage l JOIN writes w ON w.fid = l.fid JOIN reads r USING (pid))",
+}
+
+
 def oracle_sql() -> dict[str, str]:
-    return {n: _sql(b) for n, b in _BODIES.items()} | {"fd_sessions": _FD_SESSIONS} | log_queries.SQL
+    return {n: "WITH RECURSIVE " + _sql(b, _RECURSIVE[n]).removeprefix("WITH ") if n in _RECURSIVE else _sql(b) for n, b in _BODIES.items()} | {"fd_sessions": _FD_SESSIONS} | log_queries.SQL

@@ -17,10 +17,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.scalar import escape, unescape
+from ..functions.scalar import DATA, RDF, VOCABULARY, escape, unescape
 from ..plans.model import TRIPLES
 from .files import ship
-from .turtle_text import RDF, Reader
+from .turtle_text import Reader
 
 #: A literal, an IRI, a sign of lists and ends, or a name; and any other run of characters, which is none of these.
 _LITERAL = r'"(?:[^"\\\n]|\\[tbnrf"\'\\])*+"(?:\^\^(?:<[^<>\s]*>|[\w.-]*:[\w.-]*\w)|@[A-Za-z]+(?:-[A-Za-z0-9]+)*)?'
@@ -29,8 +29,6 @@ TOKEN = rf'{_LITERAL}(?=[\s;,]|\.?\s*$)|<[^<>"{{}}|^`\\\s]*>|{_NAME}|\ba\b|[;,]|
 #: A token of each kind that a line may hold, as a letter, and the order in which they may stand in it.
 KINDS = (("n", rf"^(?:<.*>|{_NAME})$"), ("l", f"^{_LITERAL}$"), ("a", "^a$"), (";", "^;$"), (",", "^,$"), (".", r"^\.$"))
 SHAPE = r"^n[na][nl](?:,[nl])*(?:;+[na][nl](?:,[nl])*)*;*\.$"
-DATA = "urn:build-provenance:data#"
-VOCABULARY = "urn:build-provenance:rdf#"
 
 # The vocabulary: property, label, domain, range, comment.
 CLASSES = (("process", "Process", "Represents a process."), ("file", "File", "Represents a file."))

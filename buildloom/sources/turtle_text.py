@@ -10,7 +10,8 @@ import re
 from collections.abc import Iterator
 from urllib.parse import urljoin
 
-RDF = "http://www.w3.org/1999/02/22-rdf-syntax-ns#"
+from ..functions.scalar import RDF
+
 _ESCAPE = r"\\(?:[tbnrf\"'\\]|u[0-9A-Fa-f]{4}|U[0-9A-Fa-f]{8})"
 _LABEL = r"[\w\u00B7](?:[\w\u00B7.-]*[\w\u00B7-])?"
 _LOCAL = r"(?:[\w:\u00B7]|%[0-9A-Fa-f]{2}|\\[_~.\-!$&'()*+,;=/?#@%])"

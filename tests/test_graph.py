@@ -151,3 +151,55 @@ d:p0 a v:process ; v:cmd "x ; y . , \\"z\\"", "two" .
     assert {t for t in got if not t[0].startswith("<http://host.example/rdf#")} == want
     lines = spark.createDataFrame([("x", l) for l in (":p0 a b:process .", ":p0 b:cmd \"open .", ":p0 a b:process ;", "", "# no", "b:process a rdfs:Class .", ":f0 b:name \"a\" .")], "build_id string, value string")
     assert sorted(r["value"] for r in turtle.unread(lines).collect()) == [":p0 a b:process ;", ":p0 b:cmd \"open ."]
+
+
+def test_terms_keep_their_kind(spark):
+    """A text is neither the node nor the name that is spelled like it."""
+    rows = [("x", ":p0", "a", "b:process", "iri"), ("x", ":p0", "b:cmd", "b:process", "literal"), ("x", ":p0", "b:cmd", ":f0", "literal"), ("x", ":p0", "b:reads", ":f0", "iri"), ("x", ":f0", "a", "b:file", "iri"), ("x", ":f0", "b:name", "two", "literal"), ("x", ":f0", "b:name", "one", "literal"), ("x", ":p0", "<urn:x#note>", "other", "literal"), ("x", "_:b", "b:cmd", "blank", "literal")]
+    read = model.from_triples(turtle.from_rows(spark, rows))
+    stored = model.Graph(**{n: getattr(read, n) for n in model.SCHEMAS})
+    ask = lambda g, text: sorted(tuple(r) for r in compile_query(g, text).collect())
+    for g in (read, stored):
+        assert ask(g, 'SELECT ?s ?p WHERE { ?s ?p "b:process" }') == [(":p0", "b:cmd")]
+        assert ask(g, "SELECT ?s ?p WHERE { ?s ?p b:process }") == [(":p0", "a")]
+        assert ask(g, "SELECT ?s WHERE { ?s b:cmd b:process }") == []
+        assert ask(g, "SELECT ?s ?x WHERE { ?s b:cmd ?x . ?s b:reads ?x }") == []
+        assert ask(g, "SELECT ?s ?x WHERE { ?s ?p ?x . ?s b:reads ?x }") == [(":p0", ":f0")]
+        assert ask(g, "SELECT ?x WHERE { ?s b:cmd ?x . FILTER(?x = :f0) }") == [] == ask(g, 'SELECT ?x WHERE { ?s b:reads ?x . FILTER(?x = ":f0") }')
+        assert ask(g, 'SELECT ?x WHERE { ?s ?p ?x . FILTER(?x != ":f0" && ?x != b:process && ?x != b:file) FILTER(?p IN (b:cmd, b:reads)) }') == [(":f0",), ("b:process",), ("blank",)]
+        assert ask(g, f'SELECT ?s WHERE {{ ?s a b:process . FILTER(STR(?s) = "{turtle.DATA}p0" && CONTAINS(STR(?s), "#") && STRENDS(STR(?s), "#p0")) }}') == [(":p0",)]
+        assert ask(g, 'SELECT ?s WHERE { ?s b:cmd ?x . FILTER(CONTAINS(STR(?s), "b")) }') == [(":p0",), (":p0",)]
+        assert ask(g, 'SELECT ?s WHERE { ?s b:reads ?x . FILTER(!CONTAINS(?x, "f")) }') == []
+    assert ask(read, "SELECT ?n WHERE { ?f b:name ?n }") == [("one",), ("two",)]
+    assert ask(read, "SELECT ?n WHERE { ?f <urn:x#note> ?n }") == [("other",)]
+
+
+def test_joins_on_variables_that_may_be_unbound(spark):
+    rows = [("x", ":a", "b:reads", ":f", "iri"), ("x", ":a", "b:writes", ":g", "iri"), ("x", ":b", "b:writes", ":f", "iri"), ("x", ":b", "b:reads", ":f", "iri"), ("x", ":c", "b:reads", ":h", "iri"), ("x", ":a", "b:creates", ":c", "iri"), ("x", ":c", "b:cmd", "c", "literal"), ("x", ":a", "b:cmd", "a", "literal"), ("x", ":b", "b:cmd", "b", "literal")]
+    g = model.from_triples(turtle.from_rows(spark, rows))
+    ask = lambda text: sorted((tuple(r) for r in compile_query(g, text).collect()), key=repr)
+    assert ask("SELECT ?p ?f WHERE { ?p b:cmd ?x . OPTIONAL { ?p b:writes ?f } OPTIONAL { ?p b:reads ?f } }") == [(":a", ":g"), (":b", ":f"), (":c", ":h")]
+    assert ask("SELECT ?p ?f WHERE { { ?p b:creates ?x } UNION { ?p b:writes ?f } ?p b:reads ?f }") == [(":a", ":f"), (":b", ":f")]
+    assert ask("SELECT ?p WHERE { ?p b:cmd ?x . OPTIONAL { ?p b:writes ?f } FILTER NOT EXISTS { ?p b:reads ?f } }") == [(":a",)]
+    assert ask("SELECT ?p WHERE { ?p b:reads ?f . MINUS { ?p b:writes ?g } }") == [(":c",)]
+    assert ask("SELECT ?p (COUNT(?f) AS ?n) WHERE { { ?p b:reads ?f } UNION { ?p b:writes ?f } } GROUP BY ?p HAVING (?n > 1)") == [(":a", 2), (":b", 2)]
+
+
+def test_paths(spark):
+    """Chains of any length, cycles and loops, from either end."""
+    pairs = [("p", "q"), ("q", "r"), ("r", "p"), ("r", "s"), ("s", "s")] + [(f"n{i}", f"n{i + 1}") for i in range(25)]
+    rows = [("x", f":{a}", "b:creates", f":{b}", "iri") for a, b in pairs] + [("x", ":s", "b:writes", ":f", "iri"), ("x", ":p", "b:reads", ":f", "iri"), ("y", ":p", "b:creates", ":z", "iri")]
+    g = model.from_triples(turtle.from_rows(spark, rows))
+    ask = lambda text: sorted(tuple(r) for r in compile_query(g, text).collect())
+    reach = {(a, b) for a, b in pairs}
+    while more := {(a, d) for a, b in reach for c, d in pairs if b == c} - reach:
+        reach |= more
+    reach |= {("p", "z")}
+    assert ask("SELECT ?a ?b WHERE { ?a b:creates+ ?b }") == sorted((f":{a}", f":{b}") for a, b in reach)
+    assert ask("SELECT ?b WHERE { :n3 b:creates+ ?b }") == sorted((f":n{i}",) for i in range(4, 26))
+    assert ask("SELECT ?a WHERE { ?a b:creates+ :n3 }") == [(":n0",), (":n1",), (":n2",)]
+    assert ask("SELECT ?b WHERE { :n24 b:creates* ?b }") == [(":n24",), (":n25",)]
+    assert ask("SELECT ?b WHERE { :n24 b:creates? ?b }") == [(":n24",), (":n25",)]
+    assert ask("SELECT ?a WHERE { ?a b:reads/^b:writes ?b . ?b ^b:creates|b:creates ?c . FILTER(?c = :r) }") == [(":p",)]
+    with pytest.raises(SparqlError):
+        ask("SELECT ?b WHERE { ?a b:cmd+ ?b }")
