@@ -38,10 +38,10 @@ SPLIT = 1 << 15
 SHARE = 8
 #: Fragments of a bundle, of a task's sort, and that are counted at once.
 BUNDLE = 2048
-HELD = 1_000_000
-COUNTED = 1_000_000
+HELD = 500_000
+COUNTED = 500_000
 #: Distinct words that a task adds up before it passes them on.
-TALLY = 1_000_000
+TALLY = 300_000
 #: Top phrases are first ranked within this many parts of a language.
 RANK_PARTS = 64
 U = np.uint64
