@@ -7,10 +7,12 @@ from pyspark.sql import functions as F
 
 from .functions import scalar as fn
 from .operators import auxiliary
-from .operators.reducer import reduce_log
+from .operators.events import numbered
+from .operators.reducer import Reduction
 from .plans.lookups import BUILD_SYSTEMS
 from .plans.model import TRIPLES
 from .sources import files, projection
+from .storage import scratch
 from .streaming.reducer import reduce_stream
 
 
@@ -31,31 +33,43 @@ def _pick(values: tuple[str, ...], n) -> F.Column:
 
 def log_processes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Numbered processes of every build: ids are reused after exit; typed by a successful exec; their last moment."""
-    return reduce_log(_log(spark, sf_dir)).process
+    return Reduction(_log(spark, sf_dir)).process
 
 
 def log_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """File versions, numbered as they come up: every opening for writing makes one, a reader finds the newest known."""
-    return reduce_log(_log(spark, sf_dir)).file
+    return Reduction(_log(spark, sf_dir)).file
 
 
 def log_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    g = reduce_log(_log(spark, sf_dir))
-    named = [t.select("build_id", F.lit(n).alias("edge"), "pid_node", F.col(o).alias("node")) for n, t, o in (("reads", g.reads, "file_node"), ("writes", g.writes, "file_node"), ("executable", g.executable, "file_node"), ("creates", g.creates, "child_node"))]
-    return named[0].unionByName(named[1]).unionByName(named[2]).unionByName(named[3])
+    r = Reduction(_log(spark, sf_dir))
+    created = r.creates.select("build_id", F.lit("creates").alias("edge"), "pid_node", F.col("child_node").alias("node"))
+    return r.touches.withColumnRenamed("file_node", "node").unionByName(created)
 
 
 def log_renames(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reduce_log(_log(spark, sf_dir)).rename
+    return Reduction(_log(spark, sf_dir)).rename
 
 
 def log_stream_triples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The online reducer's triples of each predicate: the events table is read as a stream until it ends."""
-    at = files.scratch(spark, "stream")
+    at = scratch(spark, "stream")
     shape = spark.read.parquet(f"{sf_dir}/events.parquet").schema
-    triples = reduce_stream(projection.event_log(spark.readStream.schema(shape).parquet(f"{sf_dir}/events.parque[t]")))
+    return _counted(reduce_stream(projection.event_log(spark.readStream.schema(shape).parquet(f"{sf_dir}/events.parque[t]"))), at)
+
+
+def log_stream_out_of_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same from a log whose events are numbered in each build and dealt to micro-batches by hash: none is in order."""
+    at = scratch(spark, "stream")
+    log = numbered(_log(spark, sf_dir), ("build_id",), ("seq",)).withColumn("seq", F.col("number")).drop("number")
+    log.repartition(6, F.xxhash64("seq")).write.parquet(f"{at}/log")
+    return _counted(reduce_stream(spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 1).parquet(f"{at}/log"), dense=True), at)
+
+
+def _counted(triples: DataFrame, at: str) -> DataFrame:
+    """The stream is run to its end; its triples of each predicate."""
     triples.writeStream.format("parquet").option("path", f"{at}/triples").option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema(TRIPLES).parquet(f"{at}/triples").distinct().groupBy("build_id", "p").agg(F.count(F.lit(1)).alias("n"))
+    return triples.sparkSession.read.schema(TRIPLES).parquet(f"{at}/triples").distinct().groupBy("build_id", "p").agg(F.count(F.lit(1)).alias("n"))
 
 
 # Recording's small parts.
@@ -130,7 +144,7 @@ def build_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return auxiliary.plan_builds(requests, listing, specs)
 
 
-QUERIES = {f.__name__: f for f in (log_processes, log_files, log_edges, log_renames, log_stream_triples, rendered_cmdline, guarded_hash, bench_compare, comment_lines_dropped, environment_entries, first_spec, repository_names, resolved_paths, path_search, build_plan)}
+QUERIES = {f.__name__: f for f in (log_processes, log_files, log_edges, log_renames, log_stream_triples, log_stream_out_of_order, rendered_cmdline, guarded_hash, bench_compare, comment_lines_dropped, environment_entries, first_spec, repository_names, resolved_paths, path_search, build_plan)}
 
 
 # SQL
@@ -216,3 +230,4 @@ WITH r AS (
 m AS (SELECT *, CASE WHEN git THEN 'git' WHEN rpm THEN 'srpm' END AS mode, CASE WHEN git THEN coalesce(given, CASE {_systems} END) WHEN rpm THEN '{auxiliary.RPM_BUILD.replace("'", "''")}' || spec END AS cmd FROM r)
 SELECT CAST(k AS VARCHAR) AS request, mode, CASE WHEN mode IS NOT NULL THEN name END AS name, CASE WHEN mode IS NOT NULL THEN out || '/' || name || '-build.out' END AS output_file, cmd AS build_cmd, {_error} AS error FROM m""",
 }
+SQL["log_stream_out_of_order"] = SQL["log_stream_triples"]

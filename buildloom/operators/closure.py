@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.files import scratch
+from ..storage import stored
 
 
 def closure(edges: DataFrame, start: DataFrame | None = None) -> DataFrame:
@@ -18,13 +18,6 @@ def closure(edges: DataFrame, start: DataFrame | None = None) -> DataFrame:
     bounded, and cycles end. A round's pairs are written to the shared folder once, for the rounds after it. Edges are a set;
     repeated ones and loops do no harm, null ends reach nothing.
     """
-    spark = edges.sparkSession
-
-    def stored(df: DataFrame, label: str) -> DataFrame:
-        at = scratch(spark, label)
-        df.write.parquet(at)
-        return spark.read.schema(df.schema).parquet(at)
-
     edges = stored(edges.where("s is not null and o is not null").select("build_id", "s", "o").distinct(), "edges")
     new = edges if start is None else stored(edges.join(start.select("build_id", "s").distinct(), ["build_id", "s"], "left_semi"), "reach")
     step = edges.select("build_id", F.col("s").alias("o"), F.col("o").alias("next"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..storage import stored
+
 _ALL = (Window.unboundedPreceding, Window.currentRow)
 _BEFORE = (Window.unboundedPreceding, -1)
 
@@ -53,3 +55,21 @@ def incarnation(exited: Column, keys: tuple[str, ...], order: str = "seq") -> Co
 def latest(value: Column, keys: tuple[str, ...], order: str = "seq") -> Column:
     """The newest non-null value so far."""
     return F.last(value, ignorenulls=True).over(Window.partitionBy(*keys).orderBy(order).rowsBetween(*_ALL))
+
+
+def numbered(rows: DataFrame, keys: tuple[str, ...], order: tuple[str, ...]) -> DataFrame:
+    """rows with `number`: their place from 0 in the order of `order` among the rows of one key, without a gap.
+
+    Rows are dealt to tasks by ranges of key and order, numbered within their task, and a key's rows in the tasks before are
+    added: no task holds a key, however many rows it has. Rows that are alike in key and order are numbered in any order.
+    """
+    dealt = rows.repartitionByRange(*keys, *order).withColumn("part", F.spark_partition_id())
+    dealt = stored(dealt, "dealt")
+    before = Window.partitionBy(*keys).orderBy("part").rowsBetween(*_BEFORE)
+    counts = dealt.groupBy(*keys, "part").agg(F.count(F.lit(1)).alias("n"))
+    bases = counts.select(*(F.col(k).alias(f"key {k}") for k in keys), F.col("part").alias("key part"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    within = F.row_number().over(Window.partitionBy("part", *keys).orderBy(*order)) - 1
+    match = F.col("part") == F.col("key part")
+    for k in keys:
+        match &= F.col(k).eqNullSafe(F.col(f"key {k}"))
+    return dealt.withColumn("within", within).join(bases, match).select(*rows.columns, (F.col("within") + F.col("base")).alias("number"))

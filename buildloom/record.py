@@ -27,15 +27,12 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     if len(args) != 1:
         print("missing log to record", file=sys.stderr)
         return USAGE
-    held: list = []
     log = files.read_events(spark or session(), args[0])
-    graph = reduce_log(log, held)
+    graph = reduce_log(log)
     if len(log.select("build_id").distinct().limit(2).collect()) > 1 or os.path.isdir(output):
         turtle.write_turtle(graph.triples(), output)
     else:
         turtle.write_one(graph.triples(), output)
-    for df in held:
-        df.unpersist()
     return 0
 
 

@@ -2,11 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
-import zipfile
-from pathlib import Path
 from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -19,34 +14,6 @@ from ..operators.reducer import LOG
 EMPTY_HASH = "e69de29bb2d1d6434b8b29ae775ad8c2e48c5391"
 
 
-_SHIPPED: set[str] = set()
-
-
-def ship(spark: SparkSession) -> None:
-    """Send this package's code to the executors once for each application, so Python stages need no installation there."""
-    app = spark.sparkContext.applicationId
-    if app in _SHIPPED:
-        return
-    root = Path(__file__).resolve().parents[1]
-    at = os.path.join(tempfile.mkdtemp(prefix="code-"), f"{root.name}-plain.zip")
-    with zipfile.ZipFile(at, "w") as z:
-        for p in sorted(root.rglob("*.py")):
-            z.write(p, f"{root.name}/{p.relative_to(root)}")
-    spark.sparkContext.addPyFile(at)
-    _SHIPPED.add(app)
-
-
-def scratch(spark: SparkSession, label: str) -> str:
-    """A new folder's name below the one that driver and executors share (spark.checkpoint.dir); in local mode a temporary one
-    will do where that is unset."""
-    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not at:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
-        at = "file://" + tempfile.mkdtemp(prefix="build-")
-    return f"{at.rstrip('/')}/{label}-{uuid.uuid4().hex}"
-
-
 def hash_files(spark: SparkSession, path: str) -> DataFrame:
     """abspath, size, hash of every regular file below path. Spark's reader passes over empty files; those that its listing,
     which is the driver's already, has and its rows have not are added with EMPTY_HASH."""

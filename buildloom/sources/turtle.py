@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalar import DATA, RDF, VOCABULARY, escape, unescape
 from ..plans.model import TRIPLES
-from .files import ship
+from ..storage import ship
 from .turtle_text import Reader
 
 #: A literal, an IRI, a sign of lists and ends, or a name; and any other run of characters, which is none of these.

@@ -1,24 +1,34 @@
 """The online reducer: a stream of system-call events to triples, with state for each build.
 
-A build's processes share one file cache, so its events are one key's; builds spread over the cluster. Within a
-micro-batch events come in the order of seq. What a build's log yields doesn't depend on how it is cut into batches. A build
-ends with its last live process; its state goes then.
+A build's processes share one file cache, so its events are one key's; builds spread over the cluster. What a build knows is
+kept in map states: live processes and their open files by process id, the newest version of a file by path and content, the
+source of a rename that is under way. A batch reads and writes the entries that its events touch, not the build's whole state.
+
+Events may come in any order if they are numbered from 0 without a gap in each build (dense): what comes too early waits in
+a map state until what is before it has come; what comes again is passed over. So what a log yields doesn't depend on how it
+is cut into batches or dealt to them. Other logs are put in the order of seq within each batch.
+
+A query that runs on and on is given patience: then a timer says when a missing event isn't waited for any more, and the
+state of a build that ended with its last live process goes once it has been idle for as long. A bounded query has none, as
+timers keep a query going.
 """
 
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+import pickle
+from collections.abc import Callable, Iterator
 from itertools import accumulate
 
-import pandas as pd
-from pyspark.sql import DataFrame
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql import DataFrame, Row
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor
 
 from ..functions.scalar import CMDLINE_BYTES
 from ..operators.reducer import EXECS, FORKS, OPENS, RENAMES, WRITE_CREATE
 from ..plans.model import TRIPLES
+from ..storage import ship
 
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 TIME = "%Y-%m-%dT%H:%M:%SZ"
 
 
@@ -30,19 +40,48 @@ def rendered(args: list[str]) -> str | None:
     return " ".join(f"'{a}'" if " " in a else a for a in args[: len(whole)]) + (" " if more else "") if args else None
 
 
+class Cached:
+    """A map state as a dictionary: entries are read when they are first asked for and written back once, by save()."""
+
+    def __init__(self, state=None):
+        self.state, self.held, self.changed = state, {}, set()
+
+    def get(self, key: str):
+        if key not in self.held:
+            found = self.state.getValue((key,)) if self.state is not None and self.state.containsKey((key,)) else None
+            self.held[key] = None if found is None else json.loads(found[0])
+        return self.held[key]
+
+    def put(self, key: str, value) -> None:
+        self.held[key] = value
+        self.changed.add(key)
+
+    def pop(self, key: str):
+        value = self.get(key)
+        if value is not None:
+            self.put(key, None)
+        return value
+
+    def save(self) -> None:
+        for key in self.changed:
+            value = self.held[key]
+            if value is not None:
+                self.state.updateValue((key,), (json.dumps(value),))
+            elif self.state.containsKey((key,)):
+                self.state.removeKey((key,))
+        self.changed = set()
+
+
 class Build:
     """What a build's reducer remembers: live processes by pid, their open files, the newest version of (path, content)."""
 
-    def __init__(self, saved: str | None = None):
-        s = json.loads(saved) if saved else {}
-        self.counts: dict[str, int] = s.get("counts", {"p": 0, "f": 0, "rename": 0})
-        self.nodes: dict[str, str] = s.get("nodes", {})
-        self.open: dict[str, list] = s.get("open", {})
-        self.cache: dict[str, str] = s.get("cache", {})
-        self.moving: dict[str, list] = s.get("moving", {})
+    def __init__(self, counts: dict[str, int] | None = None, maps: Callable[[str], Cached] = lambda name: Cached()):
+        self.counts = counts or {"p": 0, "f": 0, "rename": 0, "live": 0}
+        self.nodes, self.open, self.cache, self.moving = (maps(n) for n in ("nodes", "open", "cache", "moving"))
 
-    def save(self) -> str:
-        return json.dumps(vars(self))
+    def save(self) -> None:
+        for m in (self.nodes, self.open, self.cache, self.moving):
+            m.save()
 
     def fresh(self, kind: str) -> str:
         n = self.counts[kind]
@@ -51,9 +90,10 @@ class Build:
 
     def process(self, pid: int) -> str:
         key = str(pid)
-        if key not in self.nodes:
-            self.nodes[key] = self.fresh("p")
-        return self.nodes[key]
+        if self.nodes.get(key) is None:
+            self.nodes.put(key, self.fresh("p"))
+            self.counts["live"] += 1
+        return self.nodes.get(key)
 
     def described(self, node: str, path, abspath, digest) -> list[tuple]:
         out = [(node, "a", "b:file", "iri"), (node, "b:name", path, "literal"), (node, "b:abspath", abspath, "literal")]
@@ -62,27 +102,27 @@ class Build:
     def version(self, e) -> tuple[str, list[tuple]]:
         """The newest known version of what is read, executed or moved, or a new one."""
         key = json.dumps([e.abspath, e.hash])
-        if key in self.cache:
-            return self.cache[key], []
-        node = self.cache[key] = self.fresh("f")
+        if (node := self.cache.get(key)) is not None:
+            return node, []
+        node = self.fresh("f")
+        self.cache.put(key, node)
         return node, self.described(node, e.path, e.abspath, e.hash)
 
     def step(self, e) -> list[tuple]:
         """Triples (s, p, o, kind) that an event gives."""
-        if e.op == "exited" and str(e.pid) not in self.nodes:
-            return []
         if e.op == "exited":
-            node = self.process(e.pid)
-            for state in (self.nodes, self.moving):
-                state.pop(str(e.pid), None)
-            for key in [k for k in self.open if k.startswith(f"{e.pid}/")]:
-                del self.open[key]
+            node = self.nodes.pop(str(e.pid))
+            if node is None:
+                return []
+            self.counts["live"] -= 1
+            self.moving.pop(str(e.pid))
+            self.open.pop(str(e.pid))
             return [(node, "b:end", e.ts.strftime(TIME), "literal")]
         node = self.process(e.pid)
         out = [(node, "b:env", x, "literal") for x in (e.env if e.env is not None else [])]
         if e.op == "entry" and e.syscall in RENAMES and e.abspath is not None:
             source, made = self.version(e)
-            self.moving[str(e.pid)] = [source, e.hash]
+            self.moving.put(str(e.pid), [source, e.hash])
             return out + made
         if e.op != "exit" or e.rval is None or e.rval < 0:
             return out
@@ -93,14 +133,16 @@ class Build:
                 return out + made + [(node, "b:reads", file, "iri")]
             if mode in (1, 2):
                 file = self.fresh("f")
-                self.open.setdefault(f"{e.pid}/{e.fd}", []).append([file, e.abspath])
+                held = self.open.get(str(e.pid)) or {}
+                self.open.put(str(e.pid), held | {str(e.fd): [*held.get(str(e.fd), []), [file, e.abspath]]})
                 edges = ["b:reads", "b:writes"] if mode == 2 else ["b:writes"]
                 return out + self.described(file, e.path, e.abspath, None) + [(node, p, file, "iri") for p in edges]
         elif e.syscall == "close":
-            stack = self.open.get(f"{e.pid}/{e.fd}")
-            if stack:
-                file, abspath = stack.pop()
-                self.cache[json.dumps([abspath, e.hash])] = file
+            held = self.open.get(str(e.pid)) or {}
+            if stack := held.get(str(e.fd)):
+                file, abspath = stack[-1]
+                self.open.put(str(e.pid), held | {str(e.fd): stack[:-1]})
+                self.cache.put(json.dumps([abspath, e.hash]), file)
                 return out + ([(file, "b:hash", e.hash, "literal")] if e.hash is not None else [])
         elif e.syscall in EXECS:
             file, made = self.version(e)
@@ -109,8 +151,8 @@ class Build:
                 cmd = rendered(list(e.cmdline))
                 out += [(node, "b:cmd", cmd, "literal")] if cmd is not None else []
             return out + made + [(node, "b:executable", file, "iri")]
-        elif e.syscall in RENAMES and str(e.pid) in self.moving:
-            source, digest = self.moving.pop(str(e.pid))
+        elif e.syscall in RENAMES and (moved := self.moving.pop(str(e.pid))) is not None:
+            source, digest = moved
             target, name = self.fresh("f"), self.fresh("rename")
             edges = [(node, "b:rename", name, "bnode"), (name, "b:rename-from", source, "iri"), (name, "b:rename-to", target, "iri")]
             return out + self.described(target, e.new_path, e.new_abspath, digest) + edges
@@ -119,19 +161,84 @@ class Build:
         return out
 
 
-def _run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    build = Build(state.get[0] if state.exists else None)
-    events = pd.concat(list(batches)).sort_values("seq", kind="stable")
-    out = []
-    for e in events.astype(object).where(events.notna(), None).itertuples(index=False):
-        out += [(key[0], *t) for t in build.step(e)]
-    if build.nodes:
-        state.update((build.save(),))
-    elif state.exists:
-        state.remove()  # no process lives: the build is over
-    yield pd.DataFrame(out, columns=["build_id", "s", "p", "o", "o_kind"])
-
-
-def reduce_stream(log: DataFrame) -> DataFrame:
-    """Triples of a streaming (or batch) log, appended as events come; a set only after distinct."""
-    return log.groupBy("build_id").applyInPandasWithState(_run, TRIPLES, "saved string", "append", GroupStateTimeout.NoTimeout)
+class Reducer(StatefulProcessor):
+    """dense: events are numbered from 0 in each build, and taken in that order whatever they come in. patience: milliseconds
+    after which a missing event is given up and an ended build's state goes; None: never."""
+
+    def __init__(self, dense: bool, patience: int | None):
+        self.dense, self.patience = dense, patience
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.counts = handle.getValueState("counts", "saved string")
+        self.maps = {n: handle.getMapState(n, "key string", "saved string") for n in ("nodes", "open", "cache", "moving")}
+        self.waiting = handle.getMapState("waiting", "seq long", "event binary")
+
+    def saved(self) -> dict[str, int]:
+        """Numbers given so far, live processes, the next seq, and how many events wait."""
+        return json.loads(self.counts.get()[0]) if self.counts.exists() else {"p": 0, "f": 0, "rename": 0, "live": 0, "next": 0, "waiting": 0}
+
+    def take(self, counts: dict[str, int], events: dict[int, Row]) -> Iterator[tuple]:
+        """Triples of the next events, among those that have come and those that wait, up to the first that is missing."""
+        build = Build(counts, lambda n: Cached(self.maps[n]))
+        while True:
+            seq = counts["next"]
+            e = events.pop(seq, None)
+            if counts["waiting"] and self.waiting.containsKey((seq,)):
+                e = pickle.loads(self.waiting.getValue((seq,))[0]) if e is None else e
+                self.waiting.removeKey((seq,))
+                counts["waiting"] -= 1
+            if e is None:
+                break
+            yield from build.step(e)
+            counts["next"] = seq + 1
+        build.save()
+
+    def wait(self, counts: dict[str, int], events: dict[int, Row], now: int) -> None:
+        """Keep what came too early, and ask to be called again if something is missing or the build is over."""
+        for seq, e in events.items():
+            if not self.waiting.containsKey((seq,)):
+                self.waiting.updateValue((seq,), (pickle.dumps(e),))
+                counts["waiting"] += 1
+        self.counts.update((json.dumps(counts),))
+        if self.patience is None:
+            return
+        for t in list(self.handle.listTimers()):
+            self.handle.deleteTimer(t)
+        if counts["waiting"] or not counts["live"]:
+            self.handle.registerTimer(now + self.patience)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        counts, (build_id,) = self.saved(), key
+        if self.dense:
+            events = {e.seq: e for e in rows if e.seq >= counts["next"]}
+            triples = list(self.take(counts, events))
+        else:
+            events, build = {}, Build(counts, lambda n: Cached(self.maps[n]))
+            triples = [t for e in sorted(rows, key=lambda e: e.seq) for t in build.step(e)]
+            build.save()
+        self.wait(counts, events, 0 if self.patience is None else timerValues.getCurrentProcessingTimeInMs())
+        return (Row(build_id=build_id, s=s, p=p, o=o, o_kind=k) for s, p, o, k in triples)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        counts, (build_id,), triples = self.saved(), key, []
+        if counts["waiting"]:  # what is missing is given up
+            counts["next"] = min(k[0] for k in self.waiting.keys())
+            triples = list(self.take(counts, {}))
+            self.wait(counts, {}, timerValues.getCurrentProcessingTimeInMs())
+        elif not counts["live"]:
+            for state in (self.counts, self.waiting, *self.maps.values()):
+                state.clear()
+        return (Row(build_id=build_id, s=s, p=p, o=o, o_kind=k) for s, p, o, k in triples)
+
+    def close(self) -> None:
+        pass
+
+
+def reduce_stream(log: DataFrame, dense: bool = False, patience: int | None = None) -> DataFrame:
+    """Triples of a streaming (or batch) log, appended as events come; a set only after distinct. The session's state store
+    becomes RocksDB, which map states and timers need."""
+    spark = log.sparkSession
+    ship(spark)
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    return log.groupBy("build_id").transformWithState(Reducer(dense, patience), TRIPLES, "append", "none" if patience is None else "processingTime")

@@ -6,7 +6,7 @@ import pytest
 from buildloom.operators.reducer import LOG, reduce_log
 from buildloom.plans import reports
 from buildloom.plans.model import from_triples
-from buildloom.streaming.reducer import Build, reduce_stream
+from buildloom.streaming.reducer import Build, Cached, reduce_stream
 
 COLS = [c.strip().split()[0] for c in LOG.split(",")]
 T0 = datetime(2026, 5, 30, 10)
@@ -70,13 +70,20 @@ def facts(g, build=None):
 def by_steps(spark, rows):
     """The online reducer's triples, event by event."""
     builds, out = {}, []
-    from collections import namedtuple
+    from collections import defaultdict, namedtuple
+
+    class State(dict):
+        """A map state, as far as the reducer uses one."""
+
+        getValue, containsKey, removeKey, updateValue = dict.get, dict.__contains__, dict.pop, dict.__setitem__
 
     Event = namedtuple("Event", COLS)
     for r in sorted(rows, key=lambda r: (r[0], r[1])):
         e = Event(*r)
-        builds[e.build_id] = Build(builds[e.build_id].save() if e.build_id in builds else None)
-        out += [(e.build_id, *t) for t in builds[e.build_id].step(e)]
+        counts, states = builds.setdefault(e.build_id, ({"p": 0, "f": 0, "rename": 0, "live": 0}, defaultdict(State)))
+        build = Build(counts, lambda n: Cached(states[n]))  # made anew from what the last event left
+        out += [(e.build_id, *t) for t in build.step(e)]
+        build.save()
     return from_triples(spark.createDataFrame(out, "build_id string, s string, p string, o string, o_kind string"))
 
 
@@ -152,6 +159,47 @@ def test_stream_equals_batch(spark, tmp_path):
     assert facts(g) == facts(want)
 
 
+def run_stream(spark, tmp_path, files, **options):
+    """The online reducer over lists of rows, a file and a micro-batch for each."""
+    import os
+
+    (tmp_path / "in").mkdir()
+    for i, rows in enumerate(files):
+        spark.createDataFrame(rows, LOG).coalesce(1).write.parquet(str(tmp_path / f"part{i}"))
+        part = next(p for p in (tmp_path / f"part{i}").iterdir() if p.suffix == ".parquet")
+        part.rename(tmp_path / "in" / f"{i:03d}.parquet")
+        os.utime(tmp_path / "in" / f"{i:03d}.parquet", (1_700_000_000 + i, 1_700_000_000 + i))
+    stream = spark.readStream.schema(LOG).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    triples = reduce_stream(stream, **options)
+    writer = triples.writeStream.outputMode("append").format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "ck"))
+    if options.get("patience") is None:
+        writer.trigger(availableNow=True).start().awaitTermination()
+    else:  # runs until it is stopped
+        q = writer.trigger(processingTime="500 milliseconds").start()
+        q.awaitTermination(25)
+        q.stop()
+    return from_triples(spark.read.parquet(str(tmp_path / "out")))
+
+
+def test_stream_out_of_order(spark, tmp_path):
+    """Events dealt to batches in any order, some twice, give what they give in order."""
+    r = random.Random(3)
+    rows = log(*STORY) + log(*STORY, build="c")
+    dealt = rows + r.sample(rows, 9)
+    r.shuffle(dealt)
+    files = [dealt[i::7] for i in range(7)]
+    assert facts(run_stream(spark, tmp_path, files, dense=True)) == facts(reduce_log(spark.createDataFrame(rows, LOG)))
+
+
+def test_stream_gives_up_on_what_is_missing(spark, tmp_path):
+    """An event that never comes holds up the others until the timer says that it won't come; then the log goes on without it."""
+    rows = log(*STORY)
+    lost = [x for x in rows if x[1] != 6]
+    tail = log(*STORY[:4], build="z")
+    got = run_stream(spark, tmp_path, [lost[:20], lost[20:], tail[:2], tail[2:], []], dense=True, patience=1)
+    assert facts(got, "b") == facts(reduce_log(spark.createDataFrame(lost, LOG)), "b")
+
+
 @pytest.mark.parametrize("name", ["stats", "timeline", "tree", "headers"])
 def test_cli(spark, tmp_path, capsys, name):
     import golden
