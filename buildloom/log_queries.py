@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import scalar as fn
-from .operators import auxiliary
+from .operators import auxiliary, paths
 from .operators.events import numbered
 from .operators.reducer import Reduction
 from .plans.lookups import BUILD_SYSTEMS
@@ -121,6 +121,28 @@ def resolved_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _parts(spark, sf_dir).select("key", fn.resolve_path(_pick(FOLDERS, key), _pick(STEPS, key)).alias("path"))
 
 
+def descriptor_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Calls that name paths relative to open folders, to the working folder, or to nothing that is open."""
+    e, n = spark.read.parquet(f"{sf_dir}/events.parquet"), F.col("event_id")
+    op = F.when(F.col("event_type") == "view", "open").when(F.col("event_type") == "purchase", "close").when(F.col("event_type") == "signup", "chdir").otherwise("use")
+    path = F.when(n % 3 == 0, F.concat(F.lit("/r"), (n % 9).cast("string"))).otherwise(F.concat(F.lit("d"), (n % 5).cast("string")))
+    calls = e.select(
+        F.lit("b").alias("build_id"), F.col("user_id").alias("pid"), n.alias("seq"), op.alias("op"), F.when(op.isin("open", "close"), 3 + n % 2).cast("int").alias("fd"),
+        F.when(n % 4 != 0, 3 + F.expr("event_id div 3 % 2")).cast("int").alias("dirfd"), F.when(op != "close", path).alias("path"),
+    )
+    return paths.named_paths(calls, "/build").select("pid", "seq", "path")
+
+
+def linked_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links to other folders, along chains, upwards and to themselves; paths through one or two of them, which may go up again."""
+    key, parts = F.col("key"), _parts(spark, sf_dir)
+    name = lambda k: k.cast("string")
+    target = F.when(key % 4 == 0, F.concat(F.lit("/opt/x"), name(key))).when(key % 4 == 1, F.concat(F.lit("l"), name(key + 1))).when(key % 4 == 2, F.concat(F.lit("../share/./d"), name(key))).otherwise(F.concat(F.lit("l"), name(key), F.lit("/self")))
+    links = parts.select(F.lit("b").alias("build_id"), F.concat(F.lit("/usr/lib/l"), name(key)).alias("link"), target.alias("target"))
+    said = parts.select(F.lit("b").alias("build_id"), F.concat(F.lit("/usr/lib/l"), name(key), _pick(("/a/../b.h", "/../y", "", "//./../../usr/lib/l4/z"), F.expr("p_partkey div 4"))).alias("path"))
+    return paths.resolved_links(said, links, most=6).select("path", "resolved")
+
+
 def path_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Programs that several folders of a search path have, and some that none has."""
     key = F.col("key")
@@ -144,7 +166,7 @@ def build_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return auxiliary.plan_builds(requests, listing, specs)
 
 
-QUERIES = {f.__name__: f for f in (log_processes, log_files, log_edges, log_renames, log_stream_triples, log_stream_out_of_order, rendered_cmdline, guarded_hash, bench_compare, comment_lines_dropped, environment_entries, first_spec, repository_names, resolved_paths, path_search, build_plan)}
+QUERIES = {f.__name__: f for f in (log_processes, log_files, log_edges, log_renames, log_stream_triples, log_stream_out_of_order, rendered_cmdline, guarded_hash, bench_compare, comment_lines_dropped, environment_entries, first_spec, repository_names, resolved_paths, descriptor_paths, linked_paths, path_search, build_plan)}
 
 
 # SQL
@@ -231,3 +253,24 @@ m AS (SELECT *, CASE WHEN git THEN 'git' WHEN rpm THEN 'srpm' END AS mode, CASE
 SELECT CAST(k AS VARCHAR) AS request, mode, CASE WHEN mode IS NOT NULL THEN name END AS name, CASE WHEN mode IS NOT NULL THEN out || '/' || name || '-build.out' END AS output_file, cmd AS build_cmd, {_error} AS error FROM m""",
 }
 SQL["log_stream_out_of_order"] = SQL["log_stream_triples"]
+SQL["descriptor_paths"] = """
+WITH RECURSIVE c AS (
+  SELECT user_id AS pid, event_id AS seq, CASE event_type WHEN 'view' THEN 'open' WHEN 'purchase' THEN 'close' WHEN 'signup' THEN 'chdir' ELSE 'use' END AS op, 3 + event_id % 2 AS fd,
+         CASE WHEN event_id % 4 <> 0 THEN 3 + event_id // 3 % 2 END AS dirfd, CASE WHEN event_id % 3 = 0 THEN '/r' || (event_id % 9) ELSE 'd' || (event_id % 5) END AS path FROM events),
+m AS (SELECT pid, fd AS mark, seq, op FROM c WHERE op IN ('open', 'close') UNION ALL SELECT pid, -1, seq, op FROM c WHERE op = 'chdir'),
+a AS (SELECT pid, seq, path, coalesce(dirfd, -1) AS mark FROM c WHERE op <> 'close'),
+b AS (SELECT a.pid, a.seq, a.path, a.mark, m.seq AS base, m.op FROM a ASOF LEFT JOIN m ON a.pid = m.pid AND a.mark = m.mark AND a.seq > m.seq),
+r AS (
+  SELECT pid, seq, CASE WHEN starts_with(path, '/') THEN path WHEN base IS NULL AND mark = -1 THEN '/build/' || path END AS path FROM b WHERE starts_with(path, '/') OR base IS NULL OR op = 'close'
+  UNION ALL SELECT b.pid, b.seq, r.path || '/' || b.path FROM r JOIN b ON b.pid = r.pid AND b.base = r.seq WHERE NOT starts_with(b.path, '/') AND b.op <> 'close')
+SELECT * FROM r"""
+SQL["linked_paths"] = f"""
+WITH RECURSIVE l AS (
+  SELECT map_from_entries(list((('/usr/lib/l' || p_partkey), CASE p_partkey % 4 WHEN 0 THEN '/opt/x' || p_partkey WHEN 1 THEN 'l' || (p_partkey + 1) WHEN 2 THEN '../share/./d' || p_partkey ELSE 'l' || p_partkey || '/self' END))) AS m FROM part),
+s AS (SELECT DISTINCT '/usr/lib/l' || p_partkey || {_choose(("/a/../b.h", "/../y", "", "//./../../usr/lib/l4/z"), "(p_partkey // 4)")} AS path FROM part),
+r AS (
+  SELECT path, '' AS done, list_filter(string_split(path, '/'), lambda x: x NOT IN ('', '.')) AS rest, 0 AS n FROM s
+  UNION ALL SELECT path, CASE WHEN rest[1] = '..' THEN regexp_replace(done, '/[^/]*$', '') WHEN t IS NULL THEN done || '/' || rest[1] WHEN starts_with(t, '/') THEN '' ELSE done END,
+         CASE WHEN t IS NULL THEN rest[2:] ELSE list_concat(list_filter(string_split(t, '/'), lambda x: x NOT IN ('', '.')), rest[2:]) END, n + (t IS NOT NULL)::INTEGER
+  FROM (SELECT r.*, CASE WHEN rest[1] <> '..' THEN element_at((SELECT m FROM l), done || '/' || rest[1])[1] END AS t FROM r WHERE len(rest) > 0 AND n <= 6))
+SELECT path, CASE WHEN n <= 6 THEN CASE WHEN done = '' THEN '/' ELSE done END END AS resolved FROM r WHERE len(rest) = 0 OR n > 6"""

@@ -52,16 +52,12 @@ class Graph:
     def triples(self) -> DataFrame:
         if self.said is not None:
             return self.said
-        return reduce(DataFrame.unionByName, self.triples_by_table())
-
-    def triples_by_table(self) -> list[DataFrame]:
-        """The triples of each predicate and table by themselves."""
 
         def rows(df: DataFrame, s: Column | str, p: str, o: Column | str, kind: str) -> DataFrame:
             put = lambda x: F.col(x) if isinstance(x, str) else x
             return df.select("build_id", put(s).alias("s"), F.lit(p).alias("p"), put(o).alias("o"), F.lit(kind).alias("o_kind"))
 
-        return [
+        parts = [
             rows(self.process.where("typed"), "pid_node", "a", F.lit("b:process"), "iri"),
             rows(self.process.where("end_ts is not null"), "pid_node", "b:end", "end_ts", "literal"),
             rows(self.process_cmd, "pid_node", "b:cmd", "cmd", "literal"),
@@ -79,6 +75,7 @@ class Graph:
             rows(self.rename, "rename_node", "b:rename-from", "from_node", "iri"),
             rows(self.rename, "rename_node", "b:rename-to", "to_node", "iri"),
         ]
+        return reduce(DataFrame.unionByName, parts)
 
 
 def from_triples(triples: DataFrame) -> Graph:
