@@ -19,13 +19,17 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship, small
+from .common import cut, ship, small
 from .text import buffers, mix, pieces, words
 
 ORDER = 4
 #: Documented bounds of what a model is fitted on: documents (as expected) and characters for each language.
 SAMPLE_DOCS = 800
 SAMPLE_CHARS = 1_500_000
+#: Characters of all languages together (each has LEAST_CHARS at least), of one text, and bytes of all models.
+ALL_CHARS, LEAST_CHARS = 16_000_000, 10_000
+TEXT_CHARS = 40_000
+MODEL_BYTES = 400_000_000
 #: Symbols that a model spreads its last share of probability over.
 SYMBOLS = 1024
 #: Rejection: standard errors for the text's length, spreads between documents, and nats for each symbol.
@@ -95,13 +99,41 @@ def fit(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarra
     return k[o], a[o].astype(np.float32), ck[p], g[p].astype(np.float32)
 
 
+@dataclass
+class Table:
+    """Values by (key, language): each key's languages and values stand together, keys ascend."""
+
+    keys: np.ndarray
+    start: np.ndarray  # where each key's values begin, and the end
+    lang: np.ndarray
+    value: np.ndarray
+
+    @staticmethod
+    def of(parts: list[tuple[np.ndarray, np.ndarray]]) -> Table:
+        """From each language's keys and values."""
+        key, value = (np.concatenate([p[i] for p in parts]) for i in (0, 1))
+        lang = np.repeat(np.arange(len(parts), dtype=np.int32), [len(p[0]) for p in parts])
+        order = np.argsort(key, kind="stable")
+        keys, start = np.unique(key[order], return_index=True)
+        return Table(keys, np.append(start, len(key)), lang[order], value[order])
+
+    def look(self, wanted: np.ndarray, langs: int, missing: float) -> np.ndarray:
+        """A row of all languages' values for each key that is wanted."""
+        out = np.full((len(wanted), langs), missing, np.float32)
+        if len(self.keys):
+            at = np.minimum(np.searchsorted(self.keys, wanted), len(self.keys) - 1)
+            row = np.flatnonzero(self.keys[at] == wanted)
+            n = self.start[at[row] + 1] - self.start[at[row]]
+            where = np.repeat(self.start[at[row]] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+            out[np.repeat(row, n), self.lang[where]] = self.value[where]
+        return out
+
+
 @dataclass
 class Models:
     langs: list[str]
-    keys: np.ndarray
-    alpha: np.ndarray  # n-grams x languages
-    ctx: np.ndarray
-    gamma: np.ndarray  # contexts x languages
+    alpha: Table  # of n-grams
+    gamma: Table  # of contexts
     mean: np.ndarray  # cross-entropy of own documents, its spread by symbol and by document
     by_symbol: np.ndarray
     by_doc: np.ndarray
@@ -112,7 +144,7 @@ class Models:
         at = np.flatnonzero(predicted)
         p = np.full((len(at), len(self.langs)), 1.0 / SYMBOLS, np.float32)
         for m in range(1, ORDER + 1):
-            p = _look(self.keys, self.alpha, _grams(code, m)[at], 0.0) + _look(self.ctx, self.gamma, _contexts(code, m)[at], 1.0) * p
+            p = self.alpha.look(_grams(code, m)[at], len(self.langs), 0.0) + self.gamma.look(_contexts(code, m)[at], len(self.langs), 1.0) * p
         return -np.log(np.maximum(p, 1e-30)), np.searchsorted(begin, at, "right") - 1
 
     def totals(self, texts: list[str]) -> np.ndarray:
@@ -125,20 +157,10 @@ class Models:
         return out
 
 
-def _look(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray, missing: float) -> np.ndarray:
-    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
-    found = keys[at] == wanted
-    return np.where(found[:, None], values[at], np.float32(missing))
-
-
 def merge(models: list[tuple[str, tuple, tuple[float, float, float]]]) -> Models:
     models = sorted(models, key=lambda m: m[0])
-    keys, ctx = (np.unique(np.concatenate([m[1][i] for m in models])) for i in (0, 2))
-    alpha, gamma = np.zeros((len(keys), len(models)), np.float32), np.ones((len(ctx), len(models)), np.float32)
-    for i, (_, (k, a, c, g), _) in enumerate(models):
-        alpha[np.searchsorted(keys, k), i] = a
-        gamma[np.searchsorted(ctx, c), i] = g
-    return Models([m[0] for m in models], keys, alpha, ctx, gamma, *(np.array([m[2][j] for m in models]) for j in range(3)))
+    alpha, gamma = (Table.of([(m[1][i], m[1][i + 1]) for m in models]) for i in (0, 2))
+    return Models([m[0] for m in models], alpha, gamma, *(np.array([m[2][j] for m in models]) for j in range(3)))
 
 
 def train(lang: str, texts: list[str]) -> tuple[str, tuple, tuple[float, float, float]] | None:
@@ -161,12 +183,17 @@ def train(lang: str, texts: list[str]) -> tuple[str, tuple, tuple[float, float,
 
 
 def labelled_sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> DataFrame:
-    """lang and text of about SAMPLE_DOCS documents of each language, drawn by hash from those that may be learned from."""
+    """lang, text, and chars (how many a language's model takes) of about SAMPLE_DOCS documents of each language, drawn by hash
+    from those that may be learned from. Of a text of more than TEXT_CHARS characters go as many, from eight places."""
     may = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & (F.crc32(F.col(id_col).cast("string").cast("binary")) % 4 != 2))
     may = may.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     count = may.groupBy("lang").count()
-    drawn = may.join(small(count, count.count()), "lang")
-    return drawn.where(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < F.lit(float(SAMPLE_DOCS << 20)) / F.col("count")).select("id", "text", "lang")
+    langs = count.count()
+    chars = max(LEAST_CHARS, min(SAMPLE_CHARS, ALL_CHARS // max(langs, 1)))
+    part = TEXT_CHARS // 8
+    spread = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: F.expr("text").substr((F.floor((F.length("text") - part) * i / 7) + 1).cast("int"), F.lit(part))), " ")
+    drawn = may.join(small(count, langs), "lang").withColumn("text", F.when(F.length("text") > TEXT_CHARS, spread).otherwise(F.col("text"))).withColumn("chars", F.lit(chars))
+    return drawn.where(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < F.lit(float(SAMPLE_DOCS << 20)) / F.col("count")).select("id", "text", "lang", "chars")
 
 
 def bounded(texts: list[str], most: int = SAMPLE_CHARS, pieces: int = 8) -> list[str]:
@@ -189,12 +216,16 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     def run(table: pa.Table) -> pa.Table:
         # The draw's expected size is bounded; the characters that a model takes are bounded here, alike for all its texts.
         order = np.argsort(np.array(table.column("id").to_pylist(), object), kind="stable")
-        texts = bounded([table.column("text")[i].as_py() for i in order.tolist()])
+        texts = bounded([table.column("text")[i].as_py() for i in order.tolist()], table.column("chars")[0].as_py())
         got = train(table.column("lang")[0].as_py(), [unicodedata.normalize("NFC", t) for t in texts])
         rows = [] if got is None else [{"lang": got[0], **{f"m{i}": x.tobytes() for i, x in enumerate(got[1])}, "fit": list(got[2])}]
         return pa.Table.from_pylist(rows, pa.schema([("lang", pa.string()), *((f"m{i}", pa.binary()) for i in range(4)), ("fit", pa.list_(pa.float64()))]))
 
-    rows = labelled_sample(docs, id_col, text_col, lang_col).groupBy("lang").applyInArrow(run, "lang string, m0 binary, m1 binary, m2 binary, m3 binary, fit array<double>").collect()
+    fitted = cut(labelled_sample(docs, id_col, text_col, lang_col).groupBy("lang").applyInArrow(run, "lang string, m0 binary, m1 binary, m2 binary, m3 binary, fit array<double>"), "models")
+    size = fitted.agg(F.sum(F.expr("octet_length(m0) + octet_length(m1) + octet_length(m2) + octet_length(m3)"))).first()[0] or 0
+    if size > MODEL_BYTES:
+        raise ValueError(f"models of all languages take {size} bytes, more than MODEL_BYTES: too many languages to send to each task")
+    rows = fitted.collect()
     kinds = (np.uint64, np.float32, np.uint64, np.float32)
     models = [(r["lang"], tuple(np.frombuffer(r[f"m{i}"], k) for i, k in enumerate(kinds)), tuple(r["fit"])) for r in rows]
     return merge(models) if models else None
@@ -207,6 +238,7 @@ class Scorer:
         self.models = models
         self.known = np.zeros(0, U)
         self.scores = np.zeros((0, len(models.langs) + 1), np.float32)
+        self.share = 8 / max(8, len(models.langs))  # of many languages, fewer words are scored at once and remembered
 
     def words(self, keys: np.ndarray, raw) -> np.ndarray:
         at = np.minimum(np.searchsorted(self.known, keys), max(len(self.known) - 1, 0))
@@ -214,10 +246,11 @@ class Scorer:
         out = np.zeros((len(keys), self.scores.shape[1]), np.float32)
         out[found] = self.scores[at[found]]
         new = np.flatnonzero(~found)
-        for i in range(0, len(new), 20_000):
-            some = new[i : i + 20_000]
+        step = max(1, int(20_000 * self.share))
+        for i in range(0, len(new), step):
+            some = new[i : i + step]
             out[some] = self.models.totals([unicodedata.normalize("NFC", raw(j)) for j in some.tolist()])
-        if len(new) and len(self.known) < CACHE_WORDS:
+        if len(new) and len(self.known) < CACHE_WORDS * self.share:
             k = np.concatenate([self.known, keys[new]])
             order = np.argsort(k)
             self.known, self.scores = k[order], np.concatenate([self.scores, out[new]])[order]

@@ -1,4 +1,4 @@
-"""Token-ID files: flat unsigned integers plus 64-bit document offsets, memory-mapped.
+"""Token-ID files: flat unsigned integers plus 64-bit document offsets, memory-mapped or read by ranges.
 
 Documents are dealt by ranges of doc_id, encoded and appended to one file triple for each partition in the shared
 folder: NAME.bin (ids, 16 bits if the vocabulary allows, else 32), NAME.idx (64-bit offsets of documents in ids, and the
@@ -27,6 +27,9 @@ from .common import cut, fresh, parts, ship
 CACHE_WORDS = 400_000
 CACHE_CHARS = 64
 NO_ID = -(2**63)
+#: Bytes of text that go to one file; ids that are read back at once (a longer document is read whole).
+FILE_BYTES = 256_000_000
+READ_IDS = 8_000_000
 #: How the tokenizer splits lower-cased text; and characters whose normal form and lower case are plain.
 _PARTS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
 _PLAIN = regex.compile(r"[\x21-\x7E\u00A1-\u024F]*")
@@ -150,7 +153,8 @@ def write(docs: DataFrame, path: str, end_id: int, out: str | None = None, id_co
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     tie = F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary"))
-    dealt = rows.repartitionByRange(parts(spark), F.col("doc_id"), tie).sortWithinPartitions(F.col("doc_id"), tie)
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    dealt = rows.repartitionByRange(max(parts(spark), -(-size // FILE_BYTES)), F.col("doc_id"), tie).sortWithinPartitions(F.col("doc_id"), tie)
     manifest = cut(dealt.mapInArrow(run, "part long, name string, kind string, n_docs long, n_tokens long"), "manifest")
     # One row for each file goes through this window.
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
@@ -165,21 +169,25 @@ def read_back(manifest: DataFrame) -> DataFrame:
         for batch in batches:
             for row in batch.to_pylist():
                 files, at = _open(row["name"])
-                mapped = type(files).__name__ == "LocalFileSystem"
+                mapped, kind = type(files).__name__ == "LocalFileSystem", np.dtype(row["kind"])
 
-                def array(suffix: str, kind: str) -> np.ndarray:
-                    if mapped:
-                        return np.memmap(f"{at}.{suffix}", f"<{np.dtype(kind).str[1:]}", "r")
+                def array(suffix: str) -> np.ndarray:
                     with files.open_input_file(f"{at}.{suffix}") as f:
-                        return np.frombuffer(f.read(), kind)
-
-                ids, offs, docs = array("bin", row["kind"]), np.asarray(array("idx", "int64")), np.asarray(array("doc", "int64"))
-                for i in range(0, len(docs), 5000):
-                    o = offs[i : i + 5001]
-                    sums = [zlib.crc32(ids[a:b].astype("<u4")) for a, b in zip(o[:-1].tolist(), o[1:].tolist())]
-                    who = docs[i : i + 5000]
+                        return np.frombuffer(f.read(), "<i8")
+
+                offs, docs = array("idx"), array("doc")
+                ids = np.memmap(f"{at}.bin", kind.newbyteorder("<"), "r") if mapped else files.open_input_file(f"{at}.bin")
+                i = 0
+                while i < len(docs):
+                    j = min(max(i + 1, int(np.searchsorted(offs, offs[i] + READ_IDS, "right")) - 1), i + 5000, len(docs))
+                    o = offs[i : j + 1]
+                    # Where files can't be mapped, only the range of these documents is read.
+                    some = ids[o[0] : o[-1]] if mapped else np.frombuffer(ids.read_at(int(o[-1] - o[0]) * kind.itemsize, int(o[0]) * kind.itemsize), kind.newbyteorder("<"))
+                    sums = [zlib.crc32(some[a:b].astype("<u4")) for a, b in zip((o[:-1] - o[0]).tolist(), (o[1:] - o[0]).tolist())]
+                    who = docs[i:j]
                     cols = [pa.array(who, mask=who == NO_ID), pa.array(o[:-1] + row["base"]), pa.array(np.diff(o)), pa.array(sums, pa.int64())]
                     yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "start", "n_tokens", "ids_crc32"])
+                    i = j
 
     spread = manifest.repartition(parts(manifest.sparkSession), "part")
     return spread.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")

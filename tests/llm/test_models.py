@@ -223,3 +223,25 @@ def test_recall_on_many_clustered_vectors(spark):
     want = exact_nearest(np.arange(100_000), x, 20, 500)
     hits = sum(len(got[i] & {v for v, _ in want[i]}) for i in want)
     assert got.keys() == want.keys() and hits >= 0.9 * 20 * len(want)
+
+
+def test_many_languages(make):
+    """Two hundred languages: models are smaller each, and every language is told from the others."""
+    r = random.Random(12)
+    words = {f"l{i:03d}": ["".join(chr(0x4E00 + 40 * i + r.randint(0, 25)) for _ in range(r.randint(2, 5))) for _ in range(30)] for i in range(200)}
+    rows = [(20 * i + j, " ".join(r.choices(w, k=40)), lang) for i, (lang, w) in enumerate(words.items()) for j in range(12)]
+    got = langid.digest(make(rows)).collect()
+    lang = {i: l for i, _, l in rows}
+    held = [x for x in got if x["held_out"]]
+    assert len(got) == len(rows) and sum(x["lang_pred"] == lang[x["doc_id"]] for x in held) >= 0.97 * len(held) > 300
+
+
+def test_sorted_tables_look_up_like_a_matrix():
+    r = np.random.default_rng(4)
+    parts = [(np.unique(r.integers(0, 60, 25).astype(np.uint64)), None) for _ in range(5)]
+    parts = [(k, r.random(len(k)).astype(np.float32)) for k, _ in parts]
+    dense = np.full((60, 5), 7, np.float32)
+    for i, (k, v) in enumerate(parts):
+        dense[k.astype(int), i] = v
+    wanted = r.integers(0, 60, 200).astype(np.uint64)
+    assert (langid.Table.of(parts).look(wanted, 5, 7.0) == dense[wanted.astype(int)]).all()

@@ -85,3 +85,26 @@ def test_other_tokenizer_files(tmp_path, fuzz):
     t = Tokenizer.from_file(other)
     for g, e in zip(token_files.encode_texts(other, fuzz), t.encode_batch(fuzz, add_special_tokens=False)):
         assert np.frombuffer(g, "uint16").tolist() == e.ids
+
+
+def test_files_by_size_and_by_ranges(make, odd, monkeypatch):
+    """Small bounds: more files than shuffle partitions, and reading in many ranges, mapped and not."""
+    import pyarrow.fs
+
+    rows = odd + [(i, f"text number {i} " * (i % 7)) for i in range(100, 400)]
+    want = sorted(map(tuple, token_files.read_back(token_files.write(make(rows), WORD, 2)).collect()), key=lambda x: x[1])
+    monkeypatch.setattr(token_files, "FILE_BYTES", 20_000)
+    monkeypatch.setattr(token_files, "READ_IDS", 50)
+    manifest = token_files.write(make(rows), WORD, 2)
+    assert manifest.count() > 4
+    assert sorted(map(tuple, token_files.read_back(manifest).collect()), key=lambda x: x[1]) == want
+
+    class Remote:
+        def __init__(self, at):
+            self.files, self.at = pyarrow.fs.LocalFileSystem(), at
+
+        def open_input_file(self, path):
+            return self.files.open_input_file(path)
+
+    monkeypatch.setattr(token_files, "_open", lambda uri: (Remote(uri), uri.removeprefix("file://")))
+    assert sorted(map(tuple, token_files.read_back(manifest).collect()), key=lambda x: x[1]) == want
