@@ -27,3 +27,21 @@ def test_event_logs(spark, tmp_path):
     row = files.read_events(spark, str(tmp_path)).first()
     assert (row["pid"], row["fd"], row["env"]) == (7, 3, None)
     assert files.stream_events(spark, str(tmp_path)).isStreaming
+
+
+def test_files_are_hashed_in_blocks(spark, tmp_path, monkeypatch):
+    """Nested folders, names with spaces and signs, links, and files of many blocks."""
+    import hashlib
+
+    monkeypatch.setattr(files, "BLOCK_BYTES", 1000)
+    want = {}
+    for name, size in (("a", 0), ("b c%20.txt", 999), ("d/e", 1000), ("d/f/g é", 123_456), ("d/f/h#1", 1)):
+        at = tmp_path / "x" / name
+        at.parent.mkdir(parents=True, exist_ok=True)
+        data = bytes(i * 7 % 251 for i in range(size))
+        at.write_bytes(data)
+        want[str(at)] = (size, hashlib.sha1(b"blob %d\x00" % size + data).hexdigest())
+    (tmp_path / "x" / "none").mkdir()
+    assert {r["abspath"]: (r["size"], r["hash"]) for r in files.hash_files(spark, str(tmp_path / "x")).collect()} == want
+    one = files.hash_files(spark, str(tmp_path / "x" / "d" / "e")).collect()
+    assert [(r["abspath"], r["size"]) for r in one] == [(str(tmp_path / "x" / "d" / "e"), 1000)]
