@@ -10,6 +10,7 @@ namespaces.
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -19,7 +20,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalar import DATA, RDF, VOCABULARY, escape, unescape
 from ..plans.model import TRIPLES
-from ..storage import ship
+from ..storage import scratch, ship, stored
 from .turtle_text import Reader
 
 #: A literal, an IRI, a sign of lists and ends, or a name; and any other run of characters, which is none of these.
@@ -270,11 +271,24 @@ def write_turtle(triples: DataFrame, path: str) -> None:
 
 
 def write_one(triples: DataFrame, path: str) -> None:
-    """One local file with its header, statement by statement through the driver: for a single build's graph."""
-    with open(path, "w", encoding="utf-8") as f:
-        f.write(header() + "\n")
-        for row in statements(triples).toLocalIterator():
-            f.write(row["value"] + "\n")
+    """One file with its header. Statements are worked out by all tasks and put together by one of them; the file gets its
+    name when it is whole, so a failed job leaves none. A path without a scheme is on the driver's machine."""
+    spark = triples.sparkSession
+    lines = stored(statements(triples).select("value"), "statements")
+    at = scratch(spark, "one")
+    # Partitions keep their order: the header's comes first.
+    spark.createDataFrame([(header(),)], "value string").union(lines).coalesce(1).write.text(at)
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    folder = hadoop.Path(at)
+    store = folder.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    part = next(f.getPath() for f in store.listStatus(folder) if f.getPath().getName().startswith("part-"))
+    if "://" in path:
+        store.delete(hadoop.Path(path), False)
+        if not store.rename(part, hadoop.Path(path)):
+            raise OSError(f"{path} can't be written")
+    else:
+        store.copyToLocalFile(True, part, hadoop.Path("file://" + os.path.abspath(path)), True)
+    store.delete(folder, True)
 
 
 def from_rows(spark: SparkSession, rows: list[tuple[str, str, str, str, str]]) -> DataFrame:
