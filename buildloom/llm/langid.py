@@ -30,6 +30,8 @@ SAMPLE_CHARS = 1_500_000
 ALL_CHARS, LEAST_CHARS = 16_000_000, 10_000
 TEXT_CHARS = 40_000
 MODEL_BYTES = 400_000_000
+#: Values that a task lays out as a matrix; tables of more keys times languages are looked up as they are.
+MATRIX_CELLS = 16_000_000
 #: Symbols that a model spreads its last share of probability over.
 SYMBOLS = 1024
 #: Rejection: standard errors for the text's length, spreads between documents, and nats for each symbol.
@@ -107,6 +109,10 @@ class Table:
     start: np.ndarray  # where each key's values begin, and the end
     lang: np.ndarray
     value: np.ndarray
+    matrix: np.ndarray | None = None  # made where it is used, never sent
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"matrix": None}
 
     @staticmethod
     def of(parts: list[tuple[np.ndarray, np.ndarray]]) -> Table:
@@ -118,7 +124,13 @@ class Table:
         return Table(keys, np.append(start, len(key)), lang[order], value[order])
 
     def look(self, wanted: np.ndarray, langs: int, missing: float) -> np.ndarray:
-        """A row of all languages' values for each key that is wanted."""
+        """A row of all languages' values for each key that is wanted; missing is the same in all calls of a table."""
+        if self.matrix is None and 0 < len(self.keys) * langs <= MATRIX_CELLS:
+            self.matrix = np.full((len(self.keys), langs), missing, np.float32)
+            self.matrix[np.repeat(np.arange(len(self.keys)), np.diff(self.start)), self.lang] = self.value
+        if self.matrix is not None:
+            at = np.minimum(np.searchsorted(self.keys, wanted), len(self.keys) - 1)
+            return np.where((self.keys[at] == wanted)[:, None], self.matrix[at], np.float32(missing))
         out = np.full((len(wanted), langs), missing, np.float32)
         if len(self.keys):
             at = np.minimum(np.searchsorted(self.keys, wanted), len(self.keys) - 1)

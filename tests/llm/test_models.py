@@ -236,7 +236,9 @@ def test_many_languages(make):
     assert len(got) == len(rows) and sum(x["lang_pred"] == lang[x["doc_id"]] for x in held) >= 0.97 * len(held) > 300
 
 
-def test_sorted_tables_look_up_like_a_matrix():
+@pytest.mark.parametrize("cells", [0, 1000])
+def test_sorted_tables_look_up_like_a_matrix(cells, monkeypatch):
+    monkeypatch.setattr(langid, "MATRIX_CELLS", cells)
     r = np.random.default_rng(4)
     parts = [(np.unique(r.integers(0, 60, 25).astype(np.uint64)), None) for _ in range(5)]
     parts = [(k, r.random(len(k)).astype(np.float32)) for k, _ in parts]
