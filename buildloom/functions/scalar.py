@@ -117,11 +117,12 @@ RDF = "http://www.w3.org/1999/02/22-rdf-syntax-ns#"
 
 
 def iri_of(node: Column | str) -> Column:
-    """The whole IRI of a node or name as graphs have it; null of a blank node."""
+    """The whole IRI of a node or name as graphs have it; null of a blank node. A bare name, as tables may have, stands for itself."""
     x = _col(node)
     out = F.when(x == "a", RDF + "type").when(F.startswith(x, F.lit(":")), F.concat(F.lit(DATA), F.substring(x, 2, 1 << 30)))
     out = out.when(F.startswith(x, F.lit("b:")), F.concat(F.lit(VOCABULARY), F.substring(x, 3, 1 << 30)))
-    return out.when(F.startswith(x, F.lit("<")), F.regexp_extract(x, "^<(.*)>$", 1))
+    out = out.when(F.startswith(x, F.lit("<")), F.regexp_extract(x, "^<(.*)>$", 1))
+    return out.when(~F.startswith(x, F.lit("_:")), x)
 
 
 def env_split(entry: Column | str) -> tuple[Column, Column]:
