@@ -83,12 +83,8 @@ class Encoder:
         first[offs[:-1]] = True
         return np.flatnonzero(first[: len(data)])
 
-    def encode(self, data: np.ndarray, offs: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of all texts, end_id after each, and the texts' offsets in them."""
-        start = self.starts(data, offs)
-        bounds = np.append(start, len(data))
-        chunks = pa.Array.from_buffers(pa.large_binary(), len(start), [None, pa.py_buffer(bounds.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(data))]).dictionary_encode()
-        distinct = chunks.dictionary.to_pylist()
+    def lookup(self, distinct: list[bytes]) -> list[bytes]:
+        """The packed ids of each chunk."""
         if len(self.known) > CACHE_CHUNKS:
             self.known.clear()
         known, held = self.known, {}
@@ -97,7 +93,14 @@ class Encoder:
             some = new[i : i + 20_000]
             for c, e in zip(some, self.library.encode_batch_fast([c.decode("utf-8", "replace") for c in some], add_special_tokens=False)):
                 (known if len(c) <= CACHE_BYTES else held)[c] = np.array(e.ids, self.kind).tobytes()
-        packed = [known[c] if c in known else held[c] for c in distinct] if held else [known[c] for c in distinct]
+        return [known[c] if c in known else held[c] for c in distinct] if held else [known[c] for c in distinct]
+
+    def encode(self, data: np.ndarray, offs: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, end_id after each, and the texts' offsets in them."""
+        start = self.starts(data, offs)
+        bounds = np.append(start, len(data))
+        chunks = pa.Array.from_buffers(pa.large_binary(), len(start), [None, pa.py_buffer(bounds.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(data))]).dictionary_encode()
+        packed = self.lookup(chunks.dictionary.to_pylist())
         packed.append(np.array([end_id], self.kind).tobytes())
         flat = np.frombuffer(b"".join(packed), self.kind)
         size = np.fromiter(map(len, packed), np.int64, len(packed)) // flat.itemsize

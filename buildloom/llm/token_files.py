@@ -23,6 +23,8 @@ from pyspark.sql import functions as F
 
 from .bpe import byte_alphabet
 from .common import cut, fresh, parts, ship
+from .packing import AT_ONCE, Encoder
+from .text import buffers, pieces
 
 CACHE_WORDS = 400_000
 CACHE_CHARS = 64
@@ -88,24 +90,50 @@ def _encode_new(tok, known: dict[str, bytes], kind: str, pieces: list[str]) -> l
     return out
 
 
+class Words(Encoder):
+    """Token ids of many texts, each distinct piece between spaces (or line feeds) once: a tokenizer with the known chain never
+    joins what a white space parts. Texts of any other go through the library whole."""
+
+    def __init__(self, path: str):
+        self.library, cache, self.parts, kind = _encoder(path)
+        self.cuts, self.known, self.kind = cache is not None, {}, "<u2" if kind == "uint16" else "<u4"
+
+    def starts(self, data: np.ndarray, offs: np.ndarray) -> np.ndarray:
+        first = np.zeros(len(data) + 1, bool)
+        if self.cuts:
+            first[: len(data)] = (data == 0x20) | (data == 0x0A)
+        first[offs[:-1]] = True
+        return np.flatnonzero(first[: len(data)])
+
+    def lookup(self, distinct: list[bytes]) -> list[bytes]:
+        if not self.cuts:
+            return super().lookup(distinct)
+        for held in (self.known, self.parts):
+            if len(held) > CACHE_WORDS:
+                held.clear()
+        known, held = self.known, {}
+        new = [c for c in distinct if c not in known]
+        pieces = [(c[1:] if c[0] in b" \n" else c).decode("utf-8", "replace") for c in new]
+        for c, ids in zip(new, _encode_new(self.library, self.parts, self.kind, pieces)):
+            (known if len(c) <= CACHE_CHARS else held)[c] = ids
+        return [known[c] if c in known else held[c] for c in distinct] if held else [known[c] for c in distinct]
+
+
+_WORDS: dict[str, Words] = {}
+
+
+def _words(path: str) -> Words:
+    if path not in _WORDS:
+        _WORDS[path] = Words(path)
+    return _WORDS[path]
+
+
 def encode_texts(path: str, texts: list[str]) -> list[bytes]:
-    """Packed ids of each text. The tokenizer never joins what a white space parts, so each space-delimited piece is
-    encoded once by the library and remembered."""
-    tok, cache, known, kind = _encoder(path)
-    if cache is None:
-        return [np.array(e.ids, kind).tobytes() for e in tok.encode_batch_fast(texts, add_special_tokens=False)]
-    for held in (cache, known):
-        if len(held) > CACHE_WORDS:
-            held.clear()
-    split = [t.replace("\n", " ").split(" ") for t in texts]
-    new = list({w for ws in split for w in ws} - cache.keys())
-    held = {}
-    for w, ids in zip(new, _encode_new(tok, known, kind, new)):
-        (cache if len(w) <= CACHE_CHARS else held)[w] = ids
-    if held:
-        return [b"".join([x if (x := cache.get(w)) is not None else held[w] for w in ws]) for ws in split]
-    get = cache.__getitem__
-    return [b"".join(map(get, ws)) for ws in split]
+    """Packed ids of each text."""
+    words = _words(path)
+    data, offs = buffers(pa.array(texts, pa.string()))
+    ids, at = words.encode(data, offs, 0)
+    return [ids[a : b - 1].astype(words.kind).tobytes() for a, b in zip(at[:-1].tolist(), at[1:].tolist())]
 
 
 def _open(uri: str):
@@ -131,18 +159,16 @@ def write(docs: DataFrame, path: str, end_id: int, out: str | None = None, id_co
         files.create_dir(root, recursive=True)
         name = f"part-{part:06d}-{uuid.uuid4().hex}"
         ids_of, offsets, last = [], [np.zeros(1, np.int64)], 0
-        end = np.array([end_id], kind).tobytes()
-        width = len(end)
+        words = _words(path)
         with files.open_output_stream(f"{root}/{name}.bin") as f:
             for batch in batches:
                 ids_of.append(batch.column(0).fill_null(NO_ID).to_numpy(zero_copy_only=False).astype("<i8"))
-                texts = batch.column(1).to_pylist()
-                for i in range(0, len(texts), 500):
-                    got = encode_texts(path, [t or "" for t in texts[i : i + 500]])
-                    f.write(b"".join([x for g in got for x in (g, end)]))
-                    ends = last + np.cumsum(np.array([len(g) // width + 1 for g in got], np.int64))
-                    offsets.append(ends)
-                    last = int(ends[-1])
+                whole, offs = buffers(batch.column(1))
+                for i, j in pieces(offs, AT_ONCE):
+                    ids, at = words.encode(whole[offs[i] : offs[j]], offs[i : j + 1] - offs[i], end_id)
+                    f.write(ids.astype(words.kind).tobytes())
+                    offsets.append(last + at[1:])
+                    last += int(at[-1])
         if not ids_of:
             return
         for suffix, arrays in (("idx", offsets), ("doc", ids_of)):
