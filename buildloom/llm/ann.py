@@ -3,10 +3,13 @@
 Centroids and codebooks are fitted on a bounded sample; every vector is indexed under its nearest centroid (its cell) with
 one byte of code for each subspace of its residual. Cells are packed into units of bounded size, and a larger cell is split
 over several, so one that holds a third of all vectors is shared out among tasks; queries come to a unit in blocks of
-bounded size as well. A query visits the cells whose centroids have the largest products with it. In each unit it scores
-the vectors of visited cells through its table of products with the codebooks (asymmetric distance), and the best are
-scored anew on the original vectors in double precision. How many cells to visit is calibrated: the fewest with which a
-bounded sample of queries finds TARGET of its true neighbours, which a brute-force pass over all vectors gives.
+bounded size as well. A query visits the units of the cells whose centroids have the largest products with it. In each unit
+it scores the vectors through its table of products with the codebooks (asymmetric distance), and the best are scored anew
+on the original vectors in double precision. So are all others that may be nearer than the last of these: each vector has
+the length of what its code leaves out, which bounds how far its score is off. Thus a unit gives its true nearest, also
+where vectors lie so near to each other that they share their codes. How many cells to visit is calibrated: the fewest with
+which a bounded sample of queries finds TARGET of its true neighbours, which a brute-force pass over all vectors gives.
+Cells, codes and bounds are of vectors by a common scale and queries of length 1, so neither large nor small values matter.
 """
 
 from __future__ import annotations
@@ -29,12 +32,12 @@ CELL_SAMPLE = 16
 BLOCK = 4096
 QUERY_BLOCK = 1024
 CALIBRATE = 256
-#: Vectors of a unit that are scored exactly for each query.
+#: Vectors of a unit that are scored exactly for each query in any case.
 RERANK = 128
 #: The share of true neighbours whose cells are visited.
 TARGET = 0.95
 #: Vectors and queries that are scored at once, so that what is summed stays in a processor's cache.
-TILE, TILE_QUERIES = 512, 128
+TILE, TILE_QUERIES = 256, 128
 SUBSPACES = 16
 CODES = 256
 
@@ -57,22 +60,37 @@ class Index:
         m, _, w = self.books.shape
         return np.stack([nearest(res[:, i * w : (i + 1) * w], self.books[i]) for i in range(m)], 1).astype(np.uint8)
 
+    def left_out(self, x: np.ndarray, cell: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        """How far a vector's product with a query of length 1 is from what its cell and codes give, at most."""
+        told = np.concatenate([self.books[m][codes[:, m]] for m in range(codes.shape[1])], 1)
+        return length(pad(x - self.centroids[cell], self.padded) - told) * (1 + 1e-9) + 1e-9 * (length(x) + length(self.centroids)[cell])
+
     def tables(self, q: np.ndarray) -> np.ndarray:
         """subspaces x codes x queries: products with the codebooks."""
         m, _, w = self.books.shape
-        return np.matmul(self.books, pad(q, self.padded).reshape(len(q), m, w).transpose(1, 2, 0)).astype(np.float32)
+        return np.matmul(self.books, pad(q, self.padded).reshape(len(q), m, w).transpose(1, 2, 0))
 
-    def asymmetric(self, q: np.ndarray, cell: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """queries x vectors: the products of queries with cells' centroids, and with that what the tables add for the codes."""
-        table, centre = self.tables(q), (self.centroids @ q.T).astype(np.float32)
-        coarse, near = (np.empty((len(q), len(cell)), np.float32) for _ in range(2))
+    def asymmetric(self, q: np.ndarray, cell: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        """queries x vectors: the products of queries with cells' centroids and what the tables add for the codes."""
+        table, centre = self.tables(q), self.centroids @ q.T
+        near = np.empty((len(q), len(cell)))
         for i in range(0, len(cell), TILE):
             sums = centre[cell[i : i + TILE]]
-            coarse[:, i : i + TILE] = sums.T
             for m in range(codes.shape[1]):
                 sums += table[m][codes[i : i + TILE, m]]
             near[:, i : i + TILE] = sums.T
-        return coarse, near
+        return near
+
+
+def length(x: np.ndarray) -> np.ndarray:
+    """Of each row, whatever its values' size."""
+    most = np.abs(x).max(1, initial=0.0)
+    return most * np.sqrt(((x / np.where(most > 0, most, 1)[:, None]) ** 2).sum(1))
+
+
+def unit_length(x: np.ndarray) -> np.ndarray:
+    x = x / np.abs(x).max(1)[:, None]
+    return x / length(x)[:, None]
 
 
 def pad(x: np.ndarray, width: int) -> np.ndarray:
@@ -185,17 +203,19 @@ def search(table: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding",
     _, x = vectors(drawn.column("vec").combine_chunks(), dim)
     if not len(x):
         return spark.createDataFrame([], schema)
-    index = fit(x, int(max(1, min(2 * np.sqrt(total), len(x) / CELL_SAMPLE))))
+    scale = float(np.median(np.abs(x).max(1)))
+    index = fit(x / scale, int(max(1, min(2 * np.sqrt(total), len(x) / CELL_SAMPLE))))
 
     def enter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ok, x = vectors(b.column("vec"), dim)
-            cell = index.cells(x)
-            codes = index.codes(x, cell)
-            cols = [b.column("vec_id").filter(pa.array(ok)), pa.array(cell, pa.int32()), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array([v.tobytes() for v in x], pa.binary())]
-            yield pa.RecordBatch.from_arrays(cols, names=["vec_id", "cell", "code", "raw"])
+            y = x / scale
+            cell = index.cells(y)
+            codes = index.codes(y, cell)
+            cols = [b.column("vec_id").filter(pa.array(ok)), pa.array(cell, pa.int32()), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(index.left_out(y, cell, codes)), pa.array([v.tobytes() for v in x], pa.binary())]
+            yield pa.RecordBatch.from_arrays(cols, names=["vec_id", "cell", "code", "off", "raw"])
 
-    entries = cut(rows.mapInArrow(enter, "vec_id long, cell int, code binary, raw binary"), "ivf")
+    entries = cut(rows.mapInArrow(enter, "vec_id long, cell int, code binary, off double, raw binary"), "ivf")
     counts = np.zeros(len(index.centroids), np.int64)
     for r in entries.groupBy("cell").count().collect():  # one row for each cell, of which there are SAMPLE / CELL_SAMPLE at most
         counts[r["cell"]] = r["count"]
@@ -203,7 +223,7 @@ def search(table: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding",
     trial = asked.orderBy(F.xxhash64("vec_id")).limit(CALIBRATE).toArrow()
     if not trial.num_rows:
         return spark.createDataFrame([], schema)
-    who, y = trial.column("vec_id").to_numpy(), matrix(trial.column("q_raw"), dim)
+    who, y = trial.column("vec_id").to_numpy(), unit_length(matrix(trial.column("q_raw"), dim))
     true = nearest_exact(entries, who, y, k).toArrow()  # k rows for each of CALIBRATE queries
     order = np.argsort(-(y @ index.centroids.T), 1, kind="stable")
     at = np.argsort(order, 1)
@@ -224,7 +244,7 @@ def search(table: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding",
 
     def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            q = matrix(b.column("q_raw"), dim)
+            q = unit_length(matrix(b.column("q_raw"), dim))
             for i in range(0, len(q), 256):
                 near = q[i : i + 256] @ index.centroids.T
                 order = np.argsort(-near, 1, kind="stable")
@@ -236,7 +256,7 @@ def search(table: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding",
                 pairs = np.unique(row * n_units + unit)
                 row, unit = pairs // n_units, pairs % n_units
                 part = b.slice(i, 256).take(pa.array(row))
-                yield pa.RecordBatch.from_arrays([part.column("vec_id"), part.column("q_raw"), pa.array(least[row, 0]), pa.array(unit, pa.int32())], names=["query_id", "q_raw", "least", "unit"])
+                yield pa.RecordBatch.from_arrays([part.column("vec_id"), part.column("q_raw"), pa.array(unit, pa.int32())], names=["query_id", "q_raw", "unit"])
 
     def place_in(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -244,14 +264,14 @@ def search(table: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding",
             with np.errstate(over="ignore"):
                 dealt = (ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64)
             unit = first[cell] + dealt % spread[cell]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(unit, pa.int32())], names=["vec_id", "cell", "code", "raw", "unit"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(unit, pa.int32())], names=["vec_id", "cell", "code", "off", "raw", "unit"])
 
-    visits = cut(asked.mapInArrow(visit, "query_id long, q_raw binary, least double, unit int"), "visits")
+    visits = cut(asked.mapInArrow(visit, "query_id long, q_raw binary, unit int"), "visits")
     # How many blocks a unit's queries make: a row for each unit of BLOCK vectors, joined to both sides.
     loads = visits.groupBy("unit").agg(F.ceil(F.count(F.lit(1)) / QUERY_BLOCK).cast("int").alias("blocks"))
     loads = small(loads, n_units)
     left = visits.join(loads, "unit").withColumn("q_block", F.pmod(F.xxhash64("query_id"), F.col("blocks")).cast("int")).drop("blocks")
-    placed = entries.mapInArrow(place_in, "vec_id long, cell int, code binary, raw binary, unit int").join(loads, "unit")
+    placed = entries.mapInArrow(place_in, "vec_id long, cell int, code binary, off double, raw binary, unit int").join(loads, "unit")
     right = placed.withColumn("v_block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumnRenamed("unit", "v_unit").drop("blocks")
 
     def score(q: pa.Table, v: pa.Table) -> pa.Table:
@@ -262,19 +282,30 @@ def search(table: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding",
             v = v.take(pa.array(once))
             cell = v.column("cell").to_numpy()
             codes = np.frombuffer(b"".join(v.column("code").to_pylist()), np.uint8).reshape(len(ids), -1)
-            raw = matrix(v.column("raw"), dim)
-            asked, least, x = q.column("query_id").to_numpy(), q.column("least").to_numpy(), matrix(q.column("q_raw"), dim)
+            off, raw = v.column("off").to_numpy(), matrix(v.column("raw"), dim)
+            scaled = raw / scale
+            far = length(scaled)
+            asked, x = q.column("query_id").to_numpy(), matrix(q.column("q_raw"), dim)
             for i in range(0, len(asked), TILE_QUERIES):
-                who, y = asked[i : i + TILE_QUERIES], x[i : i + TILE_QUERIES]
-                coarse, near = index.asymmetric(y, cell, codes)
-                near[(coarse < (least[i : i + TILE_QUERIES, None] - 1e-6)) | (ids[None, :] == who[:, None])] = -np.inf
+                who, y = asked[i : i + TILE_QUERIES], unit_length(x[i : i + TILE_QUERIES])
+                near, own = index.asymmetric(y, cell, codes), ids[None, :] == who[:, None]
+                near[own] = -np.inf
                 pick = best(near, RERANK)
-                exact = np.einsum("qrd,qd->qr", raw[pick], y)
-                exact[np.isneginf(np.take_along_axis(near, pick, 1))] = -np.inf
-                top = np.lexsort((ids[pick], -exact), axis=1)[:, :k]
-                s = np.take_along_axis(exact, top, 1)
-                fine = np.isfinite(s)
-                out.append((np.repeat(who, fine.sum(1)), ids[np.take_along_axis(pick, top, 1)][fine], s[fine]))
+                sure = np.einsum("qrd,qd->qr", scaled[pick], y)
+                sure[np.isneginf(np.take_along_axis(near, pick, 1))] = -np.inf
+                few = sure.shape[1] <= k  # then all are answers
+                level = np.full(len(who), -np.inf) if few else np.partition(sure, -k, 1)[:, -k]
+                near += off
+                near = near >= level[:, None] - 1e-9 * np.abs(level)[:, None]
+                may = np.flatnonzero(near.any(0))
+                s = np.where(near[:, may] & ~own[:, may], y @ scaled[may].T, -np.inf)
+                level = np.full(len(who), -np.inf) if s.shape[1] <= k else np.partition(s, -k, 1)[:, -k]
+                tied = s + 1e-12 * far[may] >= (level - 1e-9 * np.abs(level))[:, None]
+                for j in range(len(who)):
+                    at = may[np.flatnonzero(tied[j] & ~own[j, may])]
+                    exact = np.einsum("rd,d->r", raw[at], x[i + j])
+                    top = np.lexsort((ids[at], -exact))[:k]
+                    out.append((np.repeat(who[j], len(top)), ids[at[top]], exact[top]))
         a, b, c = (np.concatenate(z) for z in zip(*out))
         return pa.table({"query_id": pa.array(a), "vec_id": pa.array(b), "score": pa.array(c)})
 

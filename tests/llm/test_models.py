@@ -225,6 +225,21 @@ def test_recall_on_many_clustered_vectors(spark):
     assert got.keys() == want.keys() and hits >= 0.9 * 20 * len(want)
 
 
+@pytest.mark.parametrize("kind", ["small", "large", "groups"])
+def test_recall_on_other_values(spark, kind):
+    """Values that single precision can't hold, and groups of vectors so alike that they share their codes."""
+    r = np.random.default_rng(6)
+    n = 6000
+    x = {"small": lambda: 1e-25 * r.normal(size=(n, 16)), "large": lambda: 1e25 * r.normal(size=(n, 16)), "groups": lambda: np.repeat(r.normal(size=(10, 16)), n // 10, 0) + 1e-12 * r.normal(size=(n, 16))}[kind]()
+    flat = pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, 16), pa.int32()), pa.array(x.ravel()))
+    table = spark.createDataFrame(pa.table({"vec_id": np.arange(n), "embedding": flat}))
+    got = {}
+    for row in ann.search(table, every=100).collect():
+        got.setdefault(row["query_id"], set()).add(row["vec_id"])
+    want = exact_nearest(np.arange(n), x, 20, 100)
+    assert got.keys() == want.keys() and sum(len(got[i] & {v for v, _ in want[i]}) for i in want) >= 0.9 * 20 * len(want)
+
+
 def test_many_languages(make):
     """Two hundred languages: models are smaller each, and every language is told from the others."""
     r = random.Random(12)
