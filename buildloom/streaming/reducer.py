@@ -5,8 +5,10 @@ kept in map states: live processes and their open files by process id, the newes
 source of a rename that is under way. A batch reads and writes the entries that its events touch, not the build's whole state.
 
 Events may come in any order if they are numbered from 0 without a gap in each build (dense): what comes too early waits in
-a map state until what is before it has come; what comes again is passed over. So what a log yields doesn't depend on how it
-is cut into batches or dealt to them. Other logs are put in the order of seq within each batch.
+a map state, in blocks of events that lie next to each other, until what is before it has come; what comes again is passed
+over. So what a log yields doesn't depend on how it is cut into batches or dealt to them. Other logs are put in the order of
+seq within each batch. However many events of a build a batch holds, a task keeps a bounded number of them: they are sorted in
+runs in a temporary file and merged, and triples leave in blocks.
 
 A query that runs on and on is given patience: then a timer says when a missing event isn't waited for any more, and the
 state of a build that ended with its last live process goes once it has been idle for as long. A bounded query has none, as
@@ -15,21 +17,69 @@ timers keep a query going.
 
 from __future__ import annotations
 
+import heapq
 import json
 import pickle
-from collections.abc import Callable, Iterator
-from itertools import accumulate
-
-from pyspark.sql import DataFrame, Row
+import tempfile
+from collections.abc import Callable, Iterable, Iterator
+from itertools import accumulate, chain, islice
+from types import SimpleNamespace
+
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor
 
-from ..functions.scalar import CMDLINE_BYTES
+from ..functions.scalar import CMDLINE_BYTES, format_time
 from ..operators.reducer import EXECS, FORKS, OPENS, RENAMES, WRITE_CREATE
 from ..plans.model import TRIPLES
 from ..storage import ship
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 TIME = "%Y-%m-%dT%H:%M:%SZ"
+#: What of an event travels and waits, as a JSON text.
+FIELDS = ("pid", "op", "syscall", "fd", "flags", "path", "abspath", "new_path", "new_abspath", "hash", "child_pid", "cmdline", "env", "rval")
+#: Events that are sorted at once, events of a block (in a sorted run, in the state), triples of a block.
+RUN, BLOCK, OUT = 50_000, 500, 10_000
+
+
+def blocks(rows: Iterable, n: int) -> Iterator[list]:
+    rows = iter(rows)
+    while part := list(islice(rows, n)):
+        yield part
+
+
+def ordered(events: Iterator[tuple[int, str]]) -> Iterator[tuple[int, str]]:
+    """events (seq, text) by seq, those of one seq as they come. Of more than RUN, all but a block of each run are in a file."""
+    first = list(islice(events, RUN))
+    if len(first) < RUN:
+        yield from sorted(first, key=lambda e: e[0])
+        return
+    with tempfile.TemporaryFile() as f:
+        runs = []
+        for run in chain([first], blocks(events, RUN)):
+            run.sort(key=lambda e: e[0])
+            places = []
+            for part in blocks(run, BLOCK):
+                places.append(f.tell())
+                pickle.dump(part, f)
+            runs.append(places)
+        first = run = part = None  # what is in the file needn't be held
+
+        def read(places: list[int]) -> Iterator[tuple[int, str]]:
+            for at in places:
+                f.seek(at)
+                yield from pickle.load(f)
+
+        yield from heapq.merge(*map(read, runs), key=lambda e: e[0])
+
+
+def event(text: str) -> SimpleNamespace:
+    return SimpleNamespace(**json.loads(text))
+
+
+def moment(ts) -> str:
+    return ts if isinstance(ts, str) else ts.strftime(TIME)
 
 
 def rendered(args: list[str]) -> str | None:
@@ -117,7 +167,7 @@ class Build:
             self.counts["live"] -= 1
             self.moving.pop(str(e.pid))
             self.open.pop(str(e.pid))
-            return [(node, "b:end", e.ts.strftime(TIME), "literal")]
+            return [(node, "b:end", moment(e.ts), "literal")]
         node = self.process(e.pid)
         out = [(node, "b:env", x, "literal") for x in (e.env if e.env is not None else [])]
         if e.op == "entry" and e.syscall in RENAMES and e.abspath is not None:
@@ -134,19 +184,20 @@ class Build:
             if mode in (1, 2):
                 file = self.fresh("f")
                 held = self.open.get(str(e.pid)) or {}
-                self.open.put(str(e.pid), held | {str(e.fd): [*held.get(str(e.fd), []), [file, e.abspath]]})
+                held.setdefault(str(e.fd), []).append([file, e.abspath])
+                self.open.put(str(e.pid), held)
                 edges = ["b:reads", "b:writes"] if mode == 2 else ["b:writes"]
                 return out + self.described(file, e.path, e.abspath, None) + [(node, p, file, "iri") for p in edges]
         elif e.syscall == "close":
             held = self.open.get(str(e.pid)) or {}
             if stack := held.get(str(e.fd)):
-                file, abspath = stack[-1]
-                self.open.put(str(e.pid), held | {str(e.fd): stack[:-1]})
+                file, abspath = stack.pop()
+                self.open.put(str(e.pid), held)
                 self.cache.put(json.dumps([abspath, e.hash]), file)
                 return out + ([(file, "b:hash", e.hash, "literal")] if e.hash is not None else [])
         elif e.syscall in EXECS:
             file, made = self.version(e)
-            out += [(node, "a", "b:process", "iri"), (node, "b:start", e.ts.strftime(TIME), "literal")]
+            out += [(node, "a", "b:process", "iri"), (node, "b:start", moment(e.ts), "literal")]
             if e.cmdline is not None:
                 cmd = rendered(list(e.cmdline))
                 out += [(node, "b:cmd", cmd, "literal")] if cmd is not None else []
@@ -172,34 +223,45 @@ class Reducer(StatefulProcessor):
         self.handle = handle
         self.counts = handle.getValueState("counts", "saved string")
         self.maps = {n: handle.getMapState(n, "key string", "saved string") for n in ("nodes", "open", "cache", "moving")}
-        self.waiting = handle.getMapState("waiting", "seq long", "event binary")
+        self.waiting = handle.getMapState("blocks", "block long", "events binary")
 
-    def saved(self) -> dict[str, int]:
-        """Numbers given so far, live processes, the next seq, and how many events wait."""
-        return json.loads(self.counts.get()[0]) if self.counts.exists() else {"p": 0, "f": 0, "rename": 0, "live": 0, "next": 0, "waiting": 0}
+    def saved(self) -> dict:
+        """Numbers given so far, live processes, the next seq, and the blocks of events that wait: first seq and key of each."""
+        return json.loads(self.counts.get()[0]) if self.counts.exists() else {"p": 0, "f": 0, "rename": 0, "live": 0, "next": 0, "waiting": [], "blocks": 0}
 
-    def take(self, counts: dict[str, int], events: dict[int, Row]) -> Iterator[tuple]:
-        """Triples of the next events, among those that have come and those that wait, up to the first that is missing."""
-        build = Build(counts, lambda n: Cached(self.maps[n]))
+    def take(self, counts: dict, build: Build, fresh: Iterator[tuple[int, str]]) -> Iterator[tuple]:
+        """Triples of the next events, among those that have come (by seq) and those that wait, up to the first that is missing.
+        What is left is kept. Only blocks that begin at or before the next event are read."""
+        held: dict[int, str] = {}
+        front = next(fresh, None)
         while True:
             seq = counts["next"]
-            e = events.pop(seq, None)
-            if counts["waiting"] and self.waiting.containsKey((seq,)):
-                e = pickle.loads(self.waiting.getValue((seq,))[0]) if e is None else e
-                self.waiting.removeKey((seq,))
-                counts["waiting"] -= 1
-            if e is None:
+            while counts["waiting"] and counts["waiting"][0][0] <= seq:
+                _, key = heapq.heappop(counts["waiting"])
+                held |= {n: text for n, text in pickle.loads(self.waiting.getValue((key,))[0]) if n >= seq}
+                self.waiting.removeKey((key,))
+            text = held.pop(seq, None)
+            while front is not None and front[0] <= seq:
+                text = front[1] if text is None and front[0] == seq else text
+                front = next(fresh, None)
+            if text is None:
                 break
-            yield from build.step(e)
+            yield from build.step(event(text))
             counts["next"] = seq + 1
+        rest = chain([front], fresh) if front is not None else ()
+        for part in blocks(heapq.merge(sorted(held.items()), rest, key=lambda e: e[0]), BLOCK):
+            self.waiting.updateValue((counts["blocks"],), (pickle.dumps(list(dict(part).items())),))
+            heapq.heappush(counts["waiting"], [part[0][0], counts["blocks"]])
+            counts["blocks"] += 1
+
+    def run(self, build_id: str, counts: dict, events: Iterator[tuple[int, str]], now: int) -> Iterator[pd.DataFrame]:
+        """Triples that the events give; then the state is kept, and timers ask to be called again if something is missing or
+        the build is over."""
+        build = Build(counts, lambda n: Cached(self.maps[n]))
+        triples = self.take(counts, build, events) if self.dense else (t for _, text in events for t in build.step(event(text)))
+        for part in blocks(triples, OUT):
+            yield pd.DataFrame([(build_id, *t) for t in part], columns=["build_id", "s", "p", "o", "o_kind"])
         build.save()
-
-    def wait(self, counts: dict[str, int], events: dict[int, Row], now: int) -> None:
-        """Keep what came too early, and ask to be called again if something is missing or the build is over."""
-        for seq, e in events.items():
-            if not self.waiting.containsKey((seq,)):
-                self.waiting.updateValue((seq,), (pickle.dumps(e),))
-                counts["waiting"] += 1
         self.counts.update((json.dumps(counts),))
         if self.patience is None:
             return
@@ -208,28 +270,18 @@ class Reducer(StatefulProcessor):
         if counts["waiting"] or not counts["live"]:
             self.handle.registerTimer(now + self.patience)
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        counts, (build_id,) = self.saved(), key
-        if self.dense:
-            events = {e.seq: e for e in rows if e.seq >= counts["next"]}
-            triples = list(self.take(counts, events))
-        else:
-            events, build = {}, Build(counts, lambda n: Cached(self.maps[n]))
-            triples = [t for e in sorted(rows, key=lambda e: e.seq) for t in build.step(e)]
-            build.save()
-        self.wait(counts, events, 0 if self.patience is None else timerValues.getCurrentProcessingTimeInMs())
-        return (Row(build_id=build_id, s=s, p=p, o=o, o_kind=k) for s, p, o, k in triples)
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        counts, (build_id,), triples = self.saved(), key, []
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        now = 0 if self.patience is None else timerValues.getCurrentProcessingTimeInMs()
+        yield from self.run(key[0], self.saved(), ordered(e for x in rows for e in zip(x["seq"].tolist(), x["event"].tolist())), now)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        counts = self.saved()
         if counts["waiting"]:  # what is missing is given up
-            counts["next"] = min(k[0] for k in self.waiting.keys())
-            triples = list(self.take(counts, {}))
-            self.wait(counts, {}, timerValues.getCurrentProcessingTimeInMs())
+            counts["next"] = counts["waiting"][0][0]
+            yield from self.run(key[0], counts, iter(()), timerValues.getCurrentProcessingTimeInMs())
         elif not counts["live"]:
             for state in (self.counts, self.waiting, *self.maps.values()):
                 state.clear()
-        return (Row(build_id=build_id, s=s, p=p, o=o, o_kind=k) for s, p, o, k in triples)
 
     def close(self) -> None:
         pass
@@ -241,4 +293,5 @@ def reduce_stream(log: DataFrame, dense: bool = False, patience: int | None = No
     spark = log.sparkSession
     ship(spark)
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
-    return log.groupBy("build_id").transformWithState(Reducer(dense, patience), TRIPLES, "append", "none" if patience is None else "processingTime")
+    said = F.to_json(F.struct(format_time("ts").alias("ts"), *FIELDS), {"ignoreNullFields": "false"})
+    return log.select("build_id", "seq", said.alias("event")).groupBy("build_id").transformWithStateInPandas(Reducer(dense, patience), TRIPLES, "append", "none" if patience is None else "processingTime")

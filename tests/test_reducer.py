@@ -1,3 +1,4 @@
+import json
 import random
 from datetime import datetime, timedelta
 
@@ -234,3 +235,40 @@ def test_record(spark, tmp_path, sf_dir, capsys):
     want = reduce_log(log.where("build_id = 'b1'")).triples().distinct().count()
     assert turtle.read_turtle(spark, str(tmp_path / "x-build.out")).count() == want
     assert (tmp_path / "out" / "build_id=b1").is_dir() and (tmp_path / "out" / "build_id=b2").is_dir()
+
+
+def test_sorting_in_runs(monkeypatch):
+    """More events than are sorted at once come in order, those of one seq as they came, and few are held."""
+    from buildloom.streaming import reducer
+
+    monkeypatch.setattr(reducer, "RUN", 100)
+    monkeypatch.setattr(reducer, "BLOCK", 7)
+    events = [(random.Random(3).randint(0, 5) + i * 7919 % 1009, f"e{i}") for i in range(1050)]
+    assert list(reducer.ordered(iter(events))) == sorted(events, key=lambda e: e[0])
+    assert list(reducer.ordered(iter(events[:50]))) == sorted(events[:50], key=lambda e: e[0])
+
+
+def test_waiting_events_are_kept_in_blocks(monkeypatch):
+    """What comes too early makes a state entry for a block of events, not one each, and only blocks that are due are read."""
+    from buildloom.streaming import reducer
+
+    class State(dict):
+        def updateValue(self, key, value):
+            self[key], self.writes = value, getattr(self, "writes", 0) + 1
+
+        getValue, removeKey = dict.get, dict.pop
+
+    class Steps:
+        def step(self, e):
+            return [(e.n,)]
+
+    monkeypatch.setattr(reducer, "BLOCK", 10)
+    r = reducer.Reducer(True, None)
+    r.waiting = State()
+    counts, seen, seqs = {"next": 0, "waiting": [], "blocks": 0}, [], list(range(400))
+    random.Random(5).shuffle(seqs)
+    for i in range(0, 400, 100):
+        batch = sorted((n, json.dumps({"n": n})) for n in [*seqs[i : i + 100], *seqs[:20]])
+        seen += [n for (n,) in r.take(counts, Steps(), iter(batch))]
+    assert seen == list(range(400)) and not r.waiting and not counts["waiting"]
+    assert r.waiting.writes <= 60
