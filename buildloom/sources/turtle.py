@@ -147,10 +147,15 @@ def _understood(value: Column, prefixes: Column) -> Column:
     return F.array_join(F.transform(tokens, kind), "").rlike(SHAPE) & bound
 
 
+def _dealt(rows: DataFrame) -> DataFrame:
+    """rows in equal shares: what they are made from may be a few large splits, and reading statements is far more work."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
 def parse_lines(lines: DataFrame, prefixes: str | None = None) -> DataFrame:
     """Triples (a set) of the statements in (build_id, value), each of which is whole; others are left out (see unread).
-    prefixes: the column of a map from a prefix to its namespace."""
-    known = lines.withColumn("prefixes", F.col(prefixes) if prefixes else _usual())
+    prefixes: the column of a map from a prefix to its namespace; lines without one are dealt to all tasks first."""
+    known = (lines if prefixes else _dealt(lines.select("build_id", "value"))).withColumn("prefixes", F.col(prefixes) if prefixes else _usual())
     x = known.where(_is_data(F.col("value")) & _understood(F.col("value"), F.col("prefixes")))
     got = x.select("build_id", "prefixes", F.explode(_spelled_out(F.col("value"))).alias("t")).select("build_id", "prefixes", "t.*")
     is_text = F.startswith("o", F.lit('"'))
@@ -198,7 +203,7 @@ def parse_texts(texts: DataFrame) -> DataFrame:
         cols = list(zip(*rows))
         return pa.RecordBatch.from_arrays([*(pa.array(c, pa.string()) for c in cols[:6]), pa.array(cols[6], pa.int32())], names=names)
 
-    return texts.select("build_id", "value").mapInArrow(run, f"{TRIPLES}, unread string, line int")
+    return _dealt(texts.select("build_id", "value")).mapInArrow(run, f"{TRIPLES}, unread string, line int")
 
 
 def _prefixes(lines: DataFrame) -> DataFrame:

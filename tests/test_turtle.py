@@ -116,3 +116,14 @@ def test_command_line_tells_what_was_not_read(spark, tmp_path, capsys):
     assert cli.main([str(p), "-q", "stats"], spark) == cli.UNREAD
     err = capsys.readouterr().err
     assert "1" in err and 'b:cmd "open .' in err
+
+
+def test_reading_is_dealt_to_all_tasks(spark):
+    """Statements and texts that come in one partition are read by many tasks."""
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = spark.range(0, 4000, 1, 1).selectExpr("'b' AS build_id", "concat(':p', id, ' b:cmd \"x\" .') AS value")
+    texts = rows.selectExpr("build_id", "concat('@prefix : <http://x/data#> . @prefix b: <http://x/rdf#> . ', value) AS value")
+    tasks = lambda df: df.rdd.mapPartitions(lambda rows: [sum(1 for _ in rows)]).collect()
+    assert len([x for x in tasks(turtle.parse_texts(texts)) if x]) == n > 1
+    assert "RoundRobinPartitioning" in turtle.parse_lines(rows)._jdf.queryExecution().executedPlan().toString()
+    assert turtle.parse_lines(rows).count() == turtle.parse_texts(texts).count() == 4000
