@@ -67,9 +67,17 @@ def log_stream_out_of_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _counted(triples: DataFrame, at: str) -> DataFrame:
-    """The stream is run to its end; its triples of each predicate."""
-    triples.writeStream.format("parquet").option("path", f"{at}/triples").option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start().awaitTermination()
-    return triples.sparkSession.read.schema(TRIPLES).parquet(f"{at}/triples").distinct().groupBy("build_id", "p").agg(F.count(F.lit(1)).alias("n"))
+    """The stream is run to its end; its triples of each predicate. Its state has two partitions a core at most: each one starts
+    Python and commits its state in every batch, whether it has a build's events or not."""
+    spark, shuffles = triples.sparkSession, "spark.sql.shuffle.partitions"
+    asked = spark.conf.get(shuffles)
+    spark.conf.set(shuffles, str(min(int(asked), 2 * spark.sparkContext.defaultParallelism)))
+    try:  # a query takes its settings when it starts
+        run = triples.writeStream.format("parquet").option("path", f"{at}/triples").option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start()
+    finally:
+        spark.conf.set(shuffles, asked)
+    run.awaitTermination()
+    return spark.read.schema(TRIPLES).parquet(f"{at}/triples").distinct().groupBy("build_id", "p").agg(F.count(F.lit(1)).alias("n"))
 
 
 # Recording's small parts.

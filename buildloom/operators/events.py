@@ -60,16 +60,17 @@ def latest(value: Column, keys: tuple[str, ...], order: str = "seq") -> Column:
 def numbered(rows: DataFrame, keys: tuple[str, ...], order: tuple[str, ...]) -> DataFrame:
     """rows with `number`: their place from 0 in the order of `order` among the rows of one key, without a gap.
 
-    Rows are dealt to tasks by ranges of key and order, numbered within their task, and a key's rows in the tasks before are
-    added: no task holds a key, however many rows it has. Rows that are alike in key and order are numbered in any order.
+    Rows are dealt to tasks by ranges of key and order and sorted there, so a key's rows lie next to each other and their
+    places in the task number them; a key's rows in the tasks before are added. No task holds a key, however many rows it has,
+    and rows move once. Rows that are alike in key and order are numbered in any order.
     """
-    dealt = rows.repartitionByRange(*keys, *order).withColumn("part", F.spark_partition_id())
-    dealt = stored(dealt, "dealt")
+    dealt = rows.repartitionByRange(*keys, *order).sortWithinPartitions(*keys, *order)
+    dealt = stored(dealt.withColumns({"part": F.spark_partition_id(), "place": F.monotonically_increasing_id()}), "dealt")
     before = Window.partitionBy(*keys).orderBy("part").rowsBetween(*_BEFORE)
-    counts = dealt.groupBy(*keys, "part").agg(F.count(F.lit(1)).alias("n"))
-    bases = counts.select(*(F.col(k).alias(f"key {k}") for k in keys), F.col("part").alias("key part"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    within = F.row_number().over(Window.partitionBy("part", *keys).orderBy(*order)) - 1
+    counts = dealt.groupBy(*keys, "part").agg(F.count(F.lit(1)).alias("n"), F.min("place").alias("first"))
+    bases = counts.select(*(F.col(k).alias(f"key {k}") for k in keys), F.col("part").alias("key part"), (F.coalesce(F.sum("n").over(before), F.lit(0)) - F.col("first")).alias("base"))
+    bases = stored(bases, "bases")  # as a table its size is known: a small one is sent to the rows
     match = F.col("part") == F.col("key part")
     for k in keys:
         match &= F.col(k).eqNullSafe(F.col(f"key {k}"))
-    return dealt.withColumn("within", within).join(bases, match).select(*rows.columns, (F.col("within") + F.col("base")).alias("number"))
+    return dealt.join(bases, match).select(*rows.columns, (F.col("place") + F.col("base")).alias("number"))

@@ -74,8 +74,14 @@ def ordered(events: Iterator[tuple[int, str]]) -> Iterator[tuple[int, str]]:
         yield from heapq.merge(*map(read, runs), key=lambda e: e[0])
 
 
-def event(text: str) -> SimpleNamespace:
-    return SimpleNamespace(**json.loads(text))
+class Event(SimpleNamespace):
+    """An event's fields; one that its text leaves out is null."""
+
+    ts = pid = op = syscall = fd = flags = path = abspath = new_path = new_abspath = hash = child_pid = cmdline = env = rval = None
+
+
+def event(text: str, read=json.JSONDecoder().raw_decode) -> Event:
+    return Event(**read(text)[0])
 
 
 def moment(ts) -> str:
@@ -293,5 +299,5 @@ def reduce_stream(log: DataFrame, dense: bool = False, patience: int | None = No
     spark = log.sparkSession
     ship(spark)
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
-    said = F.to_json(F.struct(format_time("ts").alias("ts"), *FIELDS), {"ignoreNullFields": "false"})
+    said = F.to_json(F.struct(format_time("ts").alias("ts"), *FIELDS))
     return log.select("build_id", "seq", said.alias("event")).groupBy("build_id").transformWithStateInPandas(Reducer(dense, patience), TRIPLES, "append", "none" if patience is None else "processingTime")

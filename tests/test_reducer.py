@@ -272,3 +272,30 @@ def test_waiting_events_are_kept_in_blocks(monkeypatch):
         seen += [n for (n,) in r.take(counts, Steps(), iter(batch))]
     assert seen == list(range(400)) and not r.waiting and not counts["waiting"]
     assert r.waiting.writes <= 60
+
+
+def test_rows_are_numbered_where_they_were_sorted(spark):
+    """Null keys too; the rows don't move again to be numbered."""
+    from buildloom.operators.events import numbered
+
+    rows = [(k, i * 7919 % 1009) for k in ("a", "b", None) for i in range(300)]
+    got = numbered(spark.createDataFrame(rows, "k string, n long"), ("k",), ("n",))
+    want = {(k, n, i) for k in ("a", "b", None) for i, n in enumerate(sorted(n for x, n in rows if x == k))}
+    assert {tuple(r) for r in got.collect()} == want
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "BroadcastHashJoin" in plan
+
+
+def test_stream_state_has_few_partitions(spark, tmp_path):
+    """A batch doesn't start Python and commit state for many partitions of few builds; the session's setting stays."""
+    from buildloom.log_queries import _counted
+
+    spark.createDataFrame(log(*STORY), LOG).write.parquet(str(tmp_path / "in"))
+    asked = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "30")
+    try:
+        got = _counted(reduce_stream(spark.readStream.schema(LOG).parquet(str(tmp_path / "in"))), str(tmp_path / "at"))
+        assert got.count() > 5 and spark.conf.get("spark.sql.shuffle.partitions") == "30"
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", asked)
+    assert sum(p.name.isdigit() for p in (tmp_path / "at" / "state" / "state" / "0").iterdir()) <= 2 * spark.sparkContext.defaultParallelism
