@@ -417,10 +417,10 @@ def _path(g: Graph, path: Term | tuple, s: Var | Term, o: Var | Term) -> DataFra
     if op == "?":
         far = once
     elif isinstance(s, Term):
-        far = closure(once, once.where(F.col("s") == s.value))
+        far = closure(once, F.col("s") == s.value)
     elif isinstance(o, Term):
         back = once.select("build_id", F.col("o").alias("s"), F.col("s").alias("o"))
-        far = closure(back, back.where(F.col("s") == o.value)).select("build_id", F.col("o").alias("s"), F.col("s").alias("o"))
+        far = closure(back, F.col("s") == o.value).select("build_id", F.col("o").alias("s"), F.col("s").alias("o"))
     else:
         far = closure(once)
     return far if op == "+" else far.unionByName(_nodes(g).select("build_id", "s", F.col("s").alias("o"))).distinct()
