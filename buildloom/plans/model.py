@@ -40,6 +40,8 @@ class Graph:
     rename: DataFrame
     #: All triples that the tables were made from, where they were: also those that no table has a place for.
     said: DataFrame | None = None
+    #: Tasks over which such triples are dealt to make a set of them and to join them; None: as many as the session has.
+    parts: int | None = None
 
     @property
     def typed(self) -> DataFrame:
@@ -78,9 +80,19 @@ class Graph:
         return reduce(DataFrame.unionByName, parts)
 
 
-def from_triples(triples: DataFrame) -> Graph:
+#: Triples of a task.
+PART = 1_000_000
+
+
+def dealt(rows: DataFrame, parts: int | None, *keys: str) -> DataFrame:
+    return rows if parts is None else rows.repartition(parts, *keys)
+
+
+def from_triples(triples: DataFrame, about: int | None = None) -> Graph:
     """Property tables of a set of triples. A second value of a single-valued property isn't expected; the least one counts.
-    Texts where a node belongs, nodes where a text belongs, and properties that no table has are in `said` alone."""
+    Texts where a node belongs, nodes where a text belongs, and properties that no table has are in `said` alone. about: how many
+    triples there are, if that is known; then tasks over them don't grow with their number."""
+    parts = None if about is None else max(triples.sparkSession.sparkContext.defaultParallelism, -(-about // PART))
     texts = F.col("p").isin("b:cmd", "b:start", "b:end", "b:env", "b:name", "b:abspath", "b:hash")
     t = triples.where(texts == (F.col("o_kind") == "literal")).select("build_id", "s", "p", "o").distinct()
 
@@ -100,7 +112,7 @@ def from_triples(triples: DataFrame) -> Graph:
     return Graph(
         process, edge("b:cmd", "pid_node", "cmd"), edge("b:start", "pid_node", "start_ts"), edge("b:env", "pid_node", "entry"), file,
         edge("b:reads", "pid_node", "file_node"), edge("b:writes", "pid_node", "file_node"), edge("b:executable", "pid_node", "file_node"), edge("b:creates", "pid_node", "child_node"), rename,
-        triples.select("build_id", "s", "p", "o", "o_kind").distinct(),
+        dealt(triples.select("build_id", "s", "p", "o", "o_kind"), parts, "build_id", "s").distinct(), parts,
     )
 
 

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalar import RDF, iri_of
 from ..operators.closure import closure
-from .model import Graph
+from .model import Graph, dealt
 
 TOKEN = re.compile(r"""\s+|\#[^\n]*|(?P<str>"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*')|(?P<iri><[^<>"{}|^`\\\s]*>)|(?P<var>[?$]\w+)|(?P<num>\d+)|(?P<name>(?:_:|[A-Za-z][\w-]*)?:[\w.-]*\w|(?:[A-Za-z][\w-]*)?:|[A-Za-z]\w*)|(?P<op>\|\||&&|!=|<=|>=|[{}().;,!=<>*/^|+?])""")
 
@@ -453,7 +453,7 @@ def _relation(g: Graph, pattern: tuple) -> Relation:
     return Relation(rows.select("build_id", *(F.col(c).alias(v) for v, c in bound.items()), *flags), {v: kinds[c] for v, c in bound.items()})
 
 
-def _meet(left: Relation, right: Relation, how: str, test: tuple | None = None) -> Relation:
+def _meet(g: Graph, left: Relation, right: Relation, how: str, test: tuple | None = None) -> Relation:
     """Rows of left with the compatible rows of right: inner, left, left_semi or left_anti. test: a filter that both must pass."""
     shared = [v for v in right.kinds if v in left.kinds]
     loose = {v for v in shared if v in left.loose | right.loose}
@@ -473,7 +473,8 @@ def _meet(left: Relation, right: Relation, how: str, test: tuple | None = None)
     both |= {v: (F.col(theirs[v]), kind(right, v, theirs.get)) for v in right.kinds if v not in both or (v in loose and how in ("left_semi", "left_anti") and test)}
     if test:
         match &= F.coalesce(_truth(test, both), F.lit(False))
-    joined = left.rows.join(other, match, how)
+    by = [v for v in shared if v not in loose]
+    joined = dealt(left.rows, g.parts, "build_id", *by).join(dealt(other, g.parts, *(theirs[c] for c in ("build_id", *by))), match, how)
     if how in ("left_semi", "left_anti"):
         return Relation(joined, left.kinds, left.loose)
     kinds, columns = dict(left.kinds), ["build_id"]
@@ -572,13 +573,13 @@ def _group(g: Graph, group: Group, around: frozenset[str] = frozenset()) -> Rela
     out = waiting.pop(0)
     while waiting:
         i = next((i for i, w in enumerate(waiting) if (set(w.kinds) & set(out.kinds)) - w.loose - out.loose), 0)
-        out = _meet(out, waiting.pop(i), "inner")
+        out = _meet(g, out, waiting.pop(i), "inner")
     for optional in group.optionals:
-        out = _meet(out, _group(g, optional, around | set(out.kinds)), "left")
+        out = _meet(g, out, _group(g, optional, around | set(out.kinds)), "left")
     for inner in group.minus:
         right = _group(g, inner, frozenset())
         if set(right.kinds) & set(out.kinds):  # else nothing is taken away
-            out = _meet(out, right, "left_anti")
+            out = _meet(g, out, right, "left_anti")
     for there, inner in group.exists:
         out = _exists(g, out, inner, there, around)
     for f in group.filters:
@@ -603,7 +604,7 @@ def _exists(g: Graph, rows: Relation, inner: Group, there: bool, around: frozens
     kept = {v: k for v, k in right.kinds.items() if v in used}
     columns = [c for v, k in kept.items() for c in ([v, flag(v)] if k is None else [v])]
     few = Relation(right.rows.select("build_id", *columns).distinct(), kept, right.loose & used)
-    return _meet(rows, few, "left_semi" if there else "left_anti", shared_test)
+    return _meet(g, rows, few, "left_semi" if there else "left_anti", shared_test)
 
 
 def compile_query(g: Graph, text: str) -> DataFrame:

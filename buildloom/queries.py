@@ -108,8 +108,14 @@ def _named(triples: DataFrame) -> DataFrame:
     return triples.withColumns({"s": node("s"), "o": F.when(is_node, node("o")).otherwise(F.col("o"))})
 
 
+def _named_triples(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, int]:
+    """The graph's triples with nodes as :name, and about how many there are, by the counts that the tables' files tell."""
+    rows = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet").count() for t in ("orders", "lineitem")}
+    return _named(projection.graph(spark, sf_dir).triples()), 8 * rows["orders"] + 4 * rows["lineitem"]
+
+
 def bound_subject(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return compile_query(from_triples(_named(projection.graph(spark, sf_dir).triples())), "SELECT ?p ?o WHERE { :p1 ?p ?o }")
+    return compile_query(from_triples(*_named_triples(spark, sf_dir)), "SELECT ?p ?o WHERE { :p1 ?p ?o }")
 
 
 def turtle_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -133,11 +139,11 @@ def turtle_general(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _spelled(spark: SparkSession, sf_dir: str) -> Graph:
     """The graph with texts that are spelled like nodes and names: each command's process has its parent's name as a text too."""
-    named = _named(projection.graph(spark, sf_dir).triples())
+    named, about = _named_triples(spark, sf_dir)
     typed, n = named.where("p = 'a' and o = 'b:process'"), F.substring("s", 3, 20).cast("long")
     texts = typed.select("build_id", "s", F.lit("b:cmd").alias("p"), F.concat(F.lit(":p"), F.expr("cast(substring(s, 3) as long) div 8")).alias("o"), F.lit("literal").alias("o_kind"))
     names = typed.where(n % 7 == 0).select("build_id", "s", F.lit("b:env").alias("p"), F.lit("b:process").alias("o"), F.lit("literal").alias("o_kind"))
-    return from_triples(named.unionByName(texts).unionByName(names))
+    return from_triples(named.unionByName(texts).unionByName(names), about)
 
 
 def sparql_nodes_not_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -149,13 +155,13 @@ def sparql_texts_not_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sparql_iris(spark: SparkSession, sf_dir: str) -> DataFrame:
-    named = from_triples(_named(projection.graph(spark, sf_dir).triples()))
+    named = from_triples(*_named_triples(spark, sf_dir))
     return compile_query(named, 'SELECT ?s ?o WHERE { ?s b:creates ?o . FILTER(STRENDS(STR(?s), "data#p1") || REGEX(STR(?o), "#p1[0-9]$")) }')
 
 
 def sparql_lineage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What a file was made from, and what that was made from, and so on."""
-    named = from_triples(_named(projection.graph(spark, sf_dir).triples()))
+    named = from_triples(*_named_triples(spark, sf_dir))
     return compile_query(named, "SELECT DISTINCT ?source WHERE { :f2_0 (^b:writes/b:reads)+ ?source }")
 
 

@@ -241,3 +241,13 @@ def test_path_from_a_given_end_makes_its_edges_once(spark, monkeypatch):
     got = compile_query(model.from_triples(said), "SELECT ?x WHERE { :p1 b:creates+ ?x }")
     assert sorted(r.x for r in got.collect()) == [":p2", ":p3", ":p4"]
     assert sum("LogicalRDD" in p or "LocalRelation" in p for p in plans) == 1
+
+
+def test_tasks_over_triples_do_not_grow_with_them(spark):
+    """Told how many triples there are, as many tasks make a set of them and join them; the answers are the same."""
+    said = [(f":p{i}", "a", "b:process", "iri") for i in range(9)] + [(f":p{i // 2}", "b:creates", f":p{i}", "iri") for i in range(1, 12)] + [(f":p{i}", "b:cmd", f":p{i // 2}", "literal") for i in range(9)]
+    triples = spark.createDataFrame([("b", *t) for t in said * 2], "build_id string, s string, p string, o string, o_kind string")
+    for text in ("SELECT ?s ?x WHERE { ?s ?p ?x . ?x a b:process }", "SELECT ?s ?c WHERE { ?s a b:process . OPTIONAL { ?s b:creates ?c } MINUS { ?x b:creates ?s . ?x b:cmd ':p1' } }", "SELECT ?s WHERE { ?s a b:process . FILTER NOT EXISTS { ?s b:creates ?c } }"):
+        few, many = (compile_query(model.from_triples(triples, about), text) for about in (None, 23 * model.PART))
+        assert sorted(map(repr, few.collect())) == sorted(map(repr, many.collect()))
+        assert many._jdf.queryExecution().optimizedPlan().toString().count(", 23") >= 3
