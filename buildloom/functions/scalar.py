@@ -107,7 +107,8 @@ def unescape(x: Column | str) -> Column:
             part = F.replace(part, F.lit(put), F.lit(raw))
         return part
 
-    return F.array_join(F.transform(F.split(_col(x), r"\\\\"), plain), "\\")
+    pieces = F.array_join(F.transform(F.split(_col(x), r"\\\\"), plain), "\\")
+    return F.when(F.contains(_col(x), F.lit("\\")), pieces).otherwise(_col(x))
 
 
 #: The namespaces of a graph's nodes and of its vocabulary, and of the property that `a` stands for.

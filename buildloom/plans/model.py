@@ -84,6 +84,11 @@ class Graph:
 PART = 1_000_000
 
 
+def tasks(spark: SparkSession, about: int | None) -> int | None:
+    """Tasks for about as many triples; None if their number isn't known."""
+    return None if about is None else max(spark.sparkContext.defaultParallelism, -(-about // PART))
+
+
 def dealt(rows: DataFrame, parts: int | None, *keys: str) -> DataFrame:
     return rows if parts is None else rows.repartition(parts, *keys)
 
@@ -92,7 +97,7 @@ def from_triples(triples: DataFrame, about: int | None = None) -> Graph:
     """Property tables of a set of triples. A second value of a single-valued property isn't expected; the least one counts.
     Texts where a node belongs, nodes where a text belongs, and properties that no table has are in `said` alone. about: how many
     triples there are, if that is known; then tasks over them don't grow with their number."""
-    parts = None if about is None else max(triples.sparkSession.sparkContext.defaultParallelism, -(-about // PART))
+    parts = tasks(triples.sparkSession, about)
     texts = F.col("p").isin("b:cmd", "b:start", "b:end", "b:env", "b:name", "b:abspath", "b:hash")
     t = triples.where(texts == (F.col("o_kind") == "literal")).select("build_id", "s", "p", "o").distinct()
 

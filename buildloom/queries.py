@@ -95,9 +95,9 @@ def _sparql(text: str) -> Query:
 
 def triple_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Triples written as statements, their nodes as :name, and parsed again."""
-    named = _named(projection.graph(spark, sf_dir).triples())
-    back = turtle.parse_lines(turtle.statements(named))
-    bare = lambda c: F.regexp_replace(c, "^:", "").alias(c)
+    named, about = _named_triples(spark, sf_dir)
+    back = turtle.parse_lines(turtle.statements(named), about=about)
+    bare = lambda c: F.when(F.startswith(c, F.lit(":")), F.substring(c, 2, 1 << 30)).otherwise(F.col(c)).alias(c)
     return back.select(bare("s"), "p", bare("o"))
 
 

@@ -19,17 +19,20 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalar import DATA, RDF, VOCABULARY, escape, unescape
-from ..plans.model import TRIPLES
+from ..plans.model import TRIPLES, dealt, tasks
 from ..storage import scratch, ship, stored
 from .turtle_text import Reader
 
 #: A literal, an IRI, a sign of lists and ends, or a name; and any other run of characters, which is none of these.
 _LITERAL = r'"(?:[^"\\\n]|\\[tbnrf"\'\\])*+"(?:\^\^(?:<[^<>\s]*>|[\w.-]*:[\w.-]*\w)|@[A-Za-z]+(?:-[A-Za-z0-9]+)*)?'
-_NAME = r"_:\w(?:[\w.-]*[\w-])?|(?:[A-Za-z](?:[\w.-]*[\w-])?)?:(?:[\w:](?:[\w:.-]*[\w:-])?)?"
+_LABEL, _LOCAL = r"_:\w(?:[\w.-]*[\w-])?", r"(?:[\w:](?:[\w:.-]*[\w:-])?)?"
+_NAME = rf"{_LABEL}|(?:[A-Za-z](?:[\w.-]*[\w-])?)?:{_LOCAL}"
 TOKEN = rf'{_LITERAL}(?=[\s;,]|\.?\s*$)|<[^<>"{{}}|^`\\\s]*>|{_NAME}|\ba\b|[;,]|\.(?=\s*$)|[^\s]+'
 #: A token of each kind that a line may hold, as a letter, and the order in which they may stand in it.
 KINDS = (("n", rf"^(?:<.*>|{_NAME})$"), ("l", f"^{_LITERAL}$"), ("a", "^a$"), (";", "^;$"), (",", "^,$"), (".", r"^\.$"))
 SHAPE = r"^n[na][nl](?:,[nl])*(?:;+[na][nl](?:,[nl])*)*;*\.$"
+#: A line of one triple, as statements() writes it: what most lines are.
+PLAIN = rf'^(?:{_LABEL}|:{_LOCAL})\s+(?:a|b:{_LOCAL})\s+(?:{_LABEL}|b?:{_LOCAL}|"(?:[^"\\\n]++|\\[tbnrf"\'\\])*+")\s*\.\s*\z'
 
 # The vocabulary: property, label, domain, range, comment.
 CLASSES = (("process", "Process", "Represents a process."), ("file", "File", "Represents a file."))
@@ -95,17 +98,29 @@ def _name(term: Column, prefixes: Column) -> Column:
     """A term as :local, b:local, a or _:label; names of namespaces that are neither vocabulary nor data become whole IRIs."""
     space = F.try_element_at(prefixes, _prefix(term))
     iri = F.coalesce(F.concat(space, F.regexp_replace(term, "^[^:]*:", "")), F.regexp_extract(term, r"^<(.*)>$", 1))
-    local = lambda kind: F.regexp_extract(iri, rf"\b{kind}#([^#]*)$", 1)
-    out = F.when(iri == RDF + "type", F.lit("a"))
-    out = out.when(iri.rlike(r"\brdf#[^#]*$"), F.concat(F.lit("b:"), local("rdf"))).when(iri.rlike(r"\bdata#[^#]*$"), F.concat(F.lit(":"), local("data")))
-    return out.when(iri != "", F.concat(F.lit("<"), iri, F.lit(">"))).otherwise(term)
+
+    def short(iri: Column) -> Column:
+        local = lambda kind: F.regexp_extract(iri, rf"\b{kind}#([^#]*)$", 1)
+        out = F.when(iri == RDF + "type", F.lit("a"))
+        out = out.when(iri.rlike(r"\brdf#[^#]*$"), F.concat(F.lit("b:"), local("rdf"))).when(iri.rlike(r"\bdata#[^#]*$"), F.concat(F.lit(":"), local("data")))
+        return out.when(iri != "", F.concat(F.lit("<"), iri, F.lit(">"))).otherwise(term)
+
+    # A list of one, so that the IRI is worked out once.
+    return F.transform(F.array(iri), short)[0]
+
+
+def _named(t: Column, prefixes: Column) -> Column:
+    """A triple of terms with its names brought to their form and what follows a text's quotes left out."""
+    text = F.regexp_extract(t["o"], r'(?s)^(".*")(?:\^\^\S+|@\S+)?$', 1)
+    o = F.when(F.startswith(t["o"], F.lit('"')), text).otherwise(_name(t["o"], prefixes))
+    return F.struct(_name(t["s"], prefixes).alias("s"), _name(t["p"], prefixes).alias("p"), o.alias("o"))
 
 
 def _tokens(value: Column) -> Column:
     return F.regexp_extract_all(value, F.lit(TOKEN), F.lit(0))
 
 
-def _spelled_out(value: Column) -> Column:
+def _spelled_out(tokens: Column) -> Column:
     """The s, p, o terms of a statement's triples: its tokens are taken in turn, `;` keeps the subject and `,` the predicate."""
     triples = "array<struct<s:string,p:string,o:string>>"
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("s"), F.lit("").alias("p"), F.array().cast(triples).alias("out"))
@@ -121,7 +136,7 @@ def _spelled_out(value: Column) -> Column:
             F.when(said, F.concat(x["out"], made)).otherwise(x["out"]).alias("out"),
         )
 
-    return F.aggregate(_tokens(value), start, step, lambda x: x["out"])
+    return F.aggregate(tokens, start, step, lambda x: x["out"])
 
 
 def _is_data(value: Column) -> Column:
@@ -129,12 +144,19 @@ def _is_data(value: Column) -> Column:
     return ~value.rlike(r"^\s*(#|b:|$)") & ~value.rlike(rf"^\s*{PREFIX}\s*$") & ~value.rlike(r"^\s+(a|rdfs:\w+)\s")
 
 
+def _plain(value: Column, prefixes: Column) -> Column:
+    """Whether a line is PLAIN, where : and b: are the namespaces whose names are kept as they are: a data line that is
+    understood and whose terms need no change, told by one look instead of by its tokens."""
+    ends = lambda prefix, kind: F.coalesce(F.try_element_at(prefixes, F.lit(prefix)).rlike(rf"\b{kind}#\z"), F.lit(False))
+    return F.coalesce(ends("", "data") & ends("b", "rdf") & value.rlike(PLAIN), F.lit(False))
+
+
 PREFIX = r"@prefix\s+([^\s:]*):\s*<([^<>\s]*)>\s*\."
 
 
-def _understood(value: Column, prefixes: Column) -> Column:
-    """Whether a line is one whole statement: each token of a known kind, in an order that a statement may have, each prefix
-    bound."""
+def _understood(tokens: Column, prefixes: Column) -> Column:
+    """Whether a line's tokens are one whole statement: each token of a known kind, in an order that a statement may have,
+    each prefix bound."""
 
     def kind(t: Column) -> Column:
         out = None
@@ -142,7 +164,6 @@ def _understood(value: Column, prefixes: Column) -> Column:
             out = F.when(t.rlike(pattern), letter) if out is None else out.when(t.rlike(pattern), letter)
         return out.otherwise("x")
 
-    tokens = _tokens(value)
     bound = F.forall(tokens, lambda t: F.coalesce(F.map_contains_key(prefixes, _prefix(t)), F.lit(True)))
     return F.array_join(F.transform(tokens, kind), "").rlike(SHAPE) & bound
 
@@ -152,23 +173,30 @@ def _dealt(rows: DataFrame) -> DataFrame:
     return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
-def parse_lines(lines: DataFrame, prefixes: str | None = None) -> DataFrame:
+def parse_lines(lines: DataFrame, prefixes: str | None = None, about: int | None = None) -> DataFrame:
     """Triples (a set) of the statements in (build_id, value), each of which is whole; others are left out (see unread).
-    prefixes: the column of a map from a prefix to its namespace; lines without one are dealt to all tasks first."""
+    prefixes: the column of a map from a prefix to its namespace; lines without one are dealt to all tasks first. about: how
+    many triples there are, if that is known; then the set of a task doesn't grow with their number."""
     known = (lines if prefixes else _dealt(lines.select("build_id", "value"))).withColumn("prefixes", F.col(prefixes) if prefixes else _usual())
-    x = known.where(_is_data(F.col("value")) & _understood(F.col("value"), F.col("prefixes")))
-    got = x.select("build_id", "prefixes", F.explode(_spelled_out(F.col("value"))).alias("t")).select("build_id", "prefixes", "t.*")
+    value, spaces = F.col("value"), F.col("prefixes")
+    # A plain line's terms and another's tokens are columns of their own, so that each is found once.
+    x = known.withColumn("terms", F.when(_plain(value, spaces), F.split(value, r"\s+", 3)))
+    x = x.withColumn("tokens", F.when(F.isnull("terms") & _is_data(value), _tokens(value)))
+    triple = F.struct(F.col("terms")[0].alias("s"), F.col("terms")[1].alias("p"), F.rtrim(F.col("terms")[2], F.lit(". \t\n\x0b\f\r")).alias("o"))
+    said = F.when(F.isnotnull("terms"), F.array(triple)).when(_understood(F.col("tokens"), spaces), F.transform(_spelled_out(F.col("tokens")), lambda t: _named(t, spaces)))
+    # Outer, as for an inner explode Spark would add a filter that works the list out once more.
+    got = x.select("build_id", said.alias("said")).select("build_id", F.explode_outer("said").alias("t")).where("t is not null").select("build_id", "t.*")
     is_text = F.startswith("o", F.lit('"'))
-    text = unescape(F.regexp_extract("o", r'(?s)^"(.*)"(?:\^\^\S+|@\S+)?$', 1))
+    text = unescape(F.substr("o", F.lit(2), F.length("o") - 2))
     kind = F.when(is_text, "literal").when(F.startswith("o", F.lit("_:")), "bnode").otherwise("iri")
-    spaces = F.col("prefixes")
-    out = got.select("build_id", _name(F.col("s"), spaces).alias("s"), _name(F.col("p"), spaces).alias("p"), F.when(is_text, text).otherwise(_name(F.col("o"), spaces)).alias("o"), kind.alias("o_kind"))
-    return out.where(~F.startswith("s", F.lit("b:"))).distinct()
+    out = got.where(~F.startswith("s", F.lit("b:"))).select("build_id", "s", "p", F.when(is_text, text).otherwise(F.col("o")).alias("o"), kind.alias("o_kind"))
+    return dealt(out, tasks(out.sparkSession, about), "build_id", "s", "p", "o").distinct()
 
 
 def unread(lines: DataFrame, prefixes: str | None = None) -> DataFrame:
     """The data lines that parse_lines can't read: neither a whole statement nor anything else that may stand in a file."""
-    return lines.where(_is_data(F.col("value")) & ~_understood(F.col("value"), F.col(prefixes) if prefixes else _usual()))
+    value, spaces = F.col("value"), F.col(prefixes) if prefixes else _usual()
+    return lines.where(~_plain(value, spaces) & _is_data(value) & ~_understood(_tokens(value), spaces))
 
 
 def parse_texts(texts: DataFrame) -> DataFrame:

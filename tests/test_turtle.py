@@ -4,6 +4,7 @@ import random
 
 import pytest
 
+from buildloom.plans.model import PART
 from buildloom.sources import turtle
 from buildloom.sources.turtle_text import RDF, Reader
 
@@ -127,3 +128,38 @@ def test_reading_is_dealt_to_all_tasks(spark):
     assert len([x for x in tasks(turtle.parse_texts(texts)) if x]) == n > 1
     assert "RoundRobinPartitioning" in turtle.parse_lines(rows)._jdf.queryExecution().executedPlan().toString()
     assert turtle.parse_lines(rows).count() == turtle.parse_texts(texts).count() == 4000
+
+
+def test_plain_lines_are_read_as_their_tokens_are(spark, monkeypatch):
+    """Lines of one triple are told by one look: with it and without, the same triples and the same unread lines, whatever
+    the file's prefixes are."""
+    r = random.Random(5)
+    names = [":p0", ":", "::x", ":a.b", ":f.", ":é", "_:rename-p0-f1", "_:x.", "b:file", "b:", "b", "a", "rdf:type", "xsd:int", "none:x", "<urn:x/data#p1>", "<urn:y>", "<>", "x:data#y", ":a:b-", "-:x"]
+    texts = ['""', '"x"', '"a b . ;"', '"q\\"@en"', '"\\\\n\\n\\t\\\'"', '"\\\\"', '"\\b"', '"bad \\q"', '"open', '"x"@en', '"x"^^xsd:string', '"é😀\x85 "', '"\r"', "'single'", '":p0"', '"_:b"', '"""long"""']
+    gap = lambda: r.choice(["\t", "\t", " ", "  ", "\t \x0b", ""])
+    lines = {r.choice(["", "", "", " ", "#"]) + gap().join([r.choice(names[:8] if r.random() < 0.8 else names), r.choice(["a", "b:cmd"] if r.random() < 0.8 else names), r.choice(names + texts)]) + gap() + r.choice([".", ".", ".", "", "..", ";", ". .", ".\n", ".\x85", ". # x"]) for _ in range(6000)}
+    lines |= {f":p0\tb:cmd\t{x} ." for x in names + texts} | {f"{x} a {y}." for x in names for y in names} | {":p0 b:cmd \"" + "ab\\\\\\n" * 50_000 + "\" .", ""}
+    usual = "map('', 'urn:build-provenance:data#', 'b', 'urn:build-provenance:rdf#', 'xsd', 'urn:xsd#')"
+    maps = [usual, "map('', 'urn:x/data#', 'b', 'urn:x/rdf#')", "map('', 'urn:x/other#', 'b', 'urn:x/rdf#', 'x', 'urn:x/')", "map('', 'urn:x/rdf#', 'b', 'urn:x/data#')", "map('b', 'urn:x/rdf#')", "map('', 'urn:x/data#a')", "map('', 'urn:xdata#', 'b', 'urn:x/rdf#')"]
+    frame = spark.createDataFrame([(x,) for x in sorted(lines)], "value string").selectExpr("posexplode(array(" + ", ".join(maps) + ")) AS (build_id, prefixes)", "value").selectExpr("string(build_id) AS build_id", "prefixes", "value").cache()
+    bare = frame.where("build_id = '0'").select("build_id", "value")
+
+    def both():
+        read = [turtle.parse_lines(frame, "prefixes"), turtle.parse_lines(bare), turtle.parse_lines(bare, about=10), turtle.unread(frame, "prefixes").select("build_id", "value"), turtle.unread(bare)]
+        return [sorted(map(repr, df.collect())) for df in read]
+
+    quick = both()
+    assert frame.where(turtle._plain(frame.value, frame.prefixes)).count() > 300
+    monkeypatch.setattr(turtle, "PLAIN", "(?!)")
+    assert frame.where(turtle._plain(frame.value, frame.prefixes)).count() == 0
+    assert quick == both()
+    assert len(quick[0]) > 1000 < len(quick[3])
+
+
+def test_a_line_is_taken_apart_once(spark):
+    """A line's tokens are found at one place of the plan, and the set of triples has tasks by how many there are."""
+    lines = spark.createDataFrame([("x", f":p{i} b:cmd \"x\" .") for i in range(9)] * 2, "build_id string, value string")
+    read = turtle.parse_lines(lines, about=23 * PART)
+    assert read._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all") == 1
+    assert ", 23)" in read._jdf.queryExecution().executedPlan().toString()
+    assert read.count() == 9
