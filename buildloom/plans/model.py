@@ -40,8 +40,11 @@ class Graph:
     rename: DataFrame
     #: All triples that the tables were made from, where they were: also those that no table has a place for.
     said: DataFrame | None = None
-    #: Tasks over which such triples are dealt to make a set of them and to join them; None: as many as the session has.
-    parts: int | None = None
+
+    @property
+    def parts(self) -> int | None:
+        """Tasks over which triples are dealt to make a set of them and to join them; None: as many as the session has."""
+        return None
 
     @property
     def typed(self) -> DataFrame:
@@ -80,6 +83,13 @@ class Graph:
         return reduce(DataFrame.unionByName, parts)
 
 
+@dataclass(frozen=True)
+class Counted(Graph):
+    """A graph of about a known number of triples, so of a known number of tasks. A graph itself has tables alone."""
+
+    parts: int = 1
+
+
 #: Triples of a task.
 PART = 1_000_000
 
@@ -114,11 +124,12 @@ def from_triples(triples: DataFrame, about: int | None = None) -> Graph:
     file = described.groupBy("build_id", F.col("s").alias("file_node")).agg(value("b:name").alias("name"), value("b:abspath").alias("abspath"), value("b:hash").alias("hash"))
     ends = t.where(F.col("p").isin("b:rename-from", "b:rename-to")).groupBy("build_id", F.col("s").alias("rename_node")).agg(value("b:rename-from").alias("from_node"), value("b:rename-to").alias("to_node"))
     rename = edge("b:rename", "pid_node", "rename_node").join(ends, ["build_id", "rename_node"]).select("build_id", "rename_node", "pid_node", "from_node", "to_node")
-    return Graph(
+    tables = (
         process, edge("b:cmd", "pid_node", "cmd"), edge("b:start", "pid_node", "start_ts"), edge("b:env", "pid_node", "entry"), file,
         edge("b:reads", "pid_node", "file_node"), edge("b:writes", "pid_node", "file_node"), edge("b:executable", "pid_node", "file_node"), edge("b:creates", "pid_node", "child_node"), rename,
-        dealt(triples.select("build_id", "s", "p", "o", "o_kind"), parts, "build_id", "s").distinct(), parts,
+        dealt(triples.select("build_id", "s", "p", "o", "o_kind"), parts, "build_id", "s").distinct(),
     )
+    return Graph(*tables) if parts is None else Counted(*tables, parts)
 
 
 def empty(spark: SparkSession) -> Graph:

@@ -251,3 +251,11 @@ def test_tasks_over_triples_do_not_grow_with_them(spark):
         few, many = (compile_query(model.from_triples(triples, about), text) for about in (None, 23 * model.PART))
         assert sorted(map(repr, few.collect())) == sorted(map(repr, many.collect()))
         assert many._jdf.queryExecution().optimizedPlan().toString().count(", 23") >= 3
+
+
+def test_a_graph_has_tables_alone(spark):
+    """How many tasks there are is no part of a graph whose triples weren't counted; of others it stays with each build's part."""
+    triples = spark.createDataFrame([("b", ":p0", "a", "b:process", "iri")], "build_id string, s string, p string, o string, o_kind string")
+    plain, counted = model.from_triples(triples), model.from_triples(triples, 23 * model.PART)
+    assert plain.parts is None and set(vars(plain)) == {*model.SCHEMAS, "said"} and all(hasattr(t, "cache") for t in vars(plain).values())
+    assert counted.parts == counted.only("b").parts == 23 and counted.only("b").triples().count() == 1
